@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import html, langid, licenses, pii, quality, sentencepiece
+from timeloom.llm import html, jaccard, langid, licenses, pii, quality, sentencepiece
 from timeloom.llm.session import fold_column, table
 from timeloom.llm.sql import licences_sql, pii_sql
 
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold_column() == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(table(spark, sf_dir, "documents"), sentencepiece.load(TOKENIZER))
 
@@ -61,6 +65,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality": op8_quality,
