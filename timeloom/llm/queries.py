@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import html, jaccard, langid, licenses, pii, quality, sentencepiece
+from timeloom.llm import chunks, decontam, embeddings, html, jaccard, langid, licenses, pii, quality, sentencepiece
 from timeloom.llm.session import fold_column, table
 from timeloom.llm.sql import licences_sql, pii_sql
 
@@ -33,6 +33,14 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.round_trip(table(spark, sf_dir, "documents"), sentencepiece.load(TOKENIZER))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -62,13 +70,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_decontamination": op5_decontamination,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": licences_sql(), "op9_pii": pii_sql()}
