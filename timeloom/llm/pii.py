@@ -23,6 +23,7 @@ PATTERNS = {
 }
 TERM = "term"
 _WORD = r"[\p{L}]{4,}+"
+_TERMS = "array<struct<start:int,end:int,share:double>>"
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -161,10 +162,26 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_column: str = "doc
     an entity, the entity has no information content and nothing reveals it. Further columns are ignored.
     """
     base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    found = base.where(F.size("spans") > 0)
-    terms = disclosing(base.select("id", "text"), found, rule)
-    grouped = terms.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    return base.join(grouped, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    return base.join(_terms(base, rule), "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast(_TERMS)))
+
+
+def _terms(base: DataFrame, rule: Disclosure) -> DataFrame:
+    """For each id with words that reveal an entity: ``terms``, by start."""
+    found = disclosing(base.select("id", "text"), base.where(F.size("spans") > 0), rule)
+    return found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
+
+
+def sanitise(docs: DataFrame, rule: Disclosure = Disclosure(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents with all their columns and sanitised texts; null texts stay null, rows without entities as they are.
+
+    The cases are those of find(). A column named like one of the operator's own is left alone.
+    """
+    base = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
+    terms = _terms(base, rule).select(F.col("id").alias("__id"), F.col("terms").alias("__terms"))
+    spans = docs.withColumn("__spans", base_spans(F.col(text_column)))
+    joined = spans.join(terms, F.col(id_column) == F.col("__id"), "left").withColumn("__terms", F.coalesce("__terms", F.array().cast(_TERMS)))
+    text = F.when(F.col(text_column).isNotNull(), sanitised(F.col(text_column), F.col("__spans"), F.col("__terms"), rule))
+    return joined.select(*[text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
 
 
 def all_spans(spans: Column, terms: Column) -> Column:

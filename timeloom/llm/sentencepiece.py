@@ -325,8 +325,9 @@ def decode_array(lists: pa.Array, flat: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string())
 
 
-def round_trip(docs: DataFrame, v: Vocabulary, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Encode, decode what was encoded, and compare: the columns of encode() and ``same`` (the text came back).
+def round_trip(docs: DataFrame, v: Vocabulary, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
+    """Encode, decode what was encoded, and compare: the columns of encode(), ``same`` (the text came back) and, with
+    ``with_text``, the decoded ``text``.
 
     A null text comes back as an empty one, which counts as the same. A text that holds the whitespace marker itself
     comes back with a space in its place.
@@ -345,10 +346,13 @@ def round_trip(docs: DataFrame, v: Vocabulary, id_column: str = "doc_id", text_c
             falls = np.concatenate([[0], np.cumsum(is_byte[ids])])[ends]
             out, bounds = decode_flat(ids.astype(np.int64), ends, flat, at)
             data, offsets = offsets_of(piece.column(1))
-            raw, back = data.tobytes(), out.tobytes()
-            same = [raw[a:b] == back[c:d] for a, b, c, d in zip(offsets[:-1].tolist(), offsets[1:].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            raw, back, bounds = data.tobytes(), out.tobytes(), bounds.tolist()
+            texts = [back[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            same = [raw[a:b] == x for a, b, x in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts, strict=True)]
             arrays = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            yield pa.record_batch([piece.column(0), arrays, pa.array(counts.astype(np.int32)), pa.array(np.diff(falls).astype(np.int32)), pa.array(same, pa.bool_())], ["id", "pieces", "n_pieces", "n_fallback", "same"])
+            columns = [piece.column(0), arrays, pa.array(counts.astype(np.int32)), pa.array(np.diff(falls).astype(np.int32)), pa.array(same, pa.bool_())]
+            more = [pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())] if with_text else []
+            yield pa.record_batch([*columns, *more], ["id", "pieces", "n_pieces", "n_fallback", "same", "text"][: 5 + len(more)])
 
     kind = slim.schema["id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"id {kind}, pieces array<int>, n_pieces int, n_fallback int, same boolean").withColumnRenamed("id", id_column)
+    return slim.mapInArrow(run, f"id {kind}, pieces array<int>, n_pieces int, n_fallback int, same boolean" + ", text string" * with_text).withColumnRenamed("id", id_column)
