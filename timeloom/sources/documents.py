@@ -38,7 +38,7 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
 def job(spark: SparkSession, root: str, job_id: str) -> DataFrame:
     """One job; an unknown id is an error."""
     found = read_documents(spark, root, "status.json", STATUS).where(F.col("job_id") == job_id)
-    if found.isEmpty():
+    if found.first() is None:
         raise KeyError(job_id)
     return found
 
