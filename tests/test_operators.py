@@ -189,3 +189,46 @@ def test_graphs(spark):
     nodes = spark.createDataFrame([(1, "Load"), (2, "Reroute"), (3, "Reroute"), (4, "Save")], "id int, type string")
     links = spark.createDataFrame([(1, 0, 2, 0), (2, 0, 3, 0), (3, 0, 4, 5)], "src int, src_slot int, dst int, dst_slot int")
     assert (4, 5, 1, 0) in rows_of(graph.origins(nodes, links), "dst", "dst_slot", "src", "src_slot")
+
+
+def test_subgraphs_and_executable_nodes(spark):
+    nodes = spark.createDataFrame([("1", "Load"), ("2", "Sub"), ("3", "Save")], "id string, type string")
+    links = spark.createDataFrame([("1", 0, "2", 0), ("2", 0, "3", 1)], "src string, src_slot int, dst string, dst_slot int")
+    inner_nodes = spark.createDataFrame([("Sub", 7, "Blur"), ("Sub", 8, "Deep"), ("Deep", 9, "Sharpen")], "sub string, id int, type string")
+    inner_links = spark.createDataFrame([("Sub", -10, 0, 7, 2), ("Sub", 7, 0, 8, 0), ("Sub", 8, 0, -20, 0), ("Deep", -10, 0, 9, 5), ("Deep", 9, 1, -20, 0)], "sub string, src int, src_slot int, dst int, dst_slot int")
+    n, e = graph.expanded(nodes, links, inner_nodes, inner_links)
+    assert rows_of(n, "id") == [("1",), ("2/7",), ("2/8/9",), ("3",)]
+    assert rows_of(e, "src", "src_slot", "dst", "dst_slot") == [("1", 0, "2/7", 2), ("2/7", 0, "2/8/9", 5), ("2/8/9", 1, "3", 1)]
+    runs, direct = graph.executable(spark.createDataFrame([("1", "Load", 0), ("2", "Reroute", 0), ("3", "Save", 0), ("4", "Note", 0), ("5", "Save", 4)], "id string, type string, mode int"), links)
+    assert rows_of(runs, "id") == [("1",), ("3",)] and rows_of(direct, "src", "dst") == [("1", "3")]
+
+
+def test_beats_and_prompts(spark):
+    from timeloom.operators import beats, prompts
+
+    raw = '```json\n{"action": "walks；sits", "adults": 2, "children": null, "cells": []}\n```'
+    got = spark.range(1).select(beats.parsed(F.lit(raw)).alias("b")).first()["b"]
+    assert (got["action"], got["adults"], got["children"], [c["see"] for c in got["cells"]]) == ("walks；sits", 2, None, ["walks", "sits"])
+    kinds = "k string, ord int, t0 long, t1 long, adults int, children int, has_text boolean, error string, raw string, cells array<struct<t:double,see:string>>"
+    windows = spark.createDataFrame([("j", 1, 0, 3000, 1, 0, False, None, "x", [(0.0, "a"), (0.25, "b")]), ("j", 2, 2500, 5500, 2, 0, True, None, "x", [(2.5, "c")]), ("j", 3, 5000, 8000, 2, 0, False, "boom", "", [])], kinds)
+    cuts = spark.createDataFrame([("j", 3000)], "k string, t long")
+    speech = spark.createDataFrame([("j", 0, 1000), ("j", 1500, 2000)], "k string, t0 long, t1 long")
+    texts = spark.createDataFrame([("j", 1, 100, 400, "hi"), ("j", 2, 100, 400, "hi"), ("j", 3, 200, 400, "you")], "k string, ord int, t0 long, t1 long, text string")
+    flagged = beats.flags(windows, cuts, speech, texts, "k")
+    assert dict(rows_of(flagged, "ord", "flags")) == {1: ["speech", "text"], 2: ["cut", "people", "text"], 3: ["error"]}
+    ends = spark.createDataFrame([("j", 8000)], "k string, duration long")
+    tick = {r["t"]: (r["see"], r["read"], r["adults"]) for r in beats.ticks(ends, windows, texts, "k").collect()}
+    assert len(tick) == 32 and tick[0] == ("a", "", 1) and tick[250] == ("b", "hi / you", 1) and tick[2500][2] == 1 and tick[3000][2] == 2
+    assert rows_of(beats.complete(windows, ends, "k"), "complete") == [(False,)] and rows_of(beats.complete(windows.where("ord < 3"), spark.createDataFrame([("j", 6000)], "k string, duration long"), "k"), "complete") == [(True,)]
+    assert rows_of(beats.summary(windows, "k"), "total", "failed", "rate") == [(3, 1, 0.6667)]
+    said = spark.range(1).select(prompts.speakers_of(F.lit("(S1) says <d>[Chinese] a</d> and <d>b</d> then (S2) <d>c</d>")).alias("s")).first()["s"]
+    assert [(x["speaker"], x["line"]) for x in said] == [("S1", "a"), ("S1", "b"), ("S2", "c")]
+    parts = spark.range(1).select(prompts.sections(F.lit("# A\none\n# B\n(none)\n## C\n- x\n2. y")).alias("s")).first()["s"]
+    assert parts == {"A": "one", "B": "", "C": "- x\n2. y"} and spark.range(1).select(prompts.bullets(F.lit(parts["C"])).alias("b")).first()["b"] == ["x", "y"]
+    base = spark.createDataFrame([("c", 1, 0.0, "old"), ("c", 2, 2.0, "two")], "clip string, index int, at double, text string")
+    patch = spark.createDataFrame([("c", 1, None, "new"), ("c", 3, 4.0, "x")], "clip string, index int, at double, text string")
+    assert rows_of(prompts.merged_shots(base, patch, ["clip"]), "index", "at", "text") == [(1, 0.0, "new"), (3, 4.0, "x")]
+    shots = F.array(F.struct(F.lit(2).alias("index"), F.lit(1.5).alias("at"), F.lit("then").alias("text")), F.struct(F.lit(1).alias("index"), F.lit(0.0).alias("at"), F.lit("first").alias("text")))
+    speakers = F.array(F.struct(F.lit("S1").alias("id"), F.lit("tall").alias("lock"), F.lit("low").alias("voice")))
+    text = spark.range(1).select(prompts.assembled(F.lit("film"), F.lit(""), speakers, shots, F.lit("wind"), F.lit(None).cast("string")).alias("t")).first()["t"]
+    assert text == "Style: film\n(S1) tall Voice: low\n[00:00.000] first\n[00:01.500] then\nOverall soundscape: wind\nNon-diegetic music: N/A"

@@ -47,3 +47,39 @@ def link_rows(links: DataFrame, key: str) -> DataFrame:
     """Links given as arrays [id, src, src_slot, dst, dst_slot, type] as columns."""
     at = lambda i: F.try_element_at("link", F.lit(i))
     return links.select(key, at(1).try_cast("int").alias("id"), at(2).try_cast("int").alias("src"), at(3).try_cast("int").alias("src_slot"), at(4).try_cast("int").alias("dst"), at(5).try_cast("int").alias("dst_slot"), at(6).alias("type"))
+
+
+def expanded(nodes: DataFrame, links: DataFrame, inner_nodes: DataFrame, inner_links: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Graphs with their subgraphs put in place of the nodes that stand for them, at most so many levels deep.
+
+    Nodes (id string, type) whose type is a ``sub`` of inner_nodes (sub, id, type) give way to its nodes, named
+    ``outer/inner``. Inner links (sub, src, src_slot, dst, dst_slot) from -10 are the outer node's inputs by slot, those to
+    -20 its outputs. Links are (src, src_slot, dst, dst_slot).
+    """
+    subs = inner_nodes.select(F.col("sub").alias("type")).distinct()
+    for _ in range(most):
+        outer = nodes.join(subs, "type", "left_semi")
+        if outer.isEmpty():
+            break
+        o = outer.select(F.col("id").alias("outer"), F.col("type").alias("sub"))
+        name = lambda c: F.concat_ws("/", "outer", F.col(c).cast("string"))
+        added = o.join(inner_nodes, "sub").select(name("id").alias("id"), "type")
+        inside = o.join(inner_links, "sub")
+        both = inside.where("src <> -10 and dst <> -20").select(name("src").alias("src"), "src_slot", name("dst").alias("dst"), "dst_slot")
+        ins = inside.where("src = -10 and dst <> -20").select(F.col("outer").alias("dst"), F.col("src_slot").alias("dst_slot"), name("dst").alias("__dst"), F.col("dst_slot").alias("__dst_slot"))
+        outs = inside.where("dst = -20 and src <> -10").select(F.col("outer").alias("src"), F.col("dst_slot").alias("src_slot"), name("src").alias("__src"), F.col("src_slot").alias("__src_slot"))
+        entering = links.join(ins, ["dst", "dst_slot"], "left").select("src", "src_slot", F.coalesce("__dst", "dst").alias("dst"), F.coalesce("__dst_slot", "dst_slot").alias("dst_slot"))
+        leaving = entering.join(outs, ["src", "src_slot"], "left").select(F.coalesce("__src", "src").alias("src"), F.coalesce("__src_slot", "src_slot").alias("src_slot"), "dst", "dst_slot")
+        gone = outer.select("id")
+        kept = leaving.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+        nodes = checkpointed(nodes.join(subs, "type", "left_anti").select("id", "type").unionByName(added))
+        links = checkpointed(kept.select("src", "src_slot", "dst", "dst_slot").unionByName(both))
+    return nodes, links
+
+
+def executable(nodes: DataFrame, links: DataFrame, passing: str = "Reroute", skipped: tuple[str, ...] = ("Note", "MarkdownNote")) -> tuple[DataFrame, DataFrame]:
+    """The nodes (id, type, mode) that run, and the links between them with pass-through nodes left out. Modes 2 and 4 are off."""
+    runs = nodes.where(~F.col("type").isin(passing, *skipped) & ~F.coalesce("mode", F.lit(0)).isin(2, 4))
+    ids = runs.select("id")
+    direct = origins(nodes, links, passing)
+    return runs, direct.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
