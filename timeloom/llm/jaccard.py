@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.session import checkpointed, connected_components
+from timeloom.llm.session import checkpointed, connected_components, short_shuffles
 from timeloom.llm.text import LOWER, SPACE, mixed, offsets_of, pieces, shingles, span_hashes, words
 
 
@@ -190,6 +190,7 @@ def _prepared(docs: DataFrame, rule: JaccardJoin, counts: _Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        seen: set[int] = set()  # copies within a task don't repeat their signatures
         for piece in pieces(batches):
             hashes, firsts, grams, begin = _tokens(piece.column(1), k)
             frequent, place = _places(grams, begin, hashes, firsts, k, table)
@@ -199,8 +200,9 @@ def _prepared(docs: DataFrame, rule: JaccardJoin, counts: _Counts) -> DataFrame:
             for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                 own, first = np.unique(grams[a:b], return_index=True)
                 sizes.append(len(own))
-                nodes.append(set_key(own))
-                found.append(signatures(np.sort(tokens[a:b][first]), percent))
+                nodes.append(node := set_key(own))
+                found.append(tokens[:0] if node in seen else signatures(np.sort(tokens[a:b][first]), percent))
+                seen.add(node)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.record_batch([piece.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_shingles", "node", "signatures"])
@@ -271,12 +273,42 @@ def components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), id_column: st
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    prepared = checkpointed(_prepared(slim, rule, _count(slim, rule)))
+    with short_shuffles(spark):
+        prepared = checkpointed(_prepared(slim, rule, _count(slim, rule)))
+        with_words = prepared.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "node")
+        labels = _linked(slim, _meeting(prepared, rule.percent), with_words, rule)
     own = prepared.select("doc_id", "n_shingles", "node")
     with_words = own.where("n_shingles > 0 and doc_id is not null")
-    signed = prepared.where("n_shingles > 1 and doc_id is not null").select("node", F.explode("signatures").alias("signature"))
-    met = signed.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot <> other").select("signature", "pivot")
-    meeting = checkpointed(signed.join(met, "signature").select("pivot", "node").distinct())
+    labelled = with_words.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), "node")
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_node = labelled.select("node", "component").distinct().join(least, "component").select("node", "component_id")
+    return (
+        own.join(of_node, "node", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    )
+
+
+def _meeting(prepared: DataFrame, percent: int) -> DataFrame:
+    """(pivot, node): where two sets or more of like size have a signature in common, all of them meet at the smallest.
+
+    Sizes of linked sets lie in one class of a geometric scale or in two neighbouring ones, so a set stands in its own
+    class and in the next one, and any two that may be linked share one of these.
+    """
+    signed = prepared.where("n_shingles > 1 and doc_id is not null").select("node", "n_shingles", F.explode("signatures").alias("signature"))
+    common = signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("signature")
+    size = F.floor(F.log("n_shingles") / math.log(100 / percent * (1 + 1e-9)))
+    near = checkpointed(
+        signed.join(common, "signature")
+        .select("node", "signature", F.explode(F.array(size, size + 1)).alias("size"))
+        .select("node", F.xxhash64("signature", "size").alias("signature"))
+        .distinct()
+    )
+    met = near.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select("signature", "pivot")
+    return checkpointed(near.join(met, "signature").select("pivot", "node").distinct())
+
+
+def _linked(slim: DataFrame, meeting: DataFrame, with_words: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Components of the sets that meet, by exact comparison in pairs of blocks of at most about ``rule.block`` sets."""
     first = with_words.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     sizes = meeting.groupBy("pivot").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -293,11 +325,4 @@ def components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), id_column: st
         .groupBy("bundle")
         .applyInArrow(_compare(rule), "a long, b long")
     )
-    labels = connected_components(compared)
-    labelled = with_words.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), "node")
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = labelled.select("node", "component").distinct().join(least, "component").select("node", "component_id")
-    return (
-        own.join(of_node, "node", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+    return checkpointed(connected_components(compared))

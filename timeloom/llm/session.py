@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeloom.plans.materialise import checkpointed
+
+__all__ = ["checkpointed", "connected_components", "fold_column", "fold_of", "short_shuffles", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster shares.
-
-    The folder is ``spark.checkpoint.dir``; only a session without that setting (a local test) gets one of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of an action go when the action ends, instead of when the driver happens to collect its
+    garbage; long jobs of several steps would fill the executors' disks meanwhile. Steps hand on checkpointed tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def fold_of(doc_id: int) -> int:
