@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timeloom.llm import chunks, decontam, embeddings, html, jaccard, langid, licenses, pii, quality, sentencepiece
 from timeloom.llm.session import fold_column, table
-from timeloom.llm.sql import licences_sql, pii_sql
+from timeloom.llm.sql import embeddings_sql, jaccard_sql, licences_sql, pii_sql
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pii": op9_pii,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": licences_sql(), "op9_pii": pii_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licences_sql(),
+    "op3_ngram_jaccard": jaccard_sql(),
+    "op9_pii": pii_sql(),
+    "op10_embedding_dedup": embeddings_sql(),
+}

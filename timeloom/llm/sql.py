@@ -81,3 +81,29 @@ def pii_sql(rule: pii.Disclosure = pii.Disclosure()) -> str:
                 string_agg(({names})[kind + 1] || ':' || s || ':' || e, ',' ORDER BY kind, s) AS spans FROM every GROUP BY doc_id)
         SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
             sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN joined USING (doc_id)"""
+
+
+def jaccard_sql(shingle: int = 4, percent: int = 85) -> str:
+    """Sets of shingles, all pairs with one in common, and the closure of the links."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    run = " || ' ' || ".join(f"ws[i + {j}]" if j else "ws[i]" for j in range(shingle))
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), {letters}), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {shingle - 2}), lambda i: {run}) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS least FROM r GROUP BY x) m USING (doc_id)"""
+
+
+def embeddings_sql(threshold: float = 0.9) -> str:
+    """All pairs by their cosine in double precision, and the closure of the links."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= {threshold}),
+        r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        k AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY x), m AS (SELECT x AS vec_id, min(y) AS least FROM r GROUP BY x),
+        f AS (SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN m USING (vec_id))
+        SELECT *, vec_id = component_id AS kept FROM f"""
