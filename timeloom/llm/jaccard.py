@@ -42,7 +42,7 @@ class JaccardJoin:
 
 
 #: Words or shingles that a task counts before it hands over what it has.
-_COUNTED = 4_000_000
+_COUNTED = 2_000_000
 #: From so many shingles on, frequent ones are dealt into so many groups; few enough that a whole set always suffices.
 _TIERS = ((0, 1), (64, 32), (1024, 512), (16384, 8192))
 _FREQUENT = 200
@@ -278,10 +278,11 @@ def components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), id_column: st
         with_words = prepared.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "node")
         labels = _linked(slim, _meeting(prepared, rule.percent), with_words, rule)
     own = prepared.select("doc_id", "n_shingles", "node")
-    with_words = own.where("n_shingles > 0 and doc_id is not null")
-    labelled = with_words.join(labels, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"), "node")
+    # by sets, not by documents: a set may have a third of all documents
+    sets = own.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    labelled = sets.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = labelled.select("node", "component").distinct().join(least, "component").select("node", "component_id")
+    of_node = labelled.join(least, "component").select("node", "component_id")
     return (
         own.join(of_node, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
