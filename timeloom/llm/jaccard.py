@@ -46,6 +46,8 @@ _COUNTED = 2_000_000
 #: From so many shingles on, frequent ones are dealt into so many groups; few enough that a whole set always suffices.
 _TIERS = ((0, 1), (64, 32), (1024, 512), (16384, 8192))
 _FREQUENT = 200
+#: Tasks over which the sets that meet at one pivot are dealt.
+_SALTS = 64
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -308,13 +310,26 @@ def _meeting(prepared: DataFrame, percent: int) -> DataFrame:
     return checkpointed(near.join(met, "signature").select("pivot", "node").distinct())
 
 
+def _with_blocks(meeting: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """``meeting`` with the number of blocks at each pivot; salted, as a third of all sets may meet at one pivot.
+
+    Only pivots of more than one block are repeated for each salt, so they are at most a share of salts / block of the rows.
+    """
+    large = (
+        meeting.groupBy("pivot").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
+        .where("blocks > 1")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    )
+    salted = meeting.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
+    return salted.join(large, ["pivot", "salt"], "left").select("pivot", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
+
 def _linked(slim: DataFrame, meeting: DataFrame, with_words: DataFrame, rule: JaccardJoin) -> DataFrame:
     """Components of the sets that meet, by exact comparison in pairs of blocks of at most about ``rule.block`` sets."""
     first = with_words.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sizes = meeting.groupBy("pivot").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
-        meeting.join(sizes, "pivot")
+        _with_blocks(meeting, rule)
         .join(first, "node")
         .select("doc_id", "node", "pivot", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
         .select("doc_id", "node", "pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
