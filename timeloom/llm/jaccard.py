@@ -222,14 +222,19 @@ def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]]))
+    same = flat[1:] == flat[:-1]
+    shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    flat, owner = flat[shared], owner[shared]  # what one set alone has is in no intersection
+    column = np.cumsum(np.concatenate([[False], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+    columns = int(column[-1]) + 1 if len(flat) else 0
     both = np.zeros((n, n), np.float32)
-    step = max(256, 4_000_000 // n)
-    for a in range(0, int(column[-1]) + 1, step):
+    step = min(max(256, 4_000_000 // n), columns)
+    for a in range(0, columns, max(1, step)):
         lo, hi = np.searchsorted(column, [a, a + step])
         grid = np.zeros((n, step), np.float32)
         grid[owner[lo:hi], column[lo:hi] - a] = 1
         both += grid @ grid.T
+    np.fill_diagonal(both, size)
     linked = (100 * both.astype(np.int64) >= percent * (size[:, None] + size[None] - both.astype(np.int64))) & (both > 0)
     root = np.full(n, -1)
     for i in range(n):
