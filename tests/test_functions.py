@@ -1,6 +1,7 @@
 """Column functions on the values that the rules give by hand."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,14 @@ def test_elapsed(spark):
 
     t = lambda s: F.lit(datetime.datetime(2024, 1, 1, 0, 0, s))
     assert one(spark, elapsed_seconds(t(5), F.lit(None).cast("timestamp"), t(9))) == 4 and one(spark, elapsed_seconds(t(9), t(5), t(9))) == 0
+
+
+def test_phrase_loops_of_lines_and_of_texts_agree(spark):
+    rng = random.Random(5)
+    texts = ["", "x", "a" * 36, "a" * 35, "abcdefgh" * 3, "abcdefgh" * 2, "字" * 24 + "q", "twelve chars " * 4, "lead in, " + "the same words again " * 3 + "z" * 5]
+    texts += ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 90))) for _ in range(150)]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(20)) + "a phrase of twelve and more" * rng.randrange(1, 4) + "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(120))) for _ in range(100)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, text string")
+    rows = df.select("i", "text", tx.phrase_loop(F.col("text")).alias("line"), tx.phrase_loop_of_text("text").alias("whole")).collect()
+    assert all(r["line"] == r["whole"] for r in rows if r["i"] >= 0), [r for r in rows if r["line"] != r["whole"]][:3]
+    assert {r["whole"] for r in rows} == {True, False, None}

@@ -50,7 +50,10 @@ def occurrences(text: Column, part: Column) -> Column:
 
 
 def phrase_loop(text: Column) -> Column:
-    """Whether the first 8 to 20 characters stand three times, or a 12-character window of the first quarter does."""
+    """Whether the first 8 to 20 characters stand three times, or a 12-character window of the first quarter does.
+
+    For lines; its time grows with the square of the length. ``phrase_loop_of_text`` is for whole documents.
+    """
     n = F.length(text)
     starts = F.exists(F.sequence(F.lit(8), F.lit(20)), lambda k: (n >= 3 * k) & (occurrences(text, F.substring(text, F.lit(1), k)) >= 3))
     windows = F.when(n >= 36, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), (n / 4).cast("int"))), lambda i: occurrences(text, F.substring(text, i, F.lit(12))) >= 3)).otherwise(F.lit(False))
@@ -75,7 +78,8 @@ def hallucinated(text: Column) -> Column:
 
 
 def usable_line(text: Column) -> Column:
-    return (trimmed(F.coalesce(text, F.lit(""))) != "") & ~hallucinated(text) & (han_count(text) >= 2)
+    # what rules most lines out comes first: loops are looked for in the rest alone
+    return (trimmed(F.coalesce(text, F.lit(""))) != "") & (han_count(text) >= 2) & ~hallucinated(text)
 
 
 def dialogue_caption(text: Column, overlay: str = "^$") -> Column:
@@ -209,6 +213,33 @@ def out_of_memory(message: Column) -> Column:
     return message.rlike(r"(?i)out of memory|cuda oom|outofmemory|allocation on device")
 
 
+@F.pandas_udf(T.BooleanType())
+def phrase_loop_of_text(texts):
+    """``phrase_loop`` in time that grows with the length alone; NULL for NULL."""
+    import pandas as pd
+
+    def loops(text):
+        if text is None:
+            return None
+        n = len(text)
+        if any(n >= 3 * k and text.count(text[:k]) >= 3 for k in range(8, 21)):
+            return True
+        if n < 36:
+            return False
+        seen = {text[i : i + 12]: (0, 0) for i in range(max(1, n // 4))}  # how often, and from where on it counts again
+        for i in range(n - 11):
+            window = text[i : i + 12]
+            if window in seen:
+                times, free = seen[window]
+                if i >= free:
+                    if times == 2:
+                        return True
+                    seen[window] = (times + 1, i + 12)
+        return False
+
+    return pd.Series([loops(t) for t in texts], dtype="object")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a, b):
     """The matching-blocks ratio of two squeezed texts (0 if either is empty); its arguments don't commute."""

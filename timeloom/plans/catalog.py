@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, boundaries, graph, intervals, metadata, packing, retime, sequences, views
+from timeloom.operators import audit, beats, boundaries, graph, intervals, metadata, packing, prompts, retime, sequences, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -310,7 +310,8 @@ def text_quality_flags(spark, sf):
 
 @query()
 def repeated_char_flag(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?s)(.)\1{5,}").alias("repeated"), tx.phrase_loop(F.substring("text", 1, 400)).alias("looping"), tx.usable_line(F.split("text", "\n")[0]).alias("usable"))
+    lines = F.split("text", "\n")
+    return table(spark, sf, "documents").select("doc_id", F.col("text").rlike(r"(?s)(.)\1{5,}").alias("repeated"), tx.phrase_loop_of_text("text").alias("looping"), F.exists(lines, tx.usable_line).alias("usable"))
 
 
 BANNED = ("idiot", "moron", "worthless", "clown", "pathetic")
@@ -400,16 +401,18 @@ def coverage_repair(spark, sf):
 
 @query()
 def ocr_sessions_fuzzy(spark, sf):
-    hits = turns(spark, sf).select("job_id", F.lit("bottom").alias("region"), (F.col("ord") * 500).alias("t"), F.substring("text", 1, 40).alias("text"))
+    hits = turns(spark, sf).select("job_id", F.lit("bottom").alias("region"), (F.col("ord") * 500).alias("t"), "text")
     return sequences.fuzzy_sessions(hits, ["job_id", "region"], 500)
 
 
 @query()
 def fuzzy_match_greedy(spark, sf):
-    d = doc_lines(spark, sf).withColumn("head", F.substring("line", 1, 12))
-    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("bline")).withColumn("head", F.substring("bline", 1, 12))
-    pairs = d.join(b, "head").withColumn("score", tx.similarity("line", "bline"))
-    return sequences.greedy_match(pairs.groupBy("head", "doc_id", "item_id").agg(F.max("score").alias("score")), "head", "doc_id", "item_id", "score", 0.55)
+    """Documents' lines and benchmark lines meet where their longest words agree."""
+    longest = lambda c: F.array_max(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    d = doc_lines(spark, sf).withColumn("word", longest("line"))
+    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("bline")).withColumn("word", longest("bline"))
+    pairs = d.join(b, "word").withColumn("score", tx.similarity("line", "bline"))
+    return sequences.greedy_match(pairs.groupBy("word", "doc_id", "item_id").agg(F.max("score").alias("score")), "word", "doc_id", "item_id", "score", 0.55)
 
 
 @query(f"""WITH {TIMELINE}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS n FROM tl), h AS (SELECT job_id, ord, n FROM n WHERE value >= 50),
@@ -424,18 +427,18 @@ def energy_percentiles(spark, sf):
     return timeline(spark, sf).groupBy("job_id").agg(F.max("value").alias("peak"), F.round(F.percentile("value", 0.25), 6).alias("p25"), F.round(F.percentile("value", 0.7), 6).alias("p70"))
 
 
-EDGES = "ed AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b FROM supplier WHERE s_suppkey <= 40)"
+EDGES = "ed AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b FROM supplier)"
 
 
 @query(f"""WITH RECURSIVE {EDGES}, cl AS (SELECT a, b, 1 AS d FROM ed UNION SELECT cl.a, ed.b, cl.d + 1 FROM cl JOIN ed ON cl.b = ed.a WHERE cl.d < 8) SELECT a AS src, b AS dst, min(d)::INT AS depth FROM cl GROUP BY a, b""")
 def graph_closure(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey <= 40").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
     return graph.closure(s, 8)
 
 
 @query(f"WITH {EDGES} SELECT a AS src, array_to_string(list_sort(list(b)), ',') AS targets, count(*) AS n FROM ed GROUP BY a")
 def graph_sockets(spark, sf):
-    s = table(spark, sf, "supplier").where("s_suppkey <= 40").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
     return graph.sockets(s)
 
 
@@ -454,9 +457,37 @@ def rule_audit(spark, sf):
     return audit.violations(table(spark, sf, "documents"), "doc_id", rules)
 
 
-@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, 5)) AS i, ((doc_id * 131) % 7 * 1000)::BIGINT AS base FROM documents WHERE n_chars > 200), p AS (SELECT doc_id, i, base + i * 1000 * (1 + doc_id % 3) AS t0 FROM s),
+@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, 5)) AS i, ((doc_id * 131) % 7 * 1000)::BIGINT AS base FROM documents), p AS (SELECT doc_id, i, base + i * 1000 * (1 + doc_id % 3) AS t0 FROM s),
 n AS (SELECT *, coalesce(lead(t0) OVER (PARTITION BY doc_id ORDER BY i), 15000) AS nx FROM p) SELECT doc_id, i::INT AS ord, t0, nx - t0 AS length, nx - t0 < 600 OR t0 > 15000 AS bad FROM n""")
 def shot_timing(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars > 200").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("ord"))
     p = d.select("doc_id", "ord", ((F.col("doc_id") * 131) % 7 * 1000 + F.col("ord") * 1000 * (1 + F.col("doc_id") % 3)).alias("t0"))
     return audit.shot_lengths(p, "doc_id", "ord", 15_000, 600)
+
+
+@query(f"""WITH {TURNS} SELECT job_id, count(*) AS total, count(*) FILTER (WHERE coalesce(text, '') = '' OR role = 'system') AS failed,
+round(1 - count(*) FILTER (WHERE coalesce(text, '') = '' OR role = 'system') / count(*), 4) AS rate FROM tu GROUP BY job_id""")
+def window_summary(spark, sf):
+    windows = turns(spark, sf).select("job_id", F.col("text").alias("raw"), F.when(F.col("role") == "system", "no answer").alias("error"))
+    return beats.summary(windows, "job_id")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), p AS (SELECT l_orderkey, l_linenumber + 1 AS i, CASE WHEN l_quantity > 25 THEN l_quantity END AS new_at, CASE WHEN l_discount > 0.05 THEN 'new' END AS text FROM lineitem)
+SELECT p.l_orderkey AS job_id, i AS "index", coalesce(new_at, l_quantity) AS "at", coalesce(text, l_returnflag) AS text FROM p LEFT JOIN b ON b.l_orderkey = p.l_orderkey AND b.l_linenumber = i""")
+def patch_merge(spark, sf):
+    rows = table(spark, sf, "lineitem")
+    base = rows.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("index"), F.col("l_quantity").alias("at"), F.col("l_returnflag").alias("text"))
+    patch = rows.select(F.col("l_orderkey").alias("job_id"), (F.col("l_linenumber") + 1).alias("index"), F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("at"), F.when(F.col("l_discount") > 0.05, "new").alias("text"))
+    return prompts.merged_shots(base, patch, ["job_id"])
+
+
+@query(f"""WITH {TURNS}, f AS (SELECT job_id, role, arg_min(text, ord) AS wanted FROM tu WHERE text <> '' GROUP BY job_id, role)
+SELECT job_id, ord, role, md5(wanted) AS wanted FROM tu JOIN f USING (job_id, role) WHERE text <> '' AND regexp_replace(text, '\\s+', '', 'g') <> regexp_replace(wanted, '\\s+', '', 'g')""")
+def lock_consistency(spark, sf):
+    said = turns(spark, sf).select("job_id", F.lit(0).alias("group_id"), F.col("ord").alias("n"), F.col("role").alias("id"), F.col("text").alias("lock"))
+    return prompts.differing_locks(said, "job_id", "group_id").select("job_id", F.col("n").alias("ord"), F.col("id").alias("role"), F.md5("wanted").alias("wanted"))
+
+
+@query(f"""WITH {TIMELINE}, r AS (SELECT job_id, ord, kind, row_number() OVER (PARTITION BY job_id ORDER BY ord DESC) AS n FROM tl) SELECT job_id, ord, kind FROM r WHERE n <= 50""")
+def log_tail(spark, sf):
+    return views.last_entries(timeline(spark, sf).select("job_id", "ord", "kind"), "job_id", "ord").select("job_id", "ord", "kind")
