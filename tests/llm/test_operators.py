@@ -258,6 +258,36 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert chunks.deduplicated(clashing(spark)).count() == len(EDGES)
 
 
+def test_no_passage_is_lost_by_where_it_stands():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    rule = chunks.Chunking()
+
+    def spans(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        return {data[a : a + rule.passage].tobytes() for a in chunks.marks(data, np.array([0, len(data)]), rule)[0].tolist()}
+
+    for n in range(400):
+        passage = own(51)
+        assert spans(f"{own(n % 37)} {passage} {own(9)}") & spans(f"{own(n % 23)} {passage} {own(30)}")
+        exact = own(60)[: rule.passage + rule.window - 1]
+        assert spans(f"{own(5)} {exact} {own(n % 11)}") & spans(f"{own(n % 7)} {exact} {own(5)}")
+    x = np.frombuffer(b"x" * 5000 + b"ab" * 3000, np.uint8)
+    at, text = chunks.marks(x, np.array([0, 5000, 11000]), rule)
+    assert len(at) < 700 and np.diff(at[text == 0]).max() <= rule.window and np.diff(at[text == 1]).max() <= rule.window + 1
+
+
+def test_all_first_documents_of_a_run_are_listed(spark):
+    rng = random.Random(5)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    a, b = own(60), own(60)
+    rows = [(1, f"{own(50)} {a} {own(50)}"), (2, f"{own(50)} {b} {own(50)}"), (3, f"{own(9)} {a} {b} {own(9)}"), (4, own(40))]
+    got = {r["doc_id"]: r for r in chunks.repeats(docs(spark, rows)).collect()}
+    assert set(got) == {1, 2, 3} and got[3]["first_docs"] == [1, 2] and got[3]["removed_bytes"] == got[3]["repeated_bytes"] > 500
+    assert got[1]["n_passages"] == 1 and got[1]["first_docs"] == [] and got[1]["removed_bytes"] == 0
+
+
 # 7. Pages
 
 

@@ -1,8 +1,10 @@
-"""Substring deduplication by content-defined chunks.
+"""Substring deduplication by spans that the text itself marks.
 
-A gear hash rolls over the bytes of a text; where its highest bits are zero a chunk ends, so borders depend on the bytes
-before them alone and come back in step after an insertion. Equal chunks have equal digests. Runs of chunks that stand
-in other documents too are repeated passages.
+Every span of 100 bytes has a hash, and of any 40 neighbouring spans the least is marked. A passage that two documents
+share has the same marks in both wherever it stands, so spans meet by digest and no passage is lost by chance. What the
+marked spans of a document that stand in other documents cover is repeated.
+
+``borders`` cuts a text into chunks by a gear hash: borders depend on the bytes before them alone.
 """
 
 from __future__ import annotations
@@ -13,13 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.text import offsets_of, pieces
+from timeloom.llm.session import checkpointed, short_shuffles
+from timeloom.llm.text import offsets_of, pieces, span_hashes
 
-#: Tasks over which the documents with one digest are dealt.
-_SALTS = 64
+#: A digest with more than _HOT rows is dealt to tasks by _SALTED rows.
+_HOT, _SALTED = 8192, 2048
 _GEAR = np.random.default_rng(8).integers(0, 2**16, 256, dtype=np.uint16)
 
 
@@ -27,13 +30,15 @@ _GEAR = np.random.default_rng(8).integers(0, 2**16, 256, dtype=np.uint16)
 class Chunking:
     """A border after every byte at which the highest ``bits`` of the hash are zero; chunks have ``least`` to ``most``
     bytes (the last of a text may be shorter). Where no border comes for ``most`` bytes, as in one word over and over,
-    the chunk ends at the largest hash in reach. A run of repeated chunks counts as a passage from ``passage`` bytes on.
+    the chunk ends at the largest hash in reach. A repeated passage counts from ``passage`` bytes on; of ``window``
+    neighbouring spans of so many bytes one is marked.
     """
 
     bits: int = 5
     least: int = 16
     most: int = 512
     passage: int = 100
+    window: int = 40
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -69,129 +74,142 @@ def borders(data: np.ndarray, offsets: np.ndarray, rule: Chunking) -> tuple[np.n
     return np.array(ends, np.int64), np.array(counts, np.int64)
 
 
-def chunked(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """A row for each chunk: ``doc_id``, ``ord``, ``size`` in bytes, and its 128-bit digest as ``hi`` and ``lo``.
+def marks(data: np.ndarray, offsets: np.ndarray, rule: Chunking) -> tuple[np.ndarray, np.ndarray]:
+    """Where the marked spans of ``passage`` bytes begin, counted from the first byte of all texts, and the text of each.
 
-    Null and empty texts have no chunks; a row without an id has none either.
+    Of any ``window`` neighbouring spans one with the least hash is marked, in every text alike, so two texts that share
+    ``passage + window - 1`` bytes share a marked span. A text with fewer spans has its least one marked.
+    """
+    k, w = rule.passage, rule.window
+    spans = np.maximum(np.diff(offsets) - k + 1, 0)
+    if not spans.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.repeat(np.arange(len(spans)), spans)
+    at = np.arange(len(text)) + np.repeat(offsets[:-1] - np.cumsum(spans) + spans, spans)
+    h = span_hashes(data, at, at + k)
+    chosen = np.zeros(len(at), bool)
+    firsts = np.cumsum(spans) - spans
+    for f, n in zip(firsts[(spans > 0) & (spans < w)].tolist(), spans[(spans > 0) & (spans < w)].tolist(), strict=True):
+        chosen[f + int(h[f : f + n].argmin())] = True
+    if len(at) >= w:
+        least = np.where(text[w - 1 :] == text[: len(at) - w + 1], _sliding(h, w, np.minimum), np.uint64(0))
+        edge = np.zeros(w - 1, np.uint64)
+        chosen |= _sliding(np.concatenate([edge, least, edge]), w, np.maximum) == h
+    picked = np.flatnonzero(chosen)
+    # one word over and over marks every turn; equal spans need to be no closer than a window
+    tied = (h[picked[1:]] == h[picked[:-1]]) & (text[picked[1:]] == text[picked[:-1]]) & (picked[1:] - picked[:-1] <= w)
+    drop, kept, run = [], 0, -2
+    for i in np.flatnonzero(tied[:-1] & tied[1:]).tolist():  # mark i + 1 lies between equal ones
+        if i != run + 1:
+            kept = picked[i]
+        if picked[i + 2] - kept <= w:
+            drop.append(i + 1)
+        else:
+            kept = picked[i + 1]
+        run = i
+    picked = np.delete(picked, drop)
+    return at[picked], text[picked]
+
+
+def _sliding(x: np.ndarray, w: int, least: np.ufunc) -> np.ndarray:
+    """The least (or most) of every ``w`` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= w:
+        x = least(x[:-width], x[width:])
+        width *= 2
+    return least(x[: len(x) - (w - width)], x[w - width :])
+
+
+def marked(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """A row for each marked span: ``doc_id``, ``at`` (its first byte), and its 128-bit digest as ``hi`` and ``lo``.
+
+    Null and empty texts have none; a row without an id has none either.
     """
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             data, offsets = offsets_of(piece.column(1))
-            ends, counts = borders(data, offsets, rule)
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            starts, text = marks(data, offsets, rule)
             raw, blake = data.tobytes(), hashlib.blake2b
-            digests = np.frombuffer(b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-            firsts = np.concatenate([[0], np.cumsum(counts)])
-            order = np.arange(len(ends)) - np.repeat(firsts[:-1], counts)
-            ids = np.repeat(piece.column(0).to_numpy(zero_copy_only=False), counts)
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(order.astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "ord", "size", "hi", "lo"])
+            digests = np.frombuffer(b"".join([blake(raw[a : a + rule.passage], digest_size=16).digest() for a in starts.tolist()]), np.int64).reshape(-1, 2)
+            ids = piece.column(0).to_numpy(zero_copy_only=False)[text]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts - offsets[text], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "at", "hi", "lo"])
 
-    return slim.mapInArrow(run, "doc_id long, ord int, size int, hi long, lo long")
+    return slim.mapInArrow(run, "doc_id long, at long, hi long, lo long")
 
 
-def repeated_chunks(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The chunks that stand in more than one document: ``doc_id``, ``ord``, ``size`` and ``first_doc``, the smallest id with it.
+def repeated_spans(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The marked spans that stand in more than one document: ``doc_id``, ``at`` and ``first_doc``, the smallest id with it.
 
-    Digests are salted by document, as a third of all rows may have one; a digest has at most as many rows as salts where
-    its salts are brought together.
+    A third of all rows may have one digest: such digests are known to every task and salted where spans meet them.
     """
-    chunks = chunked(docs, rule, id_column, text_column).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-    whole = Window.partitionBy("hi", "lo")
-    shared = (
-        chunks.groupBy("hi", "lo", "salt").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .select("hi", "lo", "salt", F.min("low").over(whole).alias("first_doc"), F.max("high").over(whole).alias("last_doc"))
-        .where("first_doc <> last_doc")
-        .drop("last_doc")
-    )
-    return chunks.join(shared, ["hi", "lo", "salt"]).select("doc_id", "ord", "size", "first_doc")
-
-
-def _runs(rule: Chunking):
-    """Per document: its runs of repeated chunks that are long enough, and what goes since an earlier document has it."""
-
-    def merge(xs):
-        start = F.struct(
-            F.lit(-2).alias("at"), F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("later"), F.lit(None).cast("long").alias("first"),
-            F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), F.lit(0).cast("long").alias("removed"), F.array().cast("array<bigint>").alias("with"),
-        )
-
-        def closed(acc):
-            long = acc["size"] >= rule.passage
-            return {
-                "n": acc["n"] + long.cast("long"),
-                "bytes": acc["bytes"] + F.when(long, acc["size"]).otherwise(0),
-                "removed": acc["removed"] + F.when(long, acc["later"]).otherwise(0),
-                "with": F.when(long & acc["first"].isNotNull(), F.array_union(acc["with"], F.array(acc["first"]))).otherwise(acc["with"]),
-            }
-
-        def add(acc, x):
-            same = x["ord"] == acc["at"] + 1
-            done = closed(acc)
-            return F.struct(
-                x["ord"].alias("at"),
-                (F.when(same, acc["size"]).otherwise(0) + x["size"]).cast("long").alias("size"),
-                (F.when(same, acc["later"]).otherwise(0) + F.when(x["later"], x["size"]).otherwise(0)).cast("long").alias("later"),
-                F.when(same, F.least(acc["first"], x["first"])).otherwise(x["first"]).alias("first"),
-                *[F.when(same, acc[c]).otherwise(done[c]).alias(c) for c in ("n", "bytes", "removed", "with")],
-            )
-
-        return F.aggregate(xs, start, add, lambda acc: F.struct(*[v.alias(k) for k, v in closed(acc).items()]))
-
-    return merge
+    rows = marked(docs, rule, id_column, text_column)
+    with short_shuffles(docs.sparkSession):
+        shared = checkpointed(
+            rows.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+            .where("first_doc <> last_doc")
+            .select("hi", "lo", "first_doc", F.when(F.col("n") > _HOT, F.ceil(F.col("n") / _SALTED)).otherwise(1).cast("int").alias("salts"))
+        )
+    hot = F.broadcast(shared.where("salts > 1").select("hi", "lo", "salts"))
+    salted = rows.join(hot, ["hi", "lo"], "left").select("doc_id", "at", "hi", "lo", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.col("salts"))).cast("int").alias("salt"))
+    dealt = shared.select("hi", "lo", "first_doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.join(dealt, ["hi", "lo", "salt"]).select("doc_id", "at", "first_doc")
+
+
+def _covered(starts, passage: int):
+    """How many bytes the spans at the sorted ``starts`` cover, and in how many pieces."""
+    n = F.size(starts)
+    gaps = F.zip_with(F.slice(starts, 2, F.greatest(n - 1, F.lit(0))), F.slice(starts, 1, F.greatest(n - 1, F.lit(0))), lambda b, a: b - a)
+    size = F.when(n > 0, F.aggregate(gaps, F.lit(passage).cast("long"), lambda acc, g: acc + F.least(g, F.lit(passage)))).otherwise(0)
+    return size.cast("long"), (1 + F.size(F.filter(gaps, lambda g: g > passage))).cast("long")
 
 
 def repeats(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document with a passage that stands in another one too: ``doc_id``, ``n_passages``,
-    ``repeated_bytes``, ``removed_bytes`` (of chunks that a document with a smaller id has) and ``first_docs`` (sorted
-    ids of the first documents of its passages, its own id left out).
+    ``repeated_bytes``, ``removed_bytes`` (of spans that a document with a smaller id has) and ``first_docs`` (sorted
+    ids of the first documents of all its spans, its own id left out).
+
+    Every passage of ``passage + window - 1`` bytes is found and none of fewer than ``passage``; between them it is found
+    if one of its spans is marked. Its bytes count from its first marked span to the end of its last.
 
     Rows that share an id are taken for one document, and null ids and null or empty texts have no passages. Further
     columns are ignored, and an empty table gives an empty result.
     """
-    found = repeated_chunks(docs, rule, id_column, text_column)
+    found = repeated_spans(docs, rule, id_column, text_column)
+    later = F.col("first_doc") < F.col("doc_id")
     per_doc = found.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set(F.struct("ord", F.col("size").cast("long").alias("size"), (F.col("first_doc") < F.col("doc_id")).alias("later"), F.when(F.col("first_doc") < F.col("doc_id"), F.col("first_doc")).alias("first")))).alias("xs")
-    )
-    return (
-        per_doc.select("doc_id", _runs(rule)(F.col("xs")).alias("r"))
-        .where("r.n > 0")
-        .select("doc_id", F.col("r.n").alias("n_passages"), F.col("r.bytes").alias("repeated_bytes"), F.col("r.removed").alias("removed_bytes"), F.array_sort("r.with").alias("first_docs"))
+        F.array_sort(F.collect_set("at")).alias("all"), F.array_sort(F.collect_set(F.when(later, F.col("at")))).alias("later"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("first_docs")
     )
+    (size, n), (removed, _) = _covered(F.col("all"), rule.passage), _covered(F.col("later"), rule.passage)
+    return per_doc.select("doc_id", n.alias("n_passages"), size.alias("repeated_bytes"), removed.alias("removed_bytes"), "first_docs")
 
 
 def deduplicated(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, with all their columns, without the bytes of long runs of chunks that documents with smaller ids have.
+    """The documents, with all their columns, without the bytes of marked spans that documents with smaller ids have.
 
-    Chunks are cut out of the UTF-8 bytes; a character that a border splits loses its other half too. Rows without
+    Spans are cut out of the UTF-8 bytes; a character that an end splits loses its other half too. Rows without
     repeats, null texts and null ids stay as they are.
     """
-    chunks = repeated_chunks(docs, rule, id_column, text_column).where(F.col("first_doc") < F.col("doc_id"))
-    gone = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_set("ord")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
+    spans = repeated_spans(docs, rule, id_column, text_column).where(F.col("first_doc") < F.col("doc_id"))
+    gone = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
     joined = docs.join(gone, F.col(id_column) == F.col("__doc"), "left").drop("__doc")
     names = [c for c in joined.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, text_column):
             at = piece.schema.get_field_index(text_column)
-            texts = piece.column(at)
-            data, offsets = offsets_of(texts)
-            ends, counts = borders(data, offsets, rule)
-            firsts = np.concatenate([[0], np.cumsum(counts)])
-            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-            raw, out = data.tobytes(), []
-            for t, (text, gone) in enumerate(zip(texts.to_pylist(), piece.column(names.index("__gone")).to_pylist(), strict=True)):
+            out = []
+            for text, gone in zip(piece.column(at).to_pylist(), piece.column(names.index("__gone")).to_pylist(), strict=True):
                 if not gone or text is None:
                     out.append(text)
                     continue
-                size = ends[firsts[t] : firsts[t + 1]] - starts[firsts[t] : firsts[t + 1]]
-                drop = np.zeros(len(size), bool)
-                own = np.array(gone)
-                run_of = np.cumsum(np.concatenate([[True], np.diff(own) > 1]))
-                long = np.bincount(run_of, size[own]) >= rule.passage
-                drop[own[long[run_of]]] = True
-                out.append(b"".join(raw[starts[firsts[t] + k] : ends[firsts[t] + k]] for k in np.flatnonzero(~drop)).decode("utf-8", "ignore"))
+                raw = text.encode()
+                kept, done = [], 0
+                for a in gone:
+                    kept.append(raw[done:a])
+                    done = a + rule.passage
+                out.append(b"".join([*kept, raw[done:]]).decode("utf-8", "ignore"))
             columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(piece.columns)]
             yield pa.record_batch([c for c, n in zip(columns, names, strict=True) if n != "__gone"], [n for n in names if n != "__gone"])
 
