@@ -232,3 +232,18 @@ def test_beats_and_prompts(spark):
     speakers = F.array(F.struct(F.lit("S1").alias("id"), F.lit("tall").alias("lock"), F.lit("low").alias("voice")))
     text = spark.range(1).select(prompts.assembled(F.lit("film"), F.lit(""), speakers, shots, F.lit("wind"), F.lit(None).cast("string")).alias("t")).first()["t"]
     assert text == "Style: film\n(S1) tall Voice: low\n[00:00.000] first\n[00:01.500] then\nOverall soundscape: wind\nNon-diegetic music: N/A"
+
+
+def test_one_dense_island_is_folded_as_it_streams(spark):
+    n = 200_000
+    dense = spark.range(n).select(F.lit("a").alias("job_id"), (F.col("id") * 5).alias("t"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = sequences.thinned(dense, "job_id", 10)
+    assert "collect_list" not in plan(kept)
+    assert kept.agg(F.count("*"), F.min("t"), F.max("t"), F.sum((F.col("t") % 10).cast("int"))).first()[:] == (n // 2, 0, 5 * n - 10, 0)
+    got = sequences.anchored_clusters(dense, "job_id", 12).groupBy("anchor").count()
+    assert got.agg(F.count("*"), F.max("count")).first()[:] == (-(-n // 3), 3)
+    hits = dense.limit(3000).select("job_id", F.lit("top").alias("region"), (F.col("t") * 20).alias("t"), F.lit("same words").alias("text"))
+    sessions = sequences.fuzzy_sessions(hits, ["job_id", "region"], 500)
+    assert "FlatMapGroupsInPandas" not in plan(sessions)
+    assert rows_of(sessions, "t0", "t1", "text", "n") == [(0, 2999 * 100 + 500, "same words", 3000)]

@@ -1,14 +1,16 @@
 """Ordered scans of timelines: lags, carries, islands, and folds where a result depends on rows accepted before.
 
 A fold never takes a whole timeline at once: wherever a gap makes the state fall back to its start, the timeline is cut
-first, by window functions, and only the islands between are folded.
+first, by window functions, and only the islands between are folded. An island may still be a whole timeline, so the
+folds of points and of fuzzy sessions stream its sorted rows and keep only their state.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,30 @@ def islands(points: DataFrame, key: str, gap: int, t: str = "t", name: str = "is
     return points.withColumn("__far", far).withColumn(name, F.sum("__far").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__far")
 
 
-def _folded(points: DataFrame, key: str, gap: int, keep: Callable[[Column, Column], Column]) -> DataFrame:
-    """(key, t) of the points that start something: a point does if keep(last started, point)."""
-    cut = islands(points.select(key, "t").distinct(), key, gap)
-    lists = cut.groupBy(key, "island").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    started = F.aggregate("ts", F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | keep(F.try_element_at(acc, F.lit(-1)), t), F.array_append(acc, t)).otherwise(acc))
-    return lists.select(key, F.explode(started).alias("t"))
+def _in_order(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """The rows of each island side by side and in order, so that a task can fold them as they stream by."""
+    return rows.repartition(key, "island").sortWithinPartitions(key, "island", *order)
+
+
+def _folded(points: DataFrame, key: str, gap: int, keep: Callable[[int, int], bool]) -> DataFrame:
+    """(key, t) of the points that start something: a point does if keep(last started, point).
+
+    Points stream by in order, and only the last one that started something is kept, however dense an island is.
+    """
+    cut = islands(points.select(key, "t").where("t is not null").distinct(), key, gap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for batch in batches:
+            started = []
+            for i, (k, t, island) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if (k, island) != at or keep(last, t):
+                    at, last = (k, island), t
+                    started.append(i)
+            yield batch.take(pa.array(started, pa.int64())).select([0, 1])
+
+    ordered = _in_order(cut.select(key, "t", "island"), key, "t")
+    return ordered.mapInArrow(run, ordered.select(key, "t").schema)
 
 
 def anchored_clusters(points: DataFrame, key: str, radius: int) -> DataFrame:
@@ -108,34 +128,45 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
     """Sessions of similar texts in each lane (``keys``) of hits (t, text): a hit joins the open session if its text is
     similar enough and it comes at most 1.5 steps and 350 ms after the session's end. The longest text stands for all.
 
-    A longer pause closes every session, so lanes are cut there and only the parts between are folded.
+    A longer pause closes every session, so lanes are cut there. Hits stream by in order with the open session as state.
     """
     from difflib import SequenceMatcher
 
     slack = int(1.5 * step + 350)
     lane = hits.withColumn("__lane", F.to_json(F.struct(*keys)))
     cut = islands(lane, "__lane", slack + step)
-    kinds = ", ".join(f"{c} {hits.schema[c].dataType.simpleString()}" for c in keys)
-
     def ratio(a: str, b: str) -> float:
         a, b = "".join(a.split()).lower(), "".join(b.split()).lower()
         return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in part.sort_values(["t", "text"]).itertuples(index=False):
-            text = row.text or ""
-            last = out[-1] if out else None
-            if last is not None and row.t - last["t1"] <= slack and ratio(last["text"], text) >= least:
-                last["t1"] = row.t + step
-                last["n"] += 1
-                if len(text) > len(last["text"]):
-                    last["text"] = text
-            else:
-                out.append({**{k: getattr(row, k) for k in keys}, "t0": row.t, "t1": row.t + step, "text": text, "n": 1})
-        return pd.DataFrame(out, columns=[*keys, "t0", "t1", "text", "n"])
-
-    return cut.groupBy("__lane", "island").applyInPandas(fold, f"{kinds}, t0 long, t1 long, text string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, kinds = None, None, None
+
+        def closed(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(rows, kinds)
+
+        for batch in batches:
+            if kinds is None:
+                kinds = pa.schema([*(batch.schema.field(k) for k in keys), ("t0", pa.int64()), ("t1", pa.int64()), ("text", pa.string()), ("n", pa.int64())])
+            out = []
+            for row in batch.to_pylist():
+                text, here = row["text"] or "", (row["__lane"], row["island"])
+                if here == at and row["t"] - last["t1"] <= slack and ratio(last["text"], text) >= least:
+                    last["t1"] = row["t"] + step
+                    last["n"] += 1
+                    if len(text) > len(last["text"]):
+                        last["text"] = text
+                else:
+                    if last is not None:
+                        out.append(last)
+                    at, last = here, {**{k: row[k] for k in keys}, "t0": row["t"], "t1": row["t"] + step, "text": text, "n": 1}
+            yield closed(out)
+        if last is not None:
+            yield closed([last])
+
+    ordered = _in_order(cut.select(*keys, "t", "text", "__lane", "island"), "__lane", "t", F.asc_nulls_last("text"))
+    kinds = ", ".join(f"`{c}` {hits.schema[c].dataType.simpleString()}" for c in keys)
+    return ordered.mapInArrow(run, f"{kinds}, t0 long, t1 long, text string, n long")
 
 
 def greedy_match(candidates: DataFrame, key: str, left: str, right: str, score: str, least: float) -> DataFrame:
