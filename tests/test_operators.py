@@ -247,3 +247,15 @@ def test_one_dense_island_is_folded_as_it_streams(spark):
     sessions = sequences.fuzzy_sessions(hits, ["job_id", "region"], 500)
     assert "FlatMapGroupsInPandas" not in plan(sessions)
     assert rows_of(sessions, "t0", "t1", "text", "n") == [(0, 2999 * 100 + 500, "same words", 3000)]
+
+
+def test_greedy_match_needs_shared_time_and_keeps_speech_without_a_match(spark):
+    from timeloom.functions import text as tx
+
+    kinds = "job_id string, id long, t0 long, t1 long, text string"
+    speech = [("j", 1, 0, 1000, "we leave tonight"), ("j", 2, 900, 2000, "we leave tonight!"), ("j", 3, 2000, 3000, "nothing like it"), ("j", 4, 9000, 9500, "we leave tonight"), ("j", 5, 0, 500, " "), ("k", 1, 0, 1000, "we leave tonight")]
+    # 7 has another longest word than what is said; 9 shares 119 ms with speech 3
+    seen = [("j", 7, 500, 1500, "we leave tonlght"), ("j", 8, 0, 1500, "we leave tonight"), ("j", 9, 2881, 8000, "nothing like it")]
+    got = sequences.greedy_match(spark.createDataFrame(speech, kinds), spark.createDataFrame(seen, kinds), "job_id", 700, tx.similarity)
+    assert [r[:-1] for r in rows_of(got, "job_id", "id", "match", "seen", "score")] == [("j", 1, 8, "we leave tonight"), ("j", 2, 7, "we leave tonlght"), ("j", 3, None, None), ("j", 4, None, None), ("k", 1, None, None)]
+    assert {r["id"]: r["score"] for r in got.where("job_id = 'j'").collect()}[3] == 0.0

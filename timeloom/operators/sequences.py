@@ -169,23 +169,40 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
     return ordered.mapInArrow(run, f"{kinds}, t0 long, t1 long, text string, n long")
 
 
-def greedy_match(candidates: DataFrame, key: str, left: str, right: str, score: str, least: float) -> DataFrame:
-    """One-to-one matches: left items in order take the best-scored right item that is still free, if it scores enough.
+def greedy_match(speech: DataFrame, seen: DataFrame, key: str, width: int, score: Callable[[str, str], Column], least: float = 0.55, shared: int = 120) -> DataFrame:
+    """One-to-one matches of spans (key, id, t0, t1, text): spoken ones in order of time take the best-scored span seen
+    that shares at least ``shared`` ms and is still free, if it scores ``least``. A row for each spoken span that has
+    text: (key, id, t0, t1, text, match, seen, score); without a match ``match`` and ``seen`` are NULL and ``score`` is 0.
 
-    ``candidates`` are (key, left, right, score). Items that no chain of candidates connects can't disturb each other,
-    but a timeline's chains are short, so a timeline is one group.
+    Pairs that score less can't be accepted and so can't disturb others; the rest stream by in chains of pairs whose
+    times meet. What is taken is kept only until the spoken spans have passed it.
     """
-    kinds = f"{key} {candidates.schema[key].dataType.simpleString()}, {left} {candidates.schema[left].dataType.simpleString()}, {right} {candidates.schema[right].dataType.simpleString()}, {score} double"
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, rows in part.sort_values([left, score, right], ascending=[True, False, True]).groupby(left, sort=True):
-            for row in rows.itertuples(index=False):
-                if getattr(row, right) not in used:
-                    if getattr(row, score) >= least:
-                        used.add(getattr(row, right))
-                        out.append((getattr(row, key), getattr(row, left), getattr(row, right), getattr(row, score)))
-                    break
-        return pd.DataFrame(out, columns=[key, left, right, score])
-
-    return candidates.where(F.col(score) >= least).select(key, left, right, score).groupBy(key).applyInPandas(fold, kinds)
+    from timeloom.operators.intervals import bucketed_overlap, overlap
+
+    said = speech.select(key, "id", "t0", "t1", "text").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
+    pairs = bucketed_overlap(said, seen.select(key, "id", "t0", "t1", "text"), key, width)
+    pairs = pairs.where(overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")) >= shared).withColumn("score", score("l_text", "r_text")).where(F.col("score") >= least)
+    pairs = pairs.select(F.col(f"l_{key}").alias(key), "l_id", "l_t0", "r_id", "r_t1", "score", F.least("l_t0", "r_t0").alias("__a"), F.greatest("l_t1", "r_t1").alias("__z"))
+    w = Window.partitionBy(key).orderBy("__a", "l_t0", "l_id", "r_id")
+    before = F.max("__z").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    chains = pairs.withColumn("__far", F.coalesce((F.col("__a") >= before).cast("int"), F.lit(1))).withColumn("island", F.sum("__far").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one, used = None, None, {}
+        for batch in batches:
+            taken = []
+            for i, (k, island, t0, left, right, t1) in enumerate(zip(*(batch.column(c).to_pylist() for c in (key, "island", "l_t0", "l_id", "r_id", "r_t1")), strict=True)):
+                if (k, island) != at:
+                    at, one, used = (k, island), None, {}
+                if left != one and right not in used:
+                    one = left
+                    used[right] = t1
+                    taken.append(i)
+                    if len(used) > 1024:
+                        used = {r: t for r, t in used.items() if t > t0}
+            yield batch.take(pa.array(taken, pa.int64())).select([key, "l_id", "r_id", "score"])
+
+    ordered = _in_order(chains.select(key, "island", "l_t0", "l_id", "r_id", "r_t1", "score"), key, "l_t0", "l_id", F.desc("score"), "r_id")
+    found = ordered.mapInArrow(run, ordered.select(key, "l_id", "r_id", "score").schema).select(F.col(key), F.col("l_id").alias("id"), F.col("r_id").alias("match"), "score")
+    words = seen.select(key, F.col("id").alias("match"), F.col("text").alias("seen"))
+    return said.join(found, [key, "id"], "left").join(words, [key, "match"], "left").select(key, "id", "t0", "t1", "text", "match", "seen", F.coalesce("score", F.lit(0.0)).alias("score"))

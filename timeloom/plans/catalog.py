@@ -407,12 +407,10 @@ def ocr_sessions_fuzzy(spark, sf):
 
 @query()
 def fuzzy_match_greedy(spark, sf):
-    """Documents' lines and benchmark lines meet where their longest words agree."""
-    longest = lambda c: F.array_max(F.transform(F.split(c, " "), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
-    d = doc_lines(spark, sf).withColumn("word", longest("line"))
-    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("bline")).withColumn("word", longest("bline"))
-    pairs = d.join(b, "word").withColumn("score", tx.similarity("line", "bline"))
-    return sequences.greedy_match(pairs.groupBy("word", "doc_id", "item_id").agg(F.max("score").alias("score")), "word", "doc_id", "item_id", "score", 0.55)
+    """Answers of a conversation as speech, its other turns as what is seen; a turn begins every 500 ms and plays its time."""
+    spans = turns(spark, sf).select("job_id", F.col("ord").alias("id"), (F.col("ord") * 500).alias("t0"), (F.col("ord") * 500 + F.col("play")).alias("t1"), "role", "text")
+    spoken = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    return sequences.greedy_match(spans.where(spoken), spans.where(~spoken), "job_id", 6500, tx.similarity)
 
 
 @query(f"""WITH {TIMELINE}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS n FROM tl), h AS (SELECT job_id, ord, n FROM n WHERE value >= 50),
