@@ -224,6 +224,13 @@ def test_contamination_against_brute_force(spark):
     assert set(rows_of(decontam.find(table, bench), "doc_id", "item_id")) == want and want
 
 
+def test_a_copy_without_an_id_does_not_take_the_signatures(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.components(docs(spark, [(None, text), (7, text), (8, near)]).coalesce(1)).where("doc_id is not null").collect()}
+    assert got == {7: 7, 8: 7}
+
+
 # 6. Chunks
 
 

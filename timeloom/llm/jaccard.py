@@ -192,19 +192,20 @@ def _prepared(docs: DataFrame, rule: JaccardJoin, counts: _Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        seen: set[int] = set()  # copies within a task don't repeat their signatures
+        seen: set[int] = set()  # copies within a task don't repeat their signatures; rows without an id have none
         for piece in pieces(batches):
             hashes, firsts, grams, begin = _tokens(piece.column(1), k)
             frequent, place = _places(grams, begin, hashes, firsts, k, table)
             place = np.where(frequent >= 0, frequent, place).astype(np.uint64)
             tokens = (place << np.uint64(56)) | (grams >> np.uint64(8))
             sizes, nodes, found = [], [], []
-            for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            for a, b, named in zip(begin[:-1].tolist(), begin[1:].tolist(), piece.column(0).is_valid().to_pylist(), strict=True):
                 own, first = np.unique(grams[a:b], return_index=True)
                 sizes.append(len(own))
                 nodes.append(node := set_key(own))
-                found.append(tokens[:0] if node in seen else signatures(np.sort(tokens[a:b][first]), percent))
-                seen.add(node)
+                found.append(tokens[:0] if node in seen or not named else signatures(np.sort(tokens[a:b][first]), percent))
+                if named:
+                    seen.add(node)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
             yield pa.record_batch([piece.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_shingles", "node", "signatures"])
