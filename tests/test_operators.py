@@ -259,3 +259,15 @@ def test_greedy_match_needs_shared_time_and_keeps_speech_without_a_match(spark):
     got = sequences.greedy_match(spark.createDataFrame(speech, kinds), spark.createDataFrame(seen, kinds), "job_id", 700, tx.similarity)
     assert [r[:-1] for r in rows_of(got, "job_id", "id", "match", "seen", "score")] == [("j", 1, 8, "we leave tonight"), ("j", 2, 7, "we leave tonlght"), ("j", 3, None, None), ("j", 4, None, None), ("k", 1, None, None)]
     assert {r["id"]: r["score"] for r in got.where("job_id = 'j'").collect()}[3] == 0.0
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    n = 20
+    got = graph.closure(spark.createDataFrame([(i, i + 1) for i in range(n)], "src int, dst int"))
+    assert got.count() == n * (n + 1) // 2 and got.where(f"src = 0 and dst = {n}").first()["depth"] == n
+    m = 70
+    nodes = spark.createDataFrame([(0, "Load"), *((i, "Reroute") for i in range(1, m + 1)), (m + 1, "Save")], "id int, type string")
+    links = spark.createDataFrame([(i, i % 3, i + 1, 0) for i in range(m + 1)], "src int, src_slot int, dst int, dst_slot int")
+    assert {(r["src"], r["src_slot"]) for r in graph.origins(nodes, links).collect()} == {(0, 0)}
+    ring = spark.createDataFrame([(1, 0, 2, 0), (2, 0, 3, 0), (3, 0, 1, 0)], "src int, src_slot int, dst int, dst_slot int")
+    assert graph.origins(spark.createDataFrame([(i, "Reroute") for i in (1, 2, 3)], "id int, type string"), ring).count() == 3

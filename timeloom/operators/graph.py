@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from timeloom.plans.materialise import checkpointed
 
 
-def closure(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(src, dst, depth): what each node reaches in at most so many steps, with the least number of them.
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst, depth): what each node reaches, with the least number of steps.
 
-    Semi-naive: each round extends only what the round before found first. The bound also ends cycles.
+    Semi-naive: each round extends only what the round before found first, until a round finds nothing. That ends cycles.
     """
     reached = checkpointed(edges.select("src", "dst", F.lit(1).alias("depth")).distinct())
-    new = reached
-    for depth in range(2, most + 1):
+    new, depth = reached, 1
+    while True:
+        depth += 1
         step = new.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = checkpointed(step.join(reached.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
-            break
-        reached = reached.unionByName(new)
-    return reached
+            return reached
+        # a plan of few parts however long the chains are
+        reached = reached.unionByName(new) if depth % 8 else checkpointed(reached.unionByName(new).coalesce(reached.rdd.getNumPartitions()))
 
 
 def sockets(edges: DataFrame) -> DataFrame:
@@ -29,16 +30,21 @@ def sockets(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list("dst")), lambda x: x.cast("string")), ",").alias("targets"), F.count("*").alias("n"))
 
 
-def origins(nodes: DataFrame, edges: DataFrame, passing: str = "Reroute", most: int = 32) -> DataFrame:
-    """For every link its true origin: links out of pass-through nodes are followed back, at most so many steps."""
-    through = nodes.where(F.col("type") == passing).select(F.col("id").alias("src"))
+def origins(nodes: DataFrame, edges: DataFrame, passing: str = "Reroute") -> DataFrame:
+    """For every link its true origin: links out of pass-through nodes are followed back, through however many there are.
+
+    Where pass-through nodes feed each other in a circle there is no origin, and one of them is named.
+    """
+    through = checkpointed(nodes.where(F.col("type") == passing).select(F.col("id").alias("src")))
     current = edges.select("dst", "dst_slot", "src", "src_slot")
-    feed = edges.join(through.withColumnRenamed("src", "dst"), "dst", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("from"), F.col("src_slot").alias("from_slot"))
-    step = 1
-    while step < most:  # every round doubles the reach
+    feed = checkpointed(edges.join(through.withColumnRenamed("src", "dst"), "dst", "left_semi").select(F.col("dst").alias("src"), F.col("src").alias("from"), F.col("src_slot").alias("from_slot")))
+    step, most = 1, through.count()
+    while step <= most:  # every round doubles the reach
         current = current.join(feed, "src", "left").select("dst", "dst_slot", F.coalesce("from", "src").alias("src"), F.coalesce("from_slot", "src_slot").alias("src_slot"))
+        if feed.join(through.withColumnRenamed("src", "from"), "from", "left_semi").isEmpty():
+            break
         up = feed.select(F.col("src").alias("from"), F.col("from").alias("f2"), F.col("from_slot").alias("s2"))
-        feed = feed.join(up, "from", "left").select("src", F.coalesce("f2", "from").alias("from"), F.coalesce("s2", "from_slot").alias("from_slot"))
+        feed = checkpointed(feed.join(up, "from", "left").select("src", F.coalesce("f2", "from").alias("from"), F.coalesce("s2", "from_slot").alias("from_slot")))
         step *= 2
     return current
 

@@ -431,7 +431,7 @@ EDGES = "ed AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b
 @query(f"""WITH RECURSIVE {EDGES}, cl AS (SELECT a, b, 1 AS d FROM ed UNION SELECT cl.a, ed.b, cl.d + 1 FROM cl JOIN ed ON cl.b = ed.a WHERE cl.d < 8) SELECT a AS src, b AS dst, min(d)::INT AS depth FROM cl GROUP BY a, b""")
 def graph_closure(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
-    return graph.closure(s, 8)
+    return graph.closure(s)
 
 
 @query(f"WITH {EDGES} SELECT a AS src, array_to_string(list_sort(list(b)), ',') AS targets, count(*) AS n FROM ed GROUP BY a")
