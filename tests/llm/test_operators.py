@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -398,6 +399,48 @@ def test_revealing_words_are_found_and_text_is_sanitised(spark):
     assert pii.find(docs(spark, [])).count() == 0 and pii.find(clashing(spark)).count() == len(EDGES)
 
 
+def test_personal_data_of_repeated_rows_and_rows_without_an_id(spark, tmp_path):
+    import duckdb
+
+    from compare import canonical
+    from timeloom.llm.queries import op9_pii
+    from timeloom.llm.sql import pii_sql
+
+    common = [(i, f"plain words stand here again number {'abcdefghijklmnopqrst'[i % 20]}") for i in range(200)]
+    held = (500, "plain Zanzibarius lives here mail z@x.org words")
+    rows = [*common, *[held] * 6, (501, "here Zanzibarius wrote z@x.org again"), (None, "Zanzibarius has no id but z@x.org"), (501, "completely other text without any personal stuff"), (502, None), (503, "")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    # the SQL gathers spans by id, so it is asked for rows that have one id each; copies count for it all the same
+    single = lambda frame: frame[~frame.doc_id.isin([501]) & frame.doc_id.notna()].drop_duplicates()
+    ours, theirs = single(op9_pii(spark, str(tmp_path)).toPandas()), single(con.execute(pii_sql()).df())
+    theirs = theirs[theirs.doc_id != 500]
+    assert canonical(ours[ours.doc_id != 500]) == canonical(theirs) and len(theirs) == 202
+    got = [(r["id"], r["text"], [(t["start"], t["end"]) for t in r["terms"]]) for r in pii.find(docs(spark, rows)).collect()]
+    assert all((6, 17) in t for i, _, t in got if i == 500) and sum(i == 500 for i, _, _ in got) == 6
+    assert [t for i, x, t in got if x.startswith("completely")] == [[]] and [(0, 11) in t for i, _, t in got if i is None] == [True]
+    clean = {(r["doc_id"], r["text"]) for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert (501, rows[-3][1]) in clean and (502, None) in clean and not any(x and ("Zanz" in x or "z@x" in x) for _, x in clean)
+
+
+def test_one_long_token_takes_linear_time_and_many_matches_too(spark):
+    rows = [(1, "7" * 1_000_000), (2, "a" * 1_000_000 + "@"), (3, "a@b.cd " * 20_000), (4, "1." * 300_000), (5, "+1" + "(" * 500_000), (6, "1.2.3.4 " * 5_000 + "x" * 300_000)]
+    began = time.monotonic()
+    got = {r["id"]: r["n"] for r in pii.find(docs(spark, rows)).selectExpr("id", "size(spans) AS n").collect()}
+    assert got == {1: 0, 2: 0, 3: 20_000, 4: 75_000, 5: 0, 6: 5_000} and time.monotonic() - began < 60
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert clean[3] == "[EMAIL] " * 20_000 and clean[1] == rows[0][1]
+
+
+def test_words_are_generalised_to_their_class_or_removed(spark):
+    text = "In Paris, NATO told a.b@c.de and sixwords"
+    spans, terms = [(0, 20, 28)], [(3, 8, 0.9), (10, 14, 0.9), (29, 32, 0.99), (33, 41, 0.9)]
+    row = spark.createDataFrame([(text, spans, terms)], "text string, spans array<struct<kind:int,start:int,end:int>>, terms array<struct<start:int,end:int,share:double>>")
+    assert row.select(pii.sanitised(row.text, row.spans, row.terms)).first()[0] == "In [NAME], [ABBREVIATION] told [EMAIL]  [WORD]"
+    assert "[WORD]" in pii.CLASSES
+
+
 # 10. Embeddings
 
 
