@@ -203,6 +203,24 @@ def _near(held: DataFrame, rule: Disclosure) -> DataFrame:
     )
 
 
+def _documents_of(words: DataFrame, docs: DataFrame) -> DataFrame:
+    """In how many documents each term stands (term, n_term), from the distinct words (id, term) of each row.
+
+    The rows of an id that has one are counted before they are shuffled; only words of ids with more rows go along with
+    their id, to count once.
+    """
+    again = checkpointed(docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("again")))
+    many = again.count()
+    if not many:
+        words = words.withColumn("again", F.lit(None).cast("string"))
+    elif many <= _BROADCAST:
+        words = words.join(F.broadcast(again), "id", "left")
+    else:
+        words = words.withColumn("again", F.col("id"))
+    by_row = words.groupBy("term", "again").agg(F.count("id").alias("n"))
+    return by_row.groupBy("term").agg(F.sum(F.when(F.col("again").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+
+
 def disclosing(docs: DataFrame, held: DataFrame, rule: Disclosure) -> DataFrame:
     """Spans of the words that reveal an entity near them: (id, key, start, end, share), for each word its largest share.
 
@@ -219,10 +237,7 @@ def disclosing(docs: DataFrame, held: DataFrame, rule: Disclosure) -> DataFrame:
         .select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("term"))
         .where(F.length("term") >= rule.letters)
     )
-    wanted = together.select("term").distinct()
-    if wanted.count() <= _BROADCAST:
-        words = words.join(F.broadcast(wanted), "term", "left_semi")
-    counts = words.distinct().groupBy("term").agg(F.count("id").alias("n_term"))
+    counts = _documents_of(words, docs)
     content = F.log2(n_docs / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * n_docs / (F.col("n_term") * F.col("n_entity")))
     revealing = checkpointed(
