@@ -1,5 +1,6 @@
 """The operators on small tables: edge cases, and plain versions of what SQL can't express."""
 
+import collections
 import random
 import re
 import time
@@ -225,6 +226,52 @@ def test_contamination_against_brute_force(spark):
     assert set(rows_of(decontam.find(table, bench), "doc_id", "item_id")) == want and want
 
 
+def bm25(items, rule):
+    """A function that gives every item's score for a passage as a share of its own threshold; items without words have none."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bags = {i: words(t) for i, t in items if words(t)}
+    mean, n = sum(map(len, bags.values())) / len(bags), len(bags)
+    df = collections.Counter(w for b in bags.values() for w in set(b))
+    add = lambda w, b: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b.count(w) * (rule.k1 + 1) / (b.count(w) + rule.k1 * (1 - rule.b + rule.b * len(b) / mean))
+    adds = {i: {w: add(w, b) for w in set(b)} for i, b in bags.items()}
+    return lambda passage: {i: sum(x for w, x in a.items() if w in have) / (rule.threshold * sum(a.values())) for have in [set(words(passage))] for i, a in adds.items()}
+
+
+def test_wand_retrieves_what_exhaustive_bm25_does():
+    rng = random.Random(6)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 400}"
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 40)))) for i in range(90)] + [(900, "..."), (901, "")]
+    passages = [" ".join([word() for _ in range(rng.randint(1, 25))] + items[rng.randrange(90)][1].split()[:30]) for _ in range(150)]
+    for rule in (decontam.Contamination(), decontam.Contamination(block=1), decontam.Contamination(block=64, threshold=0.4)):
+        index = decontam.build([i for i, _ in items], [t for _, t in items], rule)
+        got, want, scores = {}, {}, bm25(items, rule)
+        hashes, firsts = decontam._word_hashes(pa.array(passages))
+        terms = [np.flatnonzero(np.isin(index.terms, hashes[a:b])) for a, b in zip(firsts[:-1], firsts[1:], strict=True)]
+        for p, slot, score in decontam.wand(index, np.concatenate(terms), np.cumsum([0, *map(len, terms)]), rule.block):
+            got[p, int(index.items[slot])] = score
+        for p, text in enumerate(passages):
+            want |= {(p, i): s for i, s in scores(text).items() if s >= 1 - 1e-6}
+        assert got.keys() == want.keys() and len(got) > 100 and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_shards_change_no_score_and_an_edited_answer_is_held(spark):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(300)}"
+    items = [(i, " ".join(word() for _ in range(30)) + "? " + " ".join(word() for _ in range(12))) for i in range(60)]
+    edited = items[7][1].split()
+    edited[36] = "edited"
+    rows = [(i, " ".join([word() for _ in range(40)] + items[i % 60][1].split()[: 42 - i % 3] + [word() for _ in range(50)])) for i in range(120)] + [(500, " ".join(edited)), (None, items[3][1]), (None, "clean words"), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **k: {(r["doc_id"], r["item_id"]): (r["score"], r["question_overlap"]) for r in decontam.find(docs(spark, rows), bench, decontam.Contamination(**k)).collect()}
+    one = found()
+    assert (500, 7) in one and (None, 3) in one and len(one) > 80
+    for rule in ({"shard": 7, "block": 2}, {"shard_bytes": 500}):
+        other = found(**rule)
+        assert other.keys() == one.keys() and all(abs(other[k][0] - one[k][0]) < 1e-9 and other[k][1] == one[k][1] for k in one)
+    kept = [(r["doc_id"], r["text"]) for r in decontam.clean(docs(spark, rows), bench).collect()]
+    assert {t for i, t in kept if i is None} == {"clean words", None} and 500 not in dict(kept)
+
+
 def test_a_copy_without_an_id_does_not_take_the_signatures(spark):
     words = [f"w{i}" for i in range(40)]
     text, near = " ".join(words), " ".join([*words[:-1], "other"])

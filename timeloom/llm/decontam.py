@@ -1,9 +1,11 @@
-"""Benchmark decontamination: BM25 over an inverted index of test items, pruned block by block, then verified.
+"""Benchmark decontamination: BM25 over an inverted index of test items with block-max WAND, then verified.
 
-Every passage of every document is a query. The items lie in blocks; for each term a block keeps the largest score the
-term can add to any of its items, as a share of the item's threshold. A passage whose bounds add up to less than the
-threshold is left; otherwise the same is asked of each block, and only blocks that pass are scored item by item. Items
-above their threshold are verified by the words of their question and of their answer.
+Every passage of every document is a query. Each term has the list of its items in order, the most that it adds to any of
+them, and the most for each block of items, as shares of the item's threshold. The lists of a passage's terms are
+walked together: the first item at which the largest shares of the terms that have come so far add up to the threshold
+is the pivot, what lies before it is passed over; if the shares of its block don't add up, so is the rest of the block;
+else the pivot is scored. Many passages walk side by side, a step of each at a time. Items that reach their threshold
+are verified by the words of their question and of their answer.
 """
 
 from __future__ import annotations
@@ -18,24 +20,32 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeloom.llm.session import checkpointed
 from timeloom.llm.text import offsets_of, pieces, shingles, span_hashes, words
 
 #: Bytes between words: ASCII other than letters and digits.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Passages that walk side by side, and indexes that are searched in one pass over the documents.
+_SIDE_BY_SIDE, _TOGETHER = 1024, 8
+_NO_ITEM = np.int64(1 << 40)
+_ENOUGH = 1 - 1e-6
 
 
 @dataclass(frozen=True)
 class Contamination:
     """An item is retrieved from ``threshold`` of its own BM25 score on, and confirmed if ``overlap`` of the runs of
-    ``gram`` words of its question, and as many of its answer, stand in the passage. ``block`` items share bounds;
-    ``shard`` bounds the items of one index, and so what every task gets; more items make more indexes.
+    ``gram`` words of its question, and as many of its answer, stand in the passage (or ``overlap`` of the part's words in
+    their places, so that a changed word in a short answer doesn't hide it). ``block`` items share bounds; ``shard``
+    bounds the items, and ``shard_bytes`` about the text, of one index. They steer cost, not results: frequencies and
+    lengths are those of all items.
     """
 
     threshold: float = 0.6
     overlap: float = 0.8
     gram: int = 5
     block: int = 8
-    shard: int = 1024
+    shard: int = 16384
+    shard_bytes: int = 1 << 24
     k1: float = 1.2
     b: float = 0.75
 
@@ -57,52 +67,130 @@ def parts(text: str) -> tuple[str, str]:
     return " ".join(w[:cut]), " ".join(w[cut:])
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Of all items with words: their number, mean and largest number of words; sorted terms and the items that have them."""
+
+    n: int
+    mean: float
+    most: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass(frozen=True)
 class Index:
-    """Terms in order of their hash. ``bounds[t, b]`` is the most that term t adds to any item of block b, ``largest`` the
-    most over all blocks. The postings of block b are ``postings[b]``: its terms, and what each adds to each item."""
+    """``terms`` are sorted hashes. The postings of all terms stand in one array in order of term and item: ``keys`` (term
+    times items, plus item), what the term ``adds`` to the item, and ``block_most``, the most that it adds to any item
+    of the same block; those of term t end before ends[t]. ``largest`` is the most a term adds to any item, ``grams`` the
+    runs of words of each item's two parts."""
 
     items: np.ndarray
     terms: np.ndarray
     largest: np.ndarray
-    bounds: np.ndarray
-    postings: tuple[tuple[np.ndarray, np.ndarray], ...]
-    grams: tuple[tuple[np.ndarray, np.ndarray], ...]
+    keys: np.ndarray
+    ends: np.ndarray
+    adds: np.ndarray
+    block_most: np.ndarray
+    grams: tuple[tuple[tuple[int, np.ndarray, np.ndarray], ...], ...]
     stride: int
 
 
-def build(ids: list[int], texts: list[str], rule: Contamination) -> Index:
-    """Index one shard of items; items without words are never retrieved."""
+def statistics(texts: list[str]) -> Statistics:
+    """Those of a list of items, for tables that are small."""
+    hashes, firsts = _word_hashes(pa.array(texts, pa.string()))
+    counts = np.diff(firsts)
+    pairs = np.unique(np.stack([np.repeat(np.arange(len(counts)), counts).astype(np.uint64), hashes]), axis=1)
+    terms, df = np.unique(pairs[1], return_counts=True)
+    some = counts[counts > 0]
+    return Statistics(len(some), float(some.mean()) if len(some) else 1.0, int(counts.max(initial=0)), terms, df)
+
+
+def build(ids: list[int], texts: list[str], rule: Contamination, known: Statistics | None = None) -> Index:
+    """Index one shard of items; items without words are never retrieved. ``known`` are the statistics of all items."""
+    known = known or statistics(texts)
     hashes, firsts = _word_hashes(pa.array(texts, pa.string()))
     counts = np.diff(firsts)
     item = np.repeat(np.arange(len(ids)), counts)
     terms, code = np.unique(hashes, return_inverse=True)
-    pair, tf = np.unique(np.stack([item, code]), axis=1, return_counts=True)
-    df = np.bincount(pair[1], minlength=len(terms))
-    n = max(1, int((counts > 0).sum()))
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    mean = counts[counts > 0].mean() if (counts > 0).any() else 1.0
-    adds = idf[pair[1]] * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * counts[pair[0]] / mean))
-    adds = adds / (rule.threshold * np.bincount(pair[0], adds, len(ids)))[pair[0]]
-    n_blocks = -(-len(ids) // rule.block)
-    bounds = np.zeros((len(terms), n_blocks))
-    np.maximum.at(bounds, (pair[1], pair[0] // rule.block), adds)
-    postings = []
-    for b in range(n_blocks):
-        own = pair[0] // rule.block == b
-        here, at = np.unique(pair[1][own], return_inverse=True)
-        table = np.zeros((len(here), rule.block))
-        table[at, pair[0][own] % rule.block] = adds[own]
-        postings.append((here, table))
+    n_items = max(1, len(ids))
+    keys, tf = np.unique(code.astype(np.int64) * n_items + item, return_counts=True)
+    term, item = keys // n_items, keys % n_items
+    df = known.df[np.searchsorted(known.terms, terms)] if len(terms) else np.zeros(0)
+    idf = np.log(1 + (max(1, known.n) - df + 0.5) / (df + 0.5))
+    adds = idf[term] * tf * (rule.k1 + 1) / (tf + rule.k1 * (1 - rule.b + rule.b * counts[item] / known.mean))
+    adds = adds / (rule.threshold * np.bincount(item, adds, n_items))[item] if len(item) else adds
+    blocks = -(-n_items // rule.block)
+    of_block, at = np.unique(term * blocks + item // rule.block, return_inverse=True)
+    most, largest = np.zeros(len(of_block)), np.zeros(len(terms))
+    np.maximum.at(most, at, adds)
+    np.maximum.at(largest, term, adds)
     grams = []
     for text in texts:
         both = []
         for part in parts(text):
             h, f = _word_hashes(pa.array([part], pa.string()))
             k = max(1, min(rule.gram, len(h)))
-            both.append((k, np.unique(shingles(h, f, k)[0])))
+            both.append((k, np.unique(shingles(h, f, k)[0]), h))
         grams.append(tuple(both))
-    return Index(np.array(ids, np.int64), terms, bounds.max(axis=1) if n_blocks else np.zeros(0), bounds, tuple(postings), tuple(grams), max(64, int(counts.max(initial=0))))
+    return Index(np.array(ids, np.int64), terms, largest, keys, np.searchsorted(term, np.arange(len(terms)), "right"), adds, most[at], tuple(grams), max(64, known.most))
+
+
+def wand(index: Index, term: np.ndarray, cuts: np.ndarray, block: int) -> list[tuple[int, int, float]]:
+    """(passage, item, score over threshold) of all items that reach their threshold. ``term`` holds the distinct terms of all
+    passages one after the other; passage p has those from cuts[p] to cuts[p + 1]."""
+    n_items = max(1, len(index.items))
+    items = np.append(index.keys % n_items, _NO_ITEM)
+    sizes = np.diff(cuts)
+    own = np.full((len(sizes), int(sizes.max(initial=0))), -1, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    own[row, np.arange(len(term)) - cuts[row]] = term
+    most, end = np.where(own >= 0, index.largest[own], 0.0), np.where(own >= 0, index.ends[own], len(index.keys))
+    at = np.where(own > 0, index.ends[own - 1], np.where(own == 0, 0, len(index.keys)))  # where each list stands
+    now = items[at]
+    passages = np.arange(len(sizes))
+    found = []
+
+    def move(rows: np.ndarray, columns: np.ndarray, to: np.ndarray) -> None:
+        at[rows, columns] = to
+        now[rows, columns] = np.where(to < end[rows, columns], items[to], _NO_ITEM)
+
+    def advance(rows: np.ndarray, columns: np.ndarray, item: np.ndarray) -> None:
+        """Set those lists on their first item from ``item`` on."""
+        move(rows, columns, np.searchsorted(index.keys, own[rows, columns] * n_items + np.minimum(item, n_items)))
+
+    while len(passages):
+        order = np.argsort(now, axis=1)
+        reached = np.cumsum(np.take_along_axis(most, order, 1), axis=1) >= _ENOUGH
+        first = reached.argmax(axis=1)
+        line = np.arange(len(passages))
+        pivot = np.where(reached[line, first], now[line, order[line, first]], _NO_ITEM)
+        going = pivot < _NO_ITEM
+        if not going.all():
+            passages, pivot, own, most, end, at, now = (x[going] for x in (passages, pivot, own, most, end, at, now))
+            if not len(passages):
+                break
+        r, c = np.nonzero(now < pivot[:, None])
+        advance(r, c, pivot[r])
+        stop = (pivot // block + 1) * block
+        r, c = np.nonzero(now < stop[:, None])
+        here, place = now[r, c] == pivot[r], at[r, c]
+        total = np.bincount(r, np.where(here, index.adds[place], 0.0), len(passages))
+        for p in np.flatnonzero(total >= _ENOUGH).tolist():
+            found.append((int(passages[p]), int(pivot[p]), float(total[p])))
+        # what is left of a block whose shares don't add up is passed over
+        skip = np.bincount(r, index.block_most[place], len(passages))[r] < _ENOUGH
+        advance(r[skip], c[skip], stop[r[skip]])
+        step = here & ~skip
+        move(r[step], c[step], place[step] + 1)
+    return found
+
+
+def _in_place(part: np.ndarray, passage: np.ndarray) -> float:
+    """The largest share of a part's words that stand at one place of the passage in theirs."""
+    m, n = len(part), len(passage)
+    at = np.nonzero(part[:, None] == passage[None])
+    return float(np.bincount(at[1] - at[0] + m, minlength=1).max()) / m if m and n and len(at[0]) else 0.0
 
 
 def search(index: Index, texts: pa.Array, rule: Contamination) -> list[tuple[int, int, float, float, float]]:
@@ -127,79 +215,132 @@ def search(index: Index, texts: pa.Array, rule: Contamination) -> list[tuple[int
     before = pairs // width - 1
     pairs = np.unique(np.concatenate([pairs, pairs[(before >= 0) & follows[before]] - width]))
     passage, term = pairs // width, pairs % width
-    enough = 1 - 1e-6
-    live = (np.bincount(passage, index.largest[term], len(text_of)) >= enough) & ~lone_tail
+    # without a pivot from the start a passage never gets one
+    live = (np.bincount(passage, index.largest[term], len(text_of)) >= _ENOUGH) & ~lone_tail
     keep = live[passage]
     passage, term = passage[keep], term[keep]
-    cuts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]])) if len(passage) else np.zeros(1, np.int64)
+    numbers, begin = np.unique(passage, return_index=True)
+    cuts = np.append(begin, len(passage))
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for a, b in zip(cuts[:-1:256].tolist(), [*cuts[256::256].tolist(), *([int(cuts[-1])] if (len(cuts) - 1) % 256 else [])], strict=True):
-        starts = cuts[(cuts >= a) & (cuts < b)]
-        for n, block in zip(*(x.tolist() for x in np.nonzero(np.add.reduceat(index.bounds[term[a:b]], starts - a) >= enough)), strict=True):
-            lo = int(starts[n])
-            hi = int(starts[n + 1]) if n + 1 < len(starts) else b
-            p, mine = int(passage[lo]), term[lo:hi]
-            own, table = index.postings[block]
-            place = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
-            scores = table[mine[place] == own].sum(axis=0)
-            words_here = None
-            for slot in np.flatnonzero(scores >= enough).tolist():
-                item = block * rule.block + slot
-                if words_here is None:
-                    t = int(text_of[p])
-                    start = firsts[t] + (p - first_segment[t]) * index.stride
-                    words_here = hashes[start : min(start + 2 * index.stride, firsts[t + 1])]
-                shares = []
-                for k, wanted in index.grams[item]:
-                    have = shingles(words_here, np.array([0, len(words_here)]), k)[0]
-                    shares.append(float(np.isin(wanted, have).mean()) if len(wanted) else 1.0)
-                if min(shares) >= rule.overlap:
-                    key = (int(text_of[p]), item)
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (float(scores[slot]), *shares))
+    by_size = np.argsort(np.diff(cuts), kind="stable")  # passages with as many terms side by side
+    for a in range(0, len(numbers), _SIDE_BY_SIDE):
+        group = by_size[a : a + _SIDE_BY_SIDE]
+        sizes = np.diff(cuts)[group]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        some = term[np.arange(ends[-1]) + np.repeat(cuts[group] - ends[:-1], sizes)]
+        for p, item, score in wand(index, some, ends, rule.block):
+            p = int(numbers[group[p]])
+            t = int(text_of[p])
+            start = firsts[t] + (p - first_segment[t]) * index.stride
+            here = hashes[start : min(start + 2 * index.stride, firsts[t + 1])]
+            shares = []
+            for k, wanted, part in index.grams[item]:
+                have = shingles(here, np.array([0, len(here)]), k)[0]
+                share = float(np.isin(wanted, have).mean()) if len(wanted) else 1.0
+                shares.append(share if share >= rule.overlap else max(share, _in_place(part, here)))
+                if shares[-1] < rule.overlap:
+                    break
+            if min(shares) >= rule.overlap:
+                best[t, item] = max(best.get((t, item), (0.0, 0.0, 0.0)), (score, *shares))
     return [(t, i, *found) for (t, i), found in sorted(best.items())]
 
 
+def _counted(items: DataFrame) -> tuple[DataFrame, dict]:
+    """The number of items of each term (term, df), and the number, mean, longest and bytes of all items with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "t"):
+            hashes, firsts = _word_hashes(piece.column(1))
+            counts = np.diff(firsts)
+            owner = np.repeat(np.arange(len(counts)), counts)
+            terms, code = np.unique(hashes, return_inverse=True)
+            pairs = np.unique(code.astype(np.int64) * max(1, len(counts)) + owner)
+            ones = np.bincount(pairs // max(1, len(counts)), minlength=len(terms))
+            some = counts[counts > 0]
+            lengths = pa.array([None] * len(terms) + some.tolist(), pa.int64())
+            yield pa.record_batch([pa.array([*terms.view(np.int64).tolist(), *[None] * len(some)], pa.int64()), pa.array([*ones.tolist(), *[1] * len(some)], pa.int64()), lengths], ["term", "n", "length"])
+
+    rows = checkpointed(items.mapInArrow(run, "term long, n long, length long"))
+    total = rows.where("length is not null").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("most")).first()
+    return rows.where("length is null").groupBy("term").agg(F.sum("n").alias("df")), total.asDict()
+
+
 def _indexes(benchmark: DataFrame, rule: Contamination, item_column: str, text_column: str) -> Iterator[Index]:
-    """Indexes of at most ``shard`` items each; only one shard of items is on the driver at a time."""
-    slim = benchmark.select(F.col(item_column).cast("long").alias("i"), F.col(text_column).alias("t")).where("i is not null and t is not null").distinct()
-    shards = max(1, -(-slim.count() // (rule.shard // 2)))
+    """Indexes of at most about ``shard`` items each; only one shard of items is on the driver at a time. Frequencies are
+    counted in Spark over all items, so it doesn't matter which of them share an index."""
+    slim = checkpointed(benchmark.select(F.col(item_column).cast("long").alias("i"), F.col(text_column).alias("t")).where("i is not null and t is not null").distinct())
+    df, total = _counted(slim)
+    if not total["n"]:
+        return
+    df = checkpointed(df)
+    size = slim.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // max(1, rule.shard)), -(-size["bytes"] // rule.shard_bytes))
     for k in range(shards):
         rows = slim.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k).orderBy("i", "t").collect()
-        for a in range(0, len(rows), rule.shard):
-            part = rows[a : a + rule.shard]
-            yield build([r["i"] for r in part], [r["t"] for r in part], rule)
+        if not rows:
+            continue
+        texts = [r["t"] for r in rows]
+        wanted = np.unique(_word_hashes(pa.array(texts, pa.string()))[0]).view(np.int64)
+        if shards == 1:
+            own = df.toArrow()
+        else:
+            own = df.join(df.sparkSession.createDataFrame(pa.table({"term": wanted})), "term", "left_semi").toArrow()
+        terms = own.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        known = Statistics(total["n"], float(total["mean"]), total["most"], terms[order], own.column("df").to_numpy()[order])
+        yield build([r["i"] for r in rows], texts, rule, known)
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, rule: Contamination, id_column: str, text_column: str, item_column: str, item_text: str) -> DataFrame:
+    """doc_id, ``key`` (a digest of the text where there is no id), item_id, score and overlaps, for each row that holds an item."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_column).alias("doc_id"), F.when(F.col(id_column).isNull(), F.md5(F.col(text_column).cast("binary"))).alias("key"), F.col(text_column).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "key", "item_id", "score", "question_overlap", "answer_overlap"]
+    schema = f"doc_id {kind}, key string, item_id long, score double, question_overlap double, answer_overlap double"
+    found = None
+
+    def pass_over(group: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches):
+                for shared in group:
+                    got = search(shared.value, piece.column(2), rule)
+                    rows = pa.array([x[0] for x in got], pa.int64())
+                    values = [pa.array([int(shared.value.items[x[1]]) for x in got], pa.int64()), pa.array([x[2] * rule.threshold for x in got], pa.float64()), *(pa.array([x[j] for x in got], pa.float64()) for j in (3, 4))]
+                    yield pa.record_batch([piece.column(0).take(rows), piece.column(1).take(rows), *values], names)
+
+        return slim.mapInArrow(run, schema)
+
+    group: list = []
+    for index in _indexes(benchmark, rule, item_column, item_text):
+        group.append(spark.sparkContext.broadcast(index))
+        if len(group) == _TOGETHER:
+            found = pass_over(group) if found is None else found.unionByName(pass_over(group))
+            group = []
+    if group:
+        found = pass_over(group) if found is None else found.unionByName(pass_over(group))
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def find(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination(), id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and test item that it holds: ``doc_id``, ``item_id``, ``score`` (the best passage's BM25
     score as a share of the item's own), ``question_overlap`` and ``answer_overlap``.
 
-    Null and empty texts hold nothing; items without words are never held. Rows that share an id and rows that repeat
-    give one row per document and item, with the largest values. Further columns are ignored, and an empty benchmark or
-    an empty table gives an empty result.
+    Null and empty texts hold nothing; items without words, an id or a text are never held. Rows that share an id are one
+    document; they and rows that repeat give one row per document and item, with the largest values, and so do rows
+    without an id that have the same text. Further columns are ignored, and an empty benchmark or an empty table gives
+    an empty result.
     """
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    found = None
-    for index in _indexes(benchmark, rule, item_column, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for piece in pieces(batches):
-                got = search(shared.value, piece.column(1), rule)
-                t = [x[0] for x in got]
-                columns = [piece.column(0).take(pa.array(t, pa.int64())), pa.array([int(shared.value.items[x[1]]) for x in got], pa.int64())]
-                yield pa.record_batch([*columns, pa.array([x[2] * rule.threshold for x in got], pa.float64()), *(pa.array([x[j] for x in got], pa.float64()) for j in (3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        one = slim.mapInArrow(run, f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double")
     values = ("score", "question_overlap", "answer_overlap")
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in values])
+    held = _held(docs, benchmark, rule, id_column, text_column, item_column, item_text)
+    return held.groupBy("doc_id", "key", "item_id").agg(*[F.max(c).alias(c) for c in values]).drop("key")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents, with all their columns, that hold no test item."""
-    held = find(docs, benchmark, rule, id_column, text_column).select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(held, id_column, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, rule: Contamination = Contamination(), id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that hold no test item; of rows that share an id all go if one holds an item.
+
+    A row without an id goes if its own text holds an item, and stays otherwise; null and empty texts stay.
+    """
+    name = lambda i, key: F.coalesce(F.concat(F.lit("id "), i.cast("string")), F.concat(F.lit("text "), key))
+    held = _held(docs, benchmark, rule, id_column, text_column, item_column, item_text).select(name(F.col("doc_id"), F.col("key")).alias("__held")).distinct()
+    return docs.join(held, name(F.col(id_column), F.md5(F.col(text_column).cast("binary"))) == F.col("__held"), "left_anti")
