@@ -103,6 +103,45 @@ def test_language_held_out_accuracy(spark):
     assert langid.accuracy(langid.predict(held, model).join(held.select("doc_id", "lang"), "doc_id")) > 0.97
 
 
+def test_language_scores_against_a_plain_version(spark):
+    rng = random.Random(8)
+    syllables = {"aa": ["ka", "lo", "mi", "té", "r"], "bb": ["zu", "lo", "vex", "ö"], "cc": ["ka", "zu", "qui"]}
+    word = lambda lang: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))
+    train = [(i, " ".join(word(lang) for _ in range(20)), lang) for i, lang in enumerate(["aa", "bb", "cc", "aa"] * 15)]
+    test = [(i, " ".join(word(rng.choice("abc") * 2) for _ in range(rng.randint(1, 9)))) for i in range(80)] + [(90, "xyz"), (91, "Kalo LO-lo 12 vex!"), (92, "k" * 300)]
+    counts = {lang: (collections.Counter(), collections.Counter()) for lang in "aa bb cc".split()}
+    for _, text, lang in train:
+        for w in text.split():
+            counts[lang][0][w] += 1
+            p = f" {w} "
+            for n in range(1, 6):
+                counts[lang][1].update(p[i : i + n] for i in range(len(p) - n + 1) if p[i : i + n] != " ")
+    logs = []
+    for k in (0, 1):
+        kept = [t for t in set().union(*(counts[lang][k] for lang in counts)) if sum(counts[lang][k][t] for lang in counts) >= 2]
+        total = {lang: sum(counts[lang][k][t] + 0.1 for t in kept) for lang in counts}
+        logs.append({t: [np.log((counts[lang][k][t] + 0.1) / total[lang]) for lang in counts] for t in kept})
+
+    def of(w):
+        if w in logs[0]:
+            return np.array(logs[0][w])
+        p = f" {w} "
+        for n in range(5, 0, -1):
+            seen = [logs[1][p[i : i + n]] for i in range(len(p) - n + 1) if p[i : i + n] in logs[1]]
+            if seen:
+                return np.mean(seen, axis=0) - 2.0
+        return np.full(3, -2.0)
+
+    model = langid.train(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, test), model).collect()}
+    for i, text in test:
+        ws = re.findall(r"[^\W\d_]+", text.lower())
+        z = sum(of(w) for w in ws) / np.sqrt(len(ws))
+        share = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["score"] == pytest.approx(share.max(), rel=1e-4)
+        assert got[i]["lang_pred"] == list(counts)[int(share.argmax())] or np.sort(share)[-1] - np.sort(share)[-2] < 1e-5
+
+
 # 3. Jaccard join
 
 

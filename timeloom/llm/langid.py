@@ -1,7 +1,8 @@
 """Language identification by word-first backoff.
 
 Words seen in training score by their log frequency in each language; a word not seen falls back to its longest
-character n-grams that were seen, then to shorter ones. Texts are scored whole.
+character n-grams that were seen, then to shorter ones. Texts are scored whole. Words and n-grams go by 64-bit hashes,
+so that a batch is looked up without a loop over its words.
 """
 
 from __future__ import annotations
@@ -11,119 +12,164 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.text import pieces
+from timeloom.llm.text import offsets_of, pieces, span_hashes
 
 #: What a word may not contain: everything but letters of any script.
 NOT_LETTERS = r"[^\p{L}]+"
 UNKNOWN = "und"
-#: Unseen words whose scores a task remembers before it starts afresh.
-REMEMBERED = 200_000
+#: What a word without a seen n-gram scores in every language, and what one with n-grams is lowered by.
+FLOOR = -2.0
+#: More languages than this are taken for a mistake in the column of labels.
+MOST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
-class LanguageModel:
-    """Log probabilities: one row per word or n-gram, one column per language."""
+class Table:
+    """Sorted hashes of terms, and for each a log frequency in every language."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
+        """The row of each wanted hash, -1 if it has none."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, at, -1)
+
 
+@dataclass(frozen=True)
+class LanguageModel:
     langs: tuple[str, ...]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
+    words: Table
+    grams: Table
     longest: int
-    floor: np.ndarray
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams of the word that were seen; the floor if not even a letter was."""
-        padded = f" {word} "
-        for n in range(min(self.longest, len(padded)), 0, -1):
-            rows = [r for i in range(len(padded) - n + 1) if (r := self.grams.get(padded[i : i + n], -1)) >= 0 and padded[i : i + n] != " "]
-            if rows:
-                return self.gram_scores[rows].mean(axis=0) + self.floor
-        return self.floor
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased texts, starts and ends of their words in them, and the text of each word."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())), NOT_LETTERS)
+    data, offsets = offsets_of(lists.flatten())
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = offsets[1:] > offsets[:-1]
+    return data, offsets[:-1][real], offsets[1:][real], owner[real]
 
 
-def _log_frequency(counts: pd.DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    wide = counts.pivot_table(index="term", columns="lang", values="n", aggfunc="sum", fill_value=0).reindex(columns=langs, fill_value=0).sort_index()
-    table = wide.to_numpy(np.float64) + 0.1
-    return {t: i for i, t in enumerate(wide.index)}, np.log(table / table.sum(axis=0)).astype(np.float32)
+def _padded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a space on either side as new bytes, where their characters begin (and end), and the word of each."""
+    sizes = ends - starts
+    begin = np.cumsum(sizes + 2) - sizes - 2
+    out = np.full(int((sizes + 2).sum()), 0x20, np.uint8)
+    each = np.repeat(np.arange(len(sizes)), sizes)
+    inside = np.arange(len(each)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[begin[each] + 1 + inside] = data[starts[each] + inside]
+    chars = np.flatnonzero((out & 0xC0) != 0x80)
+    return out, np.append(chars, len(out)), np.searchsorted(begin, chars, "right") - 1
 
 
-def train(labelled: DataFrame, max_rows: int = 12_000, max_words: int = 120_000, max_grams: int = 60_000, longest: int = 5) -> LanguageModel:
+def _grams(out: np.ndarray, chars: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of characters inside one word, other than a space alone, and the word of each."""
+    at = np.arange(max(0, len(owner) - n + 1))
+    at = at[owner[at] == owner[at + n - 1]]
+    if n == 1:
+        at = at[out[chars[at]] != 0x20]
+    return span_hashes(out, chars[at], chars[at + n]), owner[at]
+
+
+def _summed(kind: int, keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    own, code = np.unique(keys, return_inverse=True)
+    return np.full(len(own), kind), own.view(np.int64), np.bincount(code, weights, len(own)).astype(np.int64)
+
+
+def train(labelled: DataFrame, max_rows: int = 12_000, least: int = 2, longest: int = 5) -> LanguageModel:
     """Fit on at most about ``max_rows`` of the rows (text, lang, doc_id), the ones with the smallest hash of doc_id.
 
-    The bound is on the sample only: counting runs in Spark, and the driver receives the most frequent ``max_words``
-    words and ``max_grams`` n-grams with their counts. Null texts and null languages teach nothing.
+    The bound is on the sample only. Spark counts it; the driver receives each word and each n-gram of up to ``longest``
+    characters that stands ``least`` times in it or more, with its counts in all languages. Null texts and null
+    languages teach nothing.
     """
     labelled = labelled.where("text is not null and lang is not null")
-    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    per_lang = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(per_lang) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in the column lang")
     langs = sorted(per_lang)
     if not langs:
-        return LanguageModel((), {}, np.zeros((0, 0), np.float32), {}, np.zeros((0, 0), np.float32), longest, np.zeros(0, np.float32))
+        none = Table(np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
+        return LanguageModel((), none, none, longest)
     share = max_rows / len(langs)
     keep = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, share / per_lang[lang]))])
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20))
-    words = (
-        sample.select("lang", F.explode(F.split(F.lower("text"), NOT_LETTERS)).alias("term"))
-        .where("term <> ''")
-        .groupBy("lang", "term")
-        .agg(F.count("*").alias("n"))
-    )
-    padded = F.concat(F.lit(" "), "term", F.lit(" "))
-    grams = (
-        words.where(F.length("term") <= 64)
-        .select("lang", "n", padded.alias("p"), F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("k"))
-        .where(F.length("p") >= F.col("k"))
-        .select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("p") - F.col("k") + 1), lambda i: F.substring("p", i, F.col("k")))).alias("term"))
-        .where("term <> ' '")
-        .groupBy("lang", "term")
-        .agg(F.sum("n").alias("n"))
-    )
-    order = [F.desc("n"), "term", "lang"]
-    word_ids, word_scores = _log_frequency(words.orderBy(*order).limit(max_words).toPandas(), langs)
-    gram_ids, gram_scores = _log_frequency(grams.orderBy(*order).limit(max_grams).toPandas(), langs)
-    return LanguageModel(tuple(langs), word_ids, word_scores, gram_ids, gram_scores, longest, np.full(len(langs), -2.0, np.float32))
-
-
-def _scorer(model: LanguageModel):
-    memory: dict[str, np.ndarray] = {}
-
-    def score(texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        lists = pc.split_pattern_regex(pc.utf8_lower(texts.fill_null("").cast(pa.large_string())), NOT_LETTERS)
-        flat = lists.flatten().dictionary_encode()
-        terms, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        table = np.zeros((len(terms), len(model.langs)), np.float64)
-        for i, term in enumerate(terms):
-            row = model.words.get(term, -1)
-            if row >= 0:
-                table[i] = model.word_scores[row]
-            elif term:
-                known = memory.get(term)
-                if known is None:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    known = memory[term] = model.unseen(term)
-                table[i] = known
-        real = np.array([t != "" for t in terms], bool)[codes] if len(terms) else np.zeros(0, bool)
-        sums = np.zeros((len(codes) + 1, len(model.langs)))
-        np.cumsum(table[codes], axis=0, out=sums[1:])
-        counts = np.concatenate([[0], np.cumsum(real)])
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        n = counts[ends] - counts[begins]
-        # the evidence of a text grows with the root of its words: they are not independent draws
-        z = (sums[ends] - sums[begins]) / np.sqrt(np.maximum(n, 1))[:, None]
-        z = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
-        share = z / z.sum(axis=1, keepdims=True) if len(z) else z
-        best = share.argmax(axis=1) if len(z) else np.zeros(0, int)
-        return [model.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], np.where(n > 0, share[np.arange(len(best)), best], 0.0)
-
-    return score
+    code = F.create_map(*[F.lit(x) for pair in zip(langs, range(len(langs)), strict=True) for x in pair])
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < keep[F.col("lang")] * (1 << 20)).select(code[F.col("lang")].alias("lang"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            of = piece.column(0).to_numpy(zero_copy_only=False)
+            for lang in np.unique(of).tolist():
+                data, starts, ends, _ = _words(piece.column(1).filter(pa.array(of == lang)))
+                hashes, first, code, n = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+                found = [_summed(0, hashes, n)]
+                padded = _padded(data, starts[first], ends[first])
+                for k in range(1, longest + 1):
+                    grams, word = _grams(*padded, k)
+                    found.append(_summed(1, grams, n[word]))
+                kind, key, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(np.full(len(key), lang, np.int32)), pa.array(kind.astype(np.int32)), pa.array(key), pa.array(n)], ["lang", "kind", "key", "n"])
+
+    counted = sample.mapInArrow(run, "lang int, kind int, key long, n long")
+    per_term = counted.groupBy("kind", "key").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("lang") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(len(langs))])
+    got = per_term.where(F.col("total") >= least).toArrow()
+    kind, keys = got.column("kind").to_numpy(), got.column("key").to_numpy().view(np.uint64)
+    counts = np.stack([got.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(np.float64)
+
+    def table(k: int) -> Table:
+        own = np.flatnonzero(kind == k)
+        own = own[np.argsort(keys[own])]
+        n = counts[own] + 0.1
+        return Table(keys[own], np.log(n / n.sum(axis=0)).astype(np.float32))
+
+    return LanguageModel(tuple(langs), table(0), table(1), longest)
+
+
+def _unseen(model: LanguageModel, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the mean log frequency of its longest n-grams that were seen, lowered; the floor if none was."""
+    scores = np.full((len(starts), len(model.langs)), FLOOR)
+    left = np.arange(len(starts))
+    for n in range(model.longest, 0, -1):
+        if not len(left):
+            break
+        hashes, word = _grams(*_padded(data, starts[left], ends[left]), n)
+        rows = model.grams.rows(hashes)
+        word, rows = word[rows >= 0], rows[rows >= 0]
+        many = np.bincount(word, minlength=len(left))
+        for lang in range(len(model.langs)):
+            total = np.bincount(word, model.grams.scores[rows, lang], len(left))
+            scores[left[many > 0], lang] += total[many > 0] / many[many > 0]
+        left = left[many == 0]
+    return scores
+
+
+def score(model: LanguageModel, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Per text the language and the model's share for it."""
+    data, starts, ends, owner = _words(texts)
+    hashes, first, code = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    rows = model.words.rows(hashes)
+    table = np.zeros((len(hashes), len(model.langs)))
+    seen = rows >= 0
+    table[seen] = model.words.scores[rows[seen]]
+    table[~seen] = _unseen(model, data, starts[first[~seen]], ends[first[~seen]])
+    n = np.bincount(owner, minlength=len(texts))
+    z = np.stack([np.bincount(owner, table[code, lang], len(texts)) for lang in range(len(model.langs))], axis=1)
+    # the evidence of a text grows with the root of its words: they are not independent draws
+    z = z / np.sqrt(np.maximum(n, 1))[:, None]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    share = z / z.sum(axis=1, keepdims=True)
+    best = share.argmax(axis=1)
+    return [model.langs[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], np.where(n > 0, share[np.arange(len(best)), best], 0.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -137,12 +183,11 @@ def predict(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(shared.value)
         for piece in pieces(batches):
             if not shared.value.langs:
                 langs, scores = [UNKNOWN] * piece.num_rows, np.zeros(piece.num_rows)
             else:
-                langs, scores = score(piece.column(1))
+                langs, scores = score(shared.value, piece.column(1))
             yield pa.record_batch([piece.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["id", "lang_pred", "score"])
 
     kind = slim.schema["id"].dataType.simpleString()
