@@ -402,6 +402,63 @@ def test_extraction_edges(spark):
     assert [(r["page_id"], r["n_chars"]) for r in sorted(got.collect(), key=lambda r: (r["page_id"], r["n_chars"]))] == [(1, 0), (2, 0), (3, 4), (3, 4), (4, 299_999)]
 
 
+def test_no_text_of_an_article_is_lost():
+    long = "One long text, with commas, and more, and more, so that it counts, yes, and again, and again, so it is best, of all."
+    paper = f"<body><div><p>{long}</p><section id='discussion'><p>We discuss, at length, the outcome of this study, in words.</p><p>More, and more, of it.</p></section></div></body>"
+    assert html.main_text(paper).endswith("More, and more, of it.")
+    assert html.main_text("<article><header><h1>Title</h1></header><p>Text, and more.</p></article>") == "Title\n\nText, and more."
+    listed = "<article><p>Text, and more.</p><h2>References</h2><ol><li><a href=x>Doe, J. A study of things that are long. Journal, 2001.</a></li></ol><ul><li><a>Home</a></li><li><a>About</a></li></ul></article>"
+    assert html.main_text(listed).split("\n\n") == ["Text, and more.", "References", "Doe, J. A study of things that are long. Journal, 2001."]
+    assert html.main_text(f"<body><div><p>{long}</p></div><div><p>Short</p></div><div><p>{long}</p></div></body>") == f"{long}\n\nShort\n\n{long}"
+    for tag in ("noscript", "script", "iframe"):
+        assert html.main_text(f"<body><article><p>Before, yes.</p><div><{tag}>off</div><p>After, it goes on.</p></article></body>") == "Before, yes.\n\nAfter, it goes on.", tag
+    assert html.main_text(f"<body><div class='widget'><p>{long}</p></div></body>") == long
+
+
+def test_generated_pages_give_their_article_and_nothing_else():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    text = lambda a, b: " ".join(word() + ("," if rng.random() < 0.15 else "") for _ in range(rng.randint(a, b))).rstrip(",") + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href='/{word()}'>{word()}</a></li>" for _ in range(n)) + "</ul>"
+    noise = [
+        lambda: f"<nav>{links(6)}</nav>", lambda: f"<div class='ad-box ads'>{text(3, 40)}</div>", lambda: f"<aside><h3>{word()}</h3><p>{text(5, 30)}</p></aside>", lambda: f"<div id='cookie-consent'><p>{text(5, 25)}</p></div>",
+        lambda: f"<form><p>{text(2, 9)}</p><input name=q><button>Go</button></form>", lambda: f"<script>var x = '<p>{word()}</p>';</script>", lambda: "<style>p { margin: 0 }</style>", lambda: f"<!-- <p>{word()}</p> -->",
+        lambda: f"<section class='comments'>{''.join(f'<p>{text(5, 30)}</p>' for _ in range(rng.randint(1, 4)))}</section>", lambda: f"<div class='sidebar'>{links(3)}<p>{text(3, 20)}</p></div>",
+    ]
+    for trial in range(200):
+        blocks, inner = [], []
+        for _ in range(rng.randint(3, 12)):
+            kind = rng.choice(["p", "p", "p", "h2", "li", "inline", "noise"])
+            if kind == "noise":
+                inner.append(rng.choice(noise)())
+                continue
+            b = text(4, 60) if kind != "h2" else text(1, 5)[:-1]
+            blocks.append(b)
+            shown = b.replace(" ", "\n  ", 1) if rng.random() < 0.3 else b
+            inner.append(f"<ul><li>{shown}</li></ul>" if kind == "li" else f"<p>{shown[:2]}<b>{shown[2:]}</b></p>" if kind == "inline" else f"<{kind}>{shown}</{kind}>")
+        if not blocks:
+            continue
+        blocks.append(end := text(40, 60))
+        inner.append(f"<p>{end}")
+        tag = rng.choice(["article", "main", "div class='content'"])
+        before, after = ("".join(rng.choice(noise)() for _ in range(rng.randint(0, 4))) for _ in range(2))
+        page = f"<html><head><title>{word()}</title></head><body><header><p>{text(3, 9)}</p></header>{before}<{tag}>{''.join(inner)}</{tag.split()[0]}>{after}<footer><p>{text(5, 20)}</p></footer></body></html>"
+        assert html.main_text(page) == "\n\n".join(blocks), (trial, page)
+
+
+def test_pages_against_a_plain_version(spark):
+    import html as entities
+
+    def plain(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        inner = re.sub(r"<br>", " ", re.sub(r"<!--.*?-->", "", inner, flags=re.S))
+        return "\n\n".join(b for part in re.split(r"</?(?:p|h1)>", inner) if (b := " ".join(entities.unescape(re.sub(r"<[^>]*>", "", part)).split())))
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: plain(r["html"]) for r in pages.collect()}
+    assert {r["page_id"]: r["text"] for r in html.extract(pages).collect()} == want and len(want) == 250
+
+
 # 8. Quality
 
 

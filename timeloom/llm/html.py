@@ -7,6 +7,7 @@ ancestor's text lies in links; the best container and its siblings that read lik
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,41 +20,61 @@ from timeloom.llm.text import pieces
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^>]*\Z", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+_RAW = {"script", "style", "textarea", "title", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROPPED = {"aside", "button", "dialog", "footer", "form", "head", "header", "input", "menu", "nav", "object", "select", "svg", "canvas", "label", "audio", "video"} | _RAW
-_UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|adbox|banners?|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|disqus|discussion|feedback|footer|forms?|gdpr|header|hidden|login|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promos?|recommend(?:ed|ations)?|related|replies|respond|responses|search|shar(?:e|ing)|sidebars?|signup|skip|social|sponsor(?:ed|s)?|subscribe|tags|toolbar|topbar|widgets?)(?:$|[\s_-])",
-    re.I,
-)
+_DROPPED = set("aside audio button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object select svg template video".split()) | _RAW
+# Words in classes and ids that make an element doubtful. Most of its points are lost for the first ones,
+# half of them for the others, which articles use for parts of their own as well.
+_UNLIKELY = "ad ads advert adverts advertisement advertisements adbox banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus footer gdpr forms form hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos recommended recommendations related replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar topbar widget widgets"
+_DOUBTFUL = "discussion feedback header recommend tags"
+_WORDS = {**{w: 0.5 for w in _DOUBTFUL.split()}, **{w: 0.1 for w in _UNLIKELY.split()}}
+#: A doubtful element stays from so many points on, and links are taken for a menu up to so many characters each.
+_STAYS, _MENU = 3.0, 25
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
 _CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "score", "size", "linked")
+    """``trust``: what share of its points an element keeps; ``points``: those of all paragraphs in it, ``score``: those
+    that were passed to it; ``size``, ``linked`` and ``links``: characters, characters in links, number of links."""
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    __slots__ = ("tag", "parent", "parts", "dropped", "trust", "points", "score", "size", "linked", "links")
+
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, trust: float = 1.0):
+        self.tag, self.parent, self.dropped, self.trust = tag, parent, dropped, trust
         self.parts: list[_Node | str] = []
-        self.score, self.size, self.linked = 0.0, 0, 0
+        self.points, self.score, self.size, self.linked, self.links = 0.0, 0.0, 0, 0, 0
 
+    def within(self, *tags: str) -> bool:
+        up = self.parent
+        while up is not None and up.tag not in tags:
+            up = up.parent
+        return up is not None
 
-def _drops(tag: str, rest: str) -> bool:
-    if tag in _DROPPED:
-        return True
-    if tag in ("body", "html", "article", "main") or not rest.strip():
-        return False
+
+def _element(tag: str, parent: _Node, rest: str) -> _Node:
+    """A node; what is hidden, or no text of an article by its tag or role, is dropped, and doubtful words lower its trust."""
+    node = _Node(tag, parent, tag in _DROPPED)
+    if tag == "header" and not node.within("article", "main"):
+        node.dropped = True
+    if node.dropped or tag in ("body", "html", "article", "main") or not rest.strip():
+        return node
     for name, *values in _ATTRIBUTE.findall(rest):
         value, name = next((v for v in values if v), ""), name.lower()
-        if name in ("class", "id") and _UNLIKELY.search(value):
-            return True
+        if name in ("class", "id"):
+            node.trust = min([node.trust, *(_WORDS.get(w, 1.0) for w in re.split(r"[\s_-]+", value.lower()))])
         if name == "hidden" or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
+            node.dropped = True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            node.dropped = True
+    return node
+
+
+def _upwards(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
 
 
 def parse(page: str) -> _Node:
@@ -85,6 +106,9 @@ def parse(page: str) -> _Node:
             continue
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if close is None:  # never closed: it ends where what it stands in does
+                around = {tag for up in _upwards(node) if (tag := up.tag) != "#root"}
+                close = around and re.compile(rf"(?=</(?:{'|'.join(map(re.escape, around))})\s*>)", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if tag in _BLOCKS:
@@ -99,7 +123,7 @@ def parse(page: str) -> _Node:
                 up = up.parent
             if up.tag in _CLOSES_SELF[tag]:
                 node = up.parent or root
-        child = _Node(tag, node, _drops(tag, found[3]))
+        child = _element(tag, node, found[3])
         node.parts.append(child)
         if tag not in _VOID and not found[3].endswith("/"):
             node = child
@@ -108,37 +132,54 @@ def parse(page: str) -> _Node:
 
 def _measure(root: _Node) -> list[_Node]:
     """Set the sizes of all nodes bottom-up, give points to containers, and return the nodes in page order."""
-    order, todo = [], [root]
+    order, todo = [], [(root, 1.0)]
+    trusts = []
     while todo:
-        node = todo.pop()
+        node, trust = todo.pop()
         if node.dropped:
             continue
+        trust = min(trust, node.trust)
         order.append(node)
-        todo.extend(x for x in reversed(node.parts) if not isinstance(x, str))
+        trusts.append(trust)
+        todo.extend((x, trust) for x in reversed(node.parts) if not isinstance(x, str))
     for node in reversed(order):
         own = sum(len(x.strip()) for x in node.parts if isinstance(x, str))
         node.size += own
         if node.tag == "a":
-            node.linked = node.size
+            node.linked, node.links = node.size, 1
         if node.parent is not None:
             node.parent.size += node.size
             node.parent.linked += node.linked
-    for node in order:
+            node.parent.links += node.links
+    for node, trust in zip(order, trusts, strict=True):
         inline = own_text(node) if node.tag in ("p", "pre", "td", "blockquote", "li", "div", "section", "article") else ""
         if len(inline) < 2 or node.tag == "li" and node.linked > 0.5 * node.size:
             continue
-        points = 1 + inline.count(",") + min(len(inline) / 100, 3.0)
-        share = 1.0
+        node.points = 1 + inline.count(",") + min(len(inline) / 100, 3.0)
+        share = trust
         up = node if node.tag in ("div", "section", "article") else node.parent
         for level in range(1, 5):
             if up is None or up.tag in ("#root", "html"):
                 break
-            up.score += points * share
-            share = 1 / (2 * level)
+            up.score += node.points * share
+            share = trust / (2 * level)
             up = up.parent
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.points += node.points
     return order
 
 
+def doubted(node: _Node) -> bool:
+    """Whether an element goes for the words of its class or id: too few points are left of those of its paragraphs."""
+    return node.trust < 1 and node.points * (1 - density(node)) * node.trust < (_STAYS if node.trust > 0.1 else math.inf)
+
+
+def menu(node: _Node) -> bool:
+    """Whether a container is mostly links of a few words each."""
+    return node.tag in ("ul", "ol", "dl", "table", "div", "section", "header") and density(node) > 0.5 and node.linked <= _MENU * node.links
+
+
 def own_text(node: _Node) -> str:
     """The text of a node and its inline children, without blocks inside it."""
     out, todo = [], list(reversed(node.parts))
@@ -171,7 +212,7 @@ def _blocks(node: _Node, out: list[str]) -> None:
             close()
         elif isinstance(x, str):
             text.append(x)
-        elif x.dropped or x is not node and x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.size and density(x) > 0.5:
+        elif x.dropped or x is not node and (doubted(x) or menu(x)):
             close()
         elif x.tag in _BLOCKS:
             close()
@@ -197,25 +238,34 @@ def main_text(page: str | None) -> str:
             _blocks(body, out)
         return "\n\n".join(out)
     best, _, top = max(scored, key=lambda x: x[:2])
-    while top.parent is not None and top.tag not in ("article", "main", "body") and top.parent.tag == "article" and not top.parent.dropped:
-        top = top.parent
+    around = [up for up in _upwards(top.parent) if up.tag == "article" and not up.dropped]
+    if top.tag not in ("article", "main", "body") and around:
+        top = around[0]
     out = []
     parent = top.parent
     if top.tag == "body" or parent is None:
         _blocks(top, out)
         return "\n\n".join(out)
-    for x in parent.parts:
-        if isinstance(x, str):
-            continue
-        if x is top:
+    siblings = [x for x in parent.parts if not isinstance(x, str) and (x is top or not (x.dropped or doubted(x)))]
+    reads = [x is top or _reads_like(x, best, top.tag not in ("article", "main")) for x in siblings]
+    first, last = reads.index(True), len(reads) - 1 - reads[::-1].index(True)
+    for x, good in zip(siblings[first : last + 1], reads[first : last + 1], strict=True):
+        if good or x.tag in _BLOCKS and density(x) < 0.25 and not menu(x):  # short blocks between good ones belong to them
             _blocks(x, out)
-        elif not x.dropped and density(x) < 0.25:
-            text = own_text(x) if x.tag in ("p", "pre", "blockquote") else ""
-            if x.score * (1 - density(x)) >= max(10.0, 0.2 * best) or x.tag in ("p", "pre", "blockquote") and len(text) > 80:
-                _blocks(x, out)
     return "\n\n".join(out)
 
 
+def _reads_like(node: _Node, best: float, short: bool) -> bool:
+    """Whether a sibling of the best container is text of the same kind; ``short`` sentences count beside a container that
+    the page doesn't call its article."""
+    if density(node) >= 0.25:
+        return False
+    if node.score * (1 - density(node)) >= max(10.0, 0.2 * best):
+        return True
+    text = own_text(node) if node.tag in ("p", "pre", "blockquote") else ""
+    return len(text) > 80 or short and bool(re.search(r"[.!?…。]['\")\]]*$", text))
+
+
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_column: str = "html") -> DataFrame:
     """One row per page: the kept columns, ``text`` and ``n_chars`` (its code points).
 
