@@ -29,8 +29,8 @@ class JaccardJoin:
     """``shingle`` words a shingle; linked from ``percent`` / 100 similarity on.
 
     ``words`` and ``frequent`` bound the two tables of counts that every task gets (the most frequent words, and
-    shingles seen at least ``least`` times); ``block`` bounds the documents compared in one go. They steer cost, not
-    results.
+    shingles seen at least ``least`` times); ``block`` bounds the documents compared in one go, and ``volume`` their
+    shingles. They steer cost, not results.
     """
 
     shingle: int = 4
@@ -39,6 +39,7 @@ class JaccardJoin:
     frequent: int = 1 << 17
     least: int = 32
     block: int = 384
+    volume: int = 1 << 20
 
 
 #: Words or shingles that a task counts before it hands over what it has.
@@ -97,8 +98,21 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default)
     return np.where(keys[at] == wanted, values[at], default)
 
 
+def _most(counted: DataFrame, bound: int) -> pa.Table:
+    """The keys with the largest counts, at most ``bound``: a histogram of the counts tells from which count on. Nothing
+    is sorted, and the driver receives no more than the histogram and the keys."""
+    grade = F.floor(F.log2("n") * 64)
+    left, low = bound, None
+    for r in sorted(counted.groupBy(grade.alias("grade")).agg(F.count("*").alias("n"), F.min("n").alias("low")).collect(), key=lambda r: -r["grade"]):
+        left -= r["n"]
+        if left < 0:
+            break
+        low = r["low"]
+    return counted.where(F.col("n") >= low if low is not None else F.lit(False)).select("key", "n").toArrow()
+
+
 def _count(docs: DataFrame, rule: JaccardJoin) -> _Counts:
-    """Count all words, and all shingles that a task sees more than once; the tables that come to the driver are bounded."""
+    """Count all words, and all shingles that a task sees more than once, in one pass; the tables that come to the driver are bounded."""
     k = rule.shingle
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,15 +137,16 @@ def _count(docs: DataFrame, rule: JaccardJoin) -> _Counts:
                 yield from out()
         yield from out()
 
-    counted = docs.select("text").mapInArrow(run, "is_shingle boolean, key long, n long").groupBy("is_shingle", "key").agg(F.sum("n").alias("n"))
-    order = [F.desc("n"), "key"]
-    top = counted.where("not is_shingle and n > 1").orderBy(*order).limit(rule.words).select("key", "n").toPandas().sort_values("key")
-    grams = counted.where(f"is_shingle and n >= {rule.least}").orderBy(*order).limit(rule.frequent).select("key", "n").toPandas()
+    counted = checkpointed(
+        docs.select("text").mapInArrow(run, "is_shingle boolean, key long, n long").groupBy("is_shingle", "key").agg(F.sum("n").alias("n"))
+        .where(F.when(F.col("is_shingle"), F.col("n") >= rule.least).otherwise(F.col("n") > 1))
+    )
+    top, grams = (_most(counted.where(which), bound) for which, bound in (("not is_shingle", rule.words), ("is_shingle", rule.frequent)))
 
-    def by_hash(frame):
-        keys = frame["key"].to_numpy(np.int64).view(np.uint64)
+    def by_hash(table: pa.Table):
+        keys = table.column("key").to_numpy().view(np.uint64)
         by = np.argsort(keys)
-        return keys[by], frame["n"].to_numpy(np.float64)[by]
+        return keys[by], table.column("n").to_numpy().astype(np.float64)[by]
 
     keys, n = by_hash(top)
     total = max(float(n.sum()), 1.0)
@@ -255,7 +270,7 @@ def _compare(rule: JaccardJoin):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("pivot", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
         keys = np.stack([table.column(c).to_numpy() for c in ("pivot", "i", "j")])
-        nodes, texts = table.column("node").to_numpy(), table.column("text")
+        nodes, texts = table.column("doc_id").to_numpy(), table.column("text")
         cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
         left, right = [], []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -283,16 +298,13 @@ def components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), id_column: st
     slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     with short_shuffles(spark):
         prepared = checkpointed(_prepared(slim, rule, _count(slim, rule)))
-        with_words = prepared.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "node")
-        labels = _linked(slim, _meeting(prepared, rule.percent), with_words, rule)
-    own = prepared.select("doc_id", "n_shingles", "node")
-    # by sets, not by documents: a set may have a third of all documents
-    sets = own.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    labelled = sets.join(labels, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = labelled.join(least, "component").select("node", "component_id")
+        first = checkpointed(prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size")))
+        labels = _linked(slim, _meeting(prepared, rule.percent), first, rule)
+    # by sets, which go by their smallest id: a set may have a third of all documents
+    of_node = first.join(labels, F.col("first") == labels["node"], "left").select(first["node"], F.coalesce("component", "first").alias("component_id"))
     return (
-        own.join(of_node, "node", "left")
+        prepared.select("doc_id", "n_shingles", "node")
+        .join(of_node, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     )
 
@@ -321,29 +333,29 @@ def _with_blocks(meeting: DataFrame, rule: JaccardJoin) -> DataFrame:
 
     Only pivots of more than one block are repeated for each salt, so they are at most a share of salts / block of the rows.
     """
-    large = (
-        meeting.groupBy("pivot").agg(F.ceil(F.count("*") / rule.block).cast("int").alias("blocks"))
-        .where("blocks > 1")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    )
-    salted = meeting.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
-    return salted.join(large, ["pivot", "salt"], "left").select("pivot", "node", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    many = F.ceil(F.greatest(F.count("*") / rule.block, F.sum("size") / rule.volume)).cast("int")
+    large = meeting.groupBy("pivot").agg(many.alias("blocks")).where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salted = meeting.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    return salted.join(large, ["pivot", "salt"], "left").select("pivot", "doc_id", "size", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+
 
+def _linked(slim: DataFrame, meeting: DataFrame, first: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Components of the sets that meet, by exact comparison in pairs of blocks of about ``rule.block`` sets, or fewer long ones.
 
-def _linked(slim: DataFrame, meeting: DataFrame, with_words: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Components of the sets that meet, by exact comparison in pairs of blocks of at most about ``rule.block`` sets."""
-    first = with_words.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    A set goes by the smallest id of its documents, so the label of a component is its smallest id.
+    """
+    named = checkpointed(meeting.join(first, "node").select("pivot", F.col("first").alias("doc_id"), "size"))
+    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
-        _with_blocks(meeting, rule)
-        .join(first, "node")
-        .select("doc_id", "node", "pivot", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-        .select("doc_id", "node", "pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+        _with_blocks(named, rule)
+        .select("doc_id", "size", "pivot", block.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+        .select("doc_id", "size", "pivot", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
     )
-    bundles = max(1, math.ceil(dealt.count() / 1000))
+    total = dealt.agg(F.count("*").alias("rows"), F.sum("size").alias("size")).first()
+    bundles = max(1, math.ceil(total["rows"] / 1000), math.ceil((total["size"] or 0) / rule.volume))
     compared = (
         dealt.join(slim.where("doc_id is not null"), "doc_id")
-        .select("node", "pivot", "i", "j", "text", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(bundles)).alias("bundle"))
+        .select("doc_id", "pivot", "i", "j", "text", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(bundles)).alias("bundle"))
         .groupBy("bundle")
         .applyInArrow(_compare(rule), "a long, b long")
     )
