@@ -1,7 +1,7 @@
 """From raw documents to training ids: quality, near duplicates, benchmark passages, personal data, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the
-columns of ``documents``.
+columns of ``documents``. Nulls in any column, repeated rows and rows that share an id are allowed everywhere.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from timeloom.llm.session import checkpointed, table
 
 #: Near duplicates of the pipeline: five-word shingles, a similarity of 0.8.
 NEAR = jaccard.JaccardJoin(shingle=5, percent=80)
+#: A table of ids that is no longer than this is given to every task; a longer one is joined by a shuffle.
+BROADCAST = 100_000
+#: Where the numbers of rows begin that their id doesn't tell apart: ids are taken to be below.
+UNNAMED = 1 << 62
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,15 +27,40 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("quality_score >= 0.5").select(*docs.columns)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: the id, or for rows without one, and for ids that have several texts, a number made of id and text."""
+    digest = F.xxhash64("text")
+    several = checkpointed(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__several")).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("__several"))
+    number = F.lit(UNNAMED) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(UNNAMED - 1))
+    joined = docs.join(_small(several), F.col("doc_id") == F.col("__several"), "left")
+    return joined.withColumn("__row", F.when(F.col("doc_id").isNull() | F.col("__several").isNotNull(), number).otherwise(F.col("doc_id"))).drop("__several")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that are linked, the one with the smallest id; documents without an id stay."""
-    found = jaccard.components(docs, NEAR)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of linked ones: the one with the smallest id, else any one.
+
+    Of rows that repeat an id and a text one stays, and so of rows without an id that repeat a text. Texts without words
+    are no copies of each other: rows with them stay unless they repeat an id too.
+    """
+    rows = numbered(docs)
+    found = jaccard.components(rows, NEAR, id_column="__row")
+    kept = rows.join(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti")
+    named = "doc_id is not null or trim(text) <> ''"
+    again = checkpointed(rows.where(named).groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"))
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    again = _small(again)
+    repeated = kept.join(again, "__row", "left_semi")
+    one = repeated.where(named).dropDuplicates(["__row"])
+    return kept.join(again, "__row", "left_anti").unionByName(one).unionByName(repeated.where(f"not ({named})")).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
+    """Documents that hold no item of the benchmark; a row without an id goes by its own text."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
