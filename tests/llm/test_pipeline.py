@@ -37,11 +37,35 @@ def test_run_gives_what_the_stages_give(spark):
     assert sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, SF).collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Rows without texts, ids or both, repeated rows, and an id with two texts.
+ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a few plain words", None, "s", 17), (3, "a few plain words", None, "s", 17), (None, "no id at all here", None, None, 1)]
+
+
 def test_nulls_empty_and_repeated_rows_pass_through(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a few plain words", None, "s", 17), (3, "a few plain words", None, "s", 17), (None, "no id at all here", None, None, 1)]
-    docs = spark.createDataFrame(rows, schema)
     for _, stage in corpus_pipeline.STAGES:
-        docs.count()
-        assert stage(spark, spark.createDataFrame(rows, schema), SF) is not None
-        assert stage(spark, spark.createDataFrame([], schema), SF).count() == 0
+        assert stage(spark, spark.createDataFrame(ODD, SCHEMA), SF).count() <= len(ODD)
+        assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "other")
+    rows = [*ODD, (5, long, "a", "s", 1), (5, long, "b", "s", 1), (5, long, "a", "s", 1), (6, near, None, None, None), (None, near, None, None, None), (None, "no id at all here", "x", None, 2)]
+    rows += [(7, "first text of this id", None, None, 1), (7, long + " w60", None, None, 1), (7, "second text of this id", None, None, 1), (None, None, None, None, None), (None, None, None, None, None), (None, "", None, None, None), (1, None, "x", None, None)]
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()), key=repr)
+    want = [(1, None), (2, ""), (3, "a few plain words"), (5, long), (7, "first text of this id"), (7, "second text of this id"), (None, "no id at all here"), (None, None), (None, None), (None, "")]
+    assert got == sorted(want, key=repr)
+
+
+def test_no_contaminated_row_and_no_personal_data_stay_whatever_the_id(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [*ODD, (None, f"before {item} after", None, None, 1), (8, item, None, None, 1), (None, "mail me at someone@example.com now", None, None, 1), (3, "another text, call +1 555 123 4567 today", None, None, 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.benchmark_decontamination(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) == sorted(((i, t) for i, t, *_ in rows if not (t and item in t)), key=repr)
+    texts = {r["text"]: r["n_chars"] for r in corpus_pipeline.personal_data(spark, docs, SF).collect()}
+    assert "mail me at [EMAIL] now" in texts and "another text, call [PHONE] today" in texts and "a few plain words" in texts
+    assert all(n == (len(t) if t is not None else None) for t, n in texts.items())
+    ids = corpus_pipeline.sentencepiece_ids(spark, docs, SF).collect()
+    assert len(ids) == len(rows) and all(r["same"] for r in ids)
