@@ -382,6 +382,52 @@ def test_all_first_documents_of_a_run_are_listed(spark):
     assert got[1]["n_passages"] == 1 and got[1]["first_docs"] == [] and got[1]["removed_bytes"] == 0
 
 
+def test_repeats_against_a_plain_version(spark):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij éü") for _ in range(rng.randint(2, 8)))
+    own = lambda n: " ".join(word() for _ in range(n))
+    shared = [own(rng.randint(8, 60)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(shared) if rng.random() < 0.4 else own(rng.randint(1, 25)) for _ in range(rng.randint(1, 7)))) for i in range(60)]
+    rows += [rows[3], (100, None), (101, ""), (102, "ab" * 900), (103, "x " + "ab" * 800), (104, shared[0] * 3)]
+    rule = chunks.Chunking()
+    texts = {i: (t or "").encode() for i, t in rows}
+    at = {i: chunks.marks(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rule)[0].tolist() for i, t in texts.items()}
+    holders: dict = {}
+    for i in texts:
+        for a in at[i]:
+            holders.setdefault(texts[i][a : a + 100], set()).add(i)
+    got = {r["doc_id"]: r for r in chunks.repeats(docs(spark, rows)).collect()}
+    shared_spans = collections.Counter(s for t in texts.values() for s in {t[a : a + 100] for a in range(len(t) - 99)})
+    for i, t in texts.items():
+        spans = [a for a in at[i] if len(holders[t[a : a + 100]]) > 1]
+        later = [a for a in spans if min(holders[t[a : a + 100]]) < i]
+        cover = lambda starts: len(set().union(*(range(a, a + 100) for a in starts)) if starts else ())
+        assert (i in got) == bool(spans)
+        # wherever 40 neighbouring spans stand in another text too, one of them is found
+        both = [a for a in range(len(t) - 99) if shared_spans[t[a : a + 100]] > 1]
+        assert set(spans) <= set(both)
+        for a in both:
+            if set(range(a, a + 40)) <= set(both):
+                runs = [j for j in texts if j != i and t[a : a + 139] in texts[j]]
+                assert not runs or set(spans) & set(range(a, a + 40))
+        if spans:
+            gone = set().union(*(range(a, a + 100) for a in later)) if later else set()
+            assert got[i]["repeated_bytes"] == cover(spans) and got[i]["removed_bytes"] == cover(later)
+            assert got[i]["first_docs"] == sorted({min(holders[t[a : a + 100]]) for a in later})
+            assert got[i]["text"] == bytes(b for k, b in enumerate(t) if k not in gone).decode("utf-8", "ignore")
+    assert len(got) > 20
+
+
+def test_texts_of_one_id_and_rows_without_an_id_are_cut_by_their_own(spark):
+    rng = random.Random(16)
+    own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage, other = own(60), own(90)
+    rows = [(1, f"{own(5)} {passage} {own(5)}"), (2, other), (2, f"{own(40)} {passage}"), (None, f"{passage} {own(30)}"), (None, own(50)), (None, None), (1, None)]
+    got = [(r["doc_id"], r["text"]) for r in chunks.deduplicated(docs(spark, rows)).collect()]
+    assert len(got) == len(rows) and (2, other) in got and (None, None) in got and (None, rows[4][1]) in got
+    assert sum(passage[30:200] in (t or "") for _, t in got) == 1
+
+
 # 7. Pages
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.session import checkpointed, short_shuffles
+from timeloom.llm.session import checkpointed, numbered, short_shuffles
 from timeloom.llm.text import offsets_of, pieces, span_hashes
 
 #: A digest with more than _HOT rows is dealt to tasks by _SALTED rows.
@@ -165,52 +165,60 @@ def _covered(starts, passage: int):
     return size.cast("long"), (1 + F.size(F.filter(gaps, lambda g: g > passage))).cast("long")
 
 
+def _cut(raw: bytes, gone: list[int], passage: int) -> str:
+    """A text without the spans that begin at the sorted ``gone``; a character that an end splits goes as a whole."""
+    kept, done = [], 0
+    for a in gone:
+        kept.append(raw[done:a])
+        done = a + passage
+    return b"".join([*kept, raw[done:]]).decode("utf-8", "ignore")
+
+
+def _without(rows: DataFrame, rule: Chunking, text_column: str) -> DataFrame:
+    """``rows`` with the spans in their column ``__gone`` cut out of the text; that column goes."""
+    names = [c for c in rows.columns if c != "__gone"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, text_column):
+            gone = piece.column(piece.schema.get_field_index("__gone")).to_pylist()
+            columns = [piece.column(piece.schema.get_field_index(c)) for c in names]
+            at = names.index(text_column)
+            columns[at] = pa.array([_cut(t.encode(), g, rule.passage) if g and t is not None else t for t, g in zip(columns[at].to_pylist(), gone, strict=True)], pa.string())
+            yield pa.record_batch(columns, names)
+
+    return rows.mapInArrow(run, rows.drop("__gone").schema)
+
+
 def repeats(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document with a passage that stands in another one too: ``doc_id``, ``n_passages``,
-    ``repeated_bytes``, ``removed_bytes`` (of spans that a document with a smaller id has) and ``first_docs`` (sorted
-    ids of the first documents of all its spans, its own id left out).
+    """One row for each row with a passage that stands in another document too: ``doc_id``, ``n_passages``,
+    ``repeated_bytes``, ``removed_bytes`` (of spans that a document with a smaller id has), ``first_docs`` (sorted ids of
+    the first documents of all its spans, its own id left out) and ``text`` without the bytes removed.
 
     Every passage of ``passage + window - 1`` bytes is found and none of fewer than ``passage``; between them it is found
     if one of its spans is marked. Its bytes count from its first marked span to the end of its last.
 
-    Rows that share an id are taken for one document, and null ids and null or empty texts have no passages. Further
-    columns are ignored, and an empty table gives an empty result.
+    Rows that repeat an id and a text are one document. A row without an id, and each text of an id that has several, is a
+    document of its own, that goes by a number of 2**62 or more. Null and empty texts have no passages. Further columns
+    are ignored, and an empty table gives an empty result.
     """
-    found = repeated_spans(docs, rule, id_column, text_column)
+    rows = numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
+    found = repeated_spans(rows, rule, "__row", "text")
     later = F.col("first_doc") < F.col("doc_id")
-    per_doc = found.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("at")).alias("all"), F.array_sort(F.collect_set(F.when(later, F.col("at")))).alias("later"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("first_docs")
+    per_row = found.groupBy("doc_id").agg(
+        F.array_sort(F.collect_set("at")).alias("all"), F.array_sort(F.collect_set(F.when(later, F.col("at")))).alias("__gone"), F.array_sort(F.collect_set(F.when(later, F.col("first_doc")))).alias("first_docs")
     )
-    (size, n), (removed, _) = _covered(F.col("all"), rule.passage), _covered(F.col("later"), rule.passage)
-    return per_doc.select("doc_id", n.alias("n_passages"), size.alias("repeated_bytes"), removed.alias("removed_bytes"), "first_docs")
+    (size, n), (removed, _) = _covered(F.col("all"), rule.passage), _covered(F.col("__gone"), rule.passage)
+    counted = per_row.select(F.col("doc_id").alias("__row"), n.alias("n_passages"), size.alias("repeated_bytes"), removed.alias("removed_bytes"), "first_docs", "__gone")
+    return _without(rows.join(counted, "__row").drop("__row"), rule, "text").select("doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_docs", "text")
 
 
 def deduplicated(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, with all their columns, without the bytes of marked spans that documents with smaller ids have.
 
-    Spans are cut out of the UTF-8 bytes; a character that an end splits loses its other half too. Rows without
-    repeats, null texts and null ids stay as they are.
+    Spans are cut out of the UTF-8 bytes; a character that an end splits loses its other half too. The cases are those
+    of repeats(): each row is cut by its own text. Rows without repeats and null texts stay as they are.
     """
-    spans = repeated_spans(docs, rule, id_column, text_column).where(F.col("first_doc") < F.col("doc_id"))
-    gone = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set("at")).alias("__gone")).withColumnRenamed("doc_id", "__doc")
-    joined = docs.join(gone, F.col(id_column) == F.col("__doc"), "left").drop("__doc")
-    names = [c for c in joined.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text_column):
-            at = piece.schema.get_field_index(text_column)
-            out = []
-            for text, gone in zip(piece.column(at).to_pylist(), piece.column(names.index("__gone")).to_pylist(), strict=True):
-                if not gone or text is None:
-                    out.append(text)
-                    continue
-                raw = text.encode()
-                kept, done = [], 0
-                for a in gone:
-                    kept.append(raw[done:a])
-                    done = a + rule.passage
-                out.append(b"".join([*kept, raw[done:]]).decode("utf-8", "ignore"))
-            columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(piece.columns)]
-            yield pa.record_batch([c for c, n in zip(columns, names, strict=True) if n != "__gone"], [n for n in names if n != "__gone"])
-
-    return joined.mapInArrow(run, docs.schema)
+    rows = numbered(docs, id_column, text_column)
+    spans = repeated_spans(rows, rule, "__row", text_column).where(F.col("first_doc") < F.col("doc_id"))
+    gone = spans.groupBy(F.col("doc_id").alias("__row")).agg(F.array_sort(F.collect_set("at")).alias("__gone"))
+    return _without(rows.join(gone, "__row", "left").drop("__row"), rule, text_column).select(*[F.col(f"`{c}`") for c in docs.columns])

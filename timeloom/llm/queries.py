@@ -38,7 +38,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeats(table(spark, sf_dir, "documents"))
+    got = chunks.repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_docs", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,33 @@ from pyspark.sql import functions as F
 
 from timeloom.plans.materialise import checkpointed
 
-__all__ = ["checkpointed", "connected_components", "fold_column", "fold_of", "short_shuffles", "table"]
+__all__ = ["checkpointed", "connected_components", "fold_column", "fold_of", "numbered", "short_shuffles", "small", "table"]
+
+#: A table of keys that is no longer than this is given to every task; a longer one is joined by a shuffle.
+BROADCAST = 100_000
+#: Where the numbers of rows begin that their id doesn't tell apart: ids are taken to be below.
+UNNAMED = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that every task gets, if it is short enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with ``__row``: the id, or for rows without one, and for ids that have several texts, a number made of id and text."""
+    digest = F.xxhash64(text_column)
+    several = docs.where(F.col(id_column).isNotNull()).groupBy(F.col(id_column).cast("long").alias("__several")).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+    several = checkpointed(several.where("a <> b").select("__several"))
+    number = F.lit(UNNAMED) + F.xxhash64(id_column, text_column).bitwiseAND(F.lit(UNNAMED - 1))
+    joined = docs.join(small(several), F.col(id_column) == F.col("__several"), "left")
+    return joined.withColumn("__row", F.when(F.col(id_column).isNull() | F.col("__several").isNotNull(), number).otherwise(F.col(id_column).cast("long"))).drop("__several")
+
+
 @contextmanager
 def short_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of an action go when the action ends, instead of when the driver happens to collect its
