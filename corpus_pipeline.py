@@ -11,14 +11,10 @@ from pyspark.sql import functions as F
 
 from timeloom.llm import decontam, jaccard, pii, quality, sentencepiece
 from timeloom.llm.queries import TOKENIZER, trained_quality
-from timeloom.llm.session import checkpointed, table
+from timeloom.llm.session import checkpointed, numbered, small, table
 
 #: Near duplicates of the pipeline: five-word shingles, a similarity of 0.8.
 NEAR = jaccard.JaccardJoin(shingle=5, percent=80)
-#: A table of ids that is no longer than this is given to every task; a longer one is joined by a shuffle.
-BROADCAST = 100_000
-#: Where the numbers of rows begin that their id doesn't tell apart: ids are taken to be below.
-UNNAMED = 1 << 62
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +23,6 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.where("quality_score >= 0.5").select(*docs.columns)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST else df
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``: the id, or for rows without one, and for ids that have several texts, a number made of id and text."""
-    digest = F.xxhash64("text")
-    several = checkpointed(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__several")).agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("__several"))
-    number = F.lit(UNNAMED) + F.xxhash64("doc_id", "text").bitwiseAND(F.lit(UNNAMED - 1))
-    joined = docs.join(_small(several), F.col("doc_id") == F.col("__several"), "left")
-    return joined.withColumn("__row", F.when(F.col("doc_id").isNull() | F.col("__several").isNotNull(), number).otherwise(F.col("doc_id"))).drop("__several")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: the one with the smallest id, else any one.
 
@@ -53,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     again = checkpointed(rows.where(named).groupBy("__row").agg(F.count("*").alias("n")).where("n > 1").select("__row"))
     if again.isEmpty():
         return kept.select(*docs.columns)
-    again = _small(again)
+    again = small(again)
     repeated = kept.join(again, "__row", "left_semi")
     one = repeated.where(named).dropDuplicates(["__row"])
     return kept.join(again, "__row", "left_anti").unionByName(one).unionByName(repeated.where(f"not ({named})")).select(*docs.columns)
