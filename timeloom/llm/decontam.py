@@ -27,6 +27,8 @@ from timeloom.llm.text import offsets_of, pieces, shingles, span_hashes, words
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: Passages that walk side by side, and indexes that are searched in one pass over the documents.
 _SIDE_BY_SIDE, _TOGETHER = 1024, 8
+#: Spreads of items in which a passage must have enough before it walks; as many for any index.
+_SPREADS = 32
 _NO_ITEM = np.int64(1 << 40)
 _ENOUGH = 1 - 1e-6
 
@@ -82,12 +84,13 @@ class Statistics:
 class Index:
     """``terms`` are sorted hashes. The postings of all terms stand in one array in order of term and item: ``keys`` (term
     times items, plus item), what the term ``adds`` to the item, and ``block_most``, the most that it adds to any item
-    of the same block; those of term t end before ends[t]. ``largest`` is the most a term adds to any item, ``grams`` the
-    runs of words of each item's two parts."""
+    of the same block; those of term t end before ends[t]. ``largest`` is the most a term adds to any item, ``spread`` the
+    most in each of a few equal spreads of items, ``grams`` the runs of words of each item's two parts."""
 
     items: np.ndarray
     terms: np.ndarray
     largest: np.ndarray
+    spread: np.ndarray
     keys: np.ndarray
     ends: np.ndarray
     adds: np.ndarray
@@ -125,6 +128,8 @@ def build(ids: list[int], texts: list[str], rule: Contamination, known: Statisti
     most, largest = np.zeros(len(of_block)), np.zeros(len(terms))
     np.maximum.at(most, at, adds)
     np.maximum.at(largest, term, adds)
+    spread = np.zeros((len(terms), _SPREADS), np.float32)
+    np.maximum.at(spread, (term, item * _SPREADS // n_items), adds.astype(np.float32))
     grams = []
     for text in texts:
         both = []
@@ -133,7 +138,7 @@ def build(ids: list[int], texts: list[str], rule: Contamination, known: Statisti
             k = max(1, min(rule.gram, len(h)))
             both.append((k, np.unique(shingles(h, f, k)[0]), h))
         grams.append(tuple(both))
-    return Index(np.array(ids, np.int64), terms, largest, keys, np.searchsorted(term, np.arange(len(terms)), "right"), adds, most[at], tuple(grams), max(64, known.most))
+    return Index(np.array(ids, np.int64), terms, largest, spread, keys, np.searchsorted(term, np.arange(len(terms)), "right"), adds, most[at], tuple(grams), max(64, known.most))
 
 
 def wand(index: Index, term: np.ndarray, cuts: np.ndarray, block: int) -> list[tuple[int, int, float]]:
@@ -215,10 +220,17 @@ def search(index: Index, texts: pa.Array, rule: Contamination) -> list[tuple[int
     before = pairs // width - 1
     pairs = np.unique(np.concatenate([pairs, pairs[(before >= 0) & follows[before]] - width]))
     passage, term = pairs // width, pairs % width
-    # without a pivot from the start a passage never gets one
+    # where no spread of the items has enough, the walk would find nothing
     live = (np.bincount(passage, index.largest[term], len(text_of)) >= _ENOUGH) & ~lone_tail
     keep = live[passage]
     passage, term = passage[keep], term[keep]
+    begin = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]])) if len(passage) else np.zeros(0, np.int64)
+    for a in range(0, len(begin), _SIDE_BY_SIDE):
+        own = begin[a : a + _SIDE_BY_SIDE]
+        rows = term[own[0] : begin[a + _SIDE_BY_SIDE] if a + _SIDE_BY_SIDE < len(begin) else len(term)]
+        live[passage[own]] = np.add.reduceat(index.spread[rows], own - own[0]).max(axis=1) >= 1 - 1e-3
+    keep = live[passage]
+    passage, term = passage[keep], term[keep]
     numbers, begin = np.unique(passage, return_index=True)
     cuts = np.append(begin, len(passage))
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
