@@ -71,6 +71,46 @@ def test_every_known_sentence_is_looked_up_and_used():
             assert stem.search(sentence), sentence
 
 
+WHOLE = {
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "OFL-1.1": "// SPDX-License-Identifier: OFL-1.1",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_whole_license_texts(spark):
+    rows = [(i, f"Some words.\n{t}\nMore words.") for i, t in enumerate(WHOLE.values())] + [(50, MIT + '\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.')]
+    got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [got[i]["licenses"] for i in range(len(WHOLE))] == [[x] for x in WHOLE] and got[50]["licenses"] == ["MIT"]
+    assert got[50]["sentence_ids"] == ["mit-grant", "mit-notice", "mit-warranty"]
+
+
 def test_license_edges(spark):
     assert licenses.scan(clashing(spark)).count() == len(EDGES)
     assert licenses.scan(docs(spark, [])).count() == 0
@@ -536,6 +576,27 @@ def test_features_are_finite_and_independent_of_neighbours():
         assert np.allclose(quality.features(pa.array([t], pa.string()))[0], together[i])
 
 
+def test_features_against_a_plain_version():
+    texts = ["The END. Of, the (the) line!\n\nNEW line | x # é\n12 34 a a", "one", " \n ", "VERYLONGWORDINDEEDOFMORETHANTWENTY b!!\nb!!"]
+    got = quality.features(pa.array(texts))
+    for row, text in zip(got, texts, strict=True):
+        raw = text.encode()
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+        n, w, k = max(1, len(raw)), max(1, len(words)), max(1, len(lines))
+        kind = lambda c: "space" if c in b" \t\n\x0b\x0c\r" else "lower" if 97 <= c <= 122 else "upper" if 65 <= c <= 90 else "digit" if 48 <= c <= 57 else "punct" if c in b".,;:!?'\"()-" else "high" if c > 127 else "symbol"
+        shares = collections.Counter(kind(c) for c in raw)
+        has = lambda x, name: sum(kind(c) == name for c in x)
+        want = {
+            "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(words)), **{c: shares[c] / n for c in ("lower", "upper", "digit", "punct", "symbol", "high", "space")},
+            "mean_word": sum(map(len, words)) / w, "long_word": sum(len(x) > 20 for x in words) / w, "one_byte_word": sum(len(x) == 1 for x in words) / w, "distinct_words": len(set(words)) / w,
+            "repeat_next": sum(a == b for a, b in zip(words, words[1:])) / w, "shouted_words": sum(has(x, "upper") >= 2 and not has(x, "lower") for x in words) / w, "symbol_words": sum(has(x, "symbol") > 0 for x in words) / w,
+            "log_lines": np.log1p(len(lines)), "words_per_line": len(words) / k, "distinct_lines": len(set(lines)) / k, "ends_in_stop": sum(x.endswith(b".") for x in words) / w, "pipes": raw.count(b"|") / w,
+            "exclaims": raw.count(b"!") / w, "top_word": max(collections.Counter(words).values(), default=0) / w,
+        }
+        assert set(want) == set(quality.FEATURES)
+        assert np.allclose(row, [want[f] for f in quality.FEATURES], atol=1e-6), dict(zip(quality.FEATURES, row, strict=True))
+
+
 def test_quality_held_out_accuracy_and_edges(spark):
     path = "/root/testdata/sf0.01/"
     table = spark.read.parquet(path + "documents.parquet").join(spark.read.parquet(path + "labels.parquet"), "doc_id").withColumnRenamed("quality", "label")

@@ -6,6 +6,8 @@ is matched against an ordered list of rules, each of which names a licence and t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,31 @@ SENTENCES = {
     "distributed under the mit license": "mit-short",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-copy-basis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-disclaimer",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services": "bsd-liability",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-modify",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-modify",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-modify",
+    "either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
+    "without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-implied",
+    "see the gnu general public license for more details": "gpl-details",
+    "you should have received a copy of the gnu general public license along with this program": "gpl-received",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-form",
+    "and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-made",
+    "and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1-made",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-dedicated",
+    "provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "boost-grant",
+    "distributed under the boost software license version 1 0": "boost-short",
+    "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed": "wtfpl-copy",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "licensed under the isc license": "isc-short",
     "licensed under the gnu general public license version 2": "gpl2-short",
@@ -50,23 +76,37 @@ SENTENCES = {
     "licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync4-short",
     "released into the public domain": "public-domain",
     "free and unencumbered software released into the public domain": "unlicense",
+    "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
-    "spdx license identifier apache 2 0": "apache2-short",
-    "spdx license identifier mit": "mit-short",
-    "spdx license identifier gpl 3 0 only": "gpl3-short",
-    "spdx license identifier gpl 2 0 only": "gpl2-short",
-    "spdx license identifier bsd 3 clause": "bsd3-short",
 }
+# Identifiers of the licence list that texts name after "SPDX-License-Identifier:".
+SPDX = (
+    "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 "
+    "CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later "
+    "LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Ruby Unicode-DFS-2016 Unlicense UPL-1.0 W3C WTFPL Zlib"
+).split()
+SENTENCES |= {"spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower()): f"spdx-{x}" for x in SPDX}
 # Rules in the order in which they are tried; longer sequences stand before their parts.
 RULES = [
+    ("Apache-2.0", ("apache2-head", "apache2-use", "apache2-copy", "apache2-url", "apache2-basis", "apache2-see")),
+    ("Apache-2.0", ("apache2-head", "apache2-use", "apache2-copy-basis", "apache2-see")),
     ("Apache-2.0", ("apache2-head", "apache2-use", "apache2-copy")),
     ("Apache-2.0", ("apache2-short",)),
     ("Apache-2.0", ("apache2-head",)),
+    ("MIT", ("mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-short",)),
+    ("ISC", ("isc-grant", "isc-warranty")),
     ("ISC", ("isc-grant",)),
     ("ISC", ("isc-short",)),
+    ("GPL-2.0-or-later", ("gpl-modify", "gpl2-later", "gpl-warranty", "gpl-implied", "gpl-details", "gpl-received")),
+    ("GPL-3.0-or-later", ("gpl3-modify", "gpl-warranty", "gpl-implied", "gpl-details", "gpl-received")),
+    ("GPL-3.0-or-later", ("gpl3-modify",)),
+    ("AGPL-3.0-or-later", ("agpl3-modify",)),
+    ("LGPL-2.1-or-later", ("lgpl-modify", "lgpl21-later")),
+    ("LGPL-3.0-or-later", ("lgpl-modify", "gpl3-later")),
+    ("LGPL", ("lgpl-modify",)),
     ("GPL-2.0-or-later", ("gpl-modify", "gpl2-later")),
     ("GPL-3.0-or-later", ("gpl-modify", "gpl3-later")),
     ("GPL-2.0-only", ("gpl2-short",)),
@@ -74,11 +114,22 @@ RULES = [
     ("LGPL-3.0-only", ("lgpl3-short",)),
     ("AGPL-3.0-only", ("agpl3-short",)),
     ("GPL", ("gpl-modify",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-disclaimer", "bsd-liability")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer", "bsd-liability")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd3-short",)),
     ("BSD-2-Clause", ("bsd2-short",)),
+    ("MPL-2.0", ("mpl2-form",)),
     ("MPL-2.0", ("mpl2-short",)),
+    ("EPL-2.0", ("epl2-made",)),
+    ("EPL-1.0", ("epl1-made",)),
+    ("Zlib", ("zlib-warranty", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSL-1.0", ("boost-grant",)),
+    ("BSL-1.0", ("boost-short",)),
+    ("WTFPL", ("wtfpl-copy",)),
+    ("CC0-1.0", ("cc0-dedicated",)),
     ("CC-BY-4.0", ("ccby4-short",)),
     ("CC-BY-SA-4.0", ("ccbysa4-short",)),
     ("CC-BY-ND-4.0", ("ccbynd4-short",)),
@@ -88,11 +139,14 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("LicenseRef-public-domain", ("public-domain",)),
     ("LicenseRef-proprietary", ("reserved",)),
+    *((x, (f"spdx-{x}",)) for x in SPDX),
 ]
 #: Every known sentence has one of these stems; a sentence without any is not looked up.
-STEMS = "licen[sc]|permi|redistrib|warrant|copyright|reserved|public domain|terms of|any later version"
+STEMS = r"licen[sc]|permi|redistrib|warrant|copyright|reserved|public\s+domain|terms\s+of|any\s+later\s+version"
 #: A subject in front of a known sentence is no part of it.
 SUBJECT = "^(this|the) (work|software|file|project|program|document|code|library|page|text) (is |was |has been )?|^(it )?is "
+#: The mark of a licence's identifier is one sentence with what follows it.
+MARK = "(?i)(spdx-license-identifier):"
 _BREAK = r"([.!?;:])[ \t\r\f]+"
 _WRAP = r"[ \t\r\n\f]+"
 
@@ -118,7 +172,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     lists and 0. Repeated rows are read one by one and further columns are ignored.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    text = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), MARK, "$1")
     none = F.array().cast("array<string>")
     likely = F.lower(text).rlike(STEMS)
     both = docs.select(

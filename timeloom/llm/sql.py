@@ -34,7 +34,7 @@ def licences_sql() -> str:
         query = f"""SELECT doc_id, ids, n_unknown, replace(left_over, {seq}, '|') AS left_over,
             CASE WHEN contains(left_over, {seq}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found FROM ({query})"""
     return f"""WITH known(s, id) AS (VALUES {known}),
-        likely AS (SELECT doc_id, text FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {_quoted(licenses.STEMS)})),
+        likely AS (SELECT doc_id, regexp_replace(text, {_quoted(licenses.MARK)}, '\\1', 'g') AS text FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {_quoted(licenses.STEMS)})),
         {reading("plain", "text").strip()},
         {reading("joined", "regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g')").strip()}
         SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') AS licenses, n_unknown FROM ({query})"""
