@@ -717,6 +717,12 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_very_large_and_small_vectors_link_by_their_direction(spark):
+    rows = [(1, [1e200, 2e200, 0.0]), (2, [1e-200, 2e-200, 0.0]), (3, [1.0, 2.0, 0.0]), (4, [0.0, 0.0, 5e-324]), (5, [0.0, 1e-30, 1.0]), (6, [-1.0, -2.0, 0.0]), (6, [-1.0, -2.0, 0.0]), (None, [1.0, 2.0, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), None: (0, None, False)}
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 20))

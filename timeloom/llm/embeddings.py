@@ -25,6 +25,7 @@ _SLACK = 1e-9
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Unit vectors, int8 codes (as float32), the scale of the codes, the lengths of what codes stand for, and of the rest."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of what is left neither overflow nor vanish altogether
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     scale = np.abs(x).max(axis=1) / 127
     codes = np.rint(x / scale[:, None]).astype(np.int8)
@@ -44,7 +45,9 @@ def linked_pairs(a: tuple, b: tuple, threshold: float) -> tuple[np.ndarray, np.n
     (xa, ca, sa, na, ea), (xb, cb, sb, nb, eb) = a, b
     # |cosine - estimate| <= na * eb + ea * nb + ea * eb, here for the largest values of the other tile
     room = threshold - (na * eb.max() + ea * nb.max() + ea * eb.max()) - _SLACK
-    i, j = np.nonzero(_product(ca, cb) * sb[None].astype(np.float32) >= (room / sa * (1 - 1e-6) - 1e-6)[:, None].astype(np.float32))
+    bar = room / sa
+    bar -= 1e-6 * (1 + np.abs(bar))  # for the rounding of float32, whatever the sign
+    i, j = np.nonzero(_product(ca, cb) * sb[None].astype(np.float32) >= bar[:, None].astype(np.float32))
     sharp = (ca[i] * cb[j]).sum(axis=1, dtype=np.float64) * sa[i] * sb[j] if len(i) < 100_000 else None
     if sharp is not None:
         may = sharp + na[i] * eb[j] + ea[i] * nb[j] + ea[i] * eb[j] >= threshold - _SLACK
