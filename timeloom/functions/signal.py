@@ -67,3 +67,49 @@ def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
     return F.transform(logits, lambda x: F.exp(x - top) / total)
+
+
+def pooled(frames: Column) -> Column:
+    """The mean of frames (arrays of one length), place by place."""
+    n = F.size(frames)
+    first = F.transform(frames[0], lambda x: F.lit(0.0))
+    return F.transform(F.aggregate(frames, first, lambda acc, f: F.zip_with(acc, f, lambda a, b: a + b)), lambda x: x / n)
+
+
+def energy_summary(energy: Column) -> list[Column]:
+    """Aggregates of frame energies: the peak, and the 25th and 70th percentile."""
+    return [F.max(energy).alias("peak"), F.round(F.percentile(energy, 0.25), 6).alias("p25"), F.round(F.percentile(energy, 0.7), 6).alias("p70")]
+
+
+def capped(samples: Column, most: float = 0.84) -> Column:
+    """Samples scaled down so that the loudest is at ``most``; quieter ones stay as they are."""
+    peak = F.array_max(F.transform(samples, lambda x: F.abs(x)))
+    return F.when(peak > most, F.transform(samples, lambda x: x * most / peak)).otherwise(samples)
+
+
+def without_holes(samples: Column, tone: Column, least: int) -> Column:
+    """Samples with every run of at least ``least`` zeros filled by the tone, over and over; shorter runs stay.
+
+    A run is told by where it ends: a zero belongs to the last sample that isn't one, and the run behind that sample is as
+    long as the way to the next one.
+    """
+    size = F.size(samples)
+    loud = F.filter(F.transform(samples, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    edges = F.concat(F.array(F.lit(-1)), loud, F.array(size))
+    holes = F.filter(F.zip_with(F.slice(edges, F.lit(1), F.size(edges) - 1), F.slice(edges, F.lit(2), F.size(edges) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda h: h["b"] - h["a"] - 1 >= least)
+    fill = lambda i: F.get(tone, ((i - F.array_max(F.transform(F.filter(holes, lambda h: h["a"] < i), lambda h: h["a"])) - 1) % F.size(tone)).cast("int"))
+    return F.transform(samples, lambda x, i: F.when((x == 0) & F.exists(holes, lambda h: (h["a"] < i) & (i < h["b"])), fill(i)).otherwise(x))
+
+
+def resampled(samples: Column, rate: int, wanted: int = 16_000) -> Column:
+    """Samples of one rate at another, by straight lines between neighbours."""
+    n = F.size(samples)
+    count = F.floor(n * wanted / rate).cast("int")
+
+    def at(i: Column) -> Column:
+        place = i * (rate / wanted)
+        low = F.least(F.floor(place).cast("int"), n - 1)
+        high = F.least(low + 1, n - 1)
+        return F.get(samples, low) + (F.get(samples, high) - F.get(samples, low)) * (place - low)
+
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(F.array().cast("array<double>"))

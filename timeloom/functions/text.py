@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,11 +38,11 @@ def trimmed(text: Column) -> Column:
 
 
 def han_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^一-鿿]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, "[一-鿿]++", ""))
 
 
 def latin_count(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]++", ""))
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -61,8 +63,9 @@ def phrase_loop(text: Column) -> Column:
 
 
 def few_symbols(text: Column) -> Column:
-    """At least eight characters, of at most two kinds."""
-    return (F.length(text) >= 8) & (F.size(F.array_distinct(F.split(text, ""))) <= 2)
+    """At least eight characters, of at most two kinds: nothing is left without the first one and the first of the others."""
+    others = F.replace(text, F.substring(text, 1, 1), F.lit(""))
+    return (F.length(text) >= 8) & (F.replace(others, F.substring(others, 1, 1), F.lit("")) == "")
 
 
 def foreign(text: Column) -> Column:
@@ -158,8 +161,8 @@ def without_thoughts(text: Column) -> Column:
 def json_payload(text: Column, key: str | None = None, tries: int = 12) -> Column:
     """The first JSON document in a noisy text, as a string; NULL if none parses.
 
-    Thought blocks and code fences go first; then a parse is tried from each of the first opening brackets to the last
-    closing bracket of its kind. With a key, an object without it is passed over; arrays are taken.
+    Thought blocks and code fences go first; then a parse is tried from each of the first ``tries`` opening brackets (as many
+    as the rule has it) to the last closing bracket of its kind. With a key, an object without it is passed over; arrays are taken.
     """
     clean = F.regexp_replace(without_thoughts(text), r"(?m)^\s*```[a-zA-Z]*\s*$", "")
     heads = F.slice(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clean))), lambda i: F.substring(clean, i, F.lit(1)).isin("{", "[")), 1, tries)
@@ -260,3 +263,70 @@ def same_title(a: Column, b: Column) -> Column:
     x, y = bare_title(a), bare_title(b)
     plain = (x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)))
     return F.when(plain, True).otherwise(similarity(a, b) >= 0.8)
+
+
+def title_of_drama(text: Column, skip: str, bracketed: str = r"[《【「『][^》】」』]{4,30}[》】」』]") -> Column:
+    """Whether a line is the title of a story: 4 to 30 characters in brackets, or a superlative of 6 to 28 characters; never
+    one that matches ``skip``."""
+    raw = trimmed(F.coalesce(text, F.lit("")))
+    return (raw != "") & ~raw.rlike(skip) & (raw.rlike(bracketed) | (F.contains(raw, F.lit("最")) & F.length(raw).between(6, 28)))
+
+
+def aspect_differs(source: Column, wanted: Column) -> Column:
+    """Whether two aspect labels differ; one that is missing differs from nothing."""
+    return F.coalesce((trimmed(source) != "") & (trimmed(wanted) != "") & (trimmed(source) != trimmed(wanted)), F.lit(False))
+
+
+def canonical_name(name: Column, aliases: dict[str, str], known: tuple[str, ...]) -> Column:
+    """A name under its present form; NULL if it is none of the known ones."""
+    now = F.coalesce(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])[name], name) if aliases else name
+    return F.when(now.isin(*known), now)
+
+
+def topic_list(raw: Column) -> Column:
+    """Topics given as a list in JSON, as such a list inside a string of a list, or as plain text; empty ones are left out."""
+    listed = lambda c: F.when(F.startswith(c, F.lit("[")), F.from_json(c, "array<string>"))
+    text = trimmed(F.coalesce(raw, F.lit("")))
+    outer = F.coalesce(listed(text), F.array(text))
+    inner = F.when(F.size(outer) == 1, listed(trimmed(F.try_element_at(outer, F.lit(1)))))
+    return F.filter(F.transform(F.coalesce(inner, outer), trimmed), lambda t: F.coalesce(t != "", F.lit(False)))
+
+
+def mentions(message: Column, marks: tuple[str, ...]) -> Column:
+    """Whether a message holds one of the marks that tell its kind."""
+    return reduce(lambda a, b: a | b, [F.contains(F.coalesce(message, F.lit("")), F.lit(m)) for m in marks])
+
+
+def light(ok: Column, needed: Column) -> Column:
+    """ok, red for what is needed and isn't, yellow for what isn't needed."""
+    return F.when(ok, "ok").when(needed, "red").otherwise("yellow")
+
+
+def plain_message(message: Column, most: int = 800) -> Column:
+    """A message without its traceback, at most so many characters; the last one tells that there was more."""
+    raw = trimmed(F.substring_index(F.coalesce(message, F.lit("")), "\nTraceback", 1))
+    return F.when(F.length(raw) > most, F.concat(F.substring(raw, 1, most - 1), F.lit("…"))).otherwise(raw)
+
+
+def mail_error(message: Column, code: Column) -> Column:
+    """The kind of a mail server's error: a login that was refused, a connection that closed, or the message itself."""
+    text = trimmed(F.coalesce(message, F.lit("")))
+    return F.when((F.coalesce(code, F.lit(0)) == 535) | F.contains(text, F.lit("535")) | F.contains(text, F.lit("Login fail")), F.concat(F.lit("login refused (535): "), text)).when(F.contains(F.lower(text), F.lit("unexpectedly closed")), "connection closed during login").otherwise(text)
+
+
+def made_by_another(segments: Column, made: Column, wanted: Column) -> Column:
+    """Whether a transcript is out of date: it has no segments, or the name of the wanted model isn't in what made it."""
+    short = F.lower(F.substring_index(wanted, "/", -1))
+    return (F.coalesce(F.size(segments), F.lit(0)) <= 0) | ~F.contains(F.lower(F.coalesce(made, F.lit(""))), short)
+
+
+def page_ready(title: Column, body: Column, detail: Column, videos: Column, failed: str, loading: str, shells: tuple[str, ...]) -> Column:
+    """Whether a page has loaded: with its detail or its error it has; while it says that it loads it hasn't; else it has a
+    title, and without a video one that isn't the empty shell's."""
+    name, text = trimmed(F.coalesce(title, F.lit(""))), F.coalesce(body, F.lit(""))
+    return F.when(detail.isNotNull() | F.contains(text, F.lit(failed)), True).when(F.contains(text, F.lit(loading)), False).when(F.coalesce(videos, F.lit(0)) > 0, name != "").otherwise((name != "") & ~name.isin(*shells))
+
+
+def without_prefixes(name: Column, prefixes: tuple[str, ...]) -> Column:
+    """A name without any of the prefixes, however many stand in front."""
+    return F.regexp_replace(name, "^(?:" + "|".join(p.replace(".", r"\.") for p in prefixes) + ")+", "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
-from timeloom.operators.intervals import overlaps
+from timeloom.operators.intervals import bucketed_overlap
 
 _BEAT = "action string, adults string, children string, has_text boolean, cells array<struct<t:string,see:string>>, unsure array<string>"
 
@@ -28,21 +28,24 @@ def failed(raw: Column, error: Column) -> Column:
     return F.coalesce(raw, F.lit("")).eqNullSafe("") | (F.coalesce(error, F.lit("")) != "")
 
 
-def flags(windows: DataFrame, cuts: DataFrame, speech: DataFrame, texts: DataFrame, key: str, margin: int = 40) -> DataFrame:
+def flags(windows: DataFrame, cuts: DataFrame, speech: DataFrame, texts: DataFrame, key: str, margin: int = 40, width: int = 3_600_000) -> DataFrame:
     """Windows (key, ord, t0, t1, adults, children, has_text, error) with what speaks for another look: a hard cut inside,
     other people than before, two lines of speech or more, text seen but not read or read but not seen. An error stands alone."""
     w = Window.partitionBy(key).orderBy("ord")
     people = F.col("adults") + F.coalesce("children", F.lit(0))
     rows = windows.withColumn("__changed", people != F.lag(people).over(w))
 
-    def counted(other: DataFrame, name: str, on: Column) -> DataFrame:
-        o = other.select(*[F.col(c).alias(f"__{c}") for c in other.columns])
-        return windows.join(o, (F.col(key) == F.col(f"__{key}")) & on).groupBy(key, "ord").agg(F.count("*").alias(name))
+    spans = windows.select(key, "ord", "t0", "t1")
+    inner = windows.select(key, "ord", (F.col("t0") + margin + 1).alias("t0"), (F.col("t1") - margin).alias("t1"))
+    points = cuts.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"))
+
+    def counted(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        pairs = bucketed_overlap(mine, other.select(key, "t0", "t1"), key, width)
+        return pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("l_ord").alias("ord")).agg(F.count("*").alias(name))
 
-    span = overlaps(F.col("t0"), F.col("t1"), F.col("__t0"), F.col("__t1"))
     joined = rows
-    for other, name, on in ((cuts, "n_cuts", (F.col("__t") > F.col("t0") + margin) & (F.col("__t") < F.col("t1") - margin)), (speech, "n_speech", span), (texts.where("trim(text) <> ''"), "n_texts", span)):
-        joined = joined.join(counted(other, name, on), [key, "ord"], "left")
+    for mine, other, name in ((inner, points, "n_cuts"), (spans, speech, "n_speech"), (spans, texts.where("trim(text) <> ''"), "n_texts")):
+        joined = joined.join(counted(mine, other, name), [key, "ord"], "left")
     n = lambda c: F.coalesce(c, F.lit(0))
     tests = ((n("n_cuts") > 0, "cut"), (F.col("__changed"), "people"), (n("n_speech") >= 2, "speech"), ((n("n_texts") > 0) != F.coalesce("has_text", F.lit(False)), "text"))
     found = F.filter(F.array(*[F.when(t, F.lit(name)) for t, name in tests]), lambda x: x.isNotNull())

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions import text as tx
 from timeloom.operators.sequences import anchored_clusters
 
 # Weights of the reasons for a boundary (any other reason counts 1), and the roles they have.
@@ -28,6 +29,17 @@ def candidates(signals: DataFrame, key: str, end: str | None = None, edge: int =
     return inside.groupBy(key, "t").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def title_changes(titles: DataFrame, key: str) -> DataFrame:
+    """(key, t) where fewer than half of the lines of a title (key, t, text) are like any line of the title before it. Lines
+    are like each other if they are the same title, as reading jitters; empty ones don't count."""
+    lines = titles.select(key, "t", tx.bare_title(F.col("text")).alias("text")).where("text <> ''")
+    blocks = lines.groupBy(key, "t").agg(F.array_sort(F.collect_set("text")).alias("lines"))
+    before = blocks.withColumn("old", F.lag("lines").over(Window.partitionBy(key).orderBy("t"))).where("old is not null")
+    pairs = before.select(key, "t", F.explode("lines").alias("line"), "old").select(key, "t", "line", F.explode("old").alias("o"))
+    like = pairs.withColumn("same", tx.same_title(F.col("line"), F.col("o"))).groupBy(key, "t", "line").agg(F.bool_or("same").alias("same"))
+    return like.groupBy(key, "t").agg(F.count_if("same").alias("hits"), F.count("*").alias("n")).where("hits * 2 < n").select(key, "t")
+
+
 def story_signals(cuts: DataFrame, speech: DataFrame, windows: DataFrame, titles: DataFrame, ends: DataFrame, key: str = "job_id") -> DataFrame:
     """The five signals of a film as (key, t, reason): cuts (after the last speech they are tail cuts), changes of the
     number of people, pauses of speech (at their middle), changes of the title, and a tail without speech.
@@ -42,9 +54,7 @@ def story_signals(cuts: DataFrame, speech: DataFrame, windows: DataFrame, titles
     people = people.withColumn("q", F.lag("p").over(by_order)).where("p <> q").select(key, "t", F.lit("people").alias("reason"))
     by_start = Window.partitionBy(key).orderBy("t0", "t1")
     pauses = speech.withColumn("e", F.lag("t1").over(by_start)).where("t0 - e >= 350").select(key, F.floor((F.col("t0") + F.col("e")) / 2).alias("t"), F.lit("gap").alias("reason"))
-    blocks = titles.groupBy(key, "t").agg(F.array_sort(F.collect_set("text")).alias("lines"))
-    before = blocks.withColumn("old", F.lag("lines").over(Window.partitionBy(key).orderBy("t")))
-    changed = before.where(F.col("old").isNotNull() & (F.size(F.array_intersect("lines", "old")) * 2 < F.size("lines"))).select(key, "t", F.lit("title").alias("reason"))
+    changed = title_changes(titles, key).select(key, "t", F.lit("title").alias("reason"))
     silent = ends.join(last, key).where("duration - __last >= 400").select(key, F.col("__last").alias("t"), F.lit("tail-silent").alias("reason"))
     return reduce(DataFrame.unionByName, [x.withColumn("t", F.col("t").cast("long")) for x in (hard, people, pauses, changed, silent)])
 

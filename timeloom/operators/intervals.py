@@ -41,16 +41,29 @@ def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, width: int, ho
 
 
 def touching(left: DataFrame, right: DataFrame, key: str, anti: bool = False) -> DataFrame:
-    """The left spans that some right span of their timeline overlaps, or with ``anti`` those that none does."""
-    b = right.select(F.col(key).alias("__k"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1"))
-    on = (F.col(key) == F.col("__k")) & overlaps(F.col("t0"), F.col("t1"), F.col("__t0"), F.col("__t1"))
-    return left.join(b, on, "left_anti" if anti else "left_semi")
+    """The left spans that some right span of their timeline overlaps, or with ``anti`` those that none does.
+
+    One sorted pass over both sides, however many spans a timeline has: of the right spans that begin by then the latest
+    end, and of the others the first begin tell it. A span that doesn't end after it begins touches nothing.
+    """
+    w = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
+    marks = right.where("t0 < t1").select(F.col(key), F.col("t0").alias("__at"), F.lit(0).alias("__side"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1"))
+    spans = left.withColumn("__at", F.col("t0")).withColumn("__side", F.lit(1))
+    both = spans.unionByName(marks, allowMissingColumns=True)
+    # of spans that begin at or before this one, the latest end; of those that begin after it, the first begin
+    found = both.withColumn("__end", F.max("__t1").over(w)).withColumn("__next", F.min("__t0").over(ahead)).where("__side = 1")
+    hit = (F.col("t0") < F.col("t1")) & (F.coalesce(F.col("t0") < F.col("__end"), F.lit(False)) | F.coalesce(F.col("__next") < F.col("t1"), F.lit(False)))
+    return found.where(~hit if anti else hit).select(*left.columns)
 
 
 def holding_point(spans: DataFrame, points: DataFrame, key: str, margin: int = 40) -> DataFrame:
-    """The spans that hold a point further than ``margin`` ms from both ends."""
-    p = points.select(F.col(key).alias("__k"), F.col("t").alias("__t"))
-    return spans.join(p, (F.col(key) == F.col("__k")) & (F.col("__t") > F.col("t0") + margin) & (F.col("__t") < F.col("t1") - margin), "left_semi")
+    """The spans that hold a point further than ``margin`` ms from both ends: one sorted pass, as for touching()."""
+    ahead = Window.partitionBy(key).orderBy("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
+    marks = points.select(F.col(key), (F.col("t") - margin).alias("__at"), F.lit(0).alias("__side"), F.col("t").alias("__t"))
+    both = spans.withColumn("__at", F.col("t0")).withColumn("__side", F.lit(-1)).unionByName(marks, allowMissingColumns=True)
+    found = both.withColumn("__next", F.min("__t").over(ahead)).where("__side = -1")
+    return found.where(F.col("__next") < F.col("t1") - margin).select(*spans.columns)
 
 
 def owners(items: DataFrame, spans: DataFrame, key: str, item: str, span: str, least: int = 50, width: int = 3_600_000) -> DataFrame:
@@ -61,14 +74,20 @@ def owners(items: DataFrame, spans: DataFrame, key: str, item: str, span: str, l
 
 
 def tiered(clips: DataFrame, windows: DataFrame, key: str, clip: str, window: str, width: int = 3_600_000) -> DataFrame:
-    """Per clip the windows of its best tier: overlaps of at least 45 % of the clip (400 to 1000 ms), else the one that overlaps most."""
+    """Per clip the windows of its best tier, overlaps of 10 ms or less left out.
+
+    The first tier are windows of the clip's own part of the story that overlap it by at least 45 % of its length (400 to
+    1000 ms), the second any windows of that part, the third the one window that overlaps most. A window is of another part
+    if it begins over 200 ms before the clip, or over 400 ms into it and ends over 200 ms after it.
+    """
     pairs = bucketed_overlap(clips.select(key, clip, "t0", "t1"), windows.select(key, window, "t0", "t1"), key, width)
-    pairs = pairs.select(F.col(f"l_{key}").alias(key), F.col(f"l_{clip}").alias(clip), F.col(f"r_{window}").alias(window), overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")).alias("shared"), (F.col("l_t1") - F.col("l_t0")).alias("span"))
+    own = (F.col("r_t0") >= F.col("l_t0") - 200) & ~((F.col("r_t1") > F.col("l_t1") + 200) & (F.col("r_t0") > F.col("l_t0") + 400))
+    pairs = pairs.select(F.col(f"l_{key}").alias(key), F.col(f"l_{clip}").alias(clip), F.col(f"r_{window}").alias(window), overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")).alias("shared"), F.greatest(F.lit(400), F.col("l_t1") - F.col("l_t0")).alias("span"), own.alias("own")).where("shared > 10")
     need = F.least(F.lit(1000), F.greatest(F.lit(400), F.bround(F.col("span") * 45 / 100)))
-    tier = pairs.withColumn("tier", F.when(F.col("shared") >= need, 1).otherwise(3))
+    tier = pairs.withColumn("tier", F.when(F.col("own") & (F.col("shared") >= need), 1).when(F.col("own"), 2).otherwise(3))
     best = Window.partitionBy(key, clip)
     ranked = tier.withColumn("best", F.min("tier").over(best)).withColumn("n", F.row_number().over(best.orderBy(F.desc("shared"), window)))
-    return ranked.where((F.col("tier") == F.col("best")) & ((F.col("tier") == 1) | (F.col("n") == 1))).select(key, clip, window, "tier", "shared")
+    return ranked.where((F.col("tier") == F.col("best")) & ((F.col("tier") < 3) | (F.col("n") == 1))).select(key, clip, window, "tier", "shared")
 
 
 def as_of(points: DataFrame, marks: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions import signal
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
 from timeloom.operators import audit, beats, boundaries, graph, intervals, metadata, packing, prompts, retime, sequences, views
@@ -210,10 +211,10 @@ def span_owner_argmax(spark, sf):
     return intervals.owners(spans, windows, "job_id", "ord", "w", width=HOP).select("job_id", "ord", "owner", "shared")
 
 
-@query(f"""WITH {TIMELINE}, {WINDOWS}, p AS (SELECT ev.job_id, ord, w, least(ev.t1, wi.t1) - greatest(ev.t0, wi.t0) AS shared, ev.t1 - ev.t0 AS span FROM ev JOIN wi ON ev.job_id = wi.job_id AND ev.t0 < wi.t1 AND wi.t0 < ev.t1),
-q AS (SELECT *, CASE WHEN shared >= least(1000, greatest(400, round_even(span * 45 / 100, 0))) THEN 1 ELSE 3 END AS tier FROM p),
+@query(f"""WITH {TIMELINE}, {WINDOWS}, p AS (SELECT ev.job_id, ord, w, least(ev.t1, wi.t1) - greatest(ev.t0, wi.t0) AS shared, greatest(400, ev.t1 - ev.t0) AS span, wi.t0 >= ev.t0 - 200 AND NOT (wi.t1 > ev.t1 + 200 AND wi.t0 > ev.t0 + 400) AS own FROM ev JOIN wi ON ev.job_id = wi.job_id AND ev.t0 < wi.t1 AND wi.t0 < ev.t1),
+q AS (SELECT *, CASE WHEN own AND shared >= least(1000, greatest(400, round_even(span * 45 / 100, 0))) THEN 1 WHEN own THEN 2 ELSE 3 END AS tier FROM p WHERE shared > 10),
 r AS (SELECT *, min(tier) OVER (PARTITION BY job_id, ord) AS best, row_number() OVER (PARTITION BY job_id, ord ORDER BY shared DESC, w) AS n FROM q)
-SELECT job_id, ord, w, tier, shared FROM r WHERE tier = best AND (tier = 1 OR n = 1)""")
+SELECT job_id, ord, w, tier, shared FROM r WHERE tier = best AND (tier < 3 OR n = 1)""")
 def tiered_window_pick(spark, sf):
     spans, windows = spans_and_windows(spark, sf)
     return intervals.tiered(spans, windows, "job_id", "ord", "w", width=HOP)
@@ -422,7 +423,7 @@ def gaps_and_islands(spark, sf):
 
 @query(f"WITH {TIMELINE} SELECT job_id, max(value) AS peak, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.7), 6) AS p70 FROM tl GROUP BY job_id")
 def energy_percentiles(spark, sf):
-    return timeline(spark, sf).groupBy("job_id").agg(F.max("value").alias("peak"), F.round(F.percentile("value", 0.25), 6).alias("p25"), F.round(F.percentile("value", 0.7), 6).alias("p70"))
+    return timeline(spark, sf).groupBy("job_id").agg(*signal.energy_summary(F.col("value")))
 
 
 EDGES = "ed AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b FROM supplier)"
