@@ -26,6 +26,10 @@ _FIRST = np.uint64(0x5851F42D4C957F2D)
 UNKNOWN_PENALTY = 10.0
 
 
+#: A text that any other normalisation than none would change.
+_PROBE = "  a  \ufb01 \uff21\tE\u0301\n "
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Pieces with log scores, and a double-array trie over the UTF-8 bytes of the ordinary ones.
@@ -95,10 +99,16 @@ def double_array(keys: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def load(path: str) -> Vocabulary:
-    """Read pieces and scores of a model file of the sentencepiece library (on the driver; the file is small)."""
+    """Read pieces and scores of a model file of the sentencepiece library (on the driver; the file is small).
+
+    Texts are encoded as they are, with one marker in front: a model that changes them first, by other forms of characters
+    or fewer spaces, is refused.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    if model.normalize(_PROBE) != (" " + _PROBE).replace(" ", MARK):
+        raise ValueError("the model normalises texts, which encode() doesn't")
     n = model.get_piece_size()
     return vocabulary(
         [model.id_to_piece(i) for i in range(n)],
