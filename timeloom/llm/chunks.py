@@ -209,6 +209,8 @@ def repeats(docs: DataFrame, rule: Chunking = Chunking(), id_column: str = "doc_
     )
     (size, n), (removed, _) = _covered(F.col("all"), rule.passage), _covered(F.col("__gone"), rule.passage)
     counted = per_row.select(F.col("doc_id").alias("__row"), n.alias("n_passages"), size.alias("repeated_bytes"), removed.alias("removed_bytes"), "first_docs", "__gone")
+    with short_shuffles(docs.sparkSession):  # marked spans are off the disks before texts are dealt
+        counted = checkpointed(counted)
     return _without(rows.join(counted, "__row").drop("__row"), rule, "text").select("doc_id", "n_passages", "repeated_bytes", "removed_bytes", "first_docs", "text")
 
 
@@ -220,5 +222,6 @@ def deduplicated(docs: DataFrame, rule: Chunking = Chunking(), id_column: str =
     """
     rows = numbered(docs, id_column, text_column)
     spans = repeated_spans(rows, rule, "__row", text_column).where(F.col("first_doc") < F.col("doc_id"))
-    gone = spans.groupBy(F.col("doc_id").alias("__row")).agg(F.array_sort(F.collect_set("at")).alias("__gone"))
+    with short_shuffles(docs.sparkSession):
+        gone = checkpointed(spans.groupBy(F.col("doc_id").alias("__row")).agg(F.array_sort(F.collect_set("at")).alias("__gone")))
     return _without(rows.join(gone, "__row", "left").drop("__row"), rule, text_column).select(*[F.col(f"`{c}`") for c in docs.columns])
