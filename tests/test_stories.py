@@ -301,3 +301,62 @@ def test_sound_helpers(spark):
     assert one(spark, signal.without_holes(a(0, 0, 0, 5, 0, 6, 0, 0), a(1, 2), 2)) == [1.0, 2.0, 1.0, 5.0, 0.0, 6.0, 1.0, 2.0]
     assert one(spark, signal.resampled(a(0, 2, 4, 6), 8000, 16000)) == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 6.0]
     assert one(spark, signal.resampled(a(0, 1, 2, 3), 32000, 16000)) == pytest.approx([0.0, 2.0])
+
+
+def test_sound_files_frames_and_subtitles(spark, tmp_path):
+    import struct
+    import wave
+
+    from timeloom.operators import retime
+    from timeloom.sources import documents
+
+    with wave.open(str(tmp_path / "a.wav"), "wb") as w:
+        w.setnchannels(2)
+        w.setsampwidth(2)
+        w.setframerate(8000)
+        w.writeframes(struct.pack("<8h", 0, 0, 16384, 0, 16384, 16384, 0, 16384))
+    (tmp_path / "b.wav").write_bytes(b"no sound")
+    got = documents.sounds(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0]["samples"] == pytest.approx([0, 0.125, 0.25, 0.375, 0.5, 0.375, 0.25, 0.25])
+    frames = spark.createDataFrame([(1, "f2"), (1, "f1"), (1, "f3")], "k int, path string")
+    assert rows(documents.listed_frames(frames, "k", 3.0)) == [(1, 0, "f1", 0), (1, 1, "f2", 333), (1, 2, "f3", 667)]
+    events = spark.createDataFrame([(1, "bottom", 1000, 2000, "a{b")], "k int, style string, t0 long, t1 long, text string")
+    text = retime.subtitle_document(events, "k").first()["document"]
+    assert text.startswith("[Script Info]\n") and "Style: title," in text and text.endswith("Dialogue: 0,0:00:01.00,0:00:02.00,bottom,,0,0,0,,a\\{b\n")
+
+
+def test_documents_of_other_jobs_stay(spark, tmp_path):
+    from timeloom.sources import documents
+
+    frame = lambda r: spark.createDataFrame(r, "job_id int, x int")
+    documents.write_documents(frame([(1, 1), (2, 2)]), str(tmp_path / "d"))
+    documents.write_documents(frame([(2, 3)]), str(tmp_path / "d"))
+    assert rows(spark.read.json(str(tmp_path / "d")).select("job_id", "x")) == [(1, 1), (2, 3)]
+
+
+def test_what_is_seen_in_a_clip(spark):
+    c = spark.createDataFrame([(1, "a", 1100, 6000)], "job_id int, clip string, t0 long, t1 long")
+    w = spark.createDataFrame([(1, 0, 1000, 4000), (1, 1, 3500, 6200)], "job_id int, window int, t0 long, t1 long")
+    seen = [(0, 0, 1050, "before"), (0, 1, 1120, "A"), (0, 2, 1500, "B"), (0, 3, 1750, "A"), (0, 4, 3600, "lost"), (1, 0, 3600, "C"), (1, 1, 3700, " "), (1, 2, 5400, "C"), (1, 3, 5500, "late"), (1, 4, 5900, "edge")]
+    cells = spark.createDataFrame([(1, *x) for x in seen], "job_id int, window int, i int, t long, see string")
+    assert rows(clips.vision(c, w, cells, "job_id"), "t0", "t1", "text") == [(1120, 1750, "A"), (1500, 1500, "B"), (3500, 3500, "C"), (5500, 5500, "late")]
+
+
+def test_segments_gates_routes_and_inputs(spark):
+    from timeloom.operators import beats
+
+    ddl = "array<struct<word:string,start:long,end:long>>"
+    t = spark.createDataFrame([(1, "你好世界", 90, [("你好", 5, 900), ("世界", 1000, 1900)]), (2, "whole", 90, []), (3, "hello everyone", 90, [("hello everyone", 0, 9)])], f"k int, text string, duration long, words {ddl}")
+    assert rows(clips.asr_segments(t, "k")) == [(1, 1, 5, 1900, "你好世界"), (2, 1, 0, 90, "whole")]
+    j = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    e = spark.createDataFrame([(1, "x"), (2, "x")], "k int, id string")
+    w = spark.createDataFrame([(1, "r", None), (2, "r", "bad"), (3, "r", None)], "k int, raw string, error string")
+    assert rows(beats.events_done(j, e, w, "k")) == [(1, True), (2, False), (3, False)]
+    assert one(spark, boundaries.strong_count(F.array(lit("cut"), lit("gap"), lit("title")))) == 2
+    assert [one(spark, metadata.ingest_route(lit(u), ("a.com",), ("b.com",))) for u in ("http://x.a.com/1", "//b.com", "http://notb.com/a.com")] == ["api", "browser", "download"]
+    assert [tuple(one(spark, screen.mail_ready(*[lit(x) for x in a]))) for a in ((False, "", ""), (True, "u", " "), (True, "u", "p"))] == [(True, True, []), (False, False, ["password"]), (True, False, [])]
+    nodes = spark.createDataFrame([("1", "Load", 0), ("2", "Reroute", 0), ("3", "Save", 0), ("4", "Off", 2)], "id string, type string, mode int")
+    links = spark.createDataFrame([("1", 0, "2", 0), ("2", 0, "3", 1), ("1", 1, "4", 0)], "src string, src_slot int, dst string, dst_slot int")
+    sockets = spark.createDataFrame([("3", 1, "image"), ("4", 0, "image")], "node string, slot int, name string")
+    values = spark.createDataFrame([("3", "name", "out"), ("3", "image", "typed"), ("4", "name", "x")], "node string, name string, value string")
+    assert rows(graph.node_inputs(nodes, links, sockets, values), "node", "name", "src", "src_slot", "value") == [("3", "image", "1", 0, None), ("3", "name", None, None, "out")]

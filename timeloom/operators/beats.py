@@ -56,11 +56,15 @@ def ticks(ends: DataFrame, windows: DataFrame, texts: DataFrame, key: str, step:
     """A row for every ``step`` ms of a timeline (key, duration): the first window (ord, t0, t1, adults, children, cells) that
     holds it, the nearest of its cells (within half a step), and the distinct texts (ord, t0, t1, text) on screen, in order."""
     grid = ends.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("duration") / step).cast("long") - 1))).alias("i")).select(key, (F.col("i") * step).alias("t"))
-    w = windows.select(F.col(key).alias("__k"), "ord", "t0", "t1", "adults", "children", "cells")
-    held = grid.join(w, (F.col(key) == F.col("__k")) & (F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")), "left").groupBy(key, "t").agg(F.min_by(F.struct("adults", "children", "cells"), "ord").alias("w"))
+    points, width = grid.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), 240 * step
+    at = lambda pairs, *more: pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("l_t0").alias("t"), *more)
+    met = bucketed_overlap(points, windows.select(key, "ord", "t0", "t1", "adults", "children", "cells"), key, width)
+    first = at(met).agg(F.min_by(F.struct(*[F.col(f"r_{c}").alias(c) for c in ("adults", "children", "cells")]), "r_ord").alias("w"))
+    held = grid.join(first, [key, "t"], "left")
     near = F.filter(F.transform("w.cells", lambda c, i: F.struct(F.abs(c["t"] * 1000 - F.col("t")).alias("d"), i.alias("i"), c["see"].alias("see"))), lambda c: c["d"] <= step / 2 + 10)
-    x = texts.select(F.col(key).alias("__k"), F.col("ord").alias("x_ord"), F.col("t0").alias("x0"), F.col("t1").alias("x1"), "text")
-    read = grid.join(x, (F.col(key) == F.col("__k")) & (F.col("t") >= F.col("x0")) & (F.col("t") < F.greatest(F.col("x1"), F.col("x0") + 1) + step // 2)).groupBy(key, "t", "text").agg(F.min("x_ord").alias("o")).groupBy(key, "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda y: y["text"]), " / ").alias("read"))
+    shown = texts.select(key, "ord", "t0", (F.greatest(F.col("t1"), F.col("t0") + 1) + step // 2).alias("t1"), "text")
+    each = at(bucketed_overlap(points, shown, key, width), F.col("r_text").alias("text")).agg(F.min("r_ord").alias("o"))
+    read = each.groupBy(key, "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda y: y["text"]), " / ").alias("read"))
     return held.join(read, [key, "t"], "left").select(key, "t", "w.adults", "w.children", F.array_min(near)["see"].alias("see"), F.coalesce("read", F.lit("")).alias("read"))
 
 
@@ -78,3 +82,11 @@ def summary(windows: DataFrame, key: str) -> DataFrame:
     """Windows, failed ones, and the share that succeeded, to four places."""
     bad = F.count_if(failed(F.col("raw"), F.col("error")))
     return windows.groupBy(key).agg(F.count("*").alias("total"), bad.alias("failed"), F.round(1 - bad / F.count("*"), 4).alias("rate"))
+
+
+def events_done(jobs: DataFrame, events: DataFrame, windows: DataFrame, key: str) -> DataFrame:
+    """Whether the events of each job are final: it has some, and windows of which none failed."""
+    some = events.groupBy(key).agg(F.count("*").alias("__events"))
+    bad = windows.groupBy(key).agg(F.bool_or(failed(F.col("raw"), F.col("error"))).alias("__failed"))
+    joined = jobs.select(key).join(some, key, "left").join(bad, key, "left")
+    return joined.select(key, (F.col("__events").isNotNull() & ~F.coalesce("__failed", F.lit(True))).alias("done"))

@@ -81,3 +81,8 @@ def shortlist(found: DataFrame, key: str, radius: int, limit: int = 40) -> DataF
 def anchors(found: DataFrame, names: tuple[str, ...] = LIMIT_EXEMPT) -> DataFrame:
     """The candidates with a strong reason, with their score."""
     return found.where(F.arrays_overlap("reasons", F.array(*[F.lit(n) for n in names]))).withColumn("score", score(F.col("reasons")))
+
+
+def strong_count(reasons: Column, names: tuple[str, ...] = LIMIT_EXEMPT) -> Column:
+    """How many strong reasons a boundary has."""
+    return F.size(F.array_intersect(reasons, F.array(*[F.lit(n) for n in names])))

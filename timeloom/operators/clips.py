@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
-from timeloom.operators import beats, intervals, prompts, retime, sequences
+from timeloom.operators import beats, dialogue, intervals, prompts, retime, sequences
 
 # Where a line of speech may come from.
 SOURCES = ("ocr", "asr", "asr-extra")
@@ -39,6 +39,7 @@ def fallback_segments(transcripts: DataFrame, key: str) -> DataFrame:
     """Segments of transcripts (key, text, duration in ms, words of word, start, end) that have none of their own: from the
     first word to the last, or without words the whole length; a transcript without text has none."""
     some = F.size("words") > 0
+    some = F.coalesce(some, F.lit(False))
     whole = transcripts.where(some | (tx.trimmed(F.coalesce("text", F.lit(""))) != ""))
     return whole.select(key, F.when(some, F.col("words")[0]["start"]).otherwise(0).cast("long").alias("t0"), F.when(some, F.element_at("words", -1)["end"]).otherwise(F.col("duration")).cast("long").alias("t1"), tx.trimmed(F.col("text")).alias("text"))
 
@@ -91,7 +92,9 @@ def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFra
     said = owned.join(span, [key, "clip"]).where(tx.trimmed(F.col("text")) != "").groupBy(key, "clip").agg(
         F.array_sort(F.collect_list(F.struct(local(F.greatest("t0", "c0")).alias("a"), local(F.least("t1", "c1")).alias("b"), tx.trimmed(F.col("text")).alias("text")))).alias("speech")
     )
-    inner = span.join(cuts.select(F.col(key), F.col("t")), key).where((F.col("t") > F.col("c0") + 40) & (F.col("t") < F.col("c1") - 40)).select(key, "clip", "h3", local(F.col("t")).alias("t"))
+    within = clips.select(key, "clip", (F.col("t0") + 41).alias("t0"), (F.col("t1") - 40).alias("t1"))
+    met = intervals.bucketed_overlap(within, cuts.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), key, width)
+    inner = met.select(F.col(f"l_{key}").alias(key), F.col("l_clip").alias("clip"), F.col("r_t0").alias("__t")).join(span, [key, "clip"]).select(key, "clip", "h3", local(F.col("__t")).alias("t"))
     of = F.to_json(F.struct(key, "clip"))
     inside = inner.where((F.col("t") >= 1000) & (F.col("t") <= F.col("h3") - 1000)).select(of.alias("__of"), "t")
     kept = sequences.thinned(inside, "__of", 1000).groupBy("__of").agg(F.array_sort(F.collect_list("t")).alias("cuts"))
@@ -103,6 +106,38 @@ def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFra
     return out
 
 
+def vision(clips: DataFrame, windows: DataFrame, cells: DataFrame, key: str, step: int = 250, edge: int = 200, width: int = 3_600_000) -> DataFrame:
+    """What is seen in each clip, as (key, clip, t0, t1, text): the cells (key, window, i, t, see) of its windows, one for each
+    step of ``step`` ms, where the same is seen again within 1.5 s and two rows joined.
+
+    Of cells in one step the last by window and place counts. The last ``edge`` ms of a clip are left out, and of a window
+    that goes on after the clip the last 550. A cell that its step would put before the clip keeps its own time.
+    """
+    covering = intervals.tiered(clips, windows, key, "clip", "window", width).select(key, "clip", "window")
+    ends = windows.select(key, "window", F.col("t1").alias("w1"))
+    rows = covering.join(cells, [key, "window"]).join(ends, [key, "window"]).join(clips.select(key, "clip", F.col("t0").alias("c0"), F.col("t1").alias("c1")), [key, "clip"])
+    goes_on = (F.col("w1") > F.col("c1") + 250) & (F.col("t") >= F.col("c1") - 550)
+    rows = rows.where((F.col("t") >= F.col("c0")) & (F.col("t") < F.col("c1") - edge) & ~goes_on)
+    slot = F.bround(F.col("t") / step).cast("long") * step
+    rows = rows.withColumn("early", slot < F.col("c0")).withColumn("at", F.when(slot < F.col("c0"), F.col("t")).otherwise(slot)).where(F.col("at") < F.col("c1") - edge)
+    last = Window.partitionBy(key, "clip", "early", "at").orderBy(F.desc("window"), F.desc("i"))
+    of = F.to_json(F.struct(key, "clip"))
+    kept = rows.withColumn("__n", F.row_number().over(last)).where("__n = 1").where(tx.trimmed(F.coalesce("see", F.lit(""))) != "").select(of.alias("__of"), F.col("at").alias("ord"), F.col("at").alias("t"), tx.trimmed(F.col("see")).alias("text"))
+    merged = sequences.lookback_merge(kept, "__of")
+    return clips.select(key, "clip", of.alias("__of")).join(merged, "__of").drop("__of")
+
+
+def asr_segments(transcripts: DataFrame, key: str) -> DataFrame:
+    """Segments of transcripts that have none of their own, long ones split at pauses: (key, id, t0, t1, text); what no one said
+    is left out where there are words."""
+    words = F.transform("words", lambda w: F.struct(w["start"].alias("t0"), w["end"].alias("t1"), w["word"].alias("word")))
+    spoken = transcripts.where(F.size("words") > 0)
+    whole = fallback_segments(spoken, key).withColumn("id", F.lit(1)).join(spoken.select(key, words.alias("words")), key)
+    parts = dialogue.split_segments(whole.select(key, "id", "t0", "t1", "words"), key)
+    silent = fallback_segments(transcripts.where(F.coalesce(F.size("words"), F.lit(0)) <= 0), key).withColumn("id", F.lit(1))
+    return parts.where(~tx.hallucinated(F.col("text"))).unionByName(silent.select(key, "id", "t0", "t1", "text"))
+
+
 def beat_lines(windows: DataFrame, key: str) -> DataFrame:
     """The windows of a film as text, a line each."""
     line = F.concat(

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
+from timeloom.operators.intervals import bucketed_overlap
+
+#: Width in ms of the buckets in which spans of a film meet: lines take some seconds.
+WIDTH = 60_000
 
 
 def persistent_labels(hits: DataFrame, key: str, least: int = 3000) -> DataFrame:
@@ -28,10 +32,11 @@ def caption_words(captions: DataFrame, words: DataFrame, key: str, share: float
     A word (ord, t0, t1, word) belongs if at least ``share`` of it lies in the caption.
     """
     spans = captions.withColumn("t1", F.when(F.col("t1") - F.col("t0") < 200, F.col("t0") + 450).otherwise(F.col("t1")))
-    w = words.select(F.col(key).alias("__k"), F.col("ord").alias("w_ord"), F.col("t0").alias("w0"), F.col("t1").alias("w1"), "word")
-    shared = F.least("t1", "w1") - F.greatest("t0", "w0")
-    said = spans.join(w, (F.col(key) == F.col("__k")) & (F.col("w0") < F.col("t1")) & (F.col("t0") < F.col("w1"))).where(shared / F.greatest(F.lit(20), F.col("w1") - F.col("w0")) >= share)
-    joined = said.groupBy(key, "ord").agg(F.min("w0").alias("w0"), F.max_by("w1", "w_ord").alias("w1"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("w_ord", "word"))), lambda x: tx.unspaced(x["word"])), "").alias("said"))
+    met = bucketed_overlap(spans.select(key, "ord", "t0", "t1"), words.select(key, "ord", "t0", "t1", "word"), key, WIDTH)
+    shared = F.least("l_t1", "r_t1") - F.greatest("l_t0", "r_t0")
+    said = met.where(shared / F.greatest(F.lit(20), F.col("r_t1") - F.col("r_t0")) >= share)
+    inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_ord", "r_word"))), lambda x: tx.unspaced(x["r_word"])), "")
+    joined = said.groupBy(F.col(f"l_{key}").alias(key), F.col("l_ord").alias("ord")).agg(F.min("r_t0").alias("w0"), F.max_by("r_t1", "r_ord").alias("w1"), inside.alias("said"))
     return spans.join(joined, [key, "ord"], "left").select(key, "ord", F.coalesce("w0", "t0").alias("t0"), F.coalesce("w1", "t1").alias("t1"), "text", F.coalesce("said", F.lit("")).alias("said"))
 
 
@@ -40,12 +45,12 @@ def extra_lines(segments: DataFrame, captions: DataFrame, ends: DataFrame, key:
     most ``most`` ms with captions and at least ``near`` ms from all of them, and from the extra lines taken before.
     """
     fit = segments.join(ends.select(key, "duration"), key, "left").where(~tx.hallucinated(F.col("text")) & (tx.han_count(F.col("text")) >= 6)).where("coalesce(duration, 0) = 0 or t0 < duration - 50").drop("duration")
-    c = captions.select(F.col(key).alias("__k"), F.col("t0").alias("c0"), F.col("t1").alias("c1"))
-    by_caption = fit.join(c, F.col(key) == F.col("__k"), "left").groupBy(*fit.columns).agg(
-        F.coalesce(F.sum(F.greatest(F.lit(0), F.least("t1", "c1") - F.greatest("t0", "c0"))), F.lit(0)).alias("shared"),
-        F.coalesce(F.min(F.least(F.abs(F.col("t0") - F.col("c1")), F.abs(F.col("t1") - F.col("c0")))), F.lit(99_000)).alias("apart"),
-    )
-    clear = by_caption.where((F.col("shared") <= most) & (F.col("apart") >= near)).drop("shared", "apart")
+    wide = fit.select(key, F.col("t0").alias("s0"), F.col("t1").alias("s1"), "text", (F.col("t0") - near).alias("t0"), (F.col("t1") + near).alias("t1"))
+    met = bucketed_overlap(wide, captions.select(key, "t0", "t1"), key, WIDTH)
+    shared = F.sum(F.greatest(F.lit(0), F.least("l_s1", "r_t1") - F.greatest("l_s0", "r_t0")))
+    apart = F.min(F.least(F.abs(F.col("l_s0") - F.col("r_t1")), F.abs(F.col("l_s1") - F.col("r_t0"))))
+    covered = met.groupBy(F.col(f"l_{key}").alias(key), F.col("l_s0").alias("t0"), F.col("l_s1").alias("t1"), F.col("l_text").alias("text")).agg(shared.alias("shared"), apart.alias("apart"))
+    clear = fit.join(covered.where((F.col("shared") > most) | (F.col("apart") < near)), [key, "t0", "t1", "text"], "left_anti")
     lists = clear.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("t0").cast("bigint").alias("t0"), F.col("t1").cast("bigint").alias("t1"), "text"))).alias("xs"))
 
     def add(acc, x):
@@ -129,8 +134,9 @@ def collapsed_lines(lines: DataFrame, key: str, least: float = 0.85) -> DataFram
 
 def mouth_evidence(speech: DataFrame, mouths: DataFrame, key: str, least: int = 150) -> DataFrame:
     """Speech (key, ord, t0, t1) with the sorted names of those whose mouth (t0, t1, who, state) is open meanwhile."""
-    m = mouths.where("state = 'open'").select(F.col(key).alias("__k"), F.col("t0").alias("m0"), F.col("t1").alias("m1"), "who")
-    seen = speech.join(m, (F.col(key) == F.col("__k")) & (F.least("t1", "m1") - F.greatest("t0", "m0") > least)).groupBy(key, "ord").agg(F.array_sort(F.collect_set("who")).alias("mouths"))
+    met = bucketed_overlap(speech.select(key, "ord", "t0", "t1"), mouths.where("state = 'open'").select(key, "t0", "t1", "who"), key, WIDTH)
+    long = F.least("l_t1", "r_t1") - F.greatest("l_t0", "r_t0") > least
+    seen = met.where(long).groupBy(F.col(f"l_{key}").alias(key), F.col("l_ord").alias("ord")).agg(F.array_sort(F.collect_set("r_who")).alias("mouths"))
     return speech.join(seen, [key, "ord"], "left").withColumn("mouths", F.coalesce("mouths", F.array().cast("array<string>")))
 
 

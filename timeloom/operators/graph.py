@@ -166,6 +166,18 @@ def widget_values(specs: DataFrame, widgets: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.explode(F.aggregate("__specs", start, take, lambda acc: acc["out"])).alias("x")).select(key, "x.name", "x.value")
 
 
+def node_inputs(nodes: DataFrame, links: DataFrame, sockets: DataFrame, values: DataFrame, passing: str = "Reroute") -> DataFrame:
+    """The inputs of the nodes that run: (node, name, src, src_slot, value).
+
+    ``sockets`` are (node, slot, name), ``values`` (node, name, value) as widget_values() gives them. A linked input has its
+    true origin, any other one its value; nodes that don't run have none.
+    """
+    runs, direct = executable(nodes, links, passing)
+    linked = direct.join(sockets.select(F.col("node").alias("dst"), F.col("slot").alias("dst_slot"), "name"), ["dst", "dst_slot"]).select(F.col("dst").alias("node"), "name", "src", "src_slot")
+    typed = values.join(runs.select(F.col("id").alias("node")), "node", "left_semi").join(linked.select("node", "name"), ["node", "name"], "left_anti")
+    return linked.unionByName(typed, allowMissingColumns=True)
+
+
 def unknown_types(nodes: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
     """The first ``most`` types of a graph's nodes, in order, that aren't known: (graph, types)."""
     missing = nodes.select("graph", "type").distinct().join(known.select("type").distinct(), "type", "left_anti")

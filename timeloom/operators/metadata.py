@@ -49,6 +49,11 @@ def host_in(url: Column, hosts: tuple[str, ...]) -> Column:
     return F.exists(F.array(*[F.lit(h) for h in hosts]), lambda h: (host == h) | F.endswith(host, F.concat(F.lit("."), h)))
 
 
+def ingest_route(url: Column, api: tuple[str, ...], browser: tuple[str, ...]) -> Column:
+    """How an address is fetched: by the interface of its host, by a browser, or by a plain download."""
+    return F.when(host_in(url, api), "api").when(host_in(url, browser), "browser").otherwise("download")
+
+
 def item_id(url: Column, marker: str = "/video/") -> Column:
     """The number after a marker in an address; NULL if something else stands there."""
     tail = F.substring_index(F.substring_index(F.regexp_extract(url, "(?s)" + marker.replace("/", r"\/") + "(.*)$", 1), "?", 1), "#", 1)

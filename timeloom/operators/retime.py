@@ -35,3 +35,15 @@ def subtitle_lines(events: DataFrame, key: str) -> DataFrame:
     """A subtitle document per timeline: its events (style, t0, t1, text) as dialogue lines in order of time."""
     line = F.concat(F.lit("Dialogue: 0,"), tx.subtitle_time(F.col("t0")), F.lit(","), tx.subtitle_time(F.col("t1")), F.lit(","), F.col("style"), F.lit(",,0,0,0,,"), tx.subtitle_escape(F.col("text")))
     return events.withColumn("__line", line).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t0", "t1", "style", "__line"))), lambda x: x["__line"]), "\n").alias("document"))
+
+
+# The head of a subtitle document, and its styles by name with size, place and whether they are bold.
+STYLES = {"bottom": (64, 2, 0), "title": (72, 8, -1), "other": (48, 5, 0)}
+
+
+def subtitle_document(events: DataFrame, key: str, width: int = 1920, height: int = 1080, font: str = "Noto Sans CJK SC") -> DataFrame:
+    """A whole subtitle document per timeline: its head, the styles, and its events as dialogue lines."""
+    styles = [f"Style: {name},{font},{size},&H00FFFFFF,&H00000000,{bold},{place},60,60,40" for name, (size, place, bold) in STYLES.items()]
+    head = ["[Script Info]", "ScriptType: v4.00+", f"PlayResX: {width}", f"PlayResY: {height}", "", "[V4+ Styles]", "Format: Name, Fontname, Fontsize, PrimaryColour, OutlineColour, Bold, Alignment, MarginL, MarginR, MarginV", *styles]
+    body = ["", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text", ""]
+    return subtitle_lines(events, key).select(key, F.concat(F.lit("\n".join([*head, *body])), "document", F.lit("\n")).alias("document"))

@@ -329,3 +329,11 @@ def round_passed(reviews: DataFrame) -> DataFrame:
     """Whether all clips passed in the latest round of a job: (job_id, round, passed)."""
     last = reviews.withColumn("__last", F.max("round").over(Window.partitionBy("job_id"))).where("round = __last")
     return last.groupBy("job_id", "round").agg(F.bool_and(F.coalesce("pass", F.lit(False))).alias("passed"))
+
+
+def mail_ready(enabled: Column, user: Column, password: Column) -> Column:
+    """Whether mail can be sent, as (ok, skipped, missing): a mail that is off is fine, and one that is on needs both."""
+    off = ~F.coalesce(enabled, F.lit(False))
+    lacks = F.filter(F.array(F.when(F.trim(F.coalesce(user, F.lit(""))) == "", "user"), F.when(F.trim(F.coalesce(password, F.lit(""))) == "", "password")), lambda x: x.isNotNull())
+    missing = F.when(off, F.array().cast("array<string>")).otherwise(lacks)
+    return F.struct((F.size(missing) == 0).alias("ok"), off.alias("skipped"), missing.alias("missing"))

@@ -14,10 +14,10 @@ def first_match(*cases: tuple[Column, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def gated(items: DataFrame, reviews: DataFrame, key: str) -> DataFrame:
-    """Items with their review and the gate: unreviewed ones are unknown rather than passed."""
-    joined = items.join(reviews.select(key, "quality", "toxic", F.lit(True).alias("__seen")), key, "left")
-    return joined.withColumn("gate", first_match((F.col("__seen").isNull(), "unknown"), ((F.col("quality") == 1) & (F.col("toxic") == 0), "pass"), otherwise="fail")).drop("__seen")
+def gated(items: DataFrame, reviews: DataFrame, key: str, passed: Column) -> DataFrame:
+    """Items with their review and the gate: ``passed`` is over the review's columns; unreviewed items are unknown."""
+    joined = items.join(reviews.withColumn("__seen", F.lit(True)), key, "left")
+    return joined.withColumn("gate", first_match((F.col("__seen").isNull(), "unknown"), (passed, "pass"), otherwise="fail")).drop("__seen")
 
 
 def review_passed(ok: Column, score: Column, identity: Column, scene: Column) -> Column:
@@ -33,19 +33,10 @@ def confident(rows: DataFrame, key: str, logits: str, least: float, sharpness: f
     return rows.select(key, F.when(share >= least, F.array_position(logits, top).cast("int")).alias("best"), F.round(share, 6).alias("share"))
 
 
-def rollup(rows: DataFrame, key: str, state: str) -> DataFrame:
-    """Counts of states per job, and whether all or any are in one."""
+def rollup(rows: DataFrame, key: str, state: str, done: str, waiting: str, partial: str) -> DataFrame:
+    """Counts of states per job, and whether all are done or any is partly so."""
     s = F.col(state)
-    return rows.groupBy(F.col(key).alias("job_id")).agg(F.count("*").alias("n"), F.count_if(s == "F").alias("done"), F.count_if(s == "O").alias("open"), F.bool_and(s == "F").alias("complete"), F.bool_or(s == "P").alias("partial"))
-
-
-def next_order_action(jobs: DataFrame, steps: DataFrame) -> DataFrame:
-    """What a job needs next: the first that applies."""
-    s = F.col("o_orderstatus")
-    r = steps.groupBy(F.col("o_custkey").alias("__k")).agg(F.bool_and(s == "F").alias("complete"), F.bool_or(s == "P").alias("partial"), F.bool_or((F.col("o_orderpriority") == "1-URGENT") & (s != "F")).alias("urgent"))
-    joined = jobs.select(F.col("c_custkey").alias("job_id")).join(r, F.col("job_id") == F.col("__k"), "left")
-    action = first_match((F.col("__k").isNull(), "create"), (F.col("complete"), "done"), (F.col("urgent"), "retry"), (F.col("partial"), "resume"), otherwise="draft")
-    return joined.select("job_id", action.alias("action"))
+    return rows.groupBy(F.col(key).alias("job_id")).agg(F.count("*").alias("n"), F.count_if(s == done).alias("done"), F.count_if(s == waiting).alias("open"), F.bool_and(s == done).alias("complete"), F.bool_or(s == partial).alias("partial"))
 
 
 def staleness(rows: DataFrame, text: str, kept: str) -> DataFrame:

@@ -350,7 +350,7 @@ def comment_rank(spark, sf):
 
 @query("""SELECT d.doc_id, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN l.quality = 1 AND l.toxic = 0 THEN 'pass' ELSE 'fail' END AS gate FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def review_gate(spark, sf):
-    return views.gated(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+    return views.gated(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", "quality", "toxic"), "doc_id", (F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
 @query("""WITH s AS (SELECT vec_id, label, embedding AS e, list_max(embedding) AS m FROM embeddings), z AS (SELECT vec_id, label, m, list_sum(list_transform(e, lambda x: exp(4.0 * (x::DOUBLE - m::DOUBLE)))) AS total, list_position(e, m) AS place FROM s)
@@ -361,13 +361,18 @@ def confidence_null_label(spark, sf):
 
 @query("""SELECT o_custkey AS job_id, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, bool_and(o_orderstatus = 'F') AS complete, bool_or(o_orderstatus = 'P') AS partial FROM orders GROUP BY o_custkey""")
 def state_rollup(spark, sf):
-    return views.rollup(table(spark, sf, "orders"), "o_custkey", "o_orderstatus")
+    return views.rollup(table(spark, sf, "orders"), "o_custkey", "o_orderstatus", "F", "O", "P")
 
 
 @query("""WITH r AS (SELECT o_custkey AS job_id, bool_and(o_orderstatus = 'F') AS complete, bool_or(o_orderstatus = 'P') AS partial, bool_or(o_orderpriority = '1-URGENT' AND o_orderstatus <> 'F') AS urgent FROM orders GROUP BY o_custkey)
 SELECT c_custkey AS job_id, CASE WHEN r.job_id IS NULL THEN 'create' WHEN complete THEN 'done' WHEN urgent THEN 'retry' WHEN partial THEN 'resume' ELSE 'draft' END AS action FROM customer LEFT JOIN r ON r.job_id = c_custkey""")
 def next_action(spark, sf):
-    return views.next_order_action(table(spark, sf, "customer"), table(spark, sf, "orders"))
+    """What a customer's orders need next: the first that applies."""
+    s = F.col("o_orderstatus")
+    r = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("__k")).agg(F.bool_and(s == "F").alias("complete"), F.bool_or(s == "P").alias("partial"), F.bool_or((F.col("o_orderpriority") == "1-URGENT") & (s != "F")).alias("urgent"))
+    rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id")).join(r, F.col("job_id") == F.col("__k"), "left")
+    action = views.first_match((F.col("__k").isNull(), "create"), (F.col("complete"), "done"), (F.col("urgent"), "retry"), (F.col("partial"), "resume"), otherwise="draft")
+    return rows.select("job_id", action.alias("action"))
 
 
 @query("""WITH v AS (SELECT doc_id, sha1(coalesce(text, '')) AS now, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN sha1(coalesce(text, '') || 'x') ELSE sha1(coalesce(text, '')) END AS kept FROM documents)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import wave
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +66,38 @@ def stills(spark: SparkSession, root: str, least: int = 1000) -> DataFrame:
     return files.where((F.col("length") >= least) & (number != "")).select("path", (number.cast("long") * 10).alias("t"))
 
 
+def listed_frames(frames: DataFrame, key: str, fps: float) -> DataFrame:
+    """Frames (key, path) that were taken at a fixed rate, in order of their names, with their place and time in ms."""
+    rows = frames.groupBy(key).agg(F.array_sort(F.collect_list("path")).alias("__paths"))
+    return rows.select(key, F.posexplode("__paths").alias("ord", "path")).select(key, "ord", "path", F.bround(F.col("ord") * (1000.0 / fps)).cast("long").alias("t"))
+
+
+def sounds(spark: SparkSession, root: str, rate: int = 16_000) -> DataFrame:
+    """Sound files (WAV, 8, 16 or 32 bits) under ``root`` as samples of one channel from -1 to 1 at ``rate``, and their length
+    in ms; what isn't such a file is left out. Channels are averaged, other rates resampled by straight lines."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(root).select("path", "content")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
+                try:
+                    with wave.open(io.BytesIO(content)) as sound:
+                        channels, width, own, n = sound.getnchannels(), sound.getsampwidth(), sound.getframerate(), sound.getnframes()
+                        raw = sound.readframes(n)
+                except (wave.Error, EOFError):
+                    continue
+                if width not in (1, 2, 4) or not own:
+                    continue
+                x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+                x = (x - 128) / 128 if width == 1 else x / 2 ** (8 * width - 1)
+                x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+                if own != rate and len(x):
+                    x = np.interp(np.arange(int(len(x) * rate / own)) * (own / rate), np.arange(len(x)), x)
+                yield pa.record_batch([pa.array([path]), pa.array([x.astype(np.float32)], pa.list_(pa.float32())), pa.array([round(1000 * len(x) / rate)], pa.int64())], ["path", "samples", "length"])
+
+    return files.mapInArrow(decoded, "path string, samples array<float>, length long")
+
+
 def workflow(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of a graph document."""
     doc = spark.read.schema(WORKFLOW).option("multiLine", True).json(path)
@@ -76,8 +114,9 @@ def gauges(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def write_documents(table: DataFrame, path: str) -> None:
-    """One JSON line per row, in a folder per job; the commit of the job replaces the whole output at once."""
-    table.write.mode("overwrite").partitionBy("job_id").json(path)
+    """One JSON line per row, in a folder per job. The folders of the jobs in the table are replaced when the write commits;
+    those of other jobs stay."""
+    table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(path)
 
 
 def append_status(status: DataFrame, path: str) -> None:
@@ -86,8 +125,8 @@ def append_status(status: DataFrame, path: str) -> None:
 
 
 def write_texts(table: DataFrame, path: str, document: str = "document") -> None:
-    """A text per row in a folder per job."""
-    table.select("job_id", F.col(document).alias("value")).write.mode("overwrite").partitionBy("job_id").text(path)
+    """A text per row in a folder per job; the folders of other jobs stay."""
+    table.select("job_id", F.col(document).alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").text(path)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
