@@ -492,7 +492,9 @@ def test_no_text_of_an_article_is_lost():
     long = "One long text, with commas, and more, and more, so that it counts, yes, and again, and again, so it is best, of all."
     paper = f"<body><div><p>{long}</p><section id='discussion'><p>We discuss, at length, the outcome of this study, in words.</p><p>More, and more, of it.</p></section></div></body>"
     assert html.main_text(paper).endswith("More, and more, of it.")
-    assert html.main_text("<article><header><h1>Title</h1></header><p>Text, and more.</p></article>") == "Title\n\nText, and more."
+    for wrapped in ("<header><h1>Title</h1></header>", "<div class='entry-header'><h1>Title</h1></div>"):
+        assert html.main_text(f"<article>{wrapped}<p>Text, and more.</p></article>") == "Title\n\nText, and more."
+    assert html.main_text("<article><p>Text, and more.</p><div class='commentList'><p>I disagree, a lot, with this.</p></div><div id='adBox'>Buy, buy.</div></article>") == "Text, and more."
     listed = "<article><p>Text, and more.</p><h2>References</h2><ol><li><a href=x>Doe, J. A study of things that are long. Journal, 2001.</a></li></ol><ul><li><a>Home</a></li><li><a>About</a></li></ul></article>"
     assert html.main_text(listed).split("\n\n") == ["Text, and more.", "References", "Doe, J. A study of things that are long. Journal, 2001."]
     assert html.main_text(f"<body><div><p>{long}</p></div><div><p>Short</p></div><div><p>{long}</p></div></body>") == f"{long}\n\nShort\n\n{long}"

@@ -26,9 +26,10 @@ _BLOCKS = set("address article aside blockquote body center dd details dialog di
 _DROPPED = set("aside audio button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object select svg template video".split()) | _RAW
 # Words in classes and ids that make an element doubtful. Most of its points are lost for the first ones,
 # half of them for the others, which articles use for parts of their own as well.
-_UNLIKELY = "ad ads advert adverts advertisement advertisements adbox banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies disqus footer gdpr forms form hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos recommended recommendations related replies respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe toolbar topbar widget widgets"
+_UNLIKELY = "ad adsbygoogle adsense ads advert adverts advertisement advertisements advertising adbox alert alerts banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies crumbs disqus footer gdpr forms form hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion promotions recommended recommendations related replies respond responses search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subnav subscribe subscription toolbar topbar topnav widget widgets"
 _DOUBTFUL = "discussion feedback header recommend tags"
 _WORDS = {**{w: 0.5 for w in _DOUBTFUL.split()}, **{w: 0.1 for w in _UNLIKELY.split()}}
+_WORD_ENDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 #: A doubtful element stays from so many points on, and links are taken for a menu up to so many characters each.
 _STAYS, _MENU = 3.0, 25
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
@@ -37,14 +38,15 @@ _CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr
 
 class _Node:
     """``trust``: what share of its points an element keeps; ``points``: those of all paragraphs in it, ``score``: those
-    that were passed to it; ``size``, ``linked`` and ``links``: characters, characters in links, number of links."""
+    that were passed to it; ``size``, ``linked`` and ``links``: characters, characters in links, number of links; ``titled``:
+    a heading of the first level is in it."""
 
-    __slots__ = ("tag", "parent", "parts", "dropped", "trust", "points", "score", "size", "linked", "links")
+    __slots__ = ("tag", "parent", "parts", "dropped", "trust", "points", "score", "size", "linked", "links", "titled")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, trust: float = 1.0):
         self.tag, self.parent, self.dropped, self.trust = tag, parent, dropped, trust
         self.parts: list[_Node | str] = []
-        self.points, self.score, self.size, self.linked, self.links = 0.0, 0.0, 0, 0, 0
+        self.points, self.score, self.size, self.linked, self.links, self.titled = 0.0, 0.0, 0, 0, 0, tag == "h1"
 
     def within(self, *tags: str) -> bool:
         up = self.parent
@@ -63,7 +65,7 @@ def _element(tag: str, parent: _Node, rest: str) -> _Node:
     for name, *values in _ATTRIBUTE.findall(rest):
         value, name = next((v for v in values if v), ""), name.lower()
         if name in ("class", "id"):
-            node.trust = min([node.trust, *(_WORDS.get(w, 1.0) for w in re.split(r"[\s_-]+", value.lower()))])
+            node.trust = min([node.trust, *(_WORDS.get(w.lower(), 1.0) for w in _WORD_ENDS.split(value))])
         if name == "hidden" or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             node.dropped = True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -151,6 +153,7 @@ def _measure(root: _Node) -> list[_Node]:
             node.parent.size += node.size
             node.parent.linked += node.linked
             node.parent.links += node.links
+            node.parent.titled |= node.titled
     for node, trust in zip(order, trusts, strict=True):
         inline = own_text(node) if node.tag in ("p", "pre", "td", "blockquote", "li", "div", "section", "article") else ""
         if len(inline) < 2 or node.tag == "li" and node.linked > 0.5 * node.size:
@@ -171,7 +174,10 @@ def _measure(root: _Node) -> list[_Node]:
 
 
 def doubted(node: _Node) -> bool:
-    """Whether an element goes for the words of its class or id: too few points are left of those of its paragraphs."""
+    """Whether an element goes for the words of its class or id: too few points are left of those of its paragraphs. The
+    title of an article stays in whatever it is wrapped in, unless that is no part of an article at all."""
+    if node.trust == 0.5 and node.titled and node.within("article", "main"):
+        return False
     return node.trust < 1 and node.points * (1 - density(node)) * node.trust < (_STAYS if node.trust > 0.1 else math.inf)
 
 
