@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.session import checkpointed, connected_components
+from timeloom.llm.session import checkpointed, connected_components, small
 
 #: Vectors of a tile (the side of what one product compares) and about how many a block of vectors has.
 TILE = 1024
@@ -123,14 +123,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_column: str =
         .agg(F.min("v").alias("v"))
         .withColumn("width", F.size("v"))
     )
-    blocks = {r["width"]: max(1, math.ceil(r["n"] / BLOCK)) for r in usable.groupBy("width").agg(F.count("*").alias("n")).collect()}
-    if blocks:
-        many = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])[F.col("width")]
-    else:
-        many = F.lit(1)
+    blocks = checkpointed(usable.groupBy("width").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("many")))
     block = F.pmod(F.xxhash64("id"), F.col("many")).cast("int")
     dealt = (
-        usable.withColumn("many", many)
+        usable.join(small(blocks), "width")
         .select("id", "v", "width", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other"))
         .select("id", "v", "width", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     )
