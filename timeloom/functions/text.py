@@ -45,6 +45,11 @@ def latin_count(text: Column) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, "[A-Za-z]++", ""))
 
 
+def closing_count(text: Column) -> Column:
+    """The number of closing brackets, plain and wide."""
+    return F.length(text) - F.length(F.translate(text, ")）", ""))
+
+
 def occurrences(text: Column, part: Column) -> Column:
     """How often a part stands in a text without overlaps; 0 for an empty part."""
     n = F.length(part)
@@ -76,8 +81,7 @@ def foreign(text: Column) -> Column:
 def hallucinated(text: Column) -> Column:
     """Recognised speech that no one said: empty, closing brackets, one character or phrase over and over, a foreign line."""
     t = trimmed(F.coalesce(text, F.lit("")))
-    closing = F.length(F.regexp_replace(t, "[^)）]", "")) >= 4
-    return (t == "") | closing | t.rlike(r"(?s)(.)\1{5,}") | few_symbols(t) | phrase_loop(t) | foreign(t)
+    return (t == "") | (closing_count(t) >= 4) | t.rlike(r"(?s)(.)\1{5,}") | few_symbols(t) | phrase_loop(t) | foreign(t)
 
 
 def usable_line(text: Column) -> Column:

@@ -306,7 +306,7 @@ def line_coverage(spark, sf):
 length(text) >= 8 AND len(list_distinct(string_split(text, ''))) <= 2 AS few_symbols, length(regexp_replace(text, '[^)）]', '', 'g')) >= 4 AS closing, length(regexp_replace(text, '[^一-鿿]', '', 'g'))::INT AS han FROM documents""")
 def text_quality_flags(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", tx.foreign(t).alias("foreign_line"), tx.few_symbols(t).alias("few_symbols"), (F.length(F.regexp_replace(t, "[^)）]", "")) >= 4).alias("closing"), tx.han_count(t).alias("han"))
+    return table(spark, sf, "documents").select("doc_id", tx.foreign(t).alias("foreign_line"), tx.few_symbols(t).alias("few_symbols"), (tx.closing_count(t) >= 4).alias("closing"), tx.han_count(t).alias("han"))
 
 
 @query()
@@ -327,7 +327,7 @@ def banned_terms(spark, sf):
 length(regexp_replace(text, '[^\\x{00C0}-\\x{024F}]', '', 'g'))::INT AS accented FROM documents""")
 def script_mix(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", tx.latin_count(t).alias("latin"), tx.han_count(t).alias("han"), F.length(F.regexp_replace(t, "[^0-9]", "")).alias("digits"), F.length(F.regexp_replace(t, "[^À-ɏ]", "")).alias("accented"))
+    return table(spark, sf, "documents").select("doc_id", tx.latin_count(t).alias("latin"), tx.han_count(t).alias("han"), (F.length(t) - F.length(F.regexp_replace(t, "[0-9]++", ""))).alias("digits"), (F.length(t) - F.length(F.regexp_replace(t, "[À-ɏ]++", ""))).alias("accented"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
