@@ -390,7 +390,17 @@ def order_events(spark, sf):
     return events
 
 
-@query()
+BEST = "(hard::INT, score, -abs(2 * t - a - b), -t)"
+CUT = f"coalesce(arg_max(t, {BEST}) FILTER (hard), CASE WHEN b - a > 14375 THEN arg_max(t, {BEST}) END) AS cut"
+
+
+@query(f"""WITH RECURSIVE {SPANS}, oe AS (SELECT job_id, id::VARCHAR AS event_id, (t0 - 694224000000) // 864000 AS a, (t1 - 694224000000) // 43200 AS z FROM sp), ev AS (SELECT job_id, event_id, a, a + (z - a) % 60000 AS b FROM oe),
+po AS (SELECT DISTINCT job_id, a + 3000 AS t, a % 2 = 0 AS hard, CASE WHEN a % 2 = 0 THEN 2 ELSE 1 END AS score FROM ev),
+s AS (SELECT e.job_id, event_id, a, b, {CUT} FROM ev e LEFT JOIN po ON po.job_id = e.job_id AND t BETWEEN a + 2000 AND b - 2000 WHERE b > a GROUP BY e.job_id, event_id, a, b
+UNION ALL SELECT c.job_id, event_id, a, b, {CUT} FROM (SELECT job_id, event_id, unnest([a, cut]) AS a, unnest([cut, b]) AS b FROM s WHERE cut IS NOT NULL) c LEFT JOIN po ON po.job_id = c.job_id AND t BETWEEN a + 2000 AND b - 2000 GROUP BY c.job_id, event_id, a, b),
+lf AS (SELECT *, CASE WHEN b - a > 14375 THEN floor((b - a) / 14375)::BIGINT + 1 ELSE 1 END AS n FROM s WHERE cut IS NULL), pa AS (SELECT job_id, event_id, a + round_even((b - a) * i / n, 0)::BIGINT AS t0, a + round_even((b - a) * (i + 1) / n, 0)::BIGINT AS t1 FROM (SELECT *, unnest(range(0, n)) AS i FROM lf)),
+f AS (SELECT DISTINCT greatest(1, round_even((t1 - t0) / 1000 * 24, 0))::INT AS f FROM pa), g AS (SELECT f, arg_min(n, (abs(n - f), n))::INT AS frames FROM f, range(107, 346) r(n) WHERE n % 17 = 5 GROUP BY f)
+SELECT job_id, event_id, (row_number() OVER (PARTITION BY job_id, event_id ORDER BY t0) - 1)::INT AS part, t0, t1, frames, frames / 24.0::DOUBLE AS seconds, (t1 - t0) / 1000 < 107 / 24 AS padded FROM pa JOIN g ON g.f = greatest(1, round_even((t1 - t0) / 1000 * 24, 0))::INT""")
 def span_split_recursive(spark, sf):
     events = order_events(spark, sf)
     points = events.select("job_id", (F.col("t0") + 3000).alias("t"), F.array(F.when(F.col("t0") % 2 == 0, "cut").otherwise("gap")).alias("reasons")).distinct()
