@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timeloom.llm import chunks, decontam, embeddings, html, jaccard, langid, licenses, pii, quality, sentencepiece
+from timeloom.llm import alignment, chunks, decontam, embeddings, html, jaccard, langid, licenses, pii, quality, resample, sentencepiece, tokens
 from timeloom.llm.session import fold_column, table
-from timeloom.llm.sql import embeddings_sql, jaccard_sql, licences_sql, pii_sql
+from timeloom.llm.sql import embeddings_sql, jaccard_sql, licences_sql, pii_sql, resample_sql
 
+WORDS = "/opt/tokenizers/word_bpe_49k.json"
+BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -75,6 +77,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(table(spark, sf_dir, "documents"), tokens.load(WORDS))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.load(BYTES, TOKENIZER))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -86,10 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_token_counts": op11_token_counts,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": licences_sql(),
     "op3_ngram_jaccard": jaccard_sql(),
     "op9_pii": pii_sql(),
     "op10_embedding_dedup": embeddings_sql(),
+    "op12_importance_resampling": resample_sql(),
 }

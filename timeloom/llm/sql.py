@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from timeloom.llm import licenses, pii
+from timeloom.llm.resample import Resampling
 
 
 def _quoted(text: str) -> str:
@@ -107,3 +108,27 @@ def embeddings_sql(threshold: float = 0.9) -> str:
         k AS (SELECT x AS vec_id, count(*) AS n FROM e GROUP BY x), m AS (SELECT x AS vec_id, min(y) AS least FROM r GROUP BY x),
         f AS (SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id FROM embeddings LEFT JOIN k USING (vec_id) LEFT JOIN m USING (vec_id))
         SELECT *, vec_id = component_id AS kept FROM f"""
+
+
+def resample_sql(rule: Resampling = Resampling()) -> str:
+    """Words by a pattern, crc32 of each distinct one byte by byte, gains of buckets, and the global order by score."""
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    byte = "list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH crc(t) AS MATERIALIZED (SELECT {table}),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS words FROM documents),
+        wanted AS (SELECT unnest(regexp_extract_all({lower}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS word FROM benchmark),
+        runs AS (SELECT r, unnest(words) AS word FROM docs),
+        hashed AS (SELECT word, xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {rule.buckets} AS bucket
+            FROM (SELECT word FROM runs UNION SELECT word FROM wanted), crc),
+        source AS (SELECT bucket, count(*) AS s FROM runs JOIN hashed USING (word) GROUP BY bucket),
+        target AS (SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (word) GROUP BY bucket),
+        gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (SELECT coalesce(sum(s), 0) + {rule.buckets} FROM source) / ((s + 1)::DOUBLE * (SELECT coalesce(sum(t), 0) + {rule.buckets} FROM target))))::BIGINT AS gain
+            FROM source LEFT JOIN target USING (bucket)),
+        weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM runs JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY r),
+        scored AS (SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{rule.seed}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM docs LEFT JOIN weights USING (r)),
+        ranked AS (SELECT *, CASE WHEN n_features >= {rule.least} AND score IS NOT NULL THEN row_number() OVER (PARTITION BY n_features >= {rule.least} AND score IS NOT NULL ORDER BY score DESC, doc_id, n_features DESC) END AS place FROM scored)
+        SELECT doc_id, n_features::BIGINT AS n_features, weight, score,
+            CASE WHEN place <= {rule.percent} * (SELECT count(place) FROM ranked) // 100 THEN place END AS rank FROM ranked"""

@@ -21,15 +21,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut the batches into runs of rows with about PIECE_BYTES of text each."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut the batches into runs of rows with about ``size`` bytes of text each."""
     for batch in batches:
         sizes = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(np.diff(offsets_of(sizes)[1]))
         at = 0
         while at < batch.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + PIECE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
             yield batch.slice(at, to - at)
             at = to
 
@@ -64,6 +64,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of ``flat`` one after another, and where each begins in the result (one more entry than spans)."""
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.repeat(starts - to[:-1], sizes) + np.arange(to[-1])], to
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] that depend on the bytes alone."""
     up, down = powers(len(data) + 1)
