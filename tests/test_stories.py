@@ -25,7 +25,7 @@ def lit(value):
 
 
 def test_burned_text_is_what_is_drawn_and_not_what_is_denied(spark):
-    cases = {"a logo appears": "logo appears", "no logo appears": "", "never titles fade": "", "four large Chinese characters glow": "large Chinese characters", "her words show hesitation": "", "the character appears": "", "NEON hanzi": "", "Neon kanji glyph": "Neon kanji glyph"}
+    cases = {"a logo appears": "logo appears", "no logo appears": "", "never titles fade": "", "four large Chinese characters glow": "large Chinese characters", "her words show hesitation": "", "the character appears": "", "NEON hanzi": "", "Neon kanji glyph": "Neon kanji glyph", "no kanji text": "kanji text", "not two hanzi words": "hanzi words", "a logo, appears": "", "": "", "cannot\nTitles  Burn": "Titles  Burn"}
     got = {t: one(spark, audit.burned_text(lit(t))) for t in cases}
     assert got == cases
 
