@@ -45,20 +45,58 @@ def test_fuzzy_sessions_close_by_the_watermark(spark, tmp_path):
     assert ("j", 60_000, 60_500, "hello world", 2) in [tuple(r) for r in got.collect()]
 
 
-def test_change_feed(spark, tmp_path):
-    out = []
-    schema = "k string, t timestamp, v int"
-    (tmp_path / "feed").mkdir()
-
-    def feed(rows):
-        spark.createDataFrame(rows, "k string, t long, v int").select("k", F.timestamp_millis("t").alias("t"), "v").coalesce(1).write.mode("append").parquet(str(tmp_path / "feed"))
-        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "feed"))
-        q = windows.change_feed(stream, ["k"], str(tmp_path / "state"), lambda d, n: out.append(sorted((r["k"], r["v"]) for r in d.collect()))).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-
-    feed([("a", 1, 1), ("a", 2, 2), ("b", 1, 5)])
-    feed([("a", 3, 2), ("b", 4, 6), ("c", 4, 7)])
-    assert out == [[("a", 2), ("b", 5)], [("b", 6), ("c", 7)]]
+FEED = "v int, k string, t timestamp, w string"
+
+
+def fed(spark, folder, parts, **options):
+    """What comes out of a change feed for each part of rows (k, ms, v, w); the query starts anew for every part."""
+    seen, out = [], []
+    (folder / "feed").mkdir(exist_ok=True)
+    for rows in parts:
+        spark.createDataFrame(rows, "k string, t long, v int, w string").select("v", "k", F.timestamp_millis("t").alias("t"), "w").coalesce(1).write.mode("append").parquet(str(folder / "feed"))
+        stream = spark.readStream.schema(FEED).parquet(str(folder / "feed"))
+        q = windows.change_feed(stream, ["k"], late="1 second", **options).writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "cp"))
+        q.outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        now = sorted((tuple(r) for r in spark.read.parquet(str(folder / "out")).select("k", F.unix_millis("t"), "v", "w", "gone").collect()), key=repr)
+        out.append([r for r in now if r not in seen])
+        assert len(now) == len(seen) + len(out[-1])  # a restart repeats nothing
+        seen = now
+    return out
+
+
+def test_a_feed_hands_over_differences_only(spark, tmp_path):
+    parts = [
+        [("a", 1, 1, None), ("a", 2, 2, None), ("b", 1, 5, "x"), ("n", 1, None, None)],
+        [("a", 3, 2, None), ("b", 4, 5, None), ("c", 4, 7, "y"), ("n", 2, None, None)],
+        [("a", 2, 9, "late"), ("b", 5, 5, None), ("n", 3, None, "null")],
+        [(None, 1, 1, "no key"), ("a", 4, 2, None)],
+        [(None, 2, 1, "no key"), ("a", 5, 3, None)],
+    ]
+    assert fed(spark, tmp_path, parts) == [
+        [("a", 2, 2, None, False), ("b", 1, 5, "x", False), ("n", 1, None, None, False)],
+        [("b", 4, 5, None, False), ("c", 4, 7, "y", False)],
+        [("n", 3, None, "null", False)],
+        [(None, 1, 1, "no key", False)],
+        [("a", 5, 3, None, False)],
+    ]
+
+
+def test_silent_keys_are_gone_and_may_come_back(spark, tmp_path):
+    parts = [[("a", 1_000, 1, "x"), ("b", 1_000, 1, "x")], [("b", 20_000, 1, "x")], [("b", 21_000, 1, "x")], [("a", 22_000, 1, "x")]]
+    got = fed(spark, tmp_path, parts, silent_ms=5_000)
+    assert got[0] == [("a", 1_000, 1, "x", False), ("b", 1_000, 1, "x", False)]
+    flat = [r for part in got[1:] for r in part]
+    assert [r for r in flat if r[0] == "a"] == [("a", None, None, None, True), ("a", 22_000, 1, "x", False)]
+
+
+def test_a_late_hit_does_not_shorten_a_session(spark, tmp_path):
+    rows = [[("j", 60_000, "hello world"), ("j", 61_000, "hello world")], [("j", 60_500, "hello worle")], [("k", 3_600_000, "later")], [("k", 3_700_000, "last")]]
+    (tmp_path / "hits").mkdir()
+    for part in rows:
+        spark.createDataFrame(part, "job_id string, ms long, text string").select("job_id", F.timestamp_millis("ms").alias("t"), "text").coalesce(1).write.mode("append").parquet(str(tmp_path / "hits"))
+    stream = spark.readStream.schema("job_id string, t timestamp, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "hits"))
+    got = run(windows.fuzzy_sessions(stream, "job_id", 1100, late="10 seconds"), "late_hits")
+    assert ("j", 60_000, 61_000, "hello world", 3) in [tuple(r) for r in got.collect()]
 
 
 def test_documents(spark, tmp_path):
