@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.operators.scans import last, spread
+
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Whether two open intervals share time."""
@@ -46,23 +48,24 @@ def touching(left: DataFrame, right: DataFrame, key: str, anti: bool = False) ->
     One sorted pass over both sides, however many spans a timeline has: of the right spans that begin by then the latest
     end, and of the others the first begin tell it. A span that doesn't end after it begins touches nothing.
     """
-    w = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
     marks = right.where("t0 < t1").select(F.col(key), F.col("t0").alias("__at"), F.lit(0).alias("__side"), F.col("t0").alias("__t0"), F.col("t1").alias("__t1"))
     spans = left.withColumn("__at", F.col("t0")).withColumn("__side", F.lit(1))
-    both = spans.unionByName(marks, allowMissingColumns=True)
+    s = spread(spans.unionByName(marks, allowMissingColumns=True), key, "__at").carrying({"__ends": (F.max("__t1"), F.max)}, {"__begins": (F.min("__t0"), F.min)})
+    w = s.window("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = s.window("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
     # of spans that begin at or before this one, the latest end; of those that begin after it, the first begin
-    found = both.withColumn("__end", F.max("__t1").over(w)).withColumn("__next", F.min("__t0").over(ahead)).where("__side = 1")
+    found = s.rows.withColumn("__end", F.greatest(F.max("__t1").over(w), "__ends")).withColumn("__next", F.least(F.min("__t0").over(ahead), "__begins")).where("__side = 1")
     hit = (F.col("t0") < F.col("t1")) & (F.coalesce(F.col("t0") < F.col("__end"), F.lit(False)) | F.coalesce(F.col("__next") < F.col("t1"), F.lit(False)))
     return found.where(~hit if anti else hit).select(*left.columns)
 
 
 def holding_point(spans: DataFrame, points: DataFrame, key: str, margin: int = 40) -> DataFrame:
     """The spans that hold a point further than ``margin`` ms from both ends: one sorted pass, as for touching()."""
-    ahead = Window.partitionBy(key).orderBy("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
     marks = points.select(F.col(key), (F.col("t") - margin).alias("__at"), F.lit(0).alias("__side"), F.col("t").alias("__t"))
     both = spans.withColumn("__at", F.col("t0")).withColumn("__side", F.lit(-1)).unionByName(marks, allowMissingColumns=True)
-    found = both.withColumn("__next", F.min("__t").over(ahead)).where("__side = -1")
+    s = spread(both, key, "__at").carrying(after={"__later": (F.min("__t"), F.min)})
+    ahead = s.window("__at", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing)
+    found = s.rows.withColumn("__next", F.least(F.min("__t").over(ahead), "__later")).where("__side = -1")
     return found.where(F.col("__next") < F.col("t1") - margin).select(*spans.columns)
 
 
@@ -91,12 +94,15 @@ def tiered(clips: DataFrame, windows: DataFrame, key: str, clip: str, window: st
 
 
 def as_of(points: DataFrame, marks: DataFrame, key: str, value: str) -> DataFrame:
-    """For each point the value of the last mark of its timeline at or before it: one sorted pass, no join."""
+    """For each point the value of the last mark of its timeline at or before it: one sorted pass, no join. A long timeline
+    is cut into chunks, each of which knows the last mark before it."""
     both = points.withColumn("__mark", F.lit(0)).withColumn("__v", F.lit(None).cast(marks.schema[value].dataType)).unionByName(
         marks.select(key, "t", F.lit(-1).alias("__mark"), F.col(value).alias("__v")), allowMissingColumns=True
     )
-    w = Window.partitionBy(key).orderBy("t", "__mark").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__mark = 0").drop("__mark", "__v")
+    newest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col("t")))
+    s = spread(both, key, "t").carrying({"__carried": (newest, last)})
+    found = last("__v").over(s.window("t", "__mark").rowsBetween(Window.unboundedPreceding, 0))
+    return s.rows.withColumn(value, F.coalesce(found, F.col("__carried").cast(marks.schema[value].dataType))).where("__mark = 0").drop("__mark", "__v", "__carried", "__chunk")
 
 
 def nearest(points: DataFrame, anchors: DataFrame, key: str, point: str, radius: int) -> DataFrame:

@@ -14,12 +14,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.operators.scans import Spread, running, spread
+
 
 def islands(points: DataFrame, key: str, gap: int, t: str = "t", name: str = "island") -> DataFrame:
-    """Number the runs of points of a timeline whose neighbours are at most ``gap`` ms apart."""
-    w = Window.partitionBy(key).orderBy(t)
-    far = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("int"), F.lit(1))
-    return points.withColumn("__far", far).withColumn(name, F.sum("__far").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("__far")
+    """Number the runs of points of a timeline whose neighbours are at most ``gap`` ms apart. A long timeline is cut into
+    chunks, each of which knows the last point before it and the islands that begin before it."""
+    s = spread(points, key, t)
+    w = s.window(t)
+    if s.cut:
+        s = s.carrying({"__previous": (F.max(t), F.max)})
+        w = s.window(t)
+    before = F.lag(t).over(w)
+    far = F.coalesce((F.col(t) - (F.coalesce(before, F.col("__previous")) if s.cut else before) > gap).cast("int"), F.lit(1))
+    marked = Spread(s.rows.withColumn("__far", far), key, s.cut)
+    inside = F.sum("__far").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    if not s.cut:
+        return marked.rows.withColumn(name, inside).drop("__far")
+    # of rows without a time each is far from the others, as in an uncut timeline; they come first
+    marked = marked.carrying({"__begun": (F.sum("__far"), F.sum)})
+    return marked.rows.withColumn(name, inside + F.coalesce("__begun", F.lit(0))).drop("__far", "__begun", "__previous", "__chunk")
 
 
 def _in_order(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
@@ -73,16 +87,14 @@ def last_per_slot(rows: DataFrame, key: str, step: int, order: str) -> DataFrame
 
 def boolean_islands(rows: DataFrame, key: str, flag: str, order: str, hole: int = 0, least: int = 1) -> DataFrame:
     """Runs of true rows as (key, first, last, n): holes of up to ``hole`` rows close, runs of fewer than ``least`` rows go."""
-    w = Window.partitionBy(key).orderBy(order)
-    numbered = rows.withColumn("__n", F.row_number().over(w)).where(F.col(flag))
-    far = F.coalesce((F.col("__n") - F.lag("__n").over(w) > hole + 1).cast("int"), F.lit(1))
-    runs = numbered.withColumn("__far", far).withColumn("__run", F.sum("__far").over(w))
+    placed = running(rows.select(key, flag, order), key, order, F.lit(1), "__n", False).where(F.col(flag))
+    runs = islands(placed, key, hole + 1, "__n", "__run")
     return runs.groupBy(key, "__run").agg(F.min(order).alias("first"), F.max(order).alias("last"), (F.max("__n") - F.min("__n") + 1).alias("n")).where(F.col("n") >= least).drop("__run")
 
 
 def groups_by_reset(rows: DataFrame, key: str, order: str, reset: Column, name: str = "group_id") -> DataFrame:
     """Number the groups of a timeline that begin at its first row and at every reset."""
-    return rows.withColumn(name, F.sum(F.coalesce(reset.cast("int"), F.lit(0))).over(Window.partitionBy(key).orderBy(order)))
+    return running(rows, key, order, F.coalesce(reset.cast("int"), F.lit(0)), name)
 
 
 def canonical(rows: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
@@ -93,16 +105,19 @@ def canonical(rows: DataFrame, keys: list[str], order: str, value: str, name: st
 
 def offsets(rows: DataFrame, key: str, order: str, length: str) -> DataFrame:
     """Rows laid end to end: ``cat0`` and ``cat1`` are where each begins and ends."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("cat1", F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cat0", F.col("cat1") - F.col(length))
+    return running(rows, key, order, F.col(length), "cat1", False).withColumn("cat0", F.col("cat1") - F.col(length))
 
 
 def gapless(spans: DataFrame, key: str, end: str) -> DataFrame:
     """Spans in order without gaps or overlaps: the first begins at 0, each at the end of the one before, the last ends at ``end``."""
-    w = Window.partitionBy(key).orderBy("t0", "t1")
-    last = F.lead("t0").over(w).isNull()
-    fixed = spans.withColumn("__t1", F.when(last, F.col(end)).otherwise(F.lead("t0").over(w))).withColumn("__t0", F.coalesce(F.when(F.lag("t0").over(w).isNull(), F.lit(0)), F.col("t0")))
-    return fixed.withColumn("t0", F.col("__t0")).withColumn("t1", F.col("__t1")).drop("__t0", "__t1").where("t1 > t0").withColumn("n", F.row_number().over(w))
+    s = spread(spans, key, "t0")
+    s = s.carrying({"__some": (F.count("*"), F.sum)}, {"__following": (F.min("t0"), F.min)})
+    w = s.window("t0", "t1")
+    following = F.coalesce(F.lead("t0").over(w), F.col("__following").cast(spans.schema["t0"].dataType))
+    first = F.lag("t0").over(w).isNull() & F.col("__some").isNull()
+    fixed = s.rows.withColumn("__t1", F.when(following.isNull(), F.col(end)).otherwise(following)).withColumn("__t0", F.coalesce(F.when(first, F.lit(0)), F.col("t0")))
+    fixed = fixed.withColumn("t0", F.col("__t0")).withColumn("t1", F.col("__t1")).drop("__t0", "__t1", "__some", "__following", "__chunk").where("t1 > t0")
+    return running(fixed, key, "t0", F.lit(1), "n", False)
 
 
 def lookback_merge(rows: DataFrame, key: str, gap: int = 1500) -> DataFrame:
