@@ -86,10 +86,9 @@ def test_splitting(spark):
 def test_interval_joins(spark):
     a = spark.createDataFrame([("j", 1, 0, 1000), ("j", 2, 900, 5000), ("k", 3, 0, 10)], "k string, id int, t0 long, t1 long")
     b = spark.createDataFrame([("j", 7, 950, 2000), ("j", 8, 1000, 4000)], "k string, id int, t0 long, t1 long")
-    for width in (100, 1000, 10_000):
-        assert rows_of(intervals.bucketed_overlap(a, b, "k", width), "l_id", "r_id") == [(1, 7), (2, 7), (2, 8)]
+    assert rows_of(intervals.overlapping(a, b, "k"), "l_id", "r_id") == [(1, 7), (2, 7), (2, 8)]
     assert rows_of(intervals.touching(a, b, "k"), "id") == [(1,), (2,)] and rows_of(intervals.touching(a, b, "k", anti=True), "id") == [(3,)]
-    owned = intervals.owners(a.withColumnRenamed("id", "item"), b.withColumnRenamed("id", "span"), "k", "item", "span", width=1000)
+    owned = intervals.owners(a.withColumnRenamed("id", "item"), b.withColumnRenamed("id", "span"), "k", "item", "span")
     assert rows_of(owned, "item", "owner") == [(1, None), (2, 8), (3, None)]
     p = spark.createDataFrame([("j", 1, 40), ("j", 2, 99)], "k string, n int, t long")
     m = spark.createDataFrame([("j", 40, "x"), ("j", 90, "y")], "k string, t long, v string")
@@ -256,7 +255,7 @@ def test_greedy_match_needs_shared_time_and_keeps_speech_without_a_match(spark):
     speech = [("j", 1, 0, 1000, "we leave tonight"), ("j", 2, 900, 2000, "we leave tonight!"), ("j", 3, 2000, 3000, "nothing like it"), ("j", 4, 9000, 9500, "we leave tonight"), ("j", 5, 0, 500, " "), ("k", 1, 0, 1000, "we leave tonight")]
     # 7 has another longest word than what is said; 9 shares 119 ms with speech 3
     seen = [("j", 7, 500, 1500, "we leave tonlght"), ("j", 8, 0, 1500, "we leave tonight"), ("j", 9, 2881, 8000, "nothing like it")]
-    got = sequences.greedy_match(spark.createDataFrame(speech, kinds), spark.createDataFrame(seen, kinds), "job_id", 700, tx.similarity)
+    got = sequences.greedy_match(spark.createDataFrame(speech, kinds), spark.createDataFrame(seen, kinds), "job_id", tx.similarity)
     assert [r[:-1] for r in rows_of(got, "job_id", "id", "match", "seen", "score")] == [("j", 1, 8, "we leave tonight"), ("j", 2, 7, "we leave tonlght"), ("j", 3, None, None), ("j", 4, None, None), ("k", 1, None, None)]
     assert {r["id"]: r["score"] for r in got.where("job_id = 'j'").collect()}[3] == 0.0
 

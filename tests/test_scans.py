@@ -78,3 +78,29 @@ def test_short_timelines_and_other_orders_stay_whole(spark):
     assert not scans.spread(rows, "k", "t").cut and not scans.spread(rows, "k", "t", most=5000).cut
     assert not scans.spread(rows.withColumn("t", F.col("t").cast("string")), "k", "t", most=10).cut
     assert sequences.islands(rows.where("false"), "k", 5).count() == 0
+
+
+def test_overlapping_spans_of_all_lengths(spark):
+    rng = random.Random(11)
+
+    def spans(n, name):
+        out = []
+        for i in range(n):
+            t0 = rng.randint(-50, 3000) * rng.choice([1, 1, 1000])
+            out.append((rng.choice(["a", "a", "b", None]), t0, t0 + rng.choice([0, -5, 1, 3, 40, 900, 64, 10_000, 5_000_000]), i))
+        return out + [("a", None, 5, 1000), ("a", 5, None, 1001)]
+
+    left, right = spans(160, "l"), spans(140, "r")
+    kinds = "k string, t0 long, t1 long, i int"
+    got = sorted((r["l_i"], r["r_i"]) for r in intervals.overlapping(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds), "k").collect())
+    whole = lambda x: None not in x
+    want = sorted((a[3], b[3]) for a in left if whole(a) for b in right if whole(b) and a[0] == b[0] and a[1] < b[2] and b[1] < a[2])
+    assert got == want and len(want) > 500
+
+
+def test_overlapping_rows_grow_with_the_logarithm(spark):
+    long = spark.range(200).select(F.lit("k").alias("k"), (F.col("id") * 7).alias("t0"), (F.col("id") * 7 + F.pow(F.lit(2), F.col("id") % 40)).cast("long").alias("t1"))
+    levelled = long.withColumn("__level", intervals._shift(long))
+    stood = intervals._standing(levelled, "l", levelled, 2, 1, lambda x: x >= F.col("__level")).groupBy("l_t0").count()
+    # two or three nodes at its own level, and two at most at each of the 21 that there are
+    assert levelled.select("__level").distinct().count() <= 21 and stood.agg(F.max("count")).first()[0] <= 3 + 2 * 21

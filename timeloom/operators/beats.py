@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
-from timeloom.operators.intervals import bucketed_overlap
+from timeloom.operators.intervals import overlapping
 
 _BEAT = "action string, adults string, children string, has_text boolean, cells array<struct<t:string,see:string>>, unsure array<string>"
 
@@ -28,7 +28,7 @@ def failed(raw: Column, error: Column) -> Column:
     return F.coalesce(raw, F.lit("")).eqNullSafe("") | (F.coalesce(error, F.lit("")) != "")
 
 
-def flags(windows: DataFrame, cuts: DataFrame, speech: DataFrame, texts: DataFrame, key: str, margin: int = 40, width: int = 3_600_000) -> DataFrame:
+def flags(windows: DataFrame, cuts: DataFrame, speech: DataFrame, texts: DataFrame, key: str, margin: int = 40) -> DataFrame:
     """Windows (key, ord, t0, t1, adults, children, has_text, error) with what speaks for another look: a hard cut inside,
     other people than before, two lines of speech or more, text seen but not read or read but not seen. An error stands alone."""
     w = Window.partitionBy(key).orderBy("ord")
@@ -40,7 +40,7 @@ def flags(windows: DataFrame, cuts: DataFrame, speech: DataFrame, texts: DataFra
     points = cuts.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"))
 
     def counted(mine: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        pairs = bucketed_overlap(mine, other.select(key, "t0", "t1"), key, width)
+        pairs = overlapping(mine, other.select(key, "t0", "t1"), key)
         return pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("l_ord").alias("ord")).agg(F.count("*").alias(name))
 
     joined = rows
@@ -56,14 +56,14 @@ def ticks(ends: DataFrame, windows: DataFrame, texts: DataFrame, key: str, step:
     """A row for every ``step`` ms of a timeline (key, duration): the first window (ord, t0, t1, adults, children, cells) that
     holds it, the nearest of its cells (within half a step), and the distinct texts (ord, t0, t1, text) on screen, in order."""
     grid = ends.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.ceil(F.col("duration") / step).cast("long") - 1))).alias("i")).select(key, (F.col("i") * step).alias("t"))
-    points, width = grid.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), 240 * step
+    points = grid.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"))
     at = lambda pairs, *more: pairs.groupBy(F.col(f"l_{key}").alias(key), F.col("l_t0").alias("t"), *more)
-    met = bucketed_overlap(points, windows.select(key, "ord", "t0", "t1", "adults", "children", "cells"), key, width)
+    met = overlapping(points, windows.select(key, "ord", "t0", "t1", "adults", "children", "cells"), key)
     first = at(met).agg(F.min_by(F.struct(*[F.col(f"r_{c}").alias(c) for c in ("adults", "children", "cells")]), "r_ord").alias("w"))
     held = grid.join(first, [key, "t"], "left")
     near = F.filter(F.transform("w.cells", lambda c, i: F.struct(F.abs(c["t"] * 1000 - F.col("t")).alias("d"), i.alias("i"), c["see"].alias("see"))), lambda c: c["d"] <= step / 2 + 10)
     shown = texts.select(key, "ord", "t0", (F.greatest(F.col("t1"), F.col("t0") + 1) + step // 2).alias("t1"), "text")
-    each = at(bucketed_overlap(points, shown, key, width), F.col("r_text").alias("text")).agg(F.min("r_ord").alias("o"))
+    each = at(overlapping(points, shown, key), F.col("r_text").alias("text")).agg(F.min("r_ord").alias("o"))
     read = each.groupBy(key, "t").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "text"))), lambda y: y["text"]), " / ").alias("read"))
     return held.join(read, [key, "t"], "left").select(key, "t", "w.adults", "w.children", F.array_min(near)["see"].alias("see"), F.coalesce("read", F.lit("")).alias("read"))
 

@@ -44,9 +44,9 @@ def fallback_segments(transcripts: DataFrame, key: str) -> DataFrame:
     return whole.select(key, F.when(some, F.col("words")[0]["start"]).otherwise(0).cast("long").alias("t0"), F.when(some, F.element_at("words", -1)["end"]).otherwise(F.col("duration")).cast("long").alias("t1"), tx.trimmed(F.col("text")).alias("text"))
 
 
-def speech_of(clips: DataFrame, speech: DataFrame, key: str, width: int = 3_600_000) -> DataFrame:
+def speech_of(clips: DataFrame, speech: DataFrame, key: str) -> DataFrame:
     """Lines of speech (key, line, t0, t1, text) with the clip (key, clip) that owns each; lines that no clip owns are left out."""
-    return intervals.owners(speech, clips, key, "line", "clip", width=width).where("owner is not null").withColumnRenamed("owner", "clip").drop("shared")
+    return intervals.owners(speech, clips, key, "line", "clip").where("owner is not null").withColumnRenamed("owner", "clip").drop("shared")
 
 
 def texts_of(owned: DataFrame, key: str) -> DataFrame:
@@ -75,7 +75,7 @@ def threads(clips: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     return clips.where("thread is not null").join(turns, [key, "thread"]).select(key, "clip", "thread", "turns")
 
 
-def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFrame, key: str, width: int = 3_600_000) -> DataFrame:
+def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
     """One row per clip with what its prompt is written from.
 
     ``clips`` are (key, clip, n, t0, t1, h3, padded, cast_reset), ``windows`` (key, window, t0, t1, adults, children, action),
@@ -83,17 +83,17 @@ def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFra
     most people, the clip's lines in its own time, its cuts at least a second apart, and its neighbours. Every part is a
     join on the key and one grouping by clip, so clips without a part keep their row.
     """
-    covering = intervals.tiered(clips, windows, key, "clip", "window", width).join(windows, [key, "window"]).where("tier is not null")
+    covering = intervals.tiered(clips, windows, key, "clip", "window").join(windows, [key, "window"]).where("tier is not null")
     actions = F.array_sort(F.collect_list(F.when(F.coalesce("action", F.lit("")) != "", F.struct("t0", F.concat(F.format_string("%.2f-%.2fs ", F.col("t0") / 1000, F.col("t1") / 1000), "action").alias("said")))))
     seen = covering.groupBy(key, "clip").agg(F.transform(actions, lambda a: a["said"]).alias("actions"), F.max("adults").alias("adults"), F.max("children").alias("children"))
     span = clips.select(key, "clip", F.col("t0").alias("c0"), F.col("t1").alias("c1"), "h3", "padded")
     local = lambda t: retime.local_time(t, F.col("c0"), F.col("c1"), F.col("h3"), F.col("padded"))
-    owned = speech_of(clips, speech, key, width)
+    owned = speech_of(clips, speech, key)
     said = owned.join(span, [key, "clip"]).where(tx.trimmed(F.col("text")) != "").groupBy(key, "clip").agg(
         F.array_sort(F.collect_list(F.struct(local(F.greatest("t0", "c0")).alias("a"), local(F.least("t1", "c1")).alias("b"), tx.trimmed(F.col("text")).alias("text")))).alias("speech")
     )
     within = clips.select(key, "clip", (F.col("t0") + 41).alias("t0"), (F.col("t1") - 40).alias("t1"))
-    met = intervals.bucketed_overlap(within, cuts.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), key, width)
+    met = intervals.overlapping(within, cuts.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1")), key)
     inner = met.select(F.col(f"l_{key}").alias(key), F.col("l_clip").alias("clip"), F.col("r_t0").alias("__t")).join(span, [key, "clip"]).select(key, "clip", "h3", local(F.col("__t")).alias("t"))
     of = F.to_json(F.struct(key, "clip"))
     inside = inner.where((F.col("t") >= 1000) & (F.col("t") <= F.col("h3") - 1000)).select(of.alias("__of"), "t")
@@ -106,14 +106,14 @@ def facts(clips: DataFrame, windows: DataFrame, speech: DataFrame, cuts: DataFra
     return out
 
 
-def vision(clips: DataFrame, windows: DataFrame, cells: DataFrame, key: str, step: int = 250, edge: int = 200, width: int = 3_600_000) -> DataFrame:
+def vision(clips: DataFrame, windows: DataFrame, cells: DataFrame, key: str, step: int = 250, edge: int = 200) -> DataFrame:
     """What is seen in each clip, as (key, clip, t0, t1, text): the cells (key, window, i, t, see) of its windows, one for each
     step of ``step`` ms, where the same is seen again within 1.5 s and two rows joined.
 
     Of cells in one step the last by window and place counts. The last ``edge`` ms of a clip are left out, and of a window
     that goes on after the clip the last 550. A cell that its step would put before the clip keeps its own time.
     """
-    covering = intervals.tiered(clips, windows, key, "clip", "window", width).select(key, "clip", "window")
+    covering = intervals.tiered(clips, windows, key, "clip", "window").select(key, "clip", "window")
     ends = windows.select(key, "window", F.col("t1").alias("w1"))
     rows = covering.join(cells, [key, "window"]).join(ends, [key, "window"]).join(clips.select(key, "clip", F.col("t0").alias("c0"), F.col("t1").alias("c1")), [key, "clip"])
     goes_on = (F.col("w1") > F.col("c1") + 250) & (F.col("t") >= F.col("c1") - 550)

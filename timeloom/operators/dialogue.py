@@ -7,10 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
-from timeloom.operators.intervals import bucketed_overlap
-
-#: Width in ms of the buckets in which spans of a film meet: lines take some seconds.
-WIDTH = 60_000
+from timeloom.operators.intervals import overlapping
 
 
 def persistent_labels(hits: DataFrame, key: str, least: int = 3000) -> DataFrame:
@@ -32,7 +29,7 @@ def caption_words(captions: DataFrame, words: DataFrame, key: str, share: float
     A word (ord, t0, t1, word) belongs if at least ``share`` of it lies in the caption.
     """
     spans = captions.withColumn("t1", F.when(F.col("t1") - F.col("t0") < 200, F.col("t0") + 450).otherwise(F.col("t1")))
-    met = bucketed_overlap(spans.select(key, "ord", "t0", "t1"), words.select(key, "ord", "t0", "t1", "word"), key, WIDTH)
+    met = overlapping(spans.select(key, "ord", "t0", "t1"), words.select(key, "ord", "t0", "t1", "word"), key)
     shared = F.least("l_t1", "r_t1") - F.greatest("l_t0", "r_t0")
     said = met.where(shared / F.greatest(F.lit(20), F.col("r_t1") - F.col("r_t0")) >= share)
     inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r_ord", "r_word"))), lambda x: tx.unspaced(x["r_word"])), "")
@@ -46,7 +43,7 @@ def extra_lines(segments: DataFrame, captions: DataFrame, ends: DataFrame, key:
     """
     fit = segments.join(ends.select(key, "duration"), key, "left").where(~tx.hallucinated(F.col("text")) & (tx.han_count(F.col("text")) >= 6)).where("coalesce(duration, 0) = 0 or t0 < duration - 50").drop("duration")
     wide = fit.select(key, F.col("t0").alias("s0"), F.col("t1").alias("s1"), "text", (F.col("t0") - near).alias("t0"), (F.col("t1") + near).alias("t1"))
-    met = bucketed_overlap(wide, captions.select(key, "t0", "t1"), key, WIDTH)
+    met = overlapping(wide, captions.select(key, "t0", "t1"), key)
     shared = F.sum(F.greatest(F.lit(0), F.least("l_s1", "r_t1") - F.greatest("l_s0", "r_t0")))
     apart = F.min(F.least(F.abs(F.col("l_s0") - F.col("r_t1")), F.abs(F.col("l_s1") - F.col("r_t0"))))
     covered = met.groupBy(F.col(f"l_{key}").alias(key), F.col("l_s0").alias("t0"), F.col("l_s1").alias("t1"), F.col("l_text").alias("text")).agg(shared.alias("shared"), apart.alias("apart"))
@@ -134,7 +131,7 @@ def collapsed_lines(lines: DataFrame, key: str, least: float = 0.85) -> DataFram
 
 def mouth_evidence(speech: DataFrame, mouths: DataFrame, key: str, least: int = 150) -> DataFrame:
     """Speech (key, ord, t0, t1) with the sorted names of those whose mouth (t0, t1, who, state) is open meanwhile."""
-    met = bucketed_overlap(speech.select(key, "ord", "t0", "t1"), mouths.where("state = 'open'").select(key, "t0", "t1", "who"), key, WIDTH)
+    met = overlapping(speech.select(key, "ord", "t0", "t1"), mouths.where("state = 'open'").select(key, "t0", "t1", "who"), key)
     long = F.least("l_t1", "r_t1") - F.greatest("l_t0", "r_t0") > least
     seen = met.where(long).groupBy(F.col(f"l_{key}").alias(key), F.col("l_ord").alias("ord")).agg(F.array_sort(F.collect_set("r_who")).alias("mouths"))
     return speech.join(seen, [key, "ord"], "left").withColumn("mouths", F.coalesce("mouths", F.array().cast("array<string>")))

@@ -1,11 +1,13 @@
 """Joins of intervals and points along timelines.
 
 Every join has the timeline's key as an equality, so no plan needs a cartesian product. Where one timeline may be long,
-``bucketed_overlap`` adds an equality on time buckets, so that a hot timeline spreads over many tasks.
+``overlapping`` adds an equality on nodes of a tree over time, so that a hot timeline spreads over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +29,42 @@ def widened(df: DataFrame, least: int = 50) -> DataFrame:
     return df.withColumn("t1", F.when(F.col("t1") <= F.col("t0"), F.col("t0") + least).otherwise(F.col("t1")))
 
 
-def bucketed_overlap(left: DataFrame, right: DataFrame, key: str, width: int, how: str = "inner") -> DataFrame:
-    """All pairs of spans of one timeline that overlap: columns of both sides, named l_* and r_*.
+def _shift(df: DataFrame) -> Column:
+    """The level of a span: the least even number of bits that its length fits in."""
+    length = F.greatest(F.col("t1") - F.col("t0"), F.lit(1)).cast("double")
+    return (2 * F.ceil(F.log2(length) / 2)).cast("int")
+
+
+def _nodes(level: Column, case: int) -> Column:
+    """The nodes of a level that a span touches, two or three at its own one; the last moment of a span is not in it."""
+    node = lambda t: F.call_function("shiftright", t.cast("long"), level)
+    touched = F.sequence(node(F.col("t0")), node(F.greatest(F.col("t1"), F.col("t0") + 1) - 1))
+    return F.transform(touched, lambda n: F.struct(F.lit(case).alias("case"), level.cast("int").alias("level"), n.alias("node")))
+
+
+def _standing(df: DataFrame, name: str, others: DataFrame, own: int, lifted: int, higher: Callable[[Column], Column]) -> DataFrame:
+    """A row for each node that a span stands in, at its own level or lifted to a ``higher`` one that other spans have."""
+    levels = others.agg(F.collect_set("__level")).scalar()
+    above = F.flatten(F.transform(F.filter("__levels", higher), lambda x: _nodes(x, lifted)))
+    rows = df.withColumn("__levels", levels).withColumn("__at", F.explode(F.concat(_nodes(F.col("__level"), own), above)))
+    return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "__level"], F.col("__at").alias(f"__{name}"))
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """All pairs of spans of one timeline that overlap: columns of both sides, named l_* and r_*. Spans are (key, t0, t1, ...).
 
-    Both sides are listed in every bucket of ``width`` ms that they touch; a pair counts in the first bucket that both
-    touch, so it comes once. Spans are (key, t0, t1, ...).
+    Spans meet in the nodes of a tree over time: at level 2k a node has 4**k ms. A span stands at its own level, where it
+    touches two or three nodes, and is lifted to the levels of longer spans on the other side, at most one more row or two
+    for each level that there is; so a pair meets at the level of its longer span, in the node where both begin to overlap.
+    Rows grow with the logarithm of lengths, whatever lengths come together, and a hot timeline spreads over many tasks.
     """
-    buckets = lambda: F.explode(F.sequence(F.floor(F.col("t0") / width), F.floor((F.greatest(F.col("t1"), F.col("t0") + 1) - 1) / width)))
-    a = left.select(*[F.col(c).alias(f"l_{c}") for c in left.columns], buckets().alias("bucket"))
-    b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns], buckets().alias("r_bucket"))
-    on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("bucket") == F.col("r_bucket"))
+    a, b = left.withColumn("__level", _shift(left)), right.withColumn("__level", _shift(right))
+    # case 1: the right span stands at its own level, which is as high or higher; case 2: the left one, which is higher
+    a, b = _standing(a, "l", b, 2, 1, lambda x: x >= F.col("__level")), _standing(b, "r", a, 1, 2, lambda x: x > F.col("__level"))
+    on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("__l.case") == F.col("__r.case")) & (F.col("__l.level") == F.col("__r.level")) & (F.col("__l.node") == F.col("__r.node"))
     on &= overlaps(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1"))
-    on &= F.col("bucket") == F.floor(F.greatest("l_t0", "r_t0") / width)
-    return a.join(b, on, how).drop("bucket", "r_bucket")
+    on &= F.col("__l.node") == F.call_function("shiftright", F.greatest("l_t0", "r_t0").cast("long"), F.col("__l.level"))
+    return a.join(b, on).drop("__l", "__r")
 
 
 def touching(left: DataFrame, right: DataFrame, key: str, anti: bool = False) -> DataFrame:
@@ -69,21 +94,21 @@ def holding_point(spans: DataFrame, points: DataFrame, key: str, margin: int = 4
     return found.where(F.col("__next") < F.col("t1") - margin).select(*spans.columns)
 
 
-def owners(items: DataFrame, spans: DataFrame, key: str, item: str, span: str, least: int = 50, width: int = 3_600_000) -> DataFrame:
+def owners(items: DataFrame, spans: DataFrame, key: str, item: str, span: str, least: int = 50) -> DataFrame:
     """For each item the span that overlaps it most, if by more than ``least`` ms; the earliest of equal ones; else NULL."""
-    pairs = bucketed_overlap(items.select(key, item, "t0", "t1"), spans.select(key, span, "t0", "t1"), key, width).withColumn("shared", overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1"))).where(F.col("shared") > least)
+    pairs = overlapping(items.select(key, item, "t0", "t1"), spans.select(key, span, "t0", "t1"), key).withColumn("shared", overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1"))).where(F.col("shared") > least)
     best = pairs.groupBy(F.col(f"l_{key}").alias(key), F.col(f"l_{item}").alias(item)).agg(F.min_by(F.struct(F.col(f"r_{span}").alias("s"), "shared"), F.struct(-F.col("shared"), F.col("r_t0"), F.col(f"r_{span}"))).alias("b"))
     return items.join(best, [key, item], "left").withColumn("owner", F.col("b.s")).withColumn("shared", F.coalesce("b.shared", F.lit(0))).drop("b")
 
 
-def tiered(clips: DataFrame, windows: DataFrame, key: str, clip: str, window: str, width: int = 3_600_000) -> DataFrame:
+def tiered(clips: DataFrame, windows: DataFrame, key: str, clip: str, window: str) -> DataFrame:
     """Per clip the windows of its best tier, overlaps of 10 ms or less left out.
 
     The first tier are windows of the clip's own part of the story that overlap it by at least 45 % of its length (400 to
     1000 ms), the second any windows of that part, the third the one window that overlaps most. A window is of another part
     if it begins over 200 ms before the clip, or over 400 ms into it and ends over 200 ms after it.
     """
-    pairs = bucketed_overlap(clips.select(key, clip, "t0", "t1"), windows.select(key, window, "t0", "t1"), key, width)
+    pairs = overlapping(clips.select(key, clip, "t0", "t1"), windows.select(key, window, "t0", "t1"), key)
     own = (F.col("r_t0") >= F.col("l_t0") - 200) & ~((F.col("r_t1") > F.col("l_t1") + 200) & (F.col("r_t0") > F.col("l_t0") + 400))
     pairs = pairs.select(F.col(f"l_{key}").alias(key), F.col(f"l_{clip}").alias(clip), F.col(f"r_{window}").alias(window), overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")).alias("shared"), F.greatest(F.lit(400), F.col("l_t1") - F.col("l_t0")).alias("span"), own.alias("own")).where("shared > 10")
     need = F.least(F.lit(1000), F.greatest(F.lit(400), F.bround(F.col("span") * 45 / 100)))

@@ -184,7 +184,7 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
     return ordered.mapInArrow(run, f"{kinds}, t0 long, t1 long, text string, n long")
 
 
-def greedy_match(speech: DataFrame, seen: DataFrame, key: str, width: int, score: Callable[[str, str], Column], least: float = 0.55, shared: int = 120) -> DataFrame:
+def greedy_match(speech: DataFrame, seen: DataFrame, key: str, score: Callable[[str, str], Column], least: float = 0.55, shared: int = 120) -> DataFrame:
     """One-to-one matches of spans (key, id, t0, t1, text): spoken ones in order of time take the best-scored span seen
     that shares at least ``shared`` ms and is still free, if it scores ``least``. A row for each spoken span that has
     text: (key, id, t0, t1, text, match, seen, score); without a match ``match`` and ``seen`` are NULL and ``score`` is 0.
@@ -192,10 +192,10 @@ def greedy_match(speech: DataFrame, seen: DataFrame, key: str, width: int, score
     Pairs that score less can't be accepted and so can't disturb others; the rest stream by in chains of pairs whose
     times meet. What is taken is kept only until the spoken spans have passed it.
     """
-    from timeloom.operators.intervals import bucketed_overlap, overlap
+    from timeloom.operators.intervals import overlapping, overlap
 
     said = speech.select(key, "id", "t0", "t1", "text").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
-    pairs = bucketed_overlap(said, seen.select(key, "id", "t0", "t1", "text"), key, width)
+    pairs = overlapping(said, seen.select(key, "id", "t0", "t1", "text"), key)
     pairs = pairs.where(overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")) >= shared).withColumn("score", score("l_text", "r_text")).where(F.col("score") >= least)
     pairs = pairs.select(F.col(f"l_{key}").alias(key), "l_id", "l_t0", "r_id", "r_t1", "score", F.least("l_t0", "r_t0").alias("__a"), F.greatest("l_t1", "r_t1").alias("__z"))
     w = Window.partitionBy(key).orderBy("__a", "l_t0", "l_id", "r_id")

@@ -167,13 +167,12 @@ def order_spans(spark, sf):
 
 
 SPANS = "sp AS (SELECT o_custkey AS job_id, o_orderkey AS id, epoch_ms(o_orderdate) AS t0, epoch_ms(o_orderdate) + (o_orderkey % 11 + 1) * 86400000 AS t1 FROM orders)"
-MONTH = 2_592_000_000
 
 
 @query(f"WITH {SPANS} SELECT a.job_id, a.id AS a, b.id AS b, least(a.t1, b.t1) - greatest(a.t0, b.t0) AS shared FROM sp a JOIN sp b ON a.job_id = b.job_id AND a.id < b.id AND a.t0 < b.t1 AND b.t0 < a.t1")
 def overlap_pairs(spark, sf):
     s = order_spans(spark, sf)
-    p = intervals.bucketed_overlap(s, s, "job_id", MONTH).where("l_id < r_id")
+    p = intervals.overlapping(s, s, "job_id").where("l_id < r_id")
     return p.select(F.col("l_job_id").alias("job_id"), F.col("l_id").alias("a"), F.col("r_id").alias("b"), intervals.overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")).alias("shared"))
 
 
@@ -208,7 +207,7 @@ def spans_and_windows(spark, sf):
 b AS (SELECT job_id, ord, arg_min(w, (-shared, w)) AS owner, max(shared) AS shared FROM p WHERE shared > 50 GROUP BY job_id, ord) SELECT ev.job_id, ev.ord, owner, coalesce(shared, 0) AS shared FROM ev LEFT JOIN b USING (job_id, ord)""")
 def span_owner_argmax(spark, sf):
     spans, windows = spans_and_windows(spark, sf)
-    return intervals.owners(spans, windows, "job_id", "ord", "w", width=HOP).select("job_id", "ord", "owner", "shared")
+    return intervals.owners(spans, windows, "job_id", "ord", "w").select("job_id", "ord", "owner", "shared")
 
 
 @query(f"""WITH {TIMELINE}, {WINDOWS}, p AS (SELECT ev.job_id, ord, w, least(ev.t1, wi.t1) - greatest(ev.t0, wi.t0) AS shared, greatest(400, ev.t1 - ev.t0) AS span, wi.t0 >= ev.t0 - 200 AND NOT (wi.t1 > ev.t1 + 200 AND wi.t0 > ev.t0 + 400) AS own FROM ev JOIN wi ON ev.job_id = wi.job_id AND ev.t0 < wi.t1 AND wi.t0 < ev.t1),
@@ -217,7 +216,7 @@ r AS (SELECT *, min(tier) OVER (PARTITION BY job_id, ord) AS best, row_number()
 SELECT job_id, ord, w, tier, shared FROM r WHERE tier = best AND (tier < 3 OR n = 1)""")
 def tiered_window_pick(spark, sf):
     spans, windows = spans_and_windows(spark, sf)
-    return intervals.tiered(spans, windows, "job_id", "ord", "w", width=HOP)
+    return intervals.tiered(spans, windows, "job_id", "ord", "w")
 
 
 @query(f"""WITH {TIMELINE}, a AS (SELECT job_id, t FROM tl WHERE kind = 'purchase'), p AS (SELECT job_id, ord, t FROM tl WHERE kind = 'view'),
@@ -426,7 +425,7 @@ def fuzzy_match_greedy(spark, sf):
     """Answers of a conversation as speech, its other turns as what is seen; a turn begins every 500 ms and plays its time."""
     spans = turns(spark, sf).select("job_id", F.col("ord").alias("id"), (F.col("ord") * 500).alias("t0"), (F.col("ord") * 500 + F.col("play")).alias("t1"), "role", "text")
     spoken = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    return sequences.greedy_match(spans.where(spoken), spans.where(~spoken), "job_id", 6500, tx.similarity)
+    return sequences.greedy_match(spans.where(spoken), spans.where(~spoken), "job_id", tx.similarity)
 
 
 @query(f"""WITH {TIMELINE}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS n FROM tl), h AS (SELECT job_id, ord, n FROM n WHERE value >= 50),

@@ -47,7 +47,7 @@ def beat_flags(spark, sf):
     tl = timeline(spark, sf)
     r = relative(tl)
     spans = lambda kind, length: r.where(F.col("kind") == kind).select("job_id", F.col("t").alias("t0"), (F.col("t") + length).alias("t1"), F.when(F.col("ord") % 3 != 0, F.col("kind")).otherwise(" ").alias("text"))
-    got = beats.flags(slots(tl), r.where("kind = 'purchase'").select("job_id", "t"), spans("view", 60_000), spans("error", 600_000), "job_id", width=SLOT)
+    got = beats.flags(slots(tl), r.where("kind = 'purchase'").select("job_id", "t"), spans("view", 60_000), spans("error", 600_000), "job_id")
     return got.select("job_id", "ord", F.array_join("flags", ",").alias("flags"))
 
 
