@@ -111,6 +111,21 @@ def test_whole_license_texts(spark):
     assert got[50]["sentence_ids"] == ["mit-grant", "mit-notice", "mit-warranty"]
 
 
+def test_wrapped_sentences_are_found_beside_others(spark):
+    wrapped = "Released under the Apache License,\nVersion 2.0."
+    head = "Licensed under the MIT License\nAll rights reserved\n"
+    rows = [(1, f"Some words. {wrapped}"), (2, f"{head}Some words. {wrapped}"), (3, f"{head}Some words\n{wrapped}"), (4, "This work\nis licensed\nunder the\n\nMIT\nLicense"), (5, "\n".join(MIT.split()))]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(docs(spark, rows)).collect()}
+    both = ["Apache-2.0", "LicenseRef-proprietary", "MIT"]
+    assert got == {1: ["Apache-2.0"], 2: both, 3: both, 4: ["MIT"], 5: ["MIT"]}
+
+
+def test_of_sentences_within_one_another_the_longest_counts(spark):
+    text = "Licensed under the Apache License, Version 2.0\n(the \"License\");"
+    (row,) = licenses.scan(docs(spark, [(None, text)])).collect()
+    assert (row["sentence_ids"], row["n_unknown"]) == (["apache2-head"], 0)
+
+
 def test_license_edges(spark):
     assert licenses.scan(clashing(spark)).count() == len(EDGES)
     assert licenses.scan(docs(spark, [])).count() == 0

@@ -148,41 +148,59 @@ SUBJECT = "^(this|the) (work|software|file|project|program|document|code|library
 #: The mark of a licence's identifier is one sentence with what follows it.
 MARK = "(?i)(spdx-license-identifier):"
 _BREAK = r"([.!?;:])[ \t\r\f]+"
-_WRAP = r"[ \t\r\n\f]+"
+#: A line that a known sentence begins on begins with one of these words, its own first ones and those of subjects.
+FIRST = "^(" + "|".join(sorted({s.split(" ")[0] for s in SENTENCES} | {"this", "the", "it", "is"})) + ")( |$)"
+#: No known sentence with its subject is longer.
+LONGEST = max(map(len, SENTENCES)) + len("this documentation has been ")
+#: Nor does any have so many words, each of which may stand on a line of its own.
+MOST_LINES = max(s.count(" ") for s in SENTENCES) + 5
 
 
-def normal(sentence: Column) -> Column:
-    """Lower case, every run of other characters than a-z and 0-9 a space, no subject in front."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")), SUBJECT, "")
+def words(line: Column) -> Column:
+    """Lower case, every run of other characters than a-z and 0-9 a space."""
+    return F.trim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " "))
 
 
-def _identifiers(text: Column, known: Column) -> Column:
-    """Per sentence that has a stem: its identifier, or '' if it isn't known."""
-    lines = F.split(F.regexp_replace(text, _BREAK, "$1\n"), "\n")
-    likely = F.filter(lines, lambda s: F.lower(s).rlike(STEMS))
-    return F.transform(likely, lambda s: F.coalesce(F.try_element_at(known, normal(s)), F.lit("")))
+def _runs(lines: Column, known: Column) -> Column:
+    """All runs of lines that together are a known sentence: structs of first line ``i``, last line ``j`` and ``id``, by
+    first line, longer ones first."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.element_at(lines, i).rlike(FIRST))
+
+    def of(i: Column) -> Column:
+        near = F.slice(lines, i, F.lit(MOST_LINES))
+        # how many lines are no longer together than the longest sentence
+        none = F.struct(F.lit(0).alias("length"), F.lit(0).alias("n"))
+        add = lambda acc, w: F.struct((acc["length"] + F.length(w) + 1).alias("length"), (acc["n"] + (acc["length"] + F.length(w) <= LONGEST).cast("int")).alias("n"))
+        reach = F.aggregate(near, none, add)["n"]
+        said = lambda n: F.regexp_replace(F.array_join(F.slice(lines, i, n), " "), SUBJECT, "")
+        runs = F.transform(F.sequence(reach, F.lit(1)), lambda n: F.struct(i.alias("i"), (i + n - 1).alias("j"), F.try_element_at(known, said(n)).alias("id")))
+        return F.when(reach > 0, runs).otherwise(F.array().cast("array<struct<i:int,j:int,id:string>>"))
+
+    return F.filter(F.flatten(F.transform(starts, of)), lambda r: r["id"].isNotNull())
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: the id, ``sentence_ids`` (known sentences in order), ``licenses`` (sorted, distinct) and
-    ``n_unknown`` (sentences with a stem that are no known ones).
+    ``n_unknown`` (lines with a stem that are in no known sentence).
 
-    Sentences end at line ends and after punctuation; a text whose lines are wrapped is read again with its line ends as
-    spaces, and the reading that knows more sentences counts (the first if equal). Null and empty texts have empty
-    lists and 0. Repeated rows are read one by one and further columns are ignored.
+    Lines end at line ends and behind punctuation. A known sentence may be one line or any run of lines that together
+    read like it, wherever it is wrapped; of sentences within one another the longest counts. Null and empty texts have
+    empty lists and 0. Repeated rows are read one by one, rows without an id like others, and further columns are ignored
+    whatever their names. Of licences with equal sentences the first rule's counts. An empty table gives an empty result.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     text = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), MARK, "$1")
     none = F.array().cast("array<string>")
-    likely = F.lower(text).rlike(STEMS)
-    both = docs.select(
-        F.col(id_column),
-        F.when(likely, _identifiers(text, known)).otherwise(none).alias("__plain"),
-        F.when(likely, _identifiers(F.regexp_replace(text, _WRAP, " "), known)).otherwise(none).alias("__joined"),
-    )
-    count = lambda c: F.size(F.filter(c, lambda x: x != ""))
-    read = both.select(F.col(id_column), F.when(count("__joined") > count("__plain"), F.col("__joined")).otherwise(F.col("__plain")).alias("__found"))
-    ids = read.select(F.col(id_column), F.filter("__found", lambda x: x != "").alias("sentence_ids"), F.size(F.filter("__found", lambda x: x == "")).alias("n_unknown"))
+    cut = F.split(F.regexp_replace(text, _BREAK, "$1\n"), "\n")
+    said = F.filter(F.transform(cut, lambda x: F.struct(words(x).alias("w"), F.lower(x).rlike(STEMS).alias("stem"))), lambda x: x["w"] != "")
+    lines = docs.select(F.col(id_column).alias("__id"), F.when(F.lower(text).rlike(STEMS), said).otherwise(F.array().cast("array<struct<w:string,stem:boolean>>")).alias("__lines"))
+    found = lines.withColumn("__runs", F.when(F.size("__lines") > 0, _runs(F.col("__lines.w"), known)).otherwise(F.array().cast("array<struct<i:int,j:int,id:string>>")))
+    # a longer run around a run begins no later and few runs before it, as no line begins more than a handful
+    near = lambda p: F.slice("__runs", F.greatest(p + 1 - 8 * MOST_LINES, F.lit(1)), F.least(p, F.lit(8 * MOST_LINES)))
+    kept = found.withColumn("__kept", F.filter("__runs", lambda r, p: ~F.exists(near(p), lambda q: q["j"] >= r["j"])))
+    covered = F.flatten(F.transform("__kept", lambda r: F.sequence(r["i"], r["j"])))
+    stems = F.filter(F.transform("__lines", lambda x, n: F.when(x["stem"], n + 1)), lambda n: n.isNotNull())
+    ids = kept.select("__id", F.col("__kept.id").alias("sentence_ids"), F.size(F.array_except(stems, covered)).alias("n_unknown"))
     rules = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_sequence(parts)).alias("parts")) for name, parts in RULES])
     start = F.struct(F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: F.concat(x, F.lit("|"))), "|")).alias("left"), none.alias("found"))
     matched = F.aggregate(
@@ -194,7 +212,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         ).otherwise(acc),
         lambda acc: F.array_sort(F.array_distinct(acc["found"])),
     )
-    return ids.select(F.col(id_column), "sentence_ids", F.when(F.size("sentence_ids") > 0, matched).otherwise(none).alias("licenses"), "n_unknown")
+    return ids.select(F.col("__id").alias(id_column), "sentence_ids", F.when(F.size("sentence_ids") > 0, matched).otherwise(none).alias("licenses"), "n_unknown")
 
 
 def _sequence(parts: tuple[str, ...]) -> str:

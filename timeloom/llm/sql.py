@@ -12,32 +12,27 @@ def _quoted(text: str) -> str:
 
 def licences_sql() -> str:
     known = ", ".join(f"({_quoted(s)}, {_quoted(i)})" for s, i in licenses.SENTENCES.items())
-
-    def reading(name: str, text: str) -> str:
-        return f"""
-        {name}_lines AS (
-            SELECT doc_id, unnest(string_split(regexp_replace({text}, '([.!?;:])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10))) AS line,
-                   generate_subscripts(string_split(regexp_replace({text}, '([.!?;:])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS n
-            FROM likely),
-        {name} AS (
-            SELECT doc_id, coalesce(list(k.id ORDER BY n) FILTER (k.id IS NOT NULL), []) AS ids, count(*) FILTER (k.id IS NULL) AS unknown
-            FROM (SELECT doc_id, n, regexp_replace(trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')), {_quoted(licenses.SUBJECT)}, '', 'g') AS s
-                  FROM {name}_lines WHERE regexp_matches(lower(line), {_quoted(licenses.STEMS)})) LEFT JOIN known k USING (s)
-            GROUP BY doc_id)"""
-
-    inner = """SELECT d.doc_id,
-            CASE WHEN coalesce(len(j.ids), 0) > coalesce(len(p.ids), 0) THEN j.ids ELSE coalesce(p.ids, []) END AS ids,
-            CASE WHEN coalesce(len(j.ids), 0) > coalesce(len(p.ids), 0) THEN j.unknown ELSE coalesce(p.unknown, 0) END AS n_unknown
-        FROM documents d LEFT JOIN plain p USING (doc_id) LEFT JOIN joined j USING (doc_id)"""
+    cut = "string_split(regexp_replace(text, '([.!?;:])[ \\t\\r\\f]+', '\\1' || chr(10), 'g'), chr(10))"
+    inner = """SELECT d.doc_id, coalesce(k.ids, []) AS ids, coalesce(u.n_unknown, 0) AS n_unknown
+        FROM docs d LEFT JOIN (SELECT r, list(id ORDER BY i, j) AS ids FROM kept GROUP BY r) k USING (r) LEFT JOIN unknown u USING (r)"""
     query = f"SELECT *, '|' || array_to_string(list_transform(ids, lambda x: x || '|'), '|') AS left_over, []::VARCHAR[] AS found FROM ({inner})"
     for name, parts in licenses.RULES:
         seq = _quoted(licenses._sequence(parts))
         query = f"""SELECT doc_id, ids, n_unknown, replace(left_over, {seq}, '|') AS left_over,
             CASE WHEN contains(left_over, {seq}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found FROM ({query})"""
     return f"""WITH known(s, id) AS (VALUES {known}),
-        likely AS (SELECT doc_id, regexp_replace(text, {_quoted(licenses.MARK)}, '\\1', 'g') AS text FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {_quoted(licenses.STEMS)})),
-        {reading("plain", "text").strip()},
-        {reading("joined", "regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g')").strip()}
+        docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+        likely AS (SELECT r, regexp_replace(text, {_quoted(licenses.MARK)}, '\\1', 'g') AS text FROM docs WHERE regexp_matches(lower(coalesce(text, '')), {_quoted(licenses.STEMS)})),
+        cut AS (SELECT r, unnest({cut}) AS line, generate_subscripts({cut}, 1) AS place FROM likely),
+        lines AS MATERIALIZED (SELECT r, w, stem, row_number() OVER (PARTITION BY r ORDER BY place) AS n
+            FROM (SELECT r, place, trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) AS w, regexp_matches(lower(line), {_quoted(licenses.STEMS)}) AS stem FROM cut) WHERE w <> ''),
+        texts AS (SELECT r, list(w ORDER BY n) AS ws FROM lines GROUP BY r),
+        runs AS MATERIALIZED (SELECT r, i, j, id FROM
+            (SELECT r, n AS i, j, regexp_replace(array_to_string(ws[n:j], ' '), {_quoted(licenses.SUBJECT)}, '', 'g') AS s
+             FROM (SELECT l.r, n, ws, unnest(range(n, least(len(ws), n + {max(s.count(" ") for s in licenses.SENTENCES) + 5}) + 1)) AS j FROM lines l JOIN texts USING (r) WHERE regexp_matches(w, {_quoted(licenses.FIRST)})))
+            JOIN known USING (s)),
+        kept AS (SELECT * FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r AND y.i <= x.i AND y.j >= x.j AND y.j - y.i > x.j - x.i)),
+        unknown AS (SELECT r, count(*) AS n_unknown FROM lines l WHERE stem AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.r = l.r AND k.i <= l.n AND l.n <= k.j) GROUP BY r)
         SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') AS licenses, n_unknown FROM ({query})"""
 
 
