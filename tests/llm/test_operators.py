@@ -222,6 +222,19 @@ def test_jaccard_against_brute_force(spark, shingle, percent):
     assert got == brute.jaccard_components(rows, shingle, percent)
 
 
+def test_ids_with_several_texts_link_whatever_the_order(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randint(0, 500)}" for _ in range(80))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (3, b + " more"), (9, c), (9, d), (4, c + " more"), (5, d + " more"), (9, c), (6, text()), (8, None), (8, "alone here")]
+    want = brute.jaccard_components(rows)
+    assert want[3][1] == want[1][1] == 1 and want[9][1] == want[4][1] == want[5][1] == 4
+    for _ in range(3):
+        rng.shuffle(rows)
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.components(docs(spark, rows)).collect()}
+        assert got == {(i, x) for i, (_, x) in want.items()}
+
+
 def test_jaccard_edges(spark):
     got = jaccard.components(clashing(spark, [*EDGES, (None, "a b c d e")]))
     assert got.count() == len(EDGES) + 1

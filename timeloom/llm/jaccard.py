@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.session import checkpointed, connected_components, short_shuffles
+from timeloom.llm.session import UNNAMED, checkpointed, connected_components, numbered, short_shuffles
 from timeloom.llm.text import LOWER, SPACE, mixed, offsets_of, pieces, shingles, span_hashes, words
 
 
@@ -223,9 +223,9 @@ def _prepared(docs: DataFrame, rule: JaccardJoin, counts: _Counts) -> DataFrame:
                     seen.add(node)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield pa.record_batch([piece.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n_shingles", "node", "signatures"])
+            yield pa.record_batch([piece.column(0), piece.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "row", "n_shingles", "node", "signatures"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, signatures array<long>")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, node long, signatures array<long>")
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -290,16 +290,18 @@ def components(docs: DataFrame, rule: JaccardJoin = JaccardJoin(), id_column: st
     """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Null texts and texts without words have no shingles and link with nothing; texts shorter than a shingle have their
-    whole sequence as one. Equal sets are one component without being compared. Rows that share an id are copies of one
-    text. A row without an id links with nothing and has no component_id. Further columns are ignored. An empty table
-    gives an empty result.
+    whole sequence as one. Equal sets are one component without being compared. An id with several texts links with all
+    that any of them links with, and a row counts the shingles of its own text. A row without an id links with nothing and
+    has no component_id. Further columns are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    slim = numbered(docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))).select("doc_id", "text", F.col("__row").alias("row"))
     with short_shuffles(spark):
         prepared = checkpointed(_prepared(slim, rule, _count(slim, rule)))
-        first = checkpointed(prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size")))
-        labels = _linked(slim, _meeting(prepared, rule.percent), first, rule)
+        first = checkpointed(prepared.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("row").alias("first"), F.max("n_shingles").alias("size")))
+        # a text of an id with several goes by a number of its own, and the id, which is smaller, holds them together
+        several = prepared.where(f"n_shingles > 0 and doc_id is not null and row >= {UNNAMED}").select("doc_id", "node").join(first, "node").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        labels = _linked(slim, _meeting(prepared, rule.percent), first, several, rule)
     # by sets, which go by their smallest id: a set may have a third of all documents
     of_node = first.join(labels, F.col("first") == labels["node"], "left").select(first["node"], F.coalesce("component", "first").alias("component_id"))
     return (
@@ -339,10 +341,11 @@ def _with_blocks(meeting: DataFrame, rule: JaccardJoin) -> DataFrame:
     return salted.join(large, ["pivot", "salt"], "left").select("pivot", "doc_id", "size", F.coalesce("blocks", F.lit(1)).alias("blocks"))
 
 
-def _linked(slim: DataFrame, meeting: DataFrame, first: DataFrame, rule: JaccardJoin) -> DataFrame:
-    """Components of the sets that meet, by exact comparison in pairs of blocks of about ``rule.block`` sets, or fewer long ones.
+def _linked(slim: DataFrame, meeting: DataFrame, first: DataFrame, known: DataFrame, rule: JaccardJoin) -> DataFrame:
+    """Components of the sets that meet, by exact comparison in pairs of blocks of about ``rule.block`` sets, or fewer long
+    ones, and of links that are ``known``.
 
-    A set goes by the smallest id of its documents, so the label of a component is its smallest id.
+    A set goes by the smallest row of its documents, so the label of a component is its smallest id.
     """
     named = checkpointed(meeting.join(first, "node").select("pivot", F.col("first").alias("doc_id"), "size"))
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -354,9 +357,9 @@ def _linked(slim: DataFrame, meeting: DataFrame, first: DataFrame, rule: Jaccard
     total = dealt.agg(F.count("*").alias("rows"), F.sum("size").alias("size")).first()
     bundles = max(1, math.ceil(total["rows"] / 1000), math.ceil((total["size"] or 0) / rule.volume))
     compared = (
-        dealt.join(slim.where("doc_id is not null"), "doc_id")
+        dealt.join(slim.where("doc_id is not null").select(F.col("row").alias("doc_id"), "text"), "doc_id")
         .select("doc_id", "pivot", "i", "j", "text", F.pmod(F.xxhash64("pivot", "i", "j"), F.lit(bundles)).alias("bundle"))
         .groupBy("bundle")
         .applyInArrow(_compare(rule), "a long, b long")
     )
-    return checkpointed(connected_components(compared))
+    return checkpointed(connected_components(compared.unionByName(known)))
