@@ -389,21 +389,30 @@ def test_a_copy_without_an_id_does_not_take_the_signatures(spark):
 # 6. Chunks
 
 
+def chunks_in(text: bytes, rule=chunks.Chunking()):
+    starts, ends = chunks.borders(np.frombuffer(text, np.uint8), np.array([0, len(text)]), rule)
+    return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+
 def test_borders_come_back_after_an_insertion():
     rng = random.Random(1)
     text = "".join(rng.choice("abcdefgh ") for _ in range(4000)).encode()
     rule = chunks.Chunking()
+    a, b = ({t[i:j] for i, j in chunks_in(t)} for t in (text, text[:1000] + b"inserted" + text[1000:]))
+    assert len(a) > 150 and len(a & b) >= len(a) - 12 and all(rule.least <= len(x) <= rule.most for x in a)
+    for same in (b"x" * 5000, b"ab" * 2500, b"word " * 1000):
+        assert 4 < len(chunks_in(same)) <= 400 and chunks_in(same)[0][0] <= rule.most
+    assert chunks_in(b"") == [] and chunks_in(b"short") == []
 
-    def pieces(data):
-        ends, _ = chunks.borders(np.frombuffer(data, np.uint8), np.array([0, len(data)]), rule)
-        starts = [0, *ends[:-1].tolist()]
-        assert ends[-1] == len(data)
-        return [data[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
 
-    a, b = pieces(text), pieces(text[:1000] + b"inserted" + text[1000:])
-    assert b"".join(a) == text and all(len(x) <= rule.most for x in a) and all(len(x) >= rule.least for x in a[:-1])
-    assert len(set(a) & set(b)) >= len(a) - 6
-    assert b"".join(pieces(b"x" * 5000)) == b"x" * 5000
+def test_borders_do_not_depend_on_other_texts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc def") for _ in range(rng.choice([0, 5, 60, 900]))).encode() for _ in range(40)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    starts, ends = chunks.borders(np.frombuffer(b"".join(texts), np.uint8), offsets, chunks.Chunking())
+    for k, t in enumerate(texts):
+        mine = (starts >= offsets[k]) & (starts < offsets[k + 1])
+        assert {(i - offsets[k], j - offsets[k]) for i, j in zip(starts[mine], ends[mine], strict=True)} == set(chunks_in(t))
 
 
 def test_repeated_passages_are_found_and_cut(spark):
@@ -420,24 +429,18 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert chunks.deduplicated(clashing(spark)).count() == len(EDGES)
 
 
-def test_no_passage_is_lost_by_where_it_stands():
+def test_recall_of_short_passages(spark):
+    """Passages of 100 to 300 bytes, 200 of each length, each in two documents of its own."""
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 6)))
     own = lambda n: " ".join(word() for _ in range(n))
-    rule = chunks.Chunking()
-
-    def spans(text):
-        data = np.frombuffer(text.encode(), np.uint8)
-        return {data[a : a + rule.passage].tobytes() for a in chunks.marks(data, np.array([0, len(data)]), rule)[0].tolist()}
-
-    for n in range(400):
-        passage = own(51)
-        assert spans(f"{own(n % 37)} {passage} {own(9)}") & spans(f"{own(n % 23)} {passage} {own(30)}")
-        exact = own(60)[: rule.passage + rule.window - 1]
-        assert spans(f"{own(5)} {exact} {own(n % 11)}") & spans(f"{own(n % 7)} {exact} {own(5)}")
-    x = np.frombuffer(b"x" * 5000 + b"ab" * 3000, np.uint8)
-    at, text = chunks.marks(x, np.array([0, 5000, 11000]), rule)
-    assert len(at) < 700 and np.diff(at[text == 0]).max() <= rule.window and np.diff(at[text == 1]).max() <= rule.window + 1
+    rows, sizes = [], (90, 100, 110, 120, 138, 300)
+    for k in range(len(sizes) * 200):
+        passage = own(200)[: sizes[k % len(sizes)]]
+        rows += [(2 * k, f"{own(rng.randint(0, 40))} #{passage}# {own(9)}"), (2 * k + 1, f"{own(rng.randint(0, 23))} <{passage}> {own(30)}")]
+    got = {r["doc_id"] for r in chunks.repeats(docs(spark, rows)).collect()}
+    found = {n: sum(2 * k in got and 2 * k + 1 in got for k in range(len(rows) // 2) if sizes[k % len(sizes)] == n) for n in sizes}
+    assert found[90] == 0 and min(found.values(), key=lambda n: n or 200) >= 180 and found[138] >= 196 and found[300] == 200, found
 
 
 def test_all_first_documents_of_a_run_are_listed(spark):
@@ -459,33 +462,53 @@ def test_repeats_against_a_plain_version(spark):
     rows += [rows[3], (100, None), (101, ""), (102, "ab" * 900), (103, "x " + "ab" * 800), (104, shared[0] * 3)]
     rule = chunks.Chunking()
     texts = {i: (t or "").encode() for i, t in rows}
-    at = {i: chunks.marks(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rule)[0].tolist() for i, t in texts.items()}
-    holders: dict = {}
-    for i in texts:
-        for a in at[i]:
-            holders.setdefault(texts[i][a : a + 100], set()).add(i)
+    own_chunks, holders, spans_at, span_holders = {}, {}, {}, {}
+    for i, t in texts.items():
+        own_chunks[i] = chunks_in(t)
+        for a, b in own_chunks[i]:
+            holders.setdefault(t[a:b], set()).add(i)
+    for i, t in texts.items():
+        shared_chunks = [(a, b) for a, b in own_chunks[i] if len(holders[t[a:b]]) > 1]
+        # runs of chunks, and the spans around them
+        spans_at[i] = set()
+        for run in (list(g) for g in runs_of(shared_chunks)):
+            begin, end = run[0][0], max(b for _, b in run)
+            if end - begin < rule.passage:
+                spans_at[i] |= {a for a in range(max(0, end - rule.passage), begin + 1) if a + rule.passage <= len(t)}
+            else:
+                begins = [a for a, _ in run]
+                steps = {a + k for a, z in zip(begins, [*begins[1:], begins[-1] + 1]) for k in range(0, z - a, 50)}
+                spans_at[i] |= {a for a in steps if a + rule.passage <= end} | {end - rule.passage}
+        for a in spans_at[i]:
+            span_holders.setdefault(t[a : a + rule.passage], set()).add(i)
     got = {r["doc_id"]: r for r in chunks.repeats(docs(spark, rows)).collect()}
-    shared_spans = collections.Counter(s for t in texts.values() for s in {t[a : a + 100] for a in range(len(t) - 99)})
+    everywhere = collections.Counter(s for t in texts.values() for s in {t[a : a + 100] for a in range(len(t) - 99)})
     for i, t in texts.items():
-        spans = [a for a in at[i] if len(holders[t[a : a + 100]]) > 1]
-        later = [a for a in spans if min(holders[t[a : a + 100]]) < i]
-        cover = lambda starts: len(set().union(*(range(a, a + 100) for a in starts)) if starts else ())
-        assert (i in got) == bool(spans)
-        # wherever 40 neighbouring spans stand in another text too, one of them is found
-        both = [a for a in range(len(t) - 99) if shared_spans[t[a : a + 100]] > 1]
-        assert set(spans) <= set(both)
-        for a in both:
-            if set(range(a, a + 40)) <= set(both):
-                runs = [j for j in texts if j != i and t[a : a + 139] in texts[j]]
-                assert not runs or set(spans) & set(range(a, a + 40))
+        spans = [a for a in spans_at[i] if len(span_holders[t[a : a + 100]]) > 1]
+        later = [a for a in spans if min(span_holders[t[a : a + 100]]) < i]
+        cover = lambda starts: set().union(*(range(a, a + 100) for a in starts)) if starts else set()
+        assert (i in got) == bool(spans) and all(everywhere[t[a : a + 100]] > 1 for a in spans)
         if spans:
-            gone = set().union(*(range(a, a + 100) for a in later)) if later else set()
-            assert got[i]["repeated_bytes"] == cover(spans) and got[i]["removed_bytes"] == cover(later)
-            assert got[i]["first_docs"] == sorted({min(holders[t[a : a + 100]]) for a in later})
+            gone = cover(later)
+            assert got[i]["repeated_bytes"] == len(cover(spans)) and got[i]["removed_bytes"] == len(gone)
+            assert got[i]["first_docs"] == sorted({min(span_holders[t[a : a + 100]]) for a in later})
             assert got[i]["text"] == bytes(b for k, b in enumerate(t) if k not in gone).decode("utf-8", "ignore")
     assert len(got) > 20
 
 
+def runs_of(found):
+    """Spans in order, cut where one begins far behind all before it."""
+    run, reach = [], -1
+    for a, b in found:
+        if run and a > reach + chunks.BRIDGE:
+            yield run
+            run = []
+        run.append((a, b))
+        reach = max(reach, b)
+    if run:
+        yield run
+
+
 def test_texts_of_one_id_and_rows_without_an_id_are_cut_by_their_own(spark):
     rng = random.Random(16)
     own = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8))) for _ in range(n))
