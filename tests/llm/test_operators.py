@@ -554,6 +554,41 @@ def test_no_text_of_an_article_is_lost():
     assert html.main_text(f"<body><div class='widget'><p>{long}</p></div></body>") == long
 
 
+LONG_TEXT = "One long text, with commas, and more, and more, so that it counts, yes, and again, and again, so it is best, of all."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>LONG</p><section id='related-work'><h2>Related work</h2><p>Others have done it, too.</p></section></article>", ["LONG", "Related work", "Others have done it, too."]),
+        ("<article><p>LONG</p><h2 id='search'>Search</h2><p>LONG</p><h2 id='social-impact'>Social impact</h2><p>x, y.</p></article>", ["LONG", "Search", "LONG", "Social impact", "x, y."]),
+        ("<article><section id='search'><h2>Search</h2><p>LONG</p></section><p>LONG</p></article>", ["Search", "LONG", "LONG"]),
+        ("<article><p>LONG</p><ul><li><a>Ada Lovelace</a></li><li><a>Alan Turing</a></li></ul><p>LONG</p></article>", ["LONG", "Ada Lovelace", "Alan Turing", "LONG"]),
+        ("<body><form id='aspnetForm'><article><p>LONG</p><p>And so on.</p></article></form></body>", ["LONG", "And so on."]),
+        ("<body><form id='aspnetForm'><div><p>LONG</p><p>And so on</p></div></form></body>", ["LONG", "And so on"]),
+        ("<body><div><p>LONG</p></div><p>LONG</p><p>The end</p></body>", ["LONG", "LONG", "The end"]),
+        ("<article><p>LONG</p><form><p>Your name</p><label>Mail</label><input></form><div class='newsletter-signup'><p>Get it by mail, now.</p></div></article>", ["LONG"]),
+        ("<article><p>LONG</p><section id='comments'><h2>3 comments</h2><p>LONG</p><p>LONG</p><p>LONG</p></section></article>", ["LONG"]),
+        ("<article><p>LONG</p><ul class='share'><li><a>Post it</a></li><li><a>Send it</a></li></ul><div class='related-posts'><a>Another text</a></div></article>", ["LONG"]),
+    ],
+)
+def test_names_weigh_and_do_not_delete(page, want):
+    assert html.main_text(page.replace("LONG", LONG_TEXT)).split("\n\n") == [w.replace("LONG", LONG_TEXT) for w in want]
+
+
+def test_of_equal_containers_the_first_is_the_best():
+    # siblings that read alike are kept with it, in page order
+    page = "<body><div><p>{0}</p></div><div><p>{1}</p></div></body>".format(LONG_TEXT, LONG_TEXT.replace("One", "Two"))
+    assert html.main_text(page) == LONG_TEXT + "\n\n" + LONG_TEXT.replace("One", "Two")
+
+
+@pytest.mark.parametrize("page", ["<b><p>some words, and more." * 16_000, "<span>" * 16_000 + "<p>some words, and more.</p>" * 16_000, "<p>some words, and more.</p><div>" * 16_000])
+def test_unclosed_tags_take_no_more_time(page):
+    began = time.time()
+    assert html.main_text(f"<article>{page}</article>").count("some words") == 16_000
+    assert time.time() - began < 5
+
+
 def test_generated_pages_give_their_article_and_nothing_else():
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))

@@ -23,49 +23,66 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _RAW = {"script", "style", "textarea", "title", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-_DROPPED = set("aside audio button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object select svg template video".split()) | _RAW
+_DROPPED = set("aside audio button canvas dialog footer head iframe input label menu nav noembed noframes noscript object select svg template video".split()) | _RAW
 # Words in classes and ids that make an element doubtful. Most of its points are lost for the first ones,
-# half of them for the others, which articles use for parts of their own as well.
-_UNLIKELY = "ad adsbygoogle adsense ads advert adverts advertisement advertisements advertising adbox alert alerts banner banners breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies crumbs disqus footer gdpr forms form hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion promotions recommended recommendations related replies respond responses search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subnav subscribe subscription toolbar topbar topnav widget widgets"
+# half of them for the others, which articles use for parts of their own as well; readers' comments are no part of one.
+_UNLIKELY = "ad adsbygoogle adsense ads advert adverts advertisement advertisements advertising adbox alert alerts banner banners breadcrumb breadcrumbs captcha consent cookie cookies crumbs footer gdpr forms form hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promos promotion promotions recommended recommendations related search share sharing sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subnav subscribe subscription toolbar topbar topnav widget widgets"
 _DOUBTFUL = "discussion feedback header recommend tags"
-_WORDS = {**{w: 0.5 for w in _DOUBTFUL.split()}, **{w: 0.1 for w in _UNLIKELY.split()}}
+_COMMENTS = "comment comments commentlist disqus replies respond responses"
+_WORDS = {**{w: 0.5 for w in _DOUBTFUL.split()}, **{w: 0.1 for w in _UNLIKELY.split()}, **{w: 0.0 for w in _COMMENTS.split()}}
+# Words that say nothing of what an element holds. A name with any others, such as related-work, is one of its own.
+_PLAIN = "area articles bar block body bottom box btn button buttons col column container content cta desktop entry fixed footer full group head header holder icons inner item items large left letter link links list main message mobile module page panel panels policy post posts right row section sections site slot small sticky text title top unit user wrap wrapper"
+_NEUTRAL = set(_PLAIN.split())
 _WORD_ENDS = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
-#: A doubtful element stays from so many points on, and links are taken for a menu up to so many characters each.
-_STAYS, _MENU = 3.0, 25
-_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog", "form"}
+#: A doubtful element stays from so many points on; so many links make a menu, of up to so many characters each.
+_STAYS, _LINKS, _MENU = 3.0, 3, 25
+# What stands before links that lead away from an article.
+_LABELS = re.compile(r"\b(?:read more|related|share|tags|see also|more on)\b", re.I)
+# What links of a page's own menu say.
+_PAGES = set("about archive back blog contact faq help home imprint login news next previous print privacy register rss search sitemap terms top".split())
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "alertdialog"}
 _CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class _Node:
     """``trust``: what share of its points an element keeps; ``points``: those of all paragraphs in it, ``score``: those
     that were passed to it; ``size``, ``linked`` and ``links``: characters, characters in links, number of links; ``titled``:
-    a heading of the first level is in it."""
+    a heading of the first level is in it; ``inside``: it stands in an article."""
 
-    __slots__ = ("tag", "parent", "parts", "dropped", "trust", "points", "score", "size", "linked", "links", "titled")
+    __slots__ = ("tag", "parent", "parts", "dropped", "trust", "points", "score", "size", "linked", "links", "titled", "inside")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool = False, trust: float = 1.0):
         self.tag, self.parent, self.dropped, self.trust = tag, parent, dropped, trust
         self.parts: list[_Node | str] = []
         self.points, self.score, self.size, self.linked, self.links, self.titled = 0.0, 0.0, 0, 0, 0, tag == "h1"
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
 
-    def within(self, *tags: str) -> bool:
-        up = self.parent
-        while up is not None and up.tag not in tags:
-            up = up.parent
-        return up is not None
+
+def _trust(name: str) -> float:
+    """What a class or an id leaves of an element's points. A name counts if all of its words are known ones."""
+    words = [w.lower() for w in _WORD_ENDS.split(name) if w and not w.isdigit()]
+    known = [_WORDS[w] for w in words if w in _WORDS]
+    return min(known) if known and all(w in _WORDS or w in _NEUTRAL for w in words) else 1.0
 
 
 def _element(tag: str, parent: _Node, rest: str) -> _Node:
-    """A node; what is hidden, or no text of an article by its tag or role, is dropped, and doubtful words lower its trust."""
-    node = _Node(tag, parent, tag in _DROPPED)
-    if tag == "header" and not node.within("article", "main"):
+    """A node; what is hidden, or no text of an article by its tag or role, is dropped, and doubtful names lower its trust.
+
+    A heading is trusted whatever its name is, as is what an article is made of.
+    """
+    node = _Node(tag, parent, tag in _DROPPED, 0.1 if tag == "form" else 1.0)
+    if tag == "header" and not node.inside:
         node.dropped = True
     if node.dropped or tag in ("body", "html", "article", "main") or not rest.strip():
         return node
     for name, *values in _ATTRIBUTE.findall(rest):
         value, name = next((v for v in values if v), ""), name.lower()
-        if name in ("class", "id"):
-            node.trust = min([node.trust, *(_WORDS.get(w.lower(), 1.0) for w in _WORD_ENDS.split(value))])
+        if name == "class" and tag not in _HEADINGS:
+            node.trust = min([node.trust, *map(_trust, value.split())])
+        if name == "id" and tag not in _HEADINGS and (found := _trust(value)) < 1:
+            # a part of an article has its id for links to it
+            node.trust = min(node.trust, 0.5 if tag == "section" and node.inside and found > 0 else found)
         if name == "hidden" or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             node.dropped = True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -79,17 +96,47 @@ def _upwards(node: _Node | None) -> Iterator[_Node]:
         node = node.parent
 
 
+class _Open:
+    """The elements that are open, with the depths of each tag, so that none has to be looked for upwards."""
+
+    def __init__(self, root: _Node):
+        self.stack, self.depths = [root], {root.tag: [0]}
+
+    @property
+    def top(self) -> _Node:
+        return self.stack[-1]
+
+    def push(self, node: _Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The depth of the innermost open element with one of the tags; 0 if there is none."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def close(self, depth: int) -> None:
+        """Close the element at a depth, and all in it; the root stays open."""
+        while len(self.stack) > max(depth, 1):
+            self.depths[self.stack.pop().tag].pop()
+
+
+_AROUND_P = ("p", "article", "div", "section", "body", "td", "main", "li")
+_AROUND_ITEM = ("ul", "ol", "dl", "table", "tbody", "select", "div", "article", "body")
+_HOLDS_INLINE = ("article", "div", "td", "body", "section", "main")
+
+
 def parse(page: str) -> _Node:
     """A tree of the page's elements and texts; what was left open is closed where its container ends."""
-    root = node = _Node("#root", None)
+    root = _Node("#root", None)
+    still, unclosed = _Open(root), set()
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
-            node.parts.append(page[at:])
+            still.top.parts.append(page[at:])
             break
         if found.start() > at:
-            node.parts.append(page[at : found.start()])
+            still.top.parts.append(page[at : found.start()])
         at = found.end()
         if found[2] is None:
             continue
@@ -98,37 +145,28 @@ def parse(page: str) -> _Node:
         tag = found[2].lower()
         if found[1]:
             if tag == "p" or tag in _BLOCKS or tag == "a":
-                up = node
-                while up.parent is not None and up.tag != tag and not (tag in ("p", "li", "a") and up.tag in ("article", "div", "td", "body", "section", "main")):
-                    up = up.parent
-                if up.tag == tag and up.parent is not None:
-                    node = up.parent
-            elif node.tag == tag:
-                node = node.parent or root
+                depth = still.last((tag,))
+                if depth and not (tag in ("p", "li", "a") and still.last(_HOLDS_INLINE) > depth):
+                    still.close(depth)
+            elif still.top.tag == tag:
+                still.close(len(still.stack) - 1)
             continue
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if close is None:  # never closed: it ends where what it stands in does
-                around = {tag for up in _upwards(node) if (tag := up.tag) != "#root"}
+                unclosed.add(tag)
+                around = [t for t, d in still.depths.items() if d and t != "#root"]
                 close = around and re.compile(rf"(?=</(?:{'|'.join(map(re.escape, around))})\s*>)", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if tag in _BLOCKS:
-            up = node
-            while up.parent is not None and up.tag not in ("p", "article", "div", "section", "body", "td", "main", "li"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent or root
-        if tag in _CLOSES_SELF:
-            up = node
-            while up.parent is not None and up.tag not in ("ul", "ol", "dl", "table", "tbody", "select", "div", "article", "body", *(_CLOSES_SELF[tag])):
-                up = up.parent
-            if up.tag in _CLOSES_SELF[tag]:
-                node = up.parent or root
-        child = _element(tag, node, found[3])
-        node.parts.append(child)
+        if tag in _BLOCKS and (depth := still.last(_AROUND_P)) and still.stack[depth].tag == "p":
+            still.close(depth)
+        if tag in _CLOSES_SELF and (depth := still.last((*_AROUND_ITEM, *_CLOSES_SELF[tag]))) and still.stack[depth].tag in _CLOSES_SELF[tag]:
+            still.close(depth)
+        child = _element(tag, still.top, found[3])
+        still.top.parts.append(child)
         if tag not in _VOID and not found[3].endswith("/"):
-            node = child
+            still.push(child)
     return root
 
 
@@ -174,16 +212,27 @@ def _measure(root: _Node) -> list[_Node]:
 
 
 def doubted(node: _Node) -> bool:
-    """Whether an element goes for the words of its class or id: too few points are left of those of its paragraphs. The
-    title of an article stays in whatever it is wrapped in, unless that is no part of an article at all."""
-    if node.trust == 0.5 and node.titled and node.within("article", "main"):
+    """Whether an element goes for its name: too few points are left of those of its paragraphs. The title of an article
+    stays in whatever it is wrapped in, unless that is no part of an article at all."""
+    if node.trust == 0.5 and node.titled and node.inside:
         return False
-    return node.trust < 1 and node.points * (1 - density(node)) * node.trust < (_STAYS if node.trust > 0.1 else math.inf)
+    return node.trust < 1 and node.points * (1 - density(node)) * node.trust < _STAYS
 
 
 def menu(node: _Node) -> bool:
-    """Whether a container is mostly links of a few words each."""
-    return node.tag in ("ul", "ol", "dl", "table", "div", "section", "header") and density(node) > 0.5 and node.linked <= _MENU * node.links
+    """Whether a container is mostly links of a few words each, more than a text names in passing."""
+    listed = node.tag in ("ul", "ol", "dl", "table", "div", "section", "header") and density(node) > 0.5 and node.linked <= _MENU * node.links
+    if not listed or not node.inside or node.links >= _LINKS:
+        return listed
+    out: list[str] = []
+    todo: list[_Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x.strip().lower())
+        else:
+            todo.extend(x.parts)
+    return _LABELS.search(" ".join(out)) is not None or all(x in _PAGES for x in out if x)
 
 
 def own_text(node: _Node) -> str:
