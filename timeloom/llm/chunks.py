@@ -25,6 +25,8 @@ from timeloom.llm.text import offsets_of, pieces, ragged, span_hashes
 _HOT, _SALTED = 8192, 2048
 #: Bytes that a border depends on: the bits of the hash that are tested take in no more.
 WINDOW = 8
+#: A chunk is its first byte shifted by so many bits, and its length.
+_SIZE = 16
 #: Chunks no further apart belong to one run: between two borders there may be more than a chunk's length.
 BRIDGE = 32
 _GEAR = np.random.default_rng(8).integers(0, 2**WINDOW, 256, dtype=np.uint8)
@@ -103,7 +105,7 @@ def spans_of(starts: np.ndarray, ends: np.ndarray, size: int, rule: Chunking) ->
 
 
 def _chunked(rows: DataFrame, rule: Chunking) -> DataFrame:
-    """A row for each chunk of the rows (doc_id, text): its digest ``key``, its document, its first byte and its length."""
+    """A row for each chunk of the rows (doc_id, text): its digest ``key``, its document, and its first byte and length as one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -111,10 +113,10 @@ def _chunked(rows: DataFrame, rule: Chunking) -> DataFrame:
             starts, ends = borders(data, offsets, rule)
             text = np.searchsorted(offsets, starts, "right") - 1
             keys = span_hashes(data, starts, ends).view(np.int64)
-            at, size = (starts - offsets[text]).astype(np.int32), (ends - starts).astype(np.int16)
-            yield pa.record_batch([pa.array(keys), piece.column(0).take(pa.array(text)), pa.array(at), pa.array(size)], ["key", "doc_id", "at", "size"])
+            chunk = (starts - offsets[text] << _SIZE) + ends - starts
+            yield pa.record_batch([pa.array(keys), piece.column(0).take(pa.array(text)), pa.array(chunk)], ["key", "doc_id", "chunk"])
 
-    return rows.mapInArrow(run, "key long, doc_id long, at int, size short")
+    return rows.mapInArrow(run, "key long, doc_id long, chunk long")
 
 
 def _spans(rows: DataFrame, rule: Chunking) -> DataFrame:
@@ -126,9 +128,8 @@ def _spans(rows: DataFrame, rule: Chunking) -> DataFrame:
         for piece in pieces(batches):
             ids, at, digests = [], [], []
             for i, text, chunks in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), strict=True):
-                raw = text.encode()
-                starts, sizes = (chunks.values.field(c).to_numpy().astype(np.int64) for c in (0, 1))
-                places = spans_of(starts, starts + sizes, len(raw), rule).tolist()
+                raw, chunks = text.encode(), chunks.values.to_numpy()
+                places = spans_of(chunks >> _SIZE, (chunks >> _SIZE) + (chunks & (1 << _SIZE) - 1), len(raw), rule).tolist()
                 ids.append(np.full(len(places), i, np.int64))
                 at.extend(places)
                 digests.extend(blake(raw[a : a + rule.passage], digest_size=16).digest() for a in places)
@@ -149,7 +150,7 @@ def _in_others(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
             .select(*by, "first_doc", F.when(F.col("n") > _HOT, F.ceil(F.col("n") / _SALTED)).otherwise(1).cast("int").alias("salts"))
         )
     hot = small(shared.where("salts > 1").select(*by, "salts"))
-    salted = rows.join(hot, by, "left").select(*by, *keep, F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id", "at"), F.col("salts"))).cast("int").alias("salt"))
+    salted = rows.join(hot, by, "left").select(*by, *keep, F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*keep), F.col("salts"))).cast("int").alias("salt"))
     dealt = shared.select(*by, "first_doc", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     return salted.join(dealt, [*by, "salt"]).select(*keep, "first_doc")
 
@@ -159,8 +160,8 @@ def repeated_spans(docs: DataFrame, rule: Chunking = Chunking(), id_column: str
     ``first_doc``, the smallest id with it. Null and empty texts have none; a row without an id has none either."""
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
     with short_shuffles(docs.sparkSession):
-        found = _in_others(_chunked(rows, rule), ["key"], ["doc_id", "at", "size"])
-        of_doc = checkpointed(found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("chunks")))
+        found = _in_others(_chunked(rows, rule), ["key"], ["doc_id", "chunk"])
+        of_doc = checkpointed(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks")))
     return _in_others(_spans(rows.join(of_doc, "doc_id"), rule), ["hi", "lo"], ["doc_id", "at"])
 
 
