@@ -1,5 +1,7 @@
 """Timeline operators on hand-worked cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,13 +72,30 @@ def test_signals_and_shortlist_of_the_mock_timeline(spark):
     assert rows_of(short, "t", "score") == [(26800, 3)]
 
 
+def split(t0, t1, points, longest, least=2000):
+    """The parts of one span, by the rule itself."""
+    for usable in ([p for p in points if p[2]], points if t1 - t0 > longest else []):
+        usable = [p for p in usable if t0 + least <= p[0] <= t1 - least]
+        if usable:
+            at = max(usable, key=lambda p: (p[2], p[1], -abs(2 * p[0] - t0 - t1), -p[0]))[0]
+            return split(t0, at, points, longest) + split(at, t1, points, longest)
+    n = (t1 - t0) // longest + 1 if t1 - t0 > longest else 1
+    edges = [t0 + round((t1 - t0) * i / n) for i in range(n + 1)]
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def test_splitting_level_by_level(spark):
+    rng = random.Random(7)
+    spans = [("j", 1, 0, 6500, [(3000, 2, True)]), ("j", 2, 10_000, 20_000, [(15_000, 1, False)]), ("k", 3, 0, 20_000, [(9000, 1, False)]), ("l", 4, 0, 30_000, []), ("m", 5, 0, 400_000, [(i * 1000, i % 3, True) for i in range(1, 400)])]
+    spans += [(f"r{i}", i, t0 := rng.randint(0, 9000), t0 + rng.randint(1, 200_000), [(t, rng.randint(1, 4), rng.random() < 0.3) for t in rng.sample(range(210_000), rng.randint(0, 40))]) for i in range(10, 40)]
+    events = spark.createDataFrame([(k, i, a, b, f"kept {i}") for k, i, a, b, _ in spans], "k string, id int, t0 long, t1 long, note string")
+    points = spark.createDataFrame([(k, *p) for k, _, _, _, ps in spans for p in ps], "k string, t long, s int, hard boolean")
+    got = rows_of(packing.pieces(events, points, "k", 14_375), "id", "part", "t0", "t1", "note")
+    assert sorted(got) == sorted((i, n, x, y, f"kept {i}") for _, i, a, b, ps in spans for n, (x, y) in enumerate(split(a, b, [p for p in ps if a < p[0] < b], 14_375)))
+    assert packing.pieces(events.where("false"), points, "k", 14_375).count() == 0
+
+
 def test_splitting(spark):
-    hard, soft = lambda t: (t, 2, True), lambda t: (t, 1, False)
-    longest = 14_375
-    assert packing.split(0, 6500, [hard(3000)], longest) == [(0, 3000), (3000, 6500)]
-    assert packing.split(0, 10_000, [soft(5000)], longest) == [(0, 10_000)]
-    assert packing.split(0, 20_000, [soft(9000)], longest) == [(0, 9000), (9000, 20_000)]
-    assert packing.split(0, 30_000, [], longest) == [(0, 10_000), (10_000, 20_000), (20_000, 30_000)]
     ev = spark.createDataFrame([("j", "a", "story", 0, 6500, True), ("j", "b", "story", 7000, 27_000, False), ("j", "c", "endcard", 30_000, 35_000, False)], "job_id string, id string, kind string, t0 long, t1 long, cast_reset boolean")
     cand = spark.createDataFrame([("j", 3000, ["cut"]), ("j", 16_000, ["gap"])], "job_id string, t long, reasons array<string>")
     got = rows_of(packing.pack(ev, cand), "n", "event_id", "t0", "t1", "frames", "padded", "cast_reset")

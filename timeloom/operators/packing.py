@@ -2,61 +2,77 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions.timegrid import GRID, FrameGrid, frames, snapped
 from timeloom.operators.boundaries import HARD, score
+from timeloom.operators.intervals import overlapping
+from timeloom.plans.materialise import checkpointed
 
 #: The least length of a piece, in ms.
 LEAST = 2000
+#: Levels that are cut before what is done is put aside.
+_LEVELS = 4
 
+def cuts(spans: DataFrame, points: DataFrame, key: str, longest: int, least: int = LEAST) -> DataFrame:
+    """Where spans (key, id, t0, t1) are cut at points (key, t, s, hard): columns key, id, t0, t1 and ``cut``.
 
-def pick_split(t0: int, t1: int, points: list[tuple[int, int, bool]], hard_only: bool = False, least: int = LEAST) -> int | None:
-    """The best point (t, score, hard) at least ``least`` from both ends: hard first, then the score, then the middle."""
-    usable = [p for p in points if t0 + least <= p[0] <= t1 - least and (p[2] or not hard_only)]
-    return max(usable, key=lambda p: (p[2], p[1], -abs(2 * p[0] - t0 - t1), -p[0]))[0] if usable else None
+    A span is cut at the best of its points that lie at least ``least`` from both ends: a hard one before any other, then
+    by the score ``s``, then the nearest to the middle, then the earlier. Points that aren't hard count only in what is
+    longer than ``longest``. Both parts are cut in turn.
+
+    All spans are cut level by level, as many levels as cuts lie within one another: for each score about the logarithm of
+    the cuts of a span, as the middle comes first. Points stand by their span, so a few levels are cut without a shuffle
+    between; then cuts and points of parts that are done drop out.
+    """
+    met = overlapping(spans.select(key, "id", "t0", "t1").distinct(), points.select(key, F.col("t").alias("t0"), (F.col("t") + 1).alias("t1"), "s", "hard"), key).where("r_t0 > l_t0")
+    at = [key, "id", "t0", "t1"]
+    inside = met.select(*[F.col(f"l_{c}").alias(c) for c in at], F.col("l_t0").alias("a"), F.col("l_t1").alias("b"), F.col("r_t0").alias("t"), F.col("r_s").alias("s"), F.col("r_hard").alias("hard"), F.lit(False).alias("done"))
+    usable = ~F.col("done") & (F.col("t") >= F.col("a") + least) & (F.col("t") <= F.col("b") - least) & (F.col("hard") | (F.col("b") - F.col("a") > longest))
+    order = F.struct("hard", "s", -F.abs(2 * F.col("t") - F.col("a") - F.col("b")), -F.col("t"), "t")
+    part, found = Window.partitionBy(*at, "a", "b"), []
+    left, right = F.col("t") < F.col("cut"), F.col("t") > F.col("cut")
+    while True:
+        rows = inside.repartition(*at)
+        for _ in range(_LEVELS):
+            # what can't be used in its part now can't be in any part of that
+            rows = rows.where(F.col("done") | usable).withColumn("cut", F.when(~F.col("done"), F.max(F.when(usable, order)).over(part)["t"]))
+            rows = rows.withColumns({"a": F.when(right, F.col("cut")).otherwise(F.col("a")), "b": F.when(left, F.col("cut")).otherwise(F.col("b")), "done": F.col("done") | (F.col("t") == F.col("cut"))}).drop("cut")
+        rows = checkpointed(rows.where(F.col("done") | usable))
+        found.append(rows.where("done").select(*at, F.col("t").alias("cut")))
+        inside = rows.where("not done")
+        if inside.isEmpty():
+            return reduce(DataFrame.unionByName, found).distinct()
 
 
-def split(t0: int, t1: int, points: list[tuple[int, int, bool]], longest: int) -> list[tuple[int, int]]:
-    """Pieces of a span: at hard cuts first; then, while too long, at any point; then into equal parts."""
-    out, todo = [], [(t0, t1)]
-    while todo:
-        a, b = todo.pop()
-        at = pick_split(a, b, points, hard_only=True)
-        if at is None and b - a > longest:
-            at = pick_split(a, b, points)
-        if at is not None:
-            todo += [(at, b), (a, at)]
-        elif b - a > longest:
-            n = math.floor((b - a) / longest) + 1
-            edges = [a + round((b - a) * i / n) for i in range(n + 1)]
-            out += list(zip(edges[:-1], edges[1:], strict=True))
-        else:
-            out.append((a, b))
-    return out
+def pieces(spans: DataFrame, points: DataFrame, key: str, longest: int, least: int = LEAST) -> DataFrame:
+    """The parts of spans (key, id, t0, t1, ...), numbered as ``part`` from 0: cut at points as by cuts(), and in equal
+    parts what is still longer than ``longest``. Other columns stay."""
+    at = [key, "id", "t0", "t1"]
+    begins = spans.select(*at, F.col("t0").alias("a")).distinct().unionByName(cuts(spans, points, key, longest, least).withColumnRenamed("cut", "a"))
+    w = Window.partitionBy(*at).orderBy("a")
+    parts = begins.withColumn("b", F.coalesce(F.lead("a").over(w), F.col("t1")))
+    size = F.col("b") - F.col("a")
+    n = F.when(size > longest, F.floor(size / longest) + 1).otherwise(1)
+    edge = lambda i: (F.col("a") + F.bround(size * i / F.col("n"))).cast("long")
+    parts = parts.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    parts = parts.select(*at, edge(F.col("i")).alias("__a"), edge(F.col("i") + 1).alias("__b"))
+    numbered = parts.withColumn("part", F.row_number().over(Window.partitionBy(*at).orderBy("__a")) - 1)
+    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in at]
+    rest = [F.col(f"s.{c}") for c in spans.columns if c not in ("t0", "t1")]
+    return spans.alias("s").join(numbered.alias("p"), on).select(*rest, "p.part", F.col("p.__a").alias("t0"), F.col("p.__b").alias("t1"))
 
 
 def pack(events: DataFrame, candidates: DataFrame, key: str = "job_id", grid: FrameGrid = GRID) -> DataFrame:
     """Clips of the story events (key, id, kind, t0, t1, cast_reset), split at candidates (key, t, reasons), and their
-    legal lengths: frames, seconds, drift against the source, whether padded, and a number along the timeline.
-
-    An event is a group of its own with the candidates inside it: a bounded piece of a timeline.
-    """
-    longest = int(grid.longest * 1000)
-    points = candidates.select(F.col(key).alias("__k"), "t", score(F.col("reasons")).alias("s"), F.arrays_overlap("reasons", F.array(*[F.lit(h) for h in HARD])).alias("hard"))
-    story = events.where("kind <> 'endcard' and t1 > t0")
-    inside = story.join(points, (F.col(key) == F.col("__k")) & (F.col("t") > F.col("t0")) & (F.col("t") < F.col("t1")), "left")
-    gathered = inside.groupBy(key, "id", "t0", "t1", "cast_reset").agg(F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "s", "hard"))).alias("points"))
-
-    @F.pandas_udf("array<struct<t0:bigint,t1:bigint>>")
-    def parts(t0: pd.Series, t1: pd.Series, points: pd.Series) -> pd.Series:
-        return pd.Series([[{"t0": a, "t1": b} for a, b in split(int(x), int(y), [(int(p["t"]), int(p["s"]), bool(p["hard"])) for p in z], longest)] for x, y, z in zip(t0, t1, points, strict=True)])
-
-    clips = gathered.select(key, F.col("id").alias("event_id"), "cast_reset", F.posexplode(parts("t0", "t1", "points")).alias("part", "p")).select(key, "event_id", "part", "cast_reset", "p.t0", "p.t1")
+    legal lengths: frames, seconds, drift against the source, whether padded, and a number along the timeline. Events that
+    are repeated count once."""
+    points = candidates.select(key, "t", score(F.col("reasons")).alias("s"), F.arrays_overlap("reasons", F.array(*[F.lit(h) for h in HARD])).alias("hard"))
+    story = events.where("kind <> 'endcard' and t1 > t0").select(key, "id", "cast_reset", "t0", "t1").distinct()
+    clips = pieces(story, points, key, int(grid.longest * 1000)).withColumnRenamed("id", "event_id").select(key, "event_id", "part", "cast_reset", "t0", "t1")
     seconds = (F.col("t1") - F.col("t0")) / 1000
     legal = snapped(frames(seconds, grid), grid)
     return (
