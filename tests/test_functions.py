@@ -72,6 +72,48 @@ def test_json_salvage(spark):
     assert [(c["t"], c["see"]) for c in one(spark, tx.salvaged_cells(F.lit(raw)))] == [(4.0, "a dog")]
 
 
+def payload(text, key=None):
+    """The rule by Python's own decoder."""
+    import json
+    import re
+
+    clean = re.sub(r"(?i)```(?:json)?", "", re.sub(r"(?is)<think>.*?</think>", "", text))
+    for start in [i for i, c in enumerate(clean) if c in "{["][:12]:
+        try:
+            value, end = json.JSONDecoder().raw_decode(clean[start:])
+        except ValueError:
+            continue
+        if key is None or isinstance(value, list) or key in value:
+            return clean[start : start + end]
+    return None
+
+
+def test_first_documents_of_noisy_texts(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ['{"a": 1}', '{"n": [1, {"x": "}"}]}', "[1, 2]", "[", "{", "}", "]", '"', "\\", " so ", "```json\n", "```", '{"n": "\\\"{"}', "<think>{}</think>", "é{", "[]", '{"b": null}', "{x}", "'"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(400)] + ['{"a": 1} and {"n": 2}', "{" * 12 + '{"n": 1}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", tx.json_payload(F.col("t")).alias("any"), tx.json_payload(F.col("t"), "n").alias("n")).collect()
+    assert {r["i"]: (r["any"], r["n"]) for r in got} == {i: (payload(t), payload(t, "n")) for i, t in enumerate(texts)}
+
+
+def test_a_long_document_takes_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        text = "{ [ " * 5 + '{"n": [' + ", ".join(f'{{"t": {i}, "see": "a \\"dog\\" [{i}]"}}' for i in range(n)) + "]} bye"
+        rows = spark.createDataFrame([(text,)], "t string").repartition(1)
+        began = time.time()
+        found = rows.select(tx.json_payload(F.col("t"), "n")).first()[0]
+        assert found is not None and found.endswith("]}")
+        return time.time() - began
+
+    took(10)
+    assert took(30_000) < 10  # over a million characters
+
+
 def test_paths_and_options(spark):
     assert [one(spark, tx.safe_path(F.lit(p))) for p in ("a/b.txt", "/a", "C:\\x", "a/../b", "..", "")] == [True, False, False, False, False, False]
     assert one(spark, tx.option_list(F.lit("a, b;;c "))) == ["a", "b", "c"]

@@ -162,27 +162,44 @@ def without_thoughts(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
 
 
+def _balanced(rest: Column) -> Column:
+    """The text up to where the bracket it begins with is closed, brackets inside strings left out; NULL if it never is.
+
+    One fold over the marks that matter and what stands between them.
+    """
+    parts = F.regexp_extract_all(rest, F.lit(r'(?s)\\.|["{}\[\]]|[^\\"{}\[\]]++|\\'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(0).alias("end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        depth = acc["depth"] + F.when(acc["quoted"], 0).when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        length = acc["length"] + F.length(x)
+        after = F.struct(depth.alias("depth"), (acc["quoted"] != (x == '"')).alias("quoted"), length.alias("length"), F.when(depth == 0, length).otherwise(0).alias("end"))
+        return F.when(acc["end"] > 0, acc).otherwise(after)
+
+    end = F.aggregate(parts, start, step)["end"]
+    return F.when(end > 0, F.substring(rest, F.lit(1), end))
+
+
 def json_payload(text: Column, key: str | None = None, tries: int = 12) -> Column:
     """The first JSON document in a noisy text, as a string; NULL if none parses.
 
-    Thought blocks and code fences go first; then a parse is tried from each of the first ``tries`` opening brackets (as many
-    as the rule has it) to the last closing bracket of its kind. With a key, an object without it is passed over; arrays are taken.
+    Thought blocks and code fences go first; then a document is looked for at each of the first ``tries`` opening brackets
+    (as many as the rule has it), whatever stands behind it. With a key, an object without it is passed over; arrays are
+    taken. The time is in proportion to the text.
     """
-    clean = F.regexp_replace(without_thoughts(text), r"(?m)^\s*```[a-zA-Z]*\s*$", "")
-    heads = F.slice(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(clean))), lambda i: F.substring(clean, i, F.lit(1)).isin("{", "[")), 1, tries)
-
-    def from_head(i):
-        rest = F.substring(clean, i, F.length(clean))
-        close = F.when(F.startswith(rest, F.lit("{")), "}").otherwise("]")
-        end = F.length(rest) - F.instr(F.reverse(rest), close) + 1
-        return F.substring(rest, F.lit(1), end)
+    clean = F.regexp_replace(without_thoughts(text), r"(?i)```(?:json)?", "")
+    before = F.slice(F.regexp_extract_all(clean, F.lit(r"[^{\[]*+[{\[]"), F.lit(0)), 1, tries)
+    heads = F.aggregate(before, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
 
-    def good(doc):
+    def document(head: Column) -> Column:
+        doc = _balanced(F.substring(clean, head, F.length(clean)))
         parsed = F.try_parse_json(doc)
         fits = parsed.isNotNull()
-        return fits & (F.startswith(doc, F.lit("[")) | F.try_variant_get(parsed, f"$.{key}", "variant").isNotNull()) if key else fits
+        if key:
+            fits &= F.startswith(doc, F.lit("[")) | F.try_variant_get(parsed, f"$.{key}", "variant").isNotNull()
+        return F.when(fits, doc)
 
-    return F.try_element_at(F.filter(F.transform(heads, from_head), good), F.lit(1))
+    return F.aggregate(heads, F.lit(None).cast("string"), lambda acc, head: F.when(acc.isNotNull(), acc).otherwise(document(head)))
 
 
 def salvaged_field(raw: Column, name: str) -> Column:

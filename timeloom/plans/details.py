@@ -53,17 +53,26 @@ def text_forms(spark, sf):
     )
 
 
-@query(f"""WITH {TURNS} SELECT job_id, ord, ord AS n, CASE WHEN ord % 3 = 0 THEN NULL ELSE 'walks; "sits"' END AS action, CASE WHEN ord % 4 = 0 THEN NULL ELSE ord END::INT AS count, '1.5:x|2.0:y' AS cells FROM tu""")
+@query(f"""WITH {TURNS} SELECT job_id, ord, ord AS n, text AS said, CASE WHEN ord % 3 = 0 THEN NULL ELSE coalesce(nullif(left(text, ord::INT), ''), NULL) END AS action, CASE WHEN ord % 4 = 0 THEN NULL ELSE length(text) END::INT AS count,
+CASE WHEN text IS NULL THEN '1.5:' ELSE '1.5:' || left(text, 9) END || '|2.0:y' AS cells FROM tu""")
 def salvaged_documents(spark, sf):
-    o = F.col("ord").cast("string")
-    action = F.when(F.col("ord") % 3 == 0, "").otherwise(', "action": "walks; \\"sits\\""')
-    count = F.when(F.col("ord") % 4 == 0, ', "adults": "few"').otherwise(F.concat(F.lit(', "adults": '), o))
-    cells = ', "cells": [{"t": "极1.5s", "see": "x"}, {"t": "2.0", "see": "y"}]'
-    raw = F.concat(F.lit("<think>{\"n\": 0}</think> so: [no list] \n```json\n{\"n\": "), o, action, count, F.lit(cells), F.lit("}\n```\n bye"))
-    t = turns(spark, sf).select("job_id", "ord", raw.alias("raw"))
-    n = F.try_variant_get(F.try_parse_json(tx.json_payload(F.col("raw"), "n")), "$.n", "bigint")
-    shown = F.transform(tx.salvaged_cells(F.col("raw")), lambda c: F.concat_ws(":", c["t"].cast("string"), c["see"]))
-    return t.select("job_id", "ord", n.alias("n"), F.regexp_replace(tx.salvaged_field(F.col("raw"), "action"), r'\\"', '"').alias("action"), tx.salvaged_count(F.col("raw"), "adults").alias("count"), F.array_join(shown, "|").alias("cells"))
+    """What a model says of each turn: its text, thoughts, then a document that holds the turn, then more; and fields of the
+    same document cut off in the middle."""
+    said = F.coalesce("text", F.lit(""))
+    written = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    action = F.when(F.col("ord") % 3 == 0, "").otherwise(F.concat(F.lit(', "action": '), written(F.substring(said, F.lit(1), F.col("ord").cast("int")))))
+    count = F.when(F.col("ord") % 4 == 0, ', "adults": "few"').otherwise(F.concat(F.lit(', "adults": '), F.coalesce(F.length("text").cast("string"), F.lit("none"))))
+    cells = F.concat(F.lit(', "cells": [{"t": "极1.5s", "see": '), written(F.left(said, F.lit(9))), F.lit('}, {"t": "2.0", "see": "y"}, {"t": 3, "see": "cut'))
+    document = F.to_json(F.struct(F.col("ord").alias("n"), F.col("text").alias("said"), F.array(F.lit("{")).alias("marks")))
+    raw = F.concat(said, F.lit(' <think>{"n": 0}</think> so: [no list] \n```json\n'), document, F.lit('\n```\n and not {"n": -1}'))
+    t = turns(spark, sf).select("job_id", "ord", raw.alias("raw"), F.concat(F.lit('{"n": 1'), action, count, cells).alias("cut"))
+    parsed = t.withColumn("doc", F.try_parse_json(tx.json_payload(F.col("raw"), "n")))
+    unescaped = lambda c: F.regexp_replace(F.replace(c, F.lit("\\n"), F.lit("\n")), r'\\(["\\/])', "$1")
+    shown = F.transform(tx.salvaged_cells(F.col("cut")), lambda c: F.concat_ws(":", c["t"].cast("string"), unescaped(c["see"])))
+    return parsed.select(
+        "job_id", "ord", F.try_variant_get("doc", "$.n", "bigint").alias("n"), F.try_variant_get("doc", "$.said", "string").alias("said"),
+        unescaped(tx.salvaged_field(F.col("cut"), "action")).alias("action"), tx.salvaged_count(F.col("cut"), "adults").alias("count"), F.array_join(shown, "|").alias("cells"),
+    )
 
 
 # Words of turns, 300 ms apart, against captions that begin 400 ms after each turn.
