@@ -63,6 +63,27 @@ def test_aspects(spark, w, h, label):
     assert one(spark, tx.aspect_label(F.lit(w), F.lit(h))) == label
 
 
+def test_bounds_spare_blocks_and_change_nothing(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from timeloom.functions import ratio
+
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abcde Xé世 ") for _ in range(rng.choice([0, 1, 3, 8, 20, 60])))
+    pairs = [(text(), text()) for _ in range(300)] + [(t := text(), t[:-1] + "b") for _ in range(150)] + [(None, "a"), ("a", None), ("x" * 300, "x" * 290 + "y")]
+    plain = lambda a, b: SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+    want = [plain(ratio.squeeze(a), ratio.squeeze(b)) for a, b in pairs]
+    rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = rows.select("i", tx.similarity("a", "b").alias("r"), tx.bound(F.col("a"), F.col("b")).alias("most"), *[tx.similar(F.col("a"), F.col("b"), x).alias(str(x)) for x in (0.55, 0.72, 0.85, 1.0)]).collect()
+    for r in got:
+        w = want[r["i"]]
+        assert r["r"] == w <= r["most"] + 1e-9 and all(r[str(x)] == (w >= x) for x in (0.55, 0.72, 0.85, 1.0))
+        a, b = (ratio.squeeze(x) for x in pairs[r["i"]])
+        assert all(ratio.reaches(a, b, x) == (w >= x) for x in (0.55, 0.72, 0.85, 1.0))
+    assert sum(r["most"] < 0.72 for r in got) > 150
+
+
 def test_json_salvage(spark):
     assert one(spark, tx.json_payload(F.lit('Well: {"a": 1} ok'))) == '{"a": 1}'
     assert one(spark, tx.json_payload(F.lit('<think>{"x":2}</think>```json\n{"a": {"b": [1]}}\n```'))) == '{"a": {"b": [1]}}'

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timeloom.functions.ratio import bound, similar, similarity  # noqa: F401
+
 _SPACE = r"(?U)\s+"
 #: Opening phrases of on-screen overlays are matched case-insensitively, watermark words likewise.
 WATERMARK = r"(?i)watermark|douyin|tiktok|kuaishou|bilibili"
@@ -264,26 +266,11 @@ def phrase_loop_of_text(texts):
     return pd.Series([loops(t) for t in texts], dtype="object")
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a, b):
-    """The matching-blocks ratio of two squeezed texts (0 if either is empty); its arguments don't commute."""
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
-    squeeze = lambda x: "".join((x or "").split()).lower()
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = squeeze(x), squeeze(y)
-        out.append(SequenceMatcher(None, x, y).ratio() if x and y else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
 def same_title(a: Column, b: Column) -> Column:
     """Equal, one within the other, or a ratio of at least 0.8; plain tests come before the ratio."""
     x, y = bare_title(a), bare_title(b)
     plain = (x == y) | ((x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x)))
-    return F.when(plain, True).otherwise(similarity(a, b) >= 0.8)
+    return F.when(plain, True).otherwise(similar(F.when(~plain, a), F.when(~plain, b), 0.8))
 
 
 def title_of_drama(text: Column, skip: str, bracketed: str = r"[《【「『][^》】」』]{4,30}[》】」』]") -> Column:

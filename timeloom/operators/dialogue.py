@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
+from timeloom.functions.ratio import reaches, squeeze
 from timeloom.operators.intervals import overlapping
 
 
@@ -112,21 +115,22 @@ def split_segments(segments: DataFrame, key: str, longest: int = 8000, pause: in
 
 def collapsed_lines(lines: DataFrame, key: str, least: float = 0.85) -> DataFrame:
     """Lines (key, ord, text) without near duplicates of the line kept before; the longer of the two stays."""
-    from difflib import SequenceMatcher
-
-    kind = lines.schema[key].dataType.simpleString()
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for row in part.sort_values("ord").itertuples(index=False):
-            a, b = ("".join(x.split()).lower() for x in (out[-1][2] if out else "", row.text or ""))
-            if a and b and SequenceMatcher(None, a, b).ratio() >= least:
-                out[-1][2] = max(out[-1][2], row.text, key=len)
-            else:
-                out.append([getattr(row, key), row.ord, row.text or ""])
-        return pd.DataFrame(out, columns=[key, "ord", "text"])
-
-    return lines.select(key, "ord", "text").groupBy(key).applyInPandas(fold, f"{key} {kind}, ord long, text string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # key, ord, text: lines stream by in order
+        for batch in batches:
+            out = []
+            for k, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last is not None and last[0] == k and reaches(squeeze(last[2]), squeeze(text), least):
+                    last[2] = max(last[2], text, key=len)
+                else:
+                    out.append(last)
+                    last = [k, n, text or ""]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[x for x in out if x]), batch.schema.types, strict=True)] if any(out) else [pa.array([], t) for t in batch.schema.types], batch.schema.names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, batch.schema.types, strict=True)], batch.schema.names)
+
+    ordered = lines.select(key, F.col("ord").cast("long").alias("ord"), "text").repartition(key).sortWithinPartitions(key, "ord")
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def mouth_evidence(speech: DataFrame, mouths: DataFrame, key: str, least: int = 150) -> DataFrame:

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from timeloom.functions.ratio import reaches, squeeze
 from timeloom.operators.scans import Spread, running, spread
 
 
@@ -145,14 +145,9 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
 
     A longer pause closes every session, so lanes are cut there. Hits stream by in order with the open session as state.
     """
-    from difflib import SequenceMatcher
-
     slack = int(1.5 * step + 350)
     lane = hits.withColumn("__lane", F.to_json(F.struct(*keys)))
     cut = islands(lane, "__lane", slack + step)
-    def ratio(a: str, b: str) -> float:
-        a, b = "".join(a.split()).lower(), "".join(b.split()).lower()
-        return SequenceMatcher(None, a, b).ratio() if a and b else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, kinds = None, None, None
@@ -166,7 +161,7 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
             out = []
             for row in batch.to_pylist():
                 text, here = row["text"] or "", (row["__lane"], row["island"])
-                if here == at and row["t"] - last["t1"] <= slack and ratio(last["text"], text) >= least:
+                if here == at and row["t"] - last["t1"] <= slack and reaches(squeeze(last["text"]), squeeze(text), least):
                     last["t1"] = row["t"] + step
                     last["n"] += 1
                     if len(text) > len(last["text"]):
@@ -184,19 +179,23 @@ def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0
     return ordered.mapInArrow(run, f"{kinds}, t0 long, t1 long, text string, n long")
 
 
-def greedy_match(speech: DataFrame, seen: DataFrame, key: str, score: Callable[[str, str], Column], least: float = 0.55, shared: int = 120) -> DataFrame:
+def greedy_match(speech: DataFrame, seen: DataFrame, key: str, score: Callable[[str, str], Column], least: float = 0.55, shared: int = 120, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
     """One-to-one matches of spans (key, id, t0, t1, text): spoken ones in order of time take the best-scored span seen
     that shares at least ``shared`` ms and is still free, if it scores ``least``. A row for each spoken span that has
     text: (key, id, t0, t1, text, match, seen, score); without a match ``match`` and ``seen`` are NULL and ``score`` is 0.
 
-    Pairs that score less can't be accepted and so can't disturb others; the rest stream by in chains of pairs whose
+    Pairs that score less can't be accepted and so can't disturb others; where a ``bound`` of the score is known, only pairs
+    whose bound allows it are scored. The rest stream by in chains of pairs whose
     times meet. What is taken is kept only until the spoken spans have passed it.
     """
     from timeloom.operators.intervals import overlapping, overlap
 
     said = speech.select(key, "id", "t0", "t1", "text").where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "")
     pairs = overlapping(said, seen.select(key, "id", "t0", "t1", "text"), key)
-    pairs = pairs.where(overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")) >= shared).withColumn("score", score("l_text", "r_text")).where(F.col("score") >= least)
+    pairs = pairs.where(overlap(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1")) >= shared)
+    if bound is not None:
+        pairs = pairs.where(bound("l_text", "r_text") >= least - 1e-9)
+    pairs = pairs.withColumn("score", score("l_text", "r_text")).where(F.col("score") >= least)
     pairs = pairs.select(F.col(f"l_{key}").alias(key), "l_id", "l_t0", "r_id", "r_t1", "score", F.least("l_t0", "r_t0").alias("__a"), F.greatest("l_t1", "r_t1").alias("__z"))
     w = Window.partitionBy(key).orderBy("__a", "l_t0", "l_id", "r_id")
     before = F.max("__z").over(w.rowsBetween(Window.unboundedPreceding, -1))

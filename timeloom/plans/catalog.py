@@ -425,7 +425,7 @@ def fuzzy_match_greedy(spark, sf):
     """Answers of a conversation as speech, its other turns as what is seen; a turn begins every 500 ms and plays its time."""
     spans = turns(spark, sf).select("job_id", F.col("ord").alias("id"), (F.col("ord") * 500).alias("t0"), (F.col("ord") * 500 + F.col("play")).alias("t1"), "role", "text")
     spoken = F.coalesce(F.col("role") == "assistant", F.lit(False))
-    return sequences.greedy_match(spans.where(spoken), spans.where(~spoken), "job_id", tx.similarity)
+    return sequences.greedy_match(spans.where(spoken), spans.where(~spoken), "job_id", tx.similarity, bound=lambda a, b: tx.bound(F.col(a), F.col(b)))
 
 
 @query(f"""WITH {TIMELINE}, n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) AS n FROM tl), h AS (SELECT job_id, ord, n FROM n WHERE value >= 50),

@@ -14,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from timeloom.functions.ratio import reaches, squeeze
+
 
 def timed(points: DataFrame, time: str = "ts") -> DataFrame:
     """Points with ``t`` as a timestamp that watermarks accept (parquet may hold one without a zone)."""
@@ -44,9 +46,6 @@ def fuzzy_sessions(hits: DataFrame, key: str, slack_ms: int, least: float = 0.72
     """
 
     def fold(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
-
-        squeeze = lambda x: "".join((x or "").split()).lower()
         out: list[tuple] = []
         if state.hasTimedOut:
             t0, t1, text, n = state.get
@@ -56,7 +55,7 @@ def fuzzy_sessions(hits: DataFrame, key: str, slack_ms: int, least: float = 0.72
             open_ = state.get if state.exists else None
             rows = pd.concat(list(parts)).sort_values(["t", "text"])
             for t, text in zip((rows["t"].astype("int64") // 1_000_000).tolist() if rows["t"].dtype == "datetime64[ns]" else (rows["t"].astype("datetime64[ms]").astype("int64")).tolist(), rows["text"].fillna("").tolist(), strict=True):
-                if open_ is not None and t - open_[1] <= slack_ms and squeeze(open_[2]) and squeeze(text) and SequenceMatcher(None, squeeze(open_[2]), squeeze(text)).ratio() >= least:
+                if open_ is not None and t - open_[1] <= slack_ms and reaches(squeeze(open_[2]), squeeze(text), least):
                     open_ = (min(open_[0], t), max(open_[1], t), max(open_[2], text, key=len), open_[3] + 1)
                 else:
                     if open_ is not None:
