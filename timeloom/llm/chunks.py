@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,25 +120,33 @@ def _chunked(rows: DataFrame, rule: Chunking) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, chunk long")
 
 
-def _spans(rows: DataFrame, rule: Chunking) -> DataFrame:
-    """A row for each span of ``passage`` bytes around the chunks of the rows (doc_id, text, chunks): ``doc_id``, ``at``, and
-    its 128-bit digest as ``hi`` and ``lo``."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) with their bytes compressed, which travel to where their chunks are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blake = hashlib.blake2b
+        compressor = zstandard.ZstdCompressor()
         for piece in pieces(batches):
-            ids, at, digests = [], [], []
-            for i, text, chunks in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), piece.column(2), strict=True):
-                raw, chunks = text.encode(), chunks.values.to_numpy()
-                places = spans_of(chunks >> _SIZE, (chunks >> _SIZE) + (chunks & (1 << _SIZE) - 1), len(raw), rule).tolist()
-                ids.append(np.full(len(places), i, np.int64))
-                at.extend(places)
-                digests.extend(blake(raw[a : a + rule.passage], digest_size=16).digest() for a in places)
-            digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(ids), pa.array(at, pa.int64()), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())], ["doc_id", "at", "hi", "lo"])
+            packed = [compressor.compress(t.as_buffer()) for t in piece.column(1).cast(pa.binary())]
+            yield pa.record_batch([piece.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+    return rows.mapInArrow(run, "doc_id long, packed binary")
+
+
+def _spans(rows: DataFrame, rule: Chunking) -> DataFrame:
+    """A row for each span of ``passage`` bytes around the chunks of the rows (doc_id, packed, chunks): ``doc_id``, ``at``,
+    and its 96-bit digest as ``hi`` and ``lo``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blake, unpack = hashlib.blake2b, zstandard.ZstdDecompressor().decompress
+        kind = np.dtype([("hi", "<i8"), ("lo", "<i4")])
+        for batch in batches:
+            for i, packed, chunks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw, chunks = unpack(packed.as_buffer()), chunks.values.to_numpy()
+                places = spans_of(chunks >> _SIZE, (chunks >> _SIZE) + (chunks & (1 << _SIZE) - 1), len(raw), rule)
+                digest = np.frombuffer(b"".join([blake(raw[a : a + rule.passage], digest_size=12).digest() for a in places.tolist()]), kind)
+                yield pa.record_batch([pa.array(np.full(len(places), i, np.int64)), pa.array(places.astype(np.int32)), pa.array(digest["hi"].copy()), pa.array(digest["lo"].copy())], ["doc_id", "at", "hi", "lo"])
 
-    return rows.mapInArrow(run, "doc_id long, at long, hi long, lo long")
+    return rows.mapInArrow(run, "doc_id long, at int, hi long, lo int")
 
 
 def _in_others(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
@@ -162,7 +171,7 @@ def repeated_spans(docs: DataFrame, rule: Chunking = Chunking(), id_column: str
     with short_shuffles(docs.sparkSession):
         found = _in_others(_chunked(rows, rule), ["key"], ["doc_id", "chunk"])
         of_doc = checkpointed(found.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk")).alias("chunks")))
-    return _in_others(_spans(rows.join(of_doc, "doc_id"), rule), ["hi", "lo"], ["doc_id", "at"])
+    return _in_others(_spans(_packed(rows).join(of_doc, "doc_id"), rule), ["hi", "lo"], ["doc_id", "at"])
 
 
 def _covered(starts, passage: int):
