@@ -217,6 +217,11 @@ def test_subgraphs_and_executable_nodes(spark):
     n, e = graph.expanded(nodes, links, inner_nodes, inner_links)
     assert rows_of(n, "id") == [("1",), ("2/7",), ("2/8/9",), ("3",)]
     assert rows_of(e, "src", "src_slot", "dst", "dst_slot") == [("1", 0, "2/7", 2), ("2/7", 0, "2/8/9", 5), ("2/8/9", 1, "3", 1)]
+    circle = spark.createDataFrame([("A", 1, "B"), ("B", 2, "A"), ("C", 3, "A"), ("D", 4, "Blur"), ("D", 5, "D2"), ("D2", 6, "Save")], "sub string, id int, type string")
+    flat, _, held = graph.flat_definitions(circle, inner_links)
+    assert rows_of(held, "sub") == [("A",), ("B",), ("C",)] and rows_of(flat, "sub", "id") == [("D", "4"), ("D", "5/6"), ("D2", "6")]
+    n, e = graph.expanded(spark.createDataFrame([("1", "A"), ("2", "D")], "id string, type string"), links, circle, inner_links.where("false"))
+    assert rows_of(n, "id", "type") == [("1", "A"), ("2/4", "Blur"), ("2/5/6", "Save")]
     runs, direct = graph.executable(spark.createDataFrame([("1", "Load", 0), ("2", "Reroute", 0), ("3", "Save", 0), ("4", "Note", 0), ("5", "Save", 4)], "id string, type string, mode int"), links)
     assert rows_of(runs, "id") == [("1",), ("3",)] and rows_of(direct, "src", "dst") == [("1", "3")]
 

@@ -77,32 +77,66 @@ def link_rows(links: DataFrame, key: str) -> DataFrame:
     return links.select(key, at(1).try_cast("int").alias("id"), at(2).try_cast("int").alias("src"), at(3).try_cast("int").alias("src_slot"), at(4).try_cast("int").alias("dst"), at(5).try_cast("int").alias("dst_slot"), at(6).alias("type"))
 
 
-def expanded(nodes: DataFrame, links: DataFrame, inner_nodes: DataFrame, inner_links: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Graphs with their subgraphs put in place of the nodes that stand for them, at most so many levels deep.
+#: Rows of definitions that every task may get; more are joined by a shuffle.
+_FEW = 100_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= _FEW else df
+
+
+def _put_in_place(nodes: DataFrame, links: DataFrame, inner_nodes: DataFrame, inner_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs (columns ``g``) whose nodes of a type that is a ``sub`` of inner_nodes give way to its nodes; see expanded()."""
+    inner_nodes, inner_links = _few(inner_nodes), _few(inner_links)
+    subs = inner_nodes.select(F.col("sub").alias("type")).distinct()
+    outer = nodes.join(subs, "type", "left_semi").select("g", F.col("id").alias("outer"), F.col("type").alias("sub"))
+    name = lambda c: F.concat_ws("/", "outer", F.col(c))
+    inside = outer.join(inner_links, "sub")
+    both = inside.where("src <> '-10' and dst <> '-20'").select("g", name("src").alias("src"), "src_slot", name("dst").alias("dst"), "dst_slot")
+    ins = inside.where("src = '-10' and dst <> '-20'").select("g", F.col("outer").alias("dst"), F.col("src_slot").alias("dst_slot"), name("dst").alias("__dst"), F.col("dst_slot").alias("__dst_slot"))
+    outs = inside.where("dst = '-20' and src <> '-10'").select("g", F.col("outer").alias("src"), F.col("dst_slot").alias("src_slot"), name("src").alias("__src"), F.col("src_slot").alias("__src_slot"))
+    entering = links.join(ins, ["g", "dst", "dst_slot"], "left").select("g", "src", "src_slot", F.coalesce("__dst", "dst").alias("dst"), F.coalesce("__dst_slot", "dst_slot").alias("dst_slot"))
+    leaving = entering.join(outs, ["g", "src", "src_slot"], "left").select("g", F.coalesce("__src", "src").alias("src"), F.coalesce("__src_slot", "src_slot").alias("src_slot"), "dst", "dst_slot")
+    gone = outer.select("g", F.col("outer").alias("id"))
+    kept = leaving.join(gone.withColumnRenamed("id", "src"), ["g", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["g", "dst"], "left_anti")
+    added = outer.join(inner_nodes, "sub").select("g", name("id").alias("id"), "type")
+    return nodes.join(subs, "type", "left_anti").select("g", "id", "type").unionByName(added), kept.select("g", "src", "src_slot", "dst", "dst_slot").unionByName(both)
+
+
+def flat_definitions(inner_nodes: DataFrame, inner_links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Definitions (sub, id, type) and (sub, src, src_slot, dst, dst_slot) without subgraphs in them, and the definitions
+    (sub) that hold themselves, directly or through others, or hold one that does: these can't be flat and are left out.
+
+    Bottom-up: a definition is put together once all that it holds are flat, so each is expanded once however often it is
+    used, in as many rounds as definitions lie within one another.
+    """
+    text = lambda c: F.col(c).cast("string").alias(c)
+    nodes = inner_nodes.select(F.col("sub").alias("g"), text("id"), "type").distinct()
+    links = inner_links.select(F.col("sub").alias("g"), text("src"), "src_slot", text("dst"), "dst_slot")
+    waiting = checkpointed(nodes.select("g").distinct())
+    holds = checkpointed(nodes.join(waiting.withColumnRenamed("g", "type"), "type", "left_semi").select("g", "type").distinct())
+    as_subs = lambda df: df.withColumnRenamed("g", "sub")
+    flat_nodes, flat_links = nodes.where("false"), links.where("false")
+    while True:
+        ready = checkpointed(waiting.join(holds.join(waiting.withColumnRenamed("g", "type"), "type", "left_semi").select("g").distinct(), "g", "left_anti"))
+        if ready.isEmpty():
+            return as_subs(flat_nodes), as_subs(flat_links), as_subs(waiting)
+        new_nodes, new_links = _put_in_place(nodes.join(ready, "g", "left_semi"), links.join(ready, "g", "left_semi"), as_subs(flat_nodes), as_subs(flat_links))
+        flat_nodes, flat_links = checkpointed(flat_nodes.unionByName(new_nodes)), checkpointed(flat_links.unionByName(new_links))
+        waiting = checkpointed(waiting.join(ready, "g", "left_anti"))
+
+
+def expanded(nodes: DataFrame, links: DataFrame, inner_nodes: DataFrame, inner_links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs with their subgraphs put in place of the nodes that stand for them, however deep those lie within one another.
 
     Nodes (id string, type) whose type is a ``sub`` of inner_nodes (sub, id, type) give way to its nodes, named
     ``outer/inner``. Inner links (sub, src, src_slot, dst, dst_slot) from -10 are the outer node's inputs by slot, those to
-    -20 its outputs. Links are (src, src_slot, dst, dst_slot).
+    -20 its outputs. Links are (src, src_slot, dst, dst_slot). A node that stands for a definition that holds itself stays
+    as it is; flat_definitions() reports those.
     """
-    subs = inner_nodes.select(F.col("sub").alias("type")).distinct()
-    for _ in range(most):
-        outer = nodes.join(subs, "type", "left_semi")
-        if outer.isEmpty():
-            break
-        o = outer.select(F.col("id").alias("outer"), F.col("type").alias("sub"))
-        name = lambda c: F.concat_ws("/", "outer", F.col(c).cast("string"))
-        added = o.join(inner_nodes, "sub").select(name("id").alias("id"), "type")
-        inside = o.join(inner_links, "sub")
-        both = inside.where("src <> -10 and dst <> -20").select(name("src").alias("src"), "src_slot", name("dst").alias("dst"), "dst_slot")
-        ins = inside.where("src = -10 and dst <> -20").select(F.col("outer").alias("dst"), F.col("src_slot").alias("dst_slot"), name("dst").alias("__dst"), F.col("dst_slot").alias("__dst_slot"))
-        outs = inside.where("dst = -20 and src <> -10").select(F.col("outer").alias("src"), F.col("dst_slot").alias("src_slot"), name("src").alias("__src"), F.col("src_slot").alias("__src_slot"))
-        entering = links.join(ins, ["dst", "dst_slot"], "left").select("src", "src_slot", F.coalesce("__dst", "dst").alias("dst"), F.coalesce("__dst_slot", "dst_slot").alias("dst_slot"))
-        leaving = entering.join(outs, ["src", "src_slot"], "left").select(F.coalesce("__src", "src").alias("src"), F.coalesce("__src_slot", "src_slot").alias("src_slot"), "dst", "dst_slot")
-        gone = outer.select("id")
-        kept = leaving.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
-        nodes = checkpointed(nodes.join(subs, "type", "left_anti").select("id", "type").unionByName(added))
-        links = checkpointed(kept.select("src", "src_slot", "dst", "dst_slot").unionByName(both))
-    return nodes, links
+    flat_nodes, flat_links, _ = flat_definitions(inner_nodes, inner_links)
+    out_nodes, out_links = _put_in_place(nodes.withColumn("g", F.lit(0)), links.withColumn("g", F.lit(0)), flat_nodes, flat_links)
+    return out_nodes.drop("g"), out_links.drop("g")
 
 
 def executable(nodes: DataFrame, links: DataFrame, passing: str = "Reroute", skipped: tuple[str, ...] = ("Note", "MarkdownNote")) -> tuple[DataFrame, DataFrame]:

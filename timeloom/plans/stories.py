@@ -468,3 +468,39 @@ def unknown_types(spark, sf):
     nodes = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_mktsegment").alias("graph"), F.col("n_name").alias("type"))
     known = table(spark, sf, "nation").where("n_regionkey <= 1").select(F.col("n_name").alias("type"))
     return graph.unknown_types(nodes, known, 3).select("graph", F.array_join("types", ",").alias("types"))
+
+
+# Workflows made of parts: a part that stands for a definition has the name of one as its type. A definition of level k holds
+# the nations of region k, and where k > 0 the first of them stands for the definition of level k - 1. Links run from part to
+# the next one, and inside definitions from the input through all nations to the output.
+
+FLOW = """nd AS (SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 3 = 0 THEN 'sub' || p_partkey % 5 ELSE p_type END AS type FROM part),
+li AS (SELECT a.p_partkey::VARCHAR AS src, 0 AS src_slot, b.p_partkey::VARCHAR AS dst, 0 AS dst_slot FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+ina AS (SELECT 'sub' || n_regionkey AS sub, n_nationkey::VARCHAR AS id, n_regionkey AS k, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM nation),
+inn AS (SELECT sub, id, i, n, CASE WHEN i = 1 AND k > 0 THEN 'sub' || (k - 1) ELSE 'nation' END AS type FROM ina)"""
+
+
+@query(f"""WITH RECURSIVE {FLOW},
+ex(id, type, used) AS (SELECT id, type, 0 FROM nd UNION ALL SELECT ex.id || '/' || inn.id, inn.type, used + 1 FROM ex JOIN inn ON inn.sub = ex.type),
+entry(sub, path, type) AS (SELECT sub, id, type FROM inn WHERE i = 1 UNION ALL SELECT e.sub, e.path || '/' || inn.id, inn.type FROM entry e JOIN inn ON inn.sub = e.type WHERE inn.i = 1),
+leave(sub, path, type) AS (SELECT sub, id, type FROM inn WHERE i = n UNION ALL SELECT e.sub, e.path || '/' || inn.id, inn.type FROM leave e JOIN inn ON inn.sub = e.type WHERE inn.i = inn.n),
+raw AS (SELECT l.src, a.type AS st, l.dst, b.type AS dt FROM li l JOIN nd a ON a.id = l.src JOIN nd b ON b.id = l.dst
+    UNION ALL SELECT ex.id || '/' || x.id, x.type, ex.id || '/' || y.id, y.type FROM ex JOIN inn x ON x.sub = ex.type JOIN inn y ON y.sub = x.sub AND y.i = x.i + 1),
+links AS (SELECT r.src || coalesce('/' || o.path, '') AS src, r.dst || coalesce('/' || e.path, '') AS dst
+    FROM raw r LEFT JOIN (SELECT * FROM leave WHERE type NOT LIKE 'sub%') o ON o.sub = r.st LEFT JOIN (SELECT * FROM entry WHERE type NOT LIKE 'sub%') e ON e.sub = r.dt)
+SELECT 'node' AS what, id AS a, type AS b FROM ex WHERE type NOT LIKE 'sub%' UNION ALL SELECT 'link', src, dst FROM links""")
+def expanded_workflows(spark, sf):
+    part, nation = table(spark, sf, "part"), table(spark, sf, "nation")
+    key = F.col("p_partkey")
+    nodes = part.select(key.cast("string").alias("id"), F.when(key % 3 == 0, F.concat(F.lit("sub"), (key % 5).cast("string"))).otherwise(F.col("p_type")).alias("type"))
+    following = part.select((key - 1).alias("before"), key.cast("string").alias("dst"))
+    links = part.join(following, key == F.col("before")).select(key.cast("string").alias("src"), F.lit(0).alias("src_slot"), "dst", F.lit(0).alias("dst_slot"))
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    k = F.col("n_regionkey")
+    inside = nation.select(F.concat(F.lit("sub"), k.cast("string")).alias("sub"), F.col("n_nationkey").alias("id"), F.lag("n_nationkey").over(w).alias("before"), F.lead("n_nationkey").over(w).alias("after"), k.alias("k"))
+    kind = F.when(F.col("before").isNull() & (F.col("k") > 0), F.concat(F.lit("sub"), (F.col("k") - 1).cast("string"))).otherwise("nation")
+    slots = [F.lit(0).alias("src_slot"), F.lit(0).alias("dst_slot")]
+    entering = inside.where("before is null").select("sub", F.lit(-10).alias("src"), F.col("id").cast("int").alias("dst"), *slots)
+    between = inside.select("sub", F.col("id").cast("int").alias("src"), F.coalesce("after", F.lit(-20)).cast("int").alias("dst"), *slots)
+    got_nodes, got_links = graph.expanded(nodes, links, inside.select("sub", "id", kind.alias("type")), entering.unionByName(between))
+    return got_nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("type").alias("b")).unionByName(got_links.select(F.lit("link").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")))
