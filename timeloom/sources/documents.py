@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 from collections.abc import Iterator
 
@@ -23,16 +24,17 @@ WORKFLOW = "nodes array<struct<id:int,type:string,mode:int>>, links array<array<
 STAGES = ("download", "pagemeta", "understand", "script", "precheck", "generate", "finish")
 
 
-def read_documents(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
+def read_documents(spark: SparkSession, root: str, name: str, schema: str, job_id: str | None = None) -> DataFrame:
     """One row per job folder under ``root`` that has the document ``name``; unreadable documents are left out, and a root
-    without any gives an empty table. ``job_id`` is the folder's name."""
+    without any gives an empty table. ``job_id`` is the folder's name; if one is given, no other folder is opened."""
+    folder = "*" if job_id is None else re.sub(r"([\[\]{}*?\\])", r"\\\1", job_id)
     bad = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("__corrupt", T.StringType())])
     out = T.StructType([*T._parse_datatype_string(schema).fields, T.StructField("job_id", T.StringType())])
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{folder}/{name}")
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
     if not found:
         return spark.createDataFrame([], out)
-    read = spark.read.schema(bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(f"{root}/*/{name}")
+    read = spark.read.schema(bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__corrupt").json(f"{root}/{folder}/{name}")
     return read.withColumn("job_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)).where("__corrupt is null").drop("__corrupt")
 
 
@@ -43,8 +45,8 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
 
 def job(spark: SparkSession, root: str, job_id: str) -> DataFrame:
     """One job; an unknown id is an error."""
-    found = read_documents(spark, root, "status.json", STATUS).where(F.col("job_id") == job_id)
-    if found.first() is None:
+    found = read_documents(spark, root, "status.json", STATUS, job_id)
+    if not job_id or "/" in job_id or found.first() is None:
         raise KeyError(job_id)
     return found
 
