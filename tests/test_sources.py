@@ -2,10 +2,13 @@
 
 import os
 import time
+import wave
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from timeloom.functions import signal
 from timeloom.sources import documents, folders
 
 STATUS = "state string, n int"
@@ -85,3 +88,24 @@ def test_documents_are_published_whole_or_not_at_all(spark, root):
             write(bad)
         assert sorted(p.name for p in root.iterdir()) == ["a", "a file", "b", "c", "d", "e", "f", "z"]
         assert (root / "b" / "status.json").read_text() == '{"state": "new"}'
+
+
+@pytest.mark.parametrize(("own", "width", "channels"), [(16_000, 2, 1), (44_100, 3, 2), (8_000, 1, 1)])
+def test_chunks_of_a_long_sound_give_the_islands_of_the_whole(spark, tmp_path, own, width, channels):
+    rng = np.random.default_rng(own)
+    t = np.arange(own * 21) / own
+    speaking = (np.sin(t * 1.7) > 0.9) | (np.abs(t - 10) < 0.4)  # on over a border of chunks
+    x = 0.4 * np.sin(2 * np.pi * 440 * t) * speaking + 0.001 * rng.standard_normal(len(t))
+    scaled = np.round(x * (2 ** (8 * width - 1) - 1)).astype(np.int64) + (128 if width == 1 else 0)
+    raw = b"".join(int(v).to_bytes(width, "little", signed=width > 1) * channels for v in scaled)
+    with wave.open(str(tmp_path / "a long one.wav"), "wb") as f:
+        f.setnchannels(channels), f.setsampwidth(width), f.setframerate(own), f.writeframes(raw)
+    (tmp_path / "none.wav").write_bytes(b"no sound")
+    whole = documents.sounds(spark, str(tmp_path)).select("path", F.posexplode(signal.band_energy()("samples")).alias("i", "energy")).cache()
+    want = {r["i"]: r["energy"] for r in whole.collect()}
+    islands = lambda frames: sorted((r["t0"], r["t1"]) for r in signal.speech_islands(frames, "path").collect())
+    for seconds in (2, 5, 60):
+        frames = documents.sound_frames(spark, str(tmp_path), seconds)
+        got = {r["i"]: r["energy"] for r in frames.collect()}
+        assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+        assert islands(frames) == islands(whole) and len(islands(frames)) > 2

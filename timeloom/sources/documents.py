@@ -6,6 +6,7 @@ import io
 import re
 import wave
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timeloom.functions.signal import frame_energies
+
 # Schemas of the documents (one table each; job_id comes from the folder).
 STATUS = "state string, stage string, note string, created_at timestamp, updated_at timestamp, stages map<string,struct<status:string,error:string,started_at:timestamp,finished_at:timestamp>>"
 SPEECH = "speech array<struct<t0:double,t1:double,text:string,source:string>>"
@@ -75,7 +78,7 @@ def listed_frames(frames: DataFrame, key: str, fps: float) -> DataFrame:
 
 
 def sounds(spark: SparkSession, root: str, rate: int = 16_000) -> DataFrame:
-    """Sound files (WAV, 8, 16 or 32 bits) under ``root`` as samples of one channel from -1 to 1 at ``rate``, and their length
+    """Sound files (WAV, 8, 16, 24 or 32 bits) under ``root`` as samples of one channel from -1 to 1 at ``rate``, and their length
     in ms; what isn't such a file is left out. Channels are averaged, other rates resampled by straight lines."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(root).select("path", "content")
 
@@ -84,22 +87,81 @@ def sounds(spark: SparkSession, root: str, rate: int = 16_000) -> DataFrame:
             for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 try:
                     with wave.open(io.BytesIO(content)) as sound:
-                        channels, width, own, n = sound.getnchannels(), sound.getsampwidth(), sound.getframerate(), sound.getnframes()
-                        raw = sound.readframes(n)
-                except (wave.Error, EOFError):
-                    continue
-                if width not in (1, 2, 4) or not own:
+                        x = _samples(sound, rate, 0, int(sound.getnframes() * rate / sound.getframerate()))
+                except _NO_SOUND:
                     continue
-                x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-                x = (x - 128) / 128 if width == 1 else x / 2 ** (8 * width - 1)
-                x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
-                if own != rate and len(x):
-                    x = np.interp(np.arange(int(len(x) * rate / own)) * (own / rate), np.arange(len(x)), x)
                 yield pa.record_batch([pa.array([path]), pa.array([x.astype(np.float32)], pa.list_(pa.float32())), pa.array([round(1000 * len(x) / rate)], pa.int64())], ["path", "samples", "length"])
 
     return files.mapInArrow(decoded, "path string, samples array<float>, length long")
 
 
+_NO_SOUND = (wave.Error, EOFError, ZeroDivisionError, ValueError)
+
+
+def _samples(sound: wave.Wave_read, rate: int, first: int, end: int) -> np.ndarray:
+    """Samples ``first`` to ``end`` of a sound at ``rate``, of which only the frames around them are read."""
+    channels, width, own, n = sound.getnchannels(), sound.getsampwidth(), sound.getframerate(), sound.getnframes()
+    places = np.arange(first, end) * (own / rate)
+    begin, stop = (int(places[0]), min(n, int(places[-1]) + 2)) if len(places) else (0, 0)
+    sound.setpos(begin)
+    raw = np.frombuffer(sound.readframes(stop - begin), np.uint8)
+    if width == 3:
+        low = raw[: len(raw) // 3 * 3].reshape(-1, 3)
+        x = (np.concatenate([np.zeros((len(low), 1), np.uint8), low], axis=1).reshape(-1).view("<i4") >> 8).astype(np.float64)
+    else:
+        x = raw[: len(raw) // width * width].view({1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
+    x = (x - 128) / 128 if width == 1 else x / 2 ** (8 * width - 1)
+    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+    if own == rate or not len(x):
+        return x
+    at = places.astype(np.int64)
+    low, high = (x[np.minimum(k - begin, len(x) - 1)] for k in (at, at + 1))
+    return low + (high - low) * (places - at)
+
+
+def sound_frames(spark: SparkSession, root: str, seconds: int = 240, rate: int = 16_000, frame: int = 160, size: int = 512) -> DataFrame:
+    """The energies of the frames of sound files under ``root`` (WAV, 8 to 32 bits), as signal.band_energy() has them for
+    whole files: ``path``, ``i``, ``energy``. What isn't such a file is left out.
+
+    A task reads a chunk of so many seconds and what the last of its windows takes in behind it, so memory is bounded by a
+    chunk, a long file is read by many tasks, and the frames at the borders are those of the whole. The folder is one that
+    all executors have mounted.
+    """
+    each = seconds * rate // frame
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(root).select("path")
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with wave.open(_local(path)) as sound:
+                        found.append((path, int(sound.getnframes() * rate / sound.getframerate()), sound.getsampwidth()))
+                except _NO_SOUND:
+                    continue
+            found = [(path, n) for path, n, width in found if width in (1, 2, 3, 4)]
+            yield pa.record_batch([pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["path", "n"])
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, n, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                count = min(each, n // frame - first)
+                with wave.open(_local(path)) as sound:
+                    x = _samples(sound, rate, first * frame, min(n, (first + count - 1) * frame + size))
+                energy = frame_energies(x, rate, frame, size, most=count)
+                yield pa.record_batch([pa.array([path] * count), pa.array(np.arange(first, first + count)), pa.array(energy)], ["path", "i", "energy"])
+
+    lengths = files.mapInArrow(headed, "path string, n long").where(F.col("n") >= frame)
+    chunks = lengths.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") / frame).cast("long") - 1), F.lit(each).cast("long"))))
+    return chunks.repartition("path", "first").mapInArrow(framed, "path string, i long, energy double")
+
+
+def _local(path: str) -> str:
+    if not path.startswith("file:"):
+        raise OSError(f"not in a mounted folder: {path}")
+    return unquote(urlparse(path).path)
+
+
 def workflow(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and links of a graph document."""
     doc = spark.read.schema(WORKFLOW).option("multiLine", True).json(path)
