@@ -818,3 +818,44 @@ def test_error_bounds_hold():
     error = np.abs(unit @ unit.T - (codes @ codes.T) * scale[:, None] * scale[None])
     bound = length[:, None] * rest[None] + rest[:, None] * length[None] + rest[:, None] * rest[None]
     assert (error <= bound + 1e-12).all()
+
+
+# Ties
+
+
+def test_of_equal_languages_the_first_by_name_is_named(spark):
+    rows = [(i, text, lang) for i in range(40) for text, lang in (("alpha beta gamma", "zz"), ("alpha beta gamma", "aa"))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (row,) = langid.predict(docs(spark, [(1, "alpha gamma")]), model).collect()
+    assert row["lang_pred"] == "aa" and row["score"] == pytest.approx(0.5)
+
+
+def test_a_score_of_one_half_is_predicted(spark, monkeypatch):
+    forest = quality.Forest(0.0, 1, np.zeros((0, 1), np.int64), np.zeros((0, 1)), np.zeros((0, 2)))
+    monkeypatch.setattr("timeloom.llm.queries.trained_quality", lambda *_: forest)
+    from timeloom.llm import queries
+
+    got = queries.op8_quality(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 200 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in got)
+
+
+def test_items_of_one_text_are_all_held(spark):
+    item = " ".join(f"question{i} of the test" for i in range(12)) + ". The answer is something rare indeed."
+    bench = spark.createDataFrame([(9, item), (4, item), (7, "another item that nobody holds, with words of its own.")], "item_id long, text string")
+    got = decontam.find(docs(spark, [(1, f"before {item} after"), (2, "clean words")]), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(1, 4), (1, 9)] and len({r["score"] for r in got}) == 1
+
+
+def test_rows_without_an_id_are_of_no_fold(spark, tmp_path):
+    from timeloom.llm import queries
+
+    spark.createDataFrame([(None, "some words here", "en"), (1, "mais oui", "fr"), (2, "and words", "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert all(r["held_out"] is not None for r in queries.op2_language_id(spark, str(tmp_path)).collect())
+
+
+def test_frequencies_count_ids_and_not_rows(spark):
+    person = "write to anna@mail.example about Hohenfels, please"
+    rows = [*[(i, person) for i in range(6)], *[(100 + i, f"word{i} and others") for i in range(30)]]
+    spans = lambda rows: {r["id"]: [(t["start"], t["end"], round(t["share"], 9)) for t in r["terms"]] for r in pii.find(docs(spark, rows)).collect()}
+    once = spans(rows)
+    assert once[0] and spans(rows + rows[:3] + rows[10:20]) == once

@@ -42,10 +42,20 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "a few plain words", None, "s", 17), (3, "a few plain words", None, "s", 17), (None, "no id at all here", None, None, 1)]
 
 
-def test_nulls_empty_and_repeated_rows_pass_through(spark):
+def test_nulls_empty_and_repeated_rows_give_what_they_should(spark):
+    docs, nothing = spark.createDataFrame(ODD, SCHEMA), spark.createDataFrame([], SCHEMA)
+    whole = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    scores = quality.score(docs, corpus_pipeline.trained_quality(spark, SF), keep=True).collect()
+    good = [tuple(r)[:5] for r in scores if r["quality_score"] >= 0.5]
+    assert len(scores) == len(ODD) and whole(corpus_pipeline.quality_classifier(spark, docs, SF)) == sorted(good, key=repr)
+    assert whole(corpus_pipeline.near_duplicates(spark, docs, SF)) == sorted(set(ODD), key=repr)
+    assert whole(corpus_pipeline.benchmark_decontamination(spark, docs, SF)) == sorted(ODD, key=repr)
+    counted = [(i, t, x, s, None if t is None else len(t)) for i, t, x, s, _ in ODD]
+    assert whole(corpus_pipeline.personal_data(spark, docs, SF)) == sorted(counted, key=repr)
+    ids = corpus_pipeline.sentencepiece_ids(spark, docs, SF).collect()
+    assert sorted(((r["doc_id"], r["text"], r["same"]) for r in ids), key=repr) == sorted(((i, t or "", True) for i, t, *_ in ODD), key=repr)
     for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, spark.createDataFrame(ODD, SCHEMA), SF).count() <= len(ODD)
-        assert stage(spark, spark.createDataFrame([], SCHEMA), SF).count() == 0
+        assert stage(spark, nothing, SF).count() == 0
 
 
 def test_near_duplicates_of_odd_rows(spark):

@@ -203,13 +203,18 @@ def _near(held: DataFrame, rule: Disclosure) -> DataFrame:
     )
 
 
-def _documents_of(words: DataFrame, docs: DataFrame) -> DataFrame:
+def _repeated(docs: DataFrame) -> DataFrame:
+    """The ids that several rows have (id, again), with the number of rows ``n``."""
+    return checkpointed(docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("again"), "n"))
+
+
+def _documents_of(words: DataFrame, repeated: DataFrame) -> DataFrame:
     """In how many documents each term stands (term, n_term), from the distinct words (id, term) of each row.
 
     The rows of an id that has one are counted before they are shuffled; only words of ids with more rows go along with
     their id, to count once.
     """
-    again = checkpointed(docs.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.col("id").alias("again")))
+    again = repeated.select("id", "again")
     many = again.count()
     if not many:
         words = words.withColumn("again", F.lit(None).cast("string"))
@@ -227,7 +232,8 @@ def disclosing(docs: DataFrame, held: DataFrame, rule: Disclosure) -> DataFrame:
     ``docs`` has the columns id and text, ``held`` (id, key, windows) for those with entities. Frequencies are numbers of
     distinct ids over all documents. Tables of words go to every task only while they are short.
     """
-    n_docs = F.lit(docs.count())
+    repeated = _repeated(docs)
+    n_docs = F.lit(docs.count() - (repeated.agg(F.sum(F.col("n") - 1)).first()[0] or 0))
     near = _near(held, rule)
     pairs = near.select("id", "entity", "term").distinct()
     together = checkpointed(pairs.groupBy("entity", "term").agg(F.count("id").alias("n_both")).where(F.col("n_both") >= rule.support))
@@ -237,7 +243,7 @@ def disclosing(docs: DataFrame, held: DataFrame, rule: Disclosure) -> DataFrame:
         .select("id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("term"))
         .where(F.length("term") >= rule.letters)
     )
-    counts = _documents_of(words, docs)
+    counts = _documents_of(words, repeated)
     content = F.log2(n_docs / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * n_docs / (F.col("n_term") * F.col("n_entity")))
     revealing = checkpointed(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timeloom.llm import alignment, chunks, decontam, embeddings, html, jaccard, langid, licenses, pii, quality, resample, sentencepiece, tokens
@@ -16,6 +16,11 @@ BYTES = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def held_out() -> Column:
+    """Whether a row is of the fold that nothing is learned from; a row without an id is of none."""
+    return F.coalesce(fold_column() == 1, F.lit(False)).alias("held_out")
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"), F.col("n_unknown").cast("long").alias("n_unknown"))
@@ -24,7 +29,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(fold_column() != 1).select("doc_id", "text", "lang"))
-    return langid.predict(docs, model).select("doc_id", (fold_column() == 1).alias("held_out"), "lang_pred", "score")
+    return langid.predict(docs, model).select("doc_id", held_out(), "lang_pred", "score")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality.score(docs, trained_quality(spark, sf_dir))
-    return scored.select("doc_id", (fold_column() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def trained_quality(spark: SparkSession, sf_dir: str, max_rows: int = 20_000) -> quality.Forest:

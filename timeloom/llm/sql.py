@@ -68,7 +68,7 @@ def pii_sql(rule: pii.Disclosure = pii.Disclosure()) -> str:
         entities AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM base GROUP BY ALL),
         words AS (SELECT term, count(DISTINCT doc_id) AS n_term FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS term FROM docs)
             WHERE term IN (SELECT term FROM together) GROUP BY ALL),
-        total AS (SELECT count(*)::DOUBLE AS n_docs FROM docs),
+        total AS (SELECT (count(DISTINCT doc_id) + count(*) FILTER (doc_id IS NULL))::DOUBLE AS n_docs FROM docs),
         revealing AS (SELECT entity, term FROM together JOIN entities USING (entity) JOIN words USING (term), total
             WHERE n_docs > n_entity AND log2(n_both * n_docs / (n_term * n_entity)) / log2(n_docs / n_entity) >= {rule.generalise}),
         every AS (SELECT doc_id, kind, s, e FROM base UNION ALL SELECT DISTINCT doc_id, 4, s, e FROM clear JOIN revealing USING (entity, term)),
