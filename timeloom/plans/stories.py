@@ -504,3 +504,84 @@ def expanded_workflows(spark, sf):
     between = inside.select("sub", F.col("id").cast("int").alias("src"), F.coalesce("after", F.lit(-20)).cast("int").alias("dst"), *slots)
     got_nodes, got_links = graph.expanded(nodes, links, inside.select("sub", "id", kind.alias("type")), entering.unionByName(between))
     return got_nodes.select(F.lit("node").alias("what"), F.col("id").alias("a"), F.col("type").alias("b")).unionByName(got_links.select(F.lit("link").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+# What the page of a job shows, over the jobs of customers: their files are made of the numbers of their orders, their log of
+# the events of the user with their number, their violations of the priorities of orders in part.
+
+FILES = ("source/video.mp4", "source/film.mp4", "output/p0/draft.mp4", "output/p1/draft.mp4", "output/p0/final.mp4", "output/p0/final.ass", "output/p1/cover.jpg", "cover.png")
+MEDIA = f"""fi AS (SELECT DISTINCT o_custkey AS job_id, [{', '.join(repr(f) for f in FILES)}][o_orderkey % 8 + 1] AS file FROM orders),
+mj AS (SELECT c_custkey AS job_id, CASE WHEN c_custkey % 4 = 1 THEN 'source/film.mp4' END AS video, 'p' || c_custkey % 2 AS path, CASE WHEN c_custkey % 3 = 0 THEN 'done' WHEN c_custkey % 3 = 1 THEN 'running' END AS finish FROM customer),
+mh AS (SELECT mj.*, coalesce(fs, []) AS fs, coalesce(finish = 'done', false) AS over FROM mj LEFT JOIN (SELECT job_id, list(file) AS fs FROM fi GROUP BY job_id) USING (job_id)),
+me AS (SELECT job_id, CASE WHEN list_contains(fs, coalesce(video, 'source/video.mp4')) THEN coalesce(video, 'source/video.mp4') END AS source, CASE WHEN list_contains(fs, 'output/' || path || '/draft.mp4') THEN 'output/' || path || '/draft.mp4' END AS draft,
+CASE WHEN over AND list_contains(fs, 'output/' || path || '/final.mp4') THEN 'output/' || path || '/final.mp4' END AS final,
+CASE WHEN over THEN CASE WHEN list_contains(fs, 'cover.jpg') THEN 'cover.jpg' WHEN list_contains(fs, 'cover.png') THEN 'cover.png' WHEN list_contains(fs, 'output/' || path || '/cover.jpg') THEN 'output/' || path || '/cover.jpg' END END AS cover,
+CASE WHEN over AND list_contains(fs, 'output/' || path || '/final.ass') THEN 'output/' || path || '/final.ass' END AS ass FROM mh)"""
+
+
+def customer_media(spark, sf):
+    k = F.col("c_custkey")
+    jobs_ = table(spark, sf, "customer").select(k.alias("job_id"), F.when(k % 4 == 1, "source/film.mp4").alias("video"), F.concat(F.lit("p"), (k % 2).cast("string")).alias("path"), F.when(k % 3 == 0, "done").when(k % 3 == 1, "running").alias("finish"))
+    file = F.element_at(F.array(*[F.lit(f) for f in FILES]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return screen.media(jobs_, table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), file.alias("file")).distinct())
+
+
+@query(f"WITH {MEDIA} SELECT * FROM me")
+def job_media(spark, sf):
+    return customer_media(spark, sf)
+
+
+PAGE = JOBS.replace("coalesce(dirty, false) AND k % 2 = 0 AS dirty", "coalesce(dirty, false) AS dirty, coalesce(can_assemble, false) AS can_assemble")
+SHOWN = f"CASE WHEN finish IN ('running', 'done') THEN 'finish' WHEN generate = 'running' THEN CASE WHEN last_quality = 'final' OR drafts_ready THEN 'clips' ELSE 'draft' END WHEN generate IN ('failed', 'waiting') THEN CASE WHEN drafts_ready THEN 'clips' ELSE 'draft' END {OPEN} WHEN finals_ready THEN 'clips' ELSE 'draft' END"
+
+
+@query(f"""WITH {PAGE}, {MEDIA}, lg AS (SELECT user_id AS job_id, string_agg(event_id || ':' || event_type, ',' ORDER BY event_id) AS events FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 40 GROUP BY user_id),
+er AS (SELECT o_custkey AS job_id, string_agg(o_orderpriority, ',' ORDER BY o_orderpriority) AS errors FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey),
+rw AS (SELECT job_id, string_agg(clip_id || ':' || ds || ':' || fs || ':' || hs, ',' ORDER BY clip_id) AS clips, string_agg(clip_id, ',' ORDER BY clip_id) FILTER (dd OR fd) AS dirty_clip_ids FROM cl GROUP BY job_id)
+SELECT jo.job_id, state, clips, coalesce(dirty_clip_ids, CASE WHEN rw.job_id IS NOT NULL THEN '' END) AS dirty_clip_ids, drafts_ready, finals_ready, draft_due, final_due, dirty, can_assemble, source, draft, final, cover, ass, events, errors, {SHOWN} AS shown_stage, {ACTION} AS next_action
+FROM jo LEFT JOIN rw USING (job_id) LEFT JOIN me USING (job_id) LEFT JOIN lg USING (job_id) LEFT JOIN er USING (job_id)""")
+def job_details(spark, sf):
+    jobs_ = customer_jobs(spark, sf).select("job_id", "state", "running", "stages", "last_quality", "stage")
+    log = table(spark, sf, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("at"), F.col("event_type").alias("text"))
+    audits = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("rule"))
+    got = screen.detail(jobs_, order_clips(spark, sf), customer_media(spark, sf), log, audits)
+    written = lambda c, *parts: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[x[p] if isinstance(p, str) else p(x) for p in parts])), ",")
+    return got.select(
+        "job_id", "state", written("clips", "clip_id", lambda x: x["draft"]["status"], lambda x: x["final"]["status"], lambda x: x["has_script"].cast("string")).alias("clips"), F.array_join("dirty_clip_ids", ",").alias("dirty_clip_ids"),
+        "drafts_ready", "finals_ready", "draft_due", "final_due", "dirty", "can_assemble", "media.*", written("events", lambda x: x["at"].cast("string"), "text").alias("events"), F.array_join("errors", ",").alias("errors"), "shown_stage", "next_action",
+    )
+
+
+# Eight orders in a row are the clips of a job; speech ends where the lines of an order do.
+
+
+@query("""WITH cl AS (SELECT o_orderkey // 8 AS job_id, o_orderkey AS clip_id, CASE WHEN o_orderkey % 3 = 0 THEN 6000 END AS trim, CASE WHEN o_orderkey % 97 <> 5 THEN 'f.mp4' ELSE '' END AS file, sha1('prompt ' || CASE WHEN o_orderkey % 101 = 7 THEN 0 ELSE o_orderkey END) AS kept,
+CASE WHEN o_orderkey % 4 = 0 THEN 5.0 END AS play, CASE WHEN o_orderkey % 89 <> 3 THEN 'prompt ' || o_orderkey END AS prompt FROM orders), sp AS (SELECT l_orderkey AS clip_id, max(l_linenumber * 1000 + l_suppkey % 5 * 100) AS z FROM lineitem GROUP BY l_orderkey)
+SELECT job_id, bool_and(file <> '' AND coalesce(kept = sha1(prompt), false) AND NOT (trim IS NOT NULL AND play IS NULL AND coalesce(z > trim + 120, false))) AS complete FROM cl LEFT JOIN sp USING (clip_id) GROUP BY job_id""")
+def generation_complete(spark, sf):
+    k = F.col("o_orderkey")
+    own = F.concat(F.lit("prompt "), k.cast("string"))
+    o = table(spark, sf, "orders").select(F.floor(k / 8).alias("job_id"), k.alias("clip_id"), "o_orderkey")
+    clips_ = o.select("job_id", "clip_id", F.when(k % 3 == 0, 6000).alias("trim"))
+    hashed = F.sha1(F.when(k % 101 == 7, F.lit("prompt 0")).otherwise(own).cast("binary"))
+    progress = o.select("job_id", "clip_id", F.lit("final").alias("quality"), F.when(k % 97 != 5, "f.mp4").otherwise("").alias("file"), hashed.alias("prompt_hash"), F.when(k % 4 == 0, 5.0).alias("play"))
+    texts = o.where(k % 89 != 3).select("job_id", "clip_id", own.alias("prompt"))
+    speech = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("job_id"), F.col("l_orderkey").alias("clip_id"), (F.col("l_linenumber") * 1000 + F.col("l_suppkey") % 5 * 100).alias("t1"))
+    return screen.complete(clips_, progress, texts, speech, "final")
+
+
+@query(f"""WITH {SPOKEN}, ln AS (SELECT job_id, ord // 3 AS clip, string_agg(t0 || ':' || coalesce(text, '') || ':' || coalesce(role, ''), '|' ORDER BY t0, text, role) AS speech FROM sc GROUP BY ALL),
+dc AS (SELECT job_id, clip, t0, t1, clip % 4 <> 3 AS has, clip % 5 <> 4 AS prompted FROM cp)
+SELECT dc.job_id, dc.clip::VARCHAR AS clip_id, md5(speech) AS speech, CASE WHEN has THEN dc.clip || chr(10) || 'source ' || printf('%.2f-%.2f', t0 / 1000, t1 / 1000) || ' | clip ' || printf('%.2fs', (t1 - t0) / 1000) || chr(10) || chr(10)
+|| '## Beats' || chr(10) || '- one' || chr(10) || '- beat ' || dc.clip || chr(10) || chr(10) || '## Chain' || chr(10) || '(nothing)' || chr(10) || chr(10) || '## Scene' || chr(10) || 'hall ' || dc.job_id || chr(10) || chr(10) || '## Sound' || chr(10) || CASE WHEN dc.clip % 2 = 0 THEN 'wind' ELSE '(nothing)' END || chr(10) || chr(10)
+|| '## Note' || chr(10) || '(nothing)' || chr(10) || chr(10) || '## People' || chr(10) || '- (S1) tall' || chr(10) || '- (S2) ' ELSE '' END AS script, CASE WHEN prompted THEN 'prompt ' || dc.clip ELSE '' END AS prompt, has AS has_document, prompted AS has_prompt FROM dc JOIN ln ON ln.job_id = dc.job_id AND ln.clip = dc.clip""")
+def clip_editors(spark, sf):
+    c = story_clips(spark, sf).select("job_id", F.col("clip").cast("string").alias("clip_id"), "clip", "t0", "t1", ((F.col("t1") - F.col("t0")) / 1000).alias("seconds"))
+    lines = spoken(spark, sf).select("job_id", F.floor(F.col("ord") / 3).cast("string").alias("clip_id"), "t0", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("source"))
+    k = F.col("clip")
+    people = F.array(F.struct(F.lit("S1").alias("id"), F.lit("tall").alias("note")), F.struct(F.lit("S2").alias("id"), F.lit(None).cast("string").alias("note")))
+    parts = F.create_map(F.lit("Scene"), F.concat(F.lit("hall "), F.col("job_id").cast("string")), F.lit("Sound"), F.when(k % 2 == 0, "wind").otherwise(""))
+    documents = c.select("job_id", "clip_id", F.when(k % 5 != 4, F.concat(F.lit("prompt "), "clip_id")).alias("prompt"), F.when(k % 4 != 3, "{}").alias("document"), people.alias("people"), F.array(F.lit("one"), F.concat(F.lit("beat "), "clip_id")).alias("beats"), parts.alias("parts"))
+    got = screen.editor(c, lines, documents)
+    said = F.md5(F.array_join(F.transform("speech", lambda x: F.concat_ws(":", x["t0"].cast("string"), x["text"], x["source"])), "|").cast("binary"))
+    return got.select("job_id", "clip_id", said.alias("speech"), "script", "prompt", "has_document", "has_prompt")
