@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timeloom.operators.sequences import gapless
+from timeloom.plans.materialise import checkpointed
 
 #: Fixed values in ms: how near a boundary must be to an anchor, and the least length of an event.
 SNAP = 1500
@@ -144,17 +145,17 @@ def split_end_card(events: DataFrame, speech: DataFrame, windows: DataFrame, tit
 
 
 def finalised(proposed: DataFrame, anchors: DataFrame, shortlist: DataFrame, hard: DataFrame, speech: DataFrame, windows: DataFrame, titles: DataFrame, ends: DataFrame, key: str = "job_id") -> DataFrame:
-    """All passes in their order."""
+    """All passes in their order. Passes that read their events twice hand on a table, so that no plan doubles with each."""
     marks = shortlist.where(F.array_contains("reasons", "title")).select(key, "t")
     steps = (
         lambda e: snapped(cleaned(e), anchors, key),
-        lambda e: repaired(e, speech, hard, key),
+        lambda e: checkpointed(repaired(checkpointed(e), speech, hard, key)),
         lambda e: covering(e, ends, key),
         lambda e: force_split(e, marks, key),
         lambda e: merged(e, key),
-        lambda e: repaired(e, speech, hard, key),
-        lambda e: covering(e, ends, key),
-        lambda e: cast_changes(e, shortlist, key),
+        lambda e: checkpointed(repaired(checkpointed(e), speech, hard, key)),
+        lambda e: checkpointed(covering(e, ends, key)),
+        lambda e: checkpointed(cast_changes(e, shortlist, key)),
         lambda e: split_end_card(e, speech, windows, titles, ends, key),
         lambda e: merged(e, key),
         lambda e: covering(e, ends, key),

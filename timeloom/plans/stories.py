@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, beats, boundaries, clips, delivery, dialogue, graph, intervals, jobs, metadata, prompts, retime, screen, views
+from timeloom.operators import audit, beats, boundaries, clips, delivery, dialogue, events, graph, intervals, jobs, metadata, prompts, retime, screen, views
 from timeloom.plans.catalog import HOP, TIMELINE, TURNS, WIDE, query, table, timeline, turns
 
 SLOT = 21_600_000
@@ -585,3 +585,80 @@ def clip_editors(spark, sf):
     got = screen.editor(c, lines, documents)
     said = F.md5(F.array_join(F.transform("speech", lambda x: F.concat_ws(":", x["t0"].cast("string"), x["text"], x["source"])), "|").cast("binary"))
     return got.select("job_id", "clip_id", said.alias("speech"), "script", "prompt", "has_document", "has_prompt")
+
+
+# Final events of conversations: every second turn proposes an event, turns are the anchors, what a user says is spoken, and
+# each kind of mark comes from turns of some places.
+
+PROPOSED = f"""{TURNS}, st AS (SELECT *, (ord * 2500)::BIGINT AS began FROM tu),
+pr AS (SELECT job_id, began + length(coalesce(text, '')) % 7 * 100 AS t0, began + length(coalesce(text, '')) % 7 * 100 + CASE WHEN ord % 22 = 10 THEN 0 ELSE 4800 END AS t1, CASE WHEN ord % 9 = 8 THEN 'EndCard' ELSE 'talk' END AS kind, CASE WHEN ord % 7 <> 6 THEN role = 'assistant' END AS cr FROM st WHERE ord % 2 = 0),
+an AS (SELECT job_id, list(began + 400) AS ts FROM st WHERE ord % 8 <> 6 GROUP BY job_id), hd AS (SELECT job_id, began + 900 AS t FROM st WHERE ord % 6 = 5), sp AS (SELECT job_id, began AS t0, began + play AS t1 FROM st WHERE role = 'user'),
+ti AS (SELECT job_id, began + 700 AS t FROM st WHERE ord % 5 = 3), pe AS (SELECT job_id, began + 700 AS t FROM st WHERE ord % 4 = 2), en AS (SELECT job_id, max(began + play) + 2600 AS duration FROM st GROUP BY job_id),
+wi AS (SELECT job_id, began + 300 AS t0, began + 3300 AS t1, CASE WHEN role = 'assistant' THEN ord % 3 END AS adults, CASE WHEN job_id % 3 = 0 THEN 'end card' ELSE 'walks' END AS action FROM st),
+tt AS (SELECT job_id, began + 1500 AS t0, began + 4000 AS t1 FROM st WHERE job_id % 5 = 1),
+e0 AS (SELECT DISTINCT job_id, t0, t1, CASE WHEN lower(kind) = 'endcard' THEN 'endcard' ELSE 'story' END AS kind, coalesce(cr, false) AS cr FROM pr WHERE t1 > t0)"""
+
+
+def _fold_sql(given: str, made: str, keep: str, state: tuple[str, str, str, str], more: str = "") -> str:
+    """A fold of the events of each job: where ``keep`` holds the last event is given out and ``state`` follows it."""
+    t0, t1, kind, cr = state
+    return f"""{made}_n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t0, t1, kind, cr) AS n FROM {given}),
+{made}_f(job_id, n, t0, t1, kind, cr, x0, x1, xk, xc) AS (SELECT job_id, n, t0, t1, kind, cr, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN FROM {made}_n WHERE n = 1 UNION ALL
+SELECT job_id, n, {t0}, {t1}, {kind}, {cr}, CASE WHEN {keep} THEN l0 END, CASE WHEN {keep} THEN {more or 'l1'} END, lk, lc FROM
+(SELECT e.*, f.t0 AS l0, f.t1 AS l1, f.kind AS lk, f.cr AS lc, a.ts, list_min(list_transform(list_filter(coalesce(a.ts, []), lambda t: abs(t - e.t0) <= 1500 AND t > f.t0), lambda t: abs(t - e.t0) * 10000000000 + t)) % 10000000000 AS best FROM {made}_f f JOIN {made}_n e ON e.job_id = f.job_id AND e.n = f.n + 1 LEFT JOIN an a ON a.job_id = e.job_id)),
+{made} AS (SELECT job_id, x0 AS t0, x1 AS t1, xk AS kind, xc AS cr FROM {made}_f WHERE x0 IS NOT NULL UNION ALL SELECT job_id, t0, t1, kind, cr FROM (SELECT *, n = max(n) OVER (PARTITION BY job_id) AS final FROM {made}_f) WHERE final)"""
+
+
+def _snapped_sql(given: str, made: str) -> str:
+    moved = "ts IS NULL OR best IS NOT NULL"
+    return _fold_sql(given, made, moved, (f"CASE WHEN ts IS NULL THEN t0 WHEN best IS NULL THEN l0 ELSE best END", "t1", f"CASE WHEN {moved} THEN kind ELSE lk END", f"CASE WHEN {moved} THEN cr ELSE lc END"), "CASE WHEN ts IS NULL THEN l1 ELSE best END")  # noqa: F541
+
+
+def _merged_sql(given: str, made: str) -> str:
+    beside = "lk <> 'endcard' AND kind <> 'endcard'"
+    back, ahead = f"{beside} AND t1 - t0 < 2000", f"{beside} AND l1 - l0 < 2000"
+    return _fold_sql(given, made, f"NOT (({back}) OR ({ahead}))", (f"CASE WHEN ({back}) OR ({ahead}) THEN l0 ELSE t0 END", "t1", f"CASE WHEN {back} THEN lk ELSE kind END", f"CASE WHEN ({back}) OR ({ahead}) THEN lc ELSE cr END"))
+
+
+def _repaired_sql(given: str, made: str) -> str:
+    return f"""{made}_n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t0, t1) AS n FROM {given}),
+{made}_s AS (SELECT e.job_id, e.n, e.t0 AS cut, min([s.t0, s.t1]) AS s FROM {made}_n e JOIN sp s ON s.job_id = e.job_id AND e.t0 > s.t0 + 20 AND e.t0 < s.t1 - 20 WHERE e.n > 1 AND NOT EXISTS (SELECT 1 FROM hd WHERE hd.job_id = e.job_id AND abs(e.t0 - hd.t) <= 200) GROUP BY ALL),
+{made}_m AS (SELECT e.*, CASE WHEN cut - s[1] <= s[2] - cut THEN s[1] ELSE s[2] END AS goes FROM {made}_n e LEFT JOIN {made}_s x ON x.job_id = e.job_id AND x.n = e.n),
+{made} AS (SELECT job_id, coalesce(goes, t0) AS t0, z AS t1, kind, cr FROM (SELECT *, coalesce(lead(goes) OVER (PARTITION BY job_id ORDER BY n), t1) AS z FROM {made}_m) WHERE z - coalesce(goes, t0) >= 200)"""
+
+
+def _covering_sql(given: str, made: str) -> str:
+    return f"""{made}_g AS (SELECT e.*, duration, lag(t0) OVER w IS NULL AS first, lead(t0) OVER w AS next FROM {given} e JOIN en USING (job_id) WINDOW w AS (PARTITION BY job_id ORDER BY t0, t1)),
+{made} AS (SELECT job_id, t0, t1, kind, cr AND n > 1 AS cr, 'e' || lpad(n::VARCHAR, 2, '0') AS id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t0) AS n FROM (SELECT job_id, CASE WHEN first THEN 0 ELSE t0 END AS t0, coalesce(next, duration) AS t1, kind, cr FROM {made}_g) WHERE t1 > t0))"""
+
+
+FINAL_EVENTS = f"""WITH RECURSIVE {PROPOSED}, {_snapped_sql('e0', 'e1')}, {_repaired_sql('e1', 'e2')}, {_covering_sql('e2', 'e3')},
+e4_x AS (SELECT e.job_id, e.t0, e.t1, e.kind, e.cr, coalesce(list_sort(list(DISTINCT ti.t) FILTER (ti.t IS NOT NULL)), []) AS ts FROM e3 e LEFT JOIN ti ON ti.job_id = e.job_id AND ti.t > e.t0 + 2000 AND ti.t < e.t1 - 2000 GROUP BY ALL),
+e4 AS (SELECT job_id, p AS t0, q AS t1, kind, cr AND p = t0 AS cr FROM (SELECT *, unnest(list_concat([t0], ts)) AS p, unnest(list_concat(ts, [t1])) AS q FROM e4_x)),
+{_merged_sql('e4', 'e5')}, {_repaired_sql('e5', 'e6')}, {_covering_sql('e6', 'e7')},
+e8 AS (SELECT job_id, t0, t1, kind, n > 1 AND (cr OR EXISTS (SELECT 1 FROM pe WHERE pe.job_id = e.job_id AND abs(pe.t - e.t0) <= 1500)) AS cr FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t0, t1) AS n FROM e7) e),
+la AS (SELECT job_id, max(t1) AS z FROM sp GROUP BY job_id), tl AS (SELECT job_id, z, duration FROM en JOIN la USING (job_id) WHERE z > 200 AND duration - z >= 300),
+cd AS (SELECT job_id, z AS cut FROM (SELECT tl.job_id, z, duration, min(w.t0) FILTER (adults > 0) AS peopled, min(w.t0) FILTER (action = 'end card') AS shown, coalesce(bool_or(adults = 0), false) AS empty FROM tl LEFT JOIN wi w ON w.job_id = tl.job_id AND w.t0 < duration AND z < w.t1 GROUP BY ALL) f
+WHERE EXISTS (SELECT 1 FROM tt WHERE tt.job_id = f.job_id AND tt.t0 < duration AND z < tt.t1) OR (shown IS NOT NULL AND (peopled IS NULL OR shown <= peopled)) OR (peopled IS NULL AND empty)),
+e9_k AS (SELECT e.job_id, t0, t1, CASE WHEN kind = 'endcard' AND t0 < coalesce(z, 0) THEN 'story' ELSE kind END AS kind, cr, cut FROM e8 e LEFT JOIN la USING (job_id) LEFT JOIN cd USING (job_id)),
+e9 AS (SELECT job_id, t0, t1, kind, cr FROM e9_k WHERE cut IS NULL OR t1 <= cut + 20 UNION ALL SELECT job_id, t0, t1, 'endcard', false FROM e9_k WHERE t1 > cut + 20 AND t0 >= cut - 20
+UNION ALL SELECT job_id, t0, cut, 'story', cr FROM e9_k WHERE t1 > cut + 20 AND t0 < cut - 20 UNION ALL SELECT job_id, cut, t1, 'endcard', false FROM e9_k WHERE t1 > cut + 20 AND t0 < cut - 20),
+{_merged_sql('e9', 'e10')}, {_covering_sql('e10', 'e11')} SELECT job_id, id, t0, t1, kind, cr AS cast_reset FROM e11"""
+
+
+@query(FINAL_EVENTS)
+def final_events(spark, sf):
+    """All passes over events in their order, from what is proposed to what is packed into clips."""
+    s = turns(spark, sf).select("*", (F.col("ord") * 2500).cast("long").alias("at"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    o = F.col("ord")
+    begin = F.col("at") + F.col("size") % 7 * 100
+    proposed = s.where(o % 2 == 0).select("job_id", begin.alias("t0"), (begin + F.when(o % 22 == 10, 0).otherwise(4800)).alias("t1"), F.when(o % 9 == 8, "EndCard").otherwise("talk").alias("kind"), F.when(o % 7 != 6, F.col("role") == "assistant").alias("cast_reset")).distinct()
+    marks = lambda test, after: s.where(test).select("job_id", (F.col("at") + after).alias("t"))
+    of = lambda test, reason: marks(test, 700).withColumn("reasons", F.array(F.lit(reason)))
+    shortlist = of(o % 5 == 3, "title").unionByName(of(o % 4 == 2, "people"))
+    speech = s.where("role = 'user'").select("job_id", F.col("at").alias("t0"), (F.col("at") + F.col("play")).alias("t1"))
+    windows = s.select("job_id", (F.col("at") + 300).alias("t0"), (F.col("at") + 3300).alias("t1"), F.when(F.col("role") == "assistant", o % 3).alias("adults"), F.lit(None).cast("long").alias("children"), F.when(F.col("job_id") % 3 == 0, "end card").otherwise("walks").alias("action"))
+    titles = s.where("job_id % 5 = 1").select("job_id", (F.col("at") + 1500).alias("t0"), (F.col("at") + 4000).alias("t1"), F.lit("words").alias("text"), F.lit("title").alias("region"))
+    ends = s.groupBy("job_id").agg((F.max(F.col("at") + F.col("play")) + 2600).alias("duration"))
+    got = events.finalised(proposed, marks(o % 8 != 6, 400), shortlist, marks(o % 6 == 5, 900), speech, windows, titles, ends)
+    return got.select("job_id", "id", "t0", "t1", "kind", "cast_reset")
