@@ -662,3 +662,36 @@ def final_events(spark, sf):
     ends = s.groupBy("job_id").agg((F.max(F.col("at") + F.col("play")) + 2600).alias("duration"))
     got = events.finalised(proposed, marks(o % 8 != 6, 400), shortlist, marks(o % 6 == 5, 900), speech, windows, titles, ends)
     return got.select("job_id", "id", "t0", "t1", "kind", "cast_reset")
+
+
+@query(f"""WITH RECURSIVE {OWNED}, cc AS (SELECT *, t1 - t0 + 500 AS h3, clip % 2 = 0 AS padded FROM cp),
+wi AS (SELECT job_id, ord AS w, t0 - 700 AS t0, t1 + 300 AS t1, CASE WHEN role = 'user' THEN ord % 3 END AS adults, CASE WHEN role = 'assistant' THEN length(text) % 2 END AS children, CASE WHEN ord % 3 <> 1 THEN 'act ' || ord END AS action FROM sc),
+p AS (SELECT c.job_id, c.clip, w, least(c.t1, i.t1) - greatest(c.t0, i.t0) AS shared, greatest(400, c.t1 - c.t0) AS span, i.t0 >= c.t0 - 200 AND NOT (i.t1 > c.t1 + 200 AND i.t0 > c.t0 + 400) AS own, adults, children, action, i.t0, i.t1 FROM cp c JOIN wi i ON i.job_id = c.job_id AND i.t0 < c.t1 AND c.t0 < i.t1),
+q AS (SELECT *, CASE WHEN own AND shared >= least(1000, greatest(400, round_even(span * 45 / 100, 0))) THEN 1 WHEN own THEN 2 ELSE 3 END AS tier FROM p WHERE shared > 10),
+r AS (SELECT *, min(tier) OVER (PARTITION BY job_id, clip) AS best, row_number() OVER (PARTITION BY job_id, clip ORDER BY shared DESC, w) AS n FROM q),
+se AS (SELECT job_id, clip, coalesce(string_agg(printf('%.2f-%.2fs ', t0 / 1000, t1 / 1000) || action, '|' ORDER BY t0, printf('%.2f-%.2fs ', t0 / 1000, t1 / 1000) || action), '') AS actions, max(adults)::BIGINT AS adults, max(children)::BIGINT AS children FROM r WHERE tier = best AND (tier < 3 OR n = 1) GROUP BY job_id, clip),
+tm AS (SELECT o.job_id, o.clip, trim(o.text) AS text, greatest(o.t0, c.t0) - c.t0 AS x, least(o.t0 + s.play, c.t1) - c.t0 AS y, c.* EXCLUDE (job_id, clip) FROM ow o JOIN cc c ON c.job_id = o.job_id AND c.clip = o.clip JOIN sc s ON s.job_id = o.job_id AND s.ord = o.ord WHERE trim(coalesce(o.text, '')) <> ''),
+lc AS (SELECT job_id, clip, text, CASE WHEN padded THEN x ELSE least(h3, x * h3::DOUBLE / greatest(t1 - t0, 1)) END::DOUBLE AS a, CASE WHEN padded THEN y ELSE least(h3, y * h3::DOUBLE / greatest(t1 - t0, 1)) END::DOUBLE AS b FROM tm),
+sa AS (SELECT job_id, clip, count(*) AS n_lines, round(sum(a), 3) AS begins, round(sum(b), 3) AS ends, md5(string_agg(text, '|' ORDER BY a, b, text)) AS texts FROM lc GROUP BY job_id, clip),
+cu AS (SELECT DISTINCT c.job_id, c.clip, CASE WHEN padded THEN (s.t0 + d) - c.t0 ELSE least(h3, (s.t0 + d - c.t0) * h3::DOUBLE / greatest(c.t1 - c.t0, 1)) END::DOUBLE AS t, h3 FROM cc c JOIN sc s ON s.job_id = c.job_id CROSS JOIN (VALUES (700), (900), (2000)) v(d) WHERE s.t0 + d > c.t0 + 40 AND s.t0 + d < c.t1 - 40),
+ct AS (SELECT * FROM cu WHERE t >= 1000 AND t <= h3 - 1000),
+kp(job_id, clip, t) AS (SELECT job_id, clip, min(t) FROM ct GROUP BY job_id, clip UNION ALL SELECT k.job_id, k.clip, (SELECT min(c.t) FROM ct c WHERE c.job_id = k.job_id AND c.clip = k.clip AND c.t >= k.t + 1000) FROM kp k WHERE EXISTS (SELECT 1 FROM ct c WHERE c.job_id = k.job_id AND c.clip = k.clip AND c.t >= k.t + 1000)),
+kc AS (SELECT job_id, clip, count(*) AS n_cuts, round(sum(t), 3) AS cuts FROM kp GROUP BY job_id, clip),
+ne AS (SELECT job_id, clip, lag(clip) OVER w AS before, md5(array_to_string(lag(lines) OVER w, '|')) AS lines_before, lead(clip) OVER w AS after, md5(array_to_string(lead(lines) OVER w, '|')) AS lines_after, CASE WHEN NOT cast_reset AND NOT coalesce(lag(cast_reset) OVER w, false) THEN lag(clip) OVER w END AS thread
+    FROM (SELECT cp.job_id, cp.clip, cast_reset, lines FROM cp LEFT JOIN ls USING (job_id, clip)) WINDOW w AS (PARTITION BY job_id ORDER BY clip))
+SELECT cc.job_id, cc.clip, actions, adults, children, n_lines, begins, ends, texts, n_cuts, cuts, before, lines_before, after, lines_after, thread FROM cc LEFT JOIN se USING (job_id, clip) LEFT JOIN sa USING (job_id, clip) LEFT JOIN kc USING (job_id, clip) JOIN ne USING (job_id, clip)""")
+def clip_facts(spark, sf):
+    """All that the prompt of a clip is written from."""
+    s, o = spoken(spark, sf), F.col("ord")
+    c = story_clips(spark, sf).withColumn("h3", F.col("t1") - F.col("t0") + 500).withColumn("padded", F.col("clip") % 2 == 0)
+    windows = s.select("job_id", o.alias("window"), (F.col("t0") - 700).alias("t0"), (F.col("t1") + 300).alias("t1"), F.when(F.col("role") == "user", o % 3).cast("long").alias("adults"), F.when(F.col("role") == "assistant", F.length("text") % 2).cast("long").alias("children"), F.when(o % 3 != 1, F.concat(F.lit("act "), o.cast("string"))).alias("action"))
+    lines = s.where("role <> 'system'").select("job_id", o.alias("line"), "t0", "t1", "text")
+    cuts = s.select("job_id", F.explode(F.array(*[(F.col("t0") + d).alias("t") for d in (700, 900, 2000)])).alias("t"))
+    got = clips.facts(c, windows, lines, cuts, "job_id")
+    total = lambda xs, f: F.round(F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + f(x).cast("double")), 3)
+    md5 = lambda xs: F.md5(F.array_join(xs, "|").cast("binary"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
+    return got.select(
+        "job_id", "clip", F.array_join("actions", "|").alias("actions"), "adults", "children", size("speech").alias("n_lines"), total("speech", lambda x: x["a"]).alias("begins"), total("speech", lambda x: x["b"]).alias("ends"),
+        md5(F.col("speech.text")).alias("texts"), size("cuts").alias("n_cuts"), total("cuts", lambda x: x).alias("cuts"), "before", md5("lines_before").alias("lines_before"), "after", md5("lines_after").alias("lines_after"), "thread",
+    )
