@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from timeloom.operators.views import first_match
+from timeloom.operators.views import elapsed_seconds, first_match
 
 # The stages before generation, in order, and the states that count as over.
 PREPARATION = ("download", "pagemeta", "understand", "script", "precheck")
@@ -53,6 +53,32 @@ def shown_stage() -> Column:
     return F.when(shown == "=", clips).otherwise(shown)
 
 
+def summary(jobs: DataFrame, now: Column | None = None) -> DataFrame:
+    """The row of a job in the list of jobs.
+
+    ``jobs`` are (job_id, state, note, stages, options map, source, need_aspect_confirm, created_at, updated_at, chip, dirty,
+    running, drafts_ready, finals_ready, last_quality); what is missing of the last six counts as false or none. A job that
+    says no mode is a real one; a running one has been at it until ``now``.
+    """
+    no = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    rows = jobs.withColumns({c: no(c) for c in ("dirty", "running", "drafts_ready", "finals_ready")})
+    end = F.when(F.col("state") == "running", F.current_timestamp() if now is None else now).otherwise(F.col("updated_at"))
+    return rows.select(
+        "job_id", F.coalesce(F.nullif(F.try_element_at("options", F.lit("mode")), F.lit("")), F.lit("real")).alias("mode"), "state", shown_stage().alias("stage"), "note", F.col("chip").alias("sub_progress"),
+        "created_at", "updated_at", elapsed_seconds(F.col("created_at"), end, F.col("created_at")).alias("elapsed_sec"), "source", "options", no("need_aspect_confirm"), "drafts_ready", "finals_ready", next_action().alias("next_action"),
+    )
+
+
+def list_payload(jobs: DataFrame, clips: DataFrame, occupied: DataFrame, now: Column | None = None) -> DataFrame:
+    """All jobs as summary() has them, the newest first, with what their clips say of drafts, finals and changed prompts, and
+    whether they are the one that ``occupied`` (job_id) names."""
+    from timeloom.operators.screen import clip_facts
+
+    facts = clip_facts(clips).select("job_id", "dirty", "drafts_ready", "finals_ready")
+    rows = jobs.join(facts, "job_id", "left").join(occupied.select("job_id", F.lit(True).alias("running")).distinct(), "job_id", "left")
+    return summary(rows, now).orderBy(F.desc("job_id"))
+
+
 def listed(jobs: DataFrame) -> DataFrame:
     """One summary row per job, the newest first."""
     failed = F.filter(F.map_entries("stages"), lambda e: e["value"]["status"] == "failed")

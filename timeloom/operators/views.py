@@ -81,8 +81,8 @@ def quality_ready(clips: DataFrame, status: DataFrame) -> DataFrame:
 
 
 def elapsed_seconds(started: Column, finished: Column, now: Column) -> Column:
-    """Seconds since the start, up to now for what still runs; at least 0."""
-    return F.greatest(F.lit(0), F.unix_timestamp(F.coalesce(finished, now)) - F.unix_timestamp(started))
+    """Seconds since the start, up to now for what still runs; at least 0, and none before there is a start."""
+    return F.when(started.isNotNull(), F.greatest(F.lit(0), F.unix_timestamp(F.coalesce(finished, now)) - F.unix_timestamp(started)))
 
 
 def gauge_alerts(used: Column, total: Column, celsius: Column) -> Column:

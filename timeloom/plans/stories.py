@@ -695,3 +695,20 @@ def clip_facts(spark, sf):
         "job_id", "clip", F.array_join("actions", "|").alias("actions"), "adults", "children", size("speech").alias("n_lines"), total("speech", lambda x: x["a"]).alias("begins"), total("speech", lambda x: x["b"]).alias("ends"),
         md5(F.col("speech.text")).alias("texts"), size("cuts").alias("n_cuts"), total("cuts", lambda x: x).alias("cuts"), "before", md5("lines_before").alias("lines_before"), "after", md5("lines_after").alias("lines_after"), "thread",
     )
+
+
+NOW = "2026-01-01 00:00:00"
+
+
+@query(f"""WITH {PAGE.replace("k % 17 = 0 AS running", "k = 17 AS running")}, ti AS (SELECT user_id AS job_id, min(ts) AS c, max(ts) AS u FROM events GROUP BY user_id)
+SELECT jo.job_id, CASE WHEN jo.job_id % 3 = 0 THEN 'mock' ELSE 'real' END AS mode, state, {SHOWN} AS stage, CASE WHEN state = 'failed' THEN 'no' END AS note, CASE WHEN jo.job_id % 2 = 0 THEN 'window ' || jo.job_id END AS sub_progress,
+CASE WHEN c IS NULL THEN NULL ELSE greatest(0, epoch(date_trunc('second', CASE WHEN state = 'running' THEN TIMESTAMP '{NOW}' ELSE u END))::BIGINT - epoch(date_trunc('second', c))::BIGINT) END AS elapsed_sec, 'film ' || jo.job_id AS source, jo.job_id % 7 = 0 AS need_aspect_confirm, drafts_ready, finals_ready, {ACTION} AS next_action
+FROM jo LEFT JOIN ti ON ti.job_id = jo.job_id""")
+def job_summaries(spark, sf):
+    k = F.col("job_id")
+    times = table(spark, sf, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.min("ts").cast("timestamp").alias("created_at"), F.max("ts").cast("timestamp").alias("updated_at"))
+    mode = F.when(k % 3 == 0, F.create_map(F.lit("mode"), F.lit("mock"))).when(k % 3 == 1, F.create_map(F.lit("mode"), F.lit(""))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    base = customer_jobs(spark, sf).select("job_id", "state", "stages", "last_quality").join(times, "job_id", "left")
+    rows = base.select("*", F.when(F.col("state") == "failed", "no").alias("note"), F.when(k % 2 == 0, F.concat(F.lit("window "), k.cast("string"))).alias("chip"), F.concat(F.lit("film "), k.cast("string")).alias("source"), mode.alias("options"), (k % 7 == 0).alias("need_aspect_confirm"))
+    got = jobs.list_payload(rows, order_clips(spark, sf), spark.range(17, 18).select(F.col("id").alias("job_id")), F.lit(NOW).cast("timestamp"))
+    return got.drop("created_at", "updated_at", "options")
