@@ -165,6 +165,37 @@ def test_retiming_and_delivery(spark):
     assert rows_of(delivery.fitting(files, "k", 10), "ord", "fits") == [(1, True), (2, False), (3, True)]
 
 
+def test_subtitles_against_the_rule_itself(spark):
+    rng = random.Random(12)
+
+    def plain(lines, islands, radius=1500):
+        free, out, before = sorted(islands), [], None
+        for n, style, t0, t1, text, s0, s1 in sorted(lines):
+            moved = False
+            if style == "bottom" and t1 - t0 > 50 and free:
+                apart = lambda x: abs(x[0] + x[1] - t0 - t1)  # noqa: B023, E731
+                near = [x for x in free if apart(x) < 2 * radius] or [x for x in free if s0 is not None and x[0] >= s0 - 300 and x[1] <= s1 + 300]
+                if near:
+                    best = min(near, key=apart)
+                    free.remove(best)
+                    if before is None or max(0, best[0] - 80) >= before - 10:
+                        t0, t1, moved = max(0, best[0] - 80), best[1] + 120, True
+            out.append((n, t0, t1, moved))
+            before = t1
+        return out
+
+    lines, islands, want = [], [], []
+    for k in ("a", "b", "c", "d", "e", None):
+        mine = [(n, rng.choice(["bottom", "bottom", "title"]), t := rng.randint(0, 60_000), t + rng.choice([20, 800, 3000]), f"x{n}", *rng.choice([(None, None), (t - 9000, t + 9000)])) for n in range(rng.randint(0, 25))]
+        theirs = sorted({(t := rng.randint(0, 60_000), t + rng.randint(100, 2000)) for _ in range(rng.randint(0, 25))}) if k else []
+        lines += [(k, *x) for x in mine]
+        islands += [(k, *x) for x in theirs]
+        want += [(k, *x) for x in plain(mine, theirs)]
+    subs = spark.createDataFrame(lines, "k string, ord long, style string, t0 long, t1 long, text string, span0 long, span1 long")
+    got = delivery.aligned_subtitles(subs, spark.createDataFrame(islands, "k string, t0 long, t1 long"), "k")
+    assert sorted(((r["k"], r["ord"], r["t0"], r["t1"], r["moved"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_audit(spark):
     prompts = spark.createDataFrame([("c", "x <d>[Chinese] 你好，世界</d> (S1) (S2) 字")], "clip string, text string")
     allowed = spark.createDataFrame([("c", "你好， 世界")], "clip string, line string")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, StructField, StructType
 
+from timeloom.operators.intervals import overlapping
 from timeloom.operators.sequences import offsets
 
 
@@ -31,31 +36,59 @@ def aligned_subtitles(events: DataFrame, islands: DataFrame, key: str, radius: i
 
     A bottom line takes the free island whose middle is nearest, within ``radius``, or else the nearest free one inside its
     own span (span0, span1); it begins 80 ms before and ends 120 ms after, unless that would cross the line before.
+
+    Lines meet the islands that they may take as spans that overlap; then lines stream by in order, each with its islands by
+    preference, and what is kept is the islands taken and the end of the line before.
     """
-    kind = events.schema[key].dataType.simpleString()
-    lists = islands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("t0").cast("bigint").alias("a"), F.col("t1").cast("bigint").alias("b")))).alias("islands"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ord")
-        free = [(int(x["a"]), int(x["b"])) for x in (part["islands"].iloc[0] if part["islands"].iloc[0] is not None else [])]
-        out, before = [], None
-        for r in part.itertuples(index=False):
-            t0, t1, moved = int(r.t0), int(r.t1), False
-            if r.style == "bottom" and t1 - t0 > 50 and free:
-                apart = lambda x: abs(x[0] + x[1] - t0 - t1)  # noqa: B023, E731
-                near = [x for x in free if apart(x) < 2 * radius]
-                if not near and pd.notna(r.span0):
-                    near = [x for x in free if x[0] >= r.span0 - 300 and x[1] <= r.span1 + 300]
-                if near:
-                    best = min(near, key=apart)
-                    free.remove(best)
-                    if before is None or max(0, best[0] - 80) >= before - 10:
-                        t0, t1, moved = max(0, best[0] - 80), best[1] + 120, True
-            out.append((getattr(r, key), r.ord, r.style, t0, t1, r.text, moved))
+    last = lambda t, least: F.greatest(t, least + 1)
+    mid, line = F.col("t0") + F.col("t1"), (F.col("style") == "bottom") & (F.col("t1") - F.col("t0") > 50)
+    near = F.floor(mid / 2) - radius, F.floor(mid / 2) + radius + 1
+    low, high = F.least(near[0], F.coalesce(F.col("span0") - 300, near[0])), F.greatest(near[1], F.coalesce(F.col("span1") + 300, near[1]))
+    reach = events.where(line).select(key, "ord", "span0", "span1", mid.alias("mid"), low.cast("long").alias("t0"), high.cast("long").alias("t1"))
+    # an island is met where its middle lies, or anywhere inside the span
+    spots = islands.select(key, F.col("t0").cast("long").alias("t0"), last(F.col("t1").cast("long"), F.col("t0").cast("long")).alias("t1"), F.col("t1").cast("long").alias("b")).distinct()
+    met = overlapping(reach, spots, key)
+    apart = F.abs(F.col("r_t0") + F.col("r_b") - F.col("l_mid"))
+    inside = (F.col("r_t0") >= F.col("l_span0") - 300) & (F.col("r_b") <= F.col("l_span1") + 300)
+    may = met.select(F.col(f"l_{key}").alias("__k"), F.col("l_ord").alias("__o"), F.when(apart < 2 * radius, 0).when(inside, 1).alias("__rank"), apart.alias("__apart"), F.col("r_t0").alias("__a"), F.col("r_b").alias("__b")).where("__rank is not null")
+    rows = events.select(key, F.col("ord").cast("long").alias("ord"), "style", F.col("t0").cast("long").alias("t0"), F.col("t1").cast("long").alias("t1"), "text")
+    joined = rows.join(may, F.col(key).eqNullSafe(F.col("__k")) & (F.col("ord") == F.col("__o")), "left").drop("__k", "__o")
+    out = StructType([*rows.schema.fields, StructField("moved", BooleanType())])
+    names = [f.name for f in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken, before, done, choices = None, set(), None, None, []
+
+        def settled() -> list:
+            """The line that has gone by, with the island it takes."""
+            nonlocal before
+            k, n, style, t0, t1, text = done
+            moved, best = False, next((c for c in choices if c not in taken), None)
+            if best is not None:
+                taken.add(best)
+                if before is None or max(0, best[0] - 80) >= before - 10:
+                    t0, t1, moved = max(0, best[0] - 80), best[1] + 120, True
             before = t1
-        return pd.DataFrame(out, columns=[key, "ord", "style", "t0", "t1", "text", "moved"])
-
-    return events.join(lists, key, "left").groupBy(key).applyInPandas(fold, f"{key} {kind}, ord long, style string, t0 long, t1 long, text string, moved boolean")
+            return [k, n, style, t0, t1, text, moved]
+
+        for batch in batches:
+            found = []
+            for *line, rank, _, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if line != done:
+                    if done is not None:
+                        found.append(settled())
+                    if done is None or line[0] != at:
+                        at, taken, before = line[0], set(), None
+                    done, choices = line, []
+                if rank is not None:
+                    choices.append((a, b))
+            yield pa.RecordBatch.from_pydict({c: [x[i] for x in found] for i, c in enumerate(names)}, kinds)
+        if done is not None:
+            yield pa.RecordBatch.from_pydict({c: [x] for c, x in zip(names, settled(), strict=True)}, kinds)
+
+    kinds = to_arrow_schema(out)
+    ordered = joined.repartition(key).sortWithinPartitions(key, "ord", "t0", "t1", "text", "style", "__rank", "__apart", "__a", "__b")
+    return ordered.mapInArrow(run, out)
 
 
 def fitting(files: DataFrame, key: str, budget: int) -> DataFrame:
