@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, delivery, dialogue, events, jobs, prompts, retime
+from timeloom.operators import audit, delivery, dialogue, events, jobs, prompts, retime, screen
 from timeloom.plans.catalog import TURNS, order_spans, query, table, turns
 from timeloom.plans.stories import SPOKEN, spoken
 
@@ -288,3 +288,70 @@ def mail_attachments(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     files = table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), F.row_number().over(w).alias("ord"), (F.col("o_orderkey") % 40).alias("size"))
     return delivery.fitting(files, "job_id", 60)
+
+
+# Rules on texts: turns, cut and wrapped so that each rule holds for some and not for others.
+
+RULES = f"""{TURNS}, ru AS (SELECT *, coalesce(text, '') AS s, ['bottom', 'title', 'other'][ord % 3 + 1] AS place, left(coalesce(text, ''), (ord * 3 % 28)::INT) || CASE WHEN ord % 4 = 0 THEN ' @me' ELSE '' END AS label FROM tu)"""
+
+
+@query(f"""WITH {RULES} SELECT job_id, ord, md5(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) AS title, md5(regexp_replace(regexp_replace(s, '\\s+', '', 'g'), '[,.!?;:，。！？；：、…—"''“”‘’()（）\\-]', '', 'g')) AS line,
+place IN ('title', 'other') AND length(label) <= 2 OR contains(label, '@') AND place = 'title' AND length(label) < 24 AS marked,
+CASE role WHEN 'user' THEN 'calm' WHEN 'assistant' THEN 'glad' ELSE lower(role) END AS feeling, ord % 3 <> 0 AND (CASE WHEN ord % 2 = 0 THEN '16:9' ELSE '9:16' END) <> '16:9' AS differs, CASE ord % 4 WHEN 0 THEN 'fast' WHEN 1 THEN 'slow' WHEN 2 THEN 'slow' END AS path,
+contains(s, 'en ') OR contains(s, 'the') AS mentioned, CASE WHEN ord % 3 = 0 THEN 'ok' WHEN ord % 2 = 0 THEN 'red' ELSE 'yellow' END AS light,
+CASE WHEN ord % 5 = 0 OR ord % 7 = 0 THEN 'login refused (535): ' || CASE WHEN ord % 7 = 0 THEN 'Login fail ' ELSE 'code ' END || ord WHEN ord % 3 = 0 THEN 'connection closed during login' ELSE 'code ' || ord END AS mail,
+ord % 4 = 1 OR ord % 3 <> 0 AS stale, CASE WHEN ord % 6 = 0 THEN true WHEN ord % 6 = 1 THEN false WHEN ord % 6 = 2 THEN true WHEN ord % 6 = 3 THEN false ELSE trim(left(s, 5)) NOT IN ('', 'shell') END AS ready, 'layer.' || ord AS layer FROM ru""")
+def text_rules(spark, sf):
+    o = F.col("ord")
+    s = F.coalesce("text", F.lit(""))
+    t = turns(spark, sf).withColumn("s", s).withColumn("place", F.element_at(F.array(F.lit("bottom"), F.lit("title"), F.lit("other")), (o % 3 + 1).cast("int")))
+    t = t.withColumn("label", F.concat(F.left("s", (o * 3 % 28).cast("int")), F.when(o % 4 == 0, " @me").otherwise("")))
+    n = o.cast("string")
+    name = F.element_at(F.array(F.lit("fast"), F.lit("old"), F.lit("slow"), F.lit("none")), (o % 4 + 1).cast("int"))
+    message = F.concat(F.when(o % 7 == 0, " Login fail ").when(o % 5 == 0, "code ").when(o % 3 == 0, "server Unexpectedly closed ").otherwise("code "), n)
+    made = F.when(o % 3 == 0, "org/Base-Large@2").otherwise("org/small")
+    body = F.when(o % 6 == 0, "it failed").when(o % 6 == 1, "loading ...").otherwise("")
+    videos = F.when(o % 6 == 2, 2).when(o % 6 == 3, 1)
+    page = F.when(o % 6 == 2, "x").when(o % 6 == 3, " ").otherwise(F.left("s", F.lit(5)))
+    return t.select(
+        "job_id", "ord", F.md5(tx.bare_title(F.col("s")).cast("binary")).alias("title"), F.md5(tx.bare_line(F.col("s")).cast("binary")).alias("line"), tx.watermark(F.col("label"), F.col("place")).alias("marked"),
+        tx.canonical_label(F.concat(F.lit("x/ "), F.upper("role")), {"user": "calm", "assistant": "glad"}).alias("feeling"), tx.aspect_differs(F.when(o % 3 == 0, " ").otherwise(F.when(o % 2 == 0, "16:9 ").otherwise("9:16")), F.lit("16:9")).alias("differs"),
+        tx.canonical_name(name, {"old": "slow"}, ("fast", "slow")).alias("path"), tx.mentions(F.col("text"), ("en ", "the")).alias("mentioned"), tx.light(o % 3 == 0, o % 2 == 0).alias("light"), tx.mail_error(message, F.when(o % 5 == 0, 535)).alias("mail"),
+        tx.made_by_another(F.when(o % 4 != 1, F.array(o)), made, F.lit("org/base-large")).alias("stale"), tx.page_ready(page, body, F.lit(None).cast("string"), videos, "failed", "loading", ("shell",)).alias("ready"),
+        tx.without_prefixes(F.concat(F.when(o % 2 == 0, "module.model.module.").otherwise(""), F.lit("layer."), n), ("module.", "model.")).alias("layer"),
+    )
+
+
+# How jobs are rendered: choices by what a job, its prompts or the configuration say, over the orders of customers.
+
+
+@query("""WITH o AS (SELECT o_custkey AS job_id, o_orderkey AS k FROM orders), q AS (SELECT k, job_id, CASE WHEN k % 4 = 0 THEN 'own.json' END AS own, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 2 = 0 THEN 'block.json' ELSE '' END END AS block, CASE WHEN k % 5 <> 0 THEN 'shared.json' ELSE '' END AS shared FROM o),
+w AS (SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN block IS NOT NULL THEN coalesce(nullif(block, ''), nullif(shared, '')) END AS workflow, CASE WHEN own IS NOT NULL THEN CASE WHEN k % 7 = 0 THEN 0.4 ELSE k % 7 / 10 END ELSE 1.5 END AS mp, CASE WHEN own IS NOT NULL THEN CASE WHEN k % 9 = 0 THEN 6 ELSE k % 9 END ELSE 8 END AS steps FROM q)
+SELECT k, CASE coalesce(CASE WHEN k % 3 = 0 THEN 'turbo' END, CASE WHEN k % 5 = 0 THEN 'old' END, CASE WHEN k % 7 = 0 THEN 'wrong' END, 'plain') WHEN 'old' THEN 'turbo' WHEN 'wrong' THEN NULL WHEN 'turbo' THEN 'turbo' ELSE 'plain' END AS route,
+CASE WHEN k % 2 = 0 THEN 'final' ELSE 'draft' END AS quality, workflow, CASE WHEN workflow IS NOT NULL THEN mp END::DOUBLE AS megapixels, CASE WHEN workflow IS NOT NULL THEN steps END::INT AS steps, coalesce(workflow IN ('own.json', 'shared.json') AND mp > 0 AND steps >= 1, false) AS valid,
+(k % 3 + k % 4)::BIGINT AS queued, k % 3 > 0 AS busy, CASE WHEN k % 3 > 0 THEN 'r0' END AS runs, k % 3 > 1 OR k % 4 > 1 AS waits FROM w""")
+def render_choices(spark, sf):
+    k = F.col("k")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    of = lambda workflow, mp, steps: F.struct(workflow.alias("workflow"), mp.cast("double").alias("megapixels"), steps.cast("int").alias("steps"))
+    snapshot = of(F.when(k % 4 == 0, "own.json"), k % 7 / 10, k % 9)
+    block = F.when(k % 3 != 0, of(F.when(k % 2 == 0, "block.json").otherwise(""), F.lit(1.5), F.lit(8)))
+    parameters = screen.quality_parameters(snapshot, block, F.when(k % 5 != 0, "shared.json").otherwise(""))
+    some = lambda n, name: F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < n, F.concat(F.lit(name), i.cast("string")))), lambda x: x.isNotNull())
+    running, pending = some(k % 3, "r"), some(k % 4, "p")
+    summary = screen.queue_summary(running, pending)
+    rows = o.select("k", screen.route(F.when(k % 3 == 0, "turbo").otherwise(""), F.when(k % 5 == 0, "old"), F.when(k % 7 == 0, "wrong"), {"old": "turbo"}, ("turbo", "plain"), "plain").alias("route"), screen.next_quality(k % 2 == 0).alias("quality"), parameters.alias("p"), summary.alias("s"), (screen.in_queue(running, pending, F.lit("r1")) | screen.in_queue(running, pending, F.lit("p1"))).alias("waits"))
+    return rows.select("k", "route", "quality", "p.workflow", "p.megapixels", "p.steps", screen.valid_parameters(F.col("p"), ("own.json", "shared.json")).alias("valid"), F.col("s.length").alias("queued"), F.col("s.running").alias("busy"), F.col("s.prompt_id").alias("runs"), "waits")
+
+
+@query("""WITH c AS (SELECT o_orderkey // 8 AS job_id, o_orderkey AS clip_id FROM orders), f AS (SELECT c.*, q.quality, CASE WHEN (clip_id * 7 + q.i) % 53 = 0 THEN 999 ELSE 1000 + clip_id % 5 END AS size, CASE WHEN (clip_id + q.i) % 47 = 0 THEN 'error' ELSE 'done' END AS status FROM c, (VALUES (0, 'draft'), (1, 'final')) q(i, quality))
+SELECT job_id, bool_and(size >= 1000) FILTER (quality = 'draft') AS drafts_ready, bool_and(size >= 1000) FILTER (quality = 'final') AS finals_ready, bool_and(status = 'done') FILTER (quality = 'draft') AS drafts_done, bool_and(status = 'done') FILTER (quality = 'final') AS finals_done FROM f GROUP BY job_id""")
+def files_ready(spark, sf):
+    """Whether all clips are there, by the sizes of their files and by what is recorded."""
+    k = F.col("o_orderkey")
+    c = table(spark, sf, "orders").select(F.floor(k / 8).alias("job_id"), k.alias("clip_id"))
+    each = c.select("*", F.posexplode(F.array(F.lit("draft"), F.lit("final"))).alias("i", "quality"))
+    each = each.withColumn("size", F.when((F.col("clip_id") * 7 + F.col("i")) % 53 == 0, 999).otherwise(1000 + F.col("clip_id") % 5)).withColumn("status", F.when((F.col("clip_id") + F.col("i")) % 47 == 0, "error").otherwise("done"))
+    done = screen.ready_by_status(each)
+    by = lambda q: done.where(F.col("quality") == q).select("job_id", F.col("ready").alias(f"{q}s_done"))
+    return screen.ready_by_size(c, each).join(by("draft"), "job_id").join(by("final"), "job_id")
