@@ -712,3 +712,43 @@ def job_summaries(spark, sf):
     rows = base.select("*", F.when(F.col("state") == "failed", "no").alias("note"), F.when(k % 2 == 0, F.concat(F.lit("window "), k.cast("string"))).alias("chip"), F.concat(F.lit("film "), k.cast("string")).alias("source"), mode.alias("options"), (k % 7 == 0).alias("need_aspect_confirm"))
     got = jobs.list_payload(rows, order_clips(spark, sf), spark.range(17, 18).select(F.col("id").alias("job_id")), F.lit(NOW).cast("timestamp"))
     return got.drop("created_at", "updated_at", "options")
+
+
+# Parts as nodes in a row: three of five pass on what they get, some are notes, some are off.
+
+CHAIN = """nd AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 3 THEN 'Note' WHEN p_partkey % 5 IN (1, 2, 3) THEN 'Reroute' ELSE 'Work' END AS type, CASE WHEN p_partkey % 13 = 0 THEN 4 WHEN p_partkey % 17 = 0 THEN 2 ELSE 0 END AS mode FROM part)"""
+
+
+@query(f"""WITH RECURSIVE {CHAIN}, up(dst, src) AS (SELECT b.id, a.id FROM nd a JOIN nd b ON b.id = a.id + 1 UNION ALL SELECT up.dst, p.id FROM up JOIN nd a ON a.id = up.src AND a.type = 'Reroute' JOIN nd p ON p.id = a.id - 1),
+ru AS (SELECT id FROM nd WHERE type = 'Work' AND mode = 0) SELECT dst, src FROM up WHERE src IN (SELECT id FROM ru) AND dst IN (SELECT id FROM ru)""")
+def true_links(spark, sf):
+    k = F.col("p_partkey")
+    kind = F.when(k % 11 == 3, "Note").when((k % 5).isin(1, 2, 3), "Reroute").otherwise("Work")
+    nodes = table(spark, sf, "part").select(k.alias("id"), kind.alias("type"), F.when(k % 13 == 0, 4).when(k % 17 == 0, 2).otherwise(0).alias("mode"))
+    following = nodes.select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"))
+    links = following.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").select("src", F.lit(0).alias("src_slot"), "dst", F.lit(0).alias("dst_slot"))
+    return graph.executable(nodes, links)[1].select("dst", "src")
+
+
+KINDS = ("Video", "PrimitiveStringMultiline", "PrimitiveFloat", "PrimitiveInt", "BasicScheduler", "ResolutionSelector", "RandomNoise", "SaveVideo", "LoadImage", "Other")
+
+
+@query(f"""WITH n AS (SELECT o_orderkey AS k, {list(KINDS)}[o_orderkey % 10 + 1] AS type, CASE WHEN o_orderkey % 3 = 0 THEN 'The Prompt, duration, STEPS' ELSE 'x' END AS title, [x FOR x IN ['a', 'b', 'c'] IF x <= ['', 'a', 'b', 'c'][o_orderkey % 4 + 1]] AS w FROM orders),
+r AS (SELECT *, title <> 'x' AS named, len(w) AS n, CASE WHEN k % 2 = 0 THEN 'i' || k END AS image FROM n),
+f AS (SELECT *, CASE WHEN type = 'Video' OR type = 'PrimitiveStringMultiline' AND named THEN 'p' || k WHEN type = 'PrimitiveFloat' AND named THEN '2.5' WHEN type = 'PrimitiveInt' AND named THEN '8' WHEN type = 'ResolutionSelector' AND n >= 2 THEN '16:9' WHEN type = 'RandomNoise' AND n > 0 THEN k::VARCHAR WHEN type = 'SaveVideo' AND n > 0 THEN 'out' WHEN type = 'LoadImage' AND image IS NOT NULL THEN image ELSE w[1] END AS w1,
+CASE WHEN type = 'BasicScheduler' AND n >= 2 THEN '8' WHEN type = 'ResolutionSelector' AND n >= 2 THEN '0.4' WHEN type = 'RandomNoise' AND n > 0 THEN 'fixed' WHEN type = 'LoadImage' AND image IS NOT NULL THEN 'image' ELSE w[2] END AS w2 FROM r)
+SELECT k, concat_ws('|', w1, w2, w[3]) AS widgets, ['videos', 'images', 'text'][k % 3 + 1] = 'videos' OR ['videos', 'images', 'text'][k % 3 + 1] = 'images' AND k % 4 < 2 AS shown,
+CASE WHEN k % 5 = 0 OR k % 7 = 0 THEN CASE WHEN k % 7 = 0 THEN 'broke ' || k ELSE 'the run failed' END END AS error, k % 6 = 0 OR k % 5 = 0 OR k % 7 = 0 AS over FROM f""")
+def patched_nodes(spark, sf):
+    """Values put into the nodes of runs, the files of runs that are videos, and what runs that failed say."""
+    k = F.col("k")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    widgets = F.filter(F.array(F.lit("a"), F.lit("b"), F.lit("c")), lambda x: x <= F.element_at(F.array(F.lit(""), F.lit("a"), F.lit("b"), F.lit("c")), (k % 4 + 1).cast("int")))
+    nodes = o.select("k", F.element_at(F.array(*[F.lit(x) for x in KINDS]), (k % 10 + 1).cast("int")).alias("type"), F.when(k % 3 == 0, "The Prompt, duration, STEPS").otherwise("x").alias("title"), widgets.alias("widgets"))
+    rules = graph.standard_rules(F.concat(F.lit("p"), k.cast("string")), F.lit(2.5), F.lit(8), k, F.lit("out"), F.lit("16:9"), F.lit(0.4), F.when(k % 2 == 0, F.concat(F.lit("i"), k.cast("string"))), ("Video",))
+    outputs = o.select("k", F.element_at(F.array(F.lit("videos"), F.lit("images"), F.lit("text")), (k % 3 + 1).cast("int")).alias("kind"), F.element_at(F.array(F.lit("a.MP4"), F.lit("b.webm"), F.lit("c.png"), F.lit(None)), (k % 4 + 1).cast("int")).alias("filename"))
+    shown = graph.video_files(outputs).select("k", F.lit(True).alias("shown"))
+    status, said = F.when(k % 5 == 0, "error").otherwise("success"), F.concat(F.lit(" broke "), k.cast("string"), F.lit(" "))
+    messages = F.when(k % 7 == 0, F.array(F.struct(F.lit("execution_start").alias("name"), F.lit(" ").alias("text")), F.struct(F.lit("execution_error").alias("name"), said.alias("text"))))
+    rows = graph.patched(nodes, rules).join(shown, "k", "left")
+    return rows.select("k", F.array_join("widgets", "|").alias("widgets"), F.coalesce("shown", F.lit(False)).alias("shown"), graph.run_error(status, messages).alias("error"), graph.run_over(k % 6 == 0, status, messages).alias("over"))
