@@ -752,3 +752,80 @@ def patched_nodes(spark, sf):
     messages = F.when(k % 7 == 0, F.array(F.struct(F.lit("execution_start").alias("name"), F.lit(" ").alias("text")), F.struct(F.lit("execution_error").alias("name"), said.alias("text"))))
     rows = graph.patched(nodes, rules).join(shown, "k", "left")
     return rows.select("k", F.array_join("widgets", "|").alias("widgets"), F.coalesce("shown", F.lit(False)).alias("shown"), graph.run_error(status, messages).alias("error"), graph.run_over(k % 6 == 0, status, messages).alias("over"))
+
+
+# Reviews of the clips of orders in two rounds, and why jobs may not begin or have failed.
+
+REVIEWS = """rv AS (SELECT l_orderkey AS job_id, l_linenumber AS clip_id, l_suppkey % 2 + 1 AS round, CASE WHEN l_partkey % 31 <> 0 THEN l_quantity > 2 AND 5 + l_partkey % 40 >= 7 AND 6 + l_suppkey % 9 >= 6 AND 5 + l_linenumber >= 6 END AS ok FROM lineitem)"""
+
+
+def order_reviews(spark, sf):
+    li, part = table(spark, sf, "lineitem"), F.col("l_partkey")
+    passed = views.review_passed(F.col("l_quantity") > 2, F.when(part % 31 != 0, 5 + part % 40), 6 + F.col("l_suppkey") % 9, 5 + F.col("l_linenumber"))
+    return li.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("clip_id"), (F.col("l_suppkey") % 2 + 1).alias("round"), passed.alias("pass"))
+
+
+@query(f"WITH {REVIEWS} SELECT job_id, round, bool_and(coalesce(ok, false)) AS passed FROM (SELECT *, max(round) OVER (PARTITION BY job_id) AS last FROM rv) WHERE round = last GROUP BY job_id, round")
+def review_rounds(spark, sf):
+    return screen.round_passed(order_reviews(spark, sf))
+
+
+@query(f"""WITH {REVIEWS} SELECT r.job_id, r.clip_id, o_orderdate AS begun, 'prompt ' || r.clip_id AS prompt FROM (SELECT *, max(round) OVER (PARTITION BY job_id) AS last FROM rv) r JOIN orders ON o_orderkey = r.job_id AND r.clip_id <= 5 WHERE round = last AND NOT coalesce(ok, false) AND r.clip_id % 4 <> 0""")
+def reviews_to_redraft(spark, sf):
+    places = F.explode(F.sequence(F.lit(1), F.lit(5))).alias("clip_id")
+    o = table(spark, sf, "orders")
+    clips_ = o.select(F.col("o_orderkey").alias("job_id"), places, F.col("o_orderdate").alias("begun"))
+    texts = o.select(F.col("o_orderkey").alias("job_id"), places).where("clip_id % 4 <> 0").withColumn("prompt", F.concat(F.lit("prompt "), F.col("clip_id").cast("string")))
+    return screen.patched_reviews(order_reviews(spark, sf), clips_, texts).select("job_id", "clip_id", "begun", "prompt")
+
+
+@query("SELECT job_id, string_agg(reason, ',' ORDER BY o, reason) AS reasons FROM (SELECT l_orderkey AS job_id, l_returnflag || l_linestatus || l_suppkey % 4 AS reason, min(l_linenumber) AS o FROM lineitem WHERE NOT (l_quantity < 25) GROUP BY ALL) GROUP BY job_id")
+def start_gates(spark, sf):
+    checks = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("ord"), F.concat("l_returnflag", "l_linestatus", (F.col("l_suppkey") % 4).cast("string")).alias("reason"), (F.col("l_quantity") < 25).alias("ok"))
+    return screen.gate_reasons(checks, "job_id").select("job_id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH j AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'Failed' WHEN c_custkey % 3 = 1 THEN 'note ' || c_custkey END AS note, CASE WHEN c_custkey % 4 = 0 THEN 'no page' ELSE '' END AS detail, CASE WHEN c_custkey % 5 = 0 THEN 'no page' WHEN c_custkey % 5 = 1 THEN 'late' END AS error,
+CASE WHEN c_custkey % 2 = 0 THEN 'no page' ELSE 'lost' END AS said, CASE c_custkey % 7 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'done' ELSE 'waiting' END AS status FROM customer),
+t AS (SELECT k, list_filter([CASE WHEN note <> 'Failed' THEN note END, nullif(detail, ''), CASE WHEN error = detail THEN NULL ELSE error END], lambda x: x IS NOT NULL) AS told, said, status FROM j)
+SELECT k, array_to_string(CASE WHEN status <> 'done' AND NOT list_contains(told, said) THEN list_append(told, 'script (' || lower(status) || '): ' || said) ELSE told END, ' / ') AS reasons FROM t""")
+def failures_told(spark, sf):
+    k = F.col("k")
+    note = F.when(k % 3 == 0, "Failed").when(k % 3 == 1, F.concat(F.lit("note "), k.cast("string")))
+    error = F.when(k % 5 == 0, "no page").when(k % 5 == 1, "late")
+    stage = F.struct(F.when(k % 7 == 0, "FAILED").when(k % 7 == 1, "done").otherwise("waiting").alias("status"), F.when(k % 2 == 0, "no page").otherwise("lost").alias("error"))
+    fine = F.struct(F.lit("done").alias("status"), F.lit("").alias("error"))
+    jobs_ = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return jobs_.select("k", F.array_join(screen.failure_reasons(note, F.when(k % 4 == 0, "no page").otherwise(""), error, F.create_map(F.lit("download"), fine, F.lit("script"), stage)), " / ").alias("reasons"))
+
+
+@query("""SELECT DISTINCT l_suppkey || '-' || l_linenumber AS prompt_id, l_linenumber = 1 AS running FROM lineitem WHERE NOT (l_linenumber <= 2 AND l_suppkey % 3 = 0) AND NOT (l_linenumber IN (3, 4) AND l_suppkey % 4 = 1) AND NOT (l_linenumber = 5 AND l_suppkey % 5 = 0)""")
+def foreign_queue(spark, sf):
+    """What stands in a queue that no job of a supplier has started, by the last run that it names and those of its clips."""
+    name = lambda n: F.concat(F.col("s_suppkey").cast("string"), F.lit(f"-{n}"))
+    k = F.col("s_suppkey")
+    run = lambda test, n: F.struct(F.when(test, name(n)).otherwise("").alias("prompt_id"))
+    by_quality = lambda a, b, test: F.create_map(F.lit("draft"), run(test, a), F.lit("final"), run(test, b))
+    progress = table(spark, sf, "supplier").select(k.alias("job_id"), F.when(k % 5 == 0, name(5)).alias("last_prompt_id"), F.create_map(F.lit("c1"), by_quality(1, 2, k % 3 == 0), F.lit("c2"), by_quality(3, 4, k % 4 == 1)).alias("clips"))
+    queue = table(spark, sf, "lineitem").select(F.concat_ws("-", F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string")).alias("prompt_id"), (F.col("l_linenumber") == 1).alias("running")).distinct()
+    return screen.foreign_runs(queue, screen.own_prompts(progress))
+
+
+@query("""WITH a AS (SELECT DISTINCT o_orderkey % 5000 AS clip_id, o_custkey % 2 AS part FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT DISTINCT l_orderkey % 5000 AS clip_id, l_linenumber % 2 AS part FROM lineitem WHERE l_orderkey % 4 <> 0)
+SELECT *, 'no prompt' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'no clip' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+def unmatched_prompts(spark, sf):
+    a = table(spark, sf, "orders").where("o_orderkey % 3 <> 0").select((F.col("o_orderkey") % 5000).alias("clip_id"), (F.col("o_custkey") % 2).alias("part"))
+    b = table(spark, sf, "lineitem").where("l_orderkey % 4 <> 0").select((F.col("l_orderkey") % 5000).alias("clip_id"), (F.col("l_linenumber") % 2).alias("part"))
+    return prompts.unmatched(a, b, ["clip_id", "part"])
+
+
+SHOT_ROWS = """sh AS (SELECT job_id, coalesce(sum(d) OVER (PARTITION BY job_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS t0, (sum(d) OVER (PARTITION BY job_id ORDER BY i))::BIGINT AS t1, i, d FROM (SELECT l_orderkey AS job_id, l_linenumber AS i, max(l_partkey % 40 * 25 + 10) AS d FROM lineitem GROUP BY ALL))"""
+
+
+@query(f"""WITH {SHOT_ROWS}, g AS (SELECT *, sum(CASE WHEN d >= 400 OR i = first THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY i) AS n FROM (SELECT *, min(i) OVER (PARTITION BY job_id) AS first FROM sh))
+SELECT job_id, 'shot_' || lpad(n::BIGINT::VARCHAR, 3, '0') AS id, min(t0) AS t0, max(t1) AS t1 FROM g GROUP BY job_id, n""")
+def merged_shots(spark, sf):
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("i")).agg(F.max(F.col("l_partkey") % 40 * 25 + 10).alias("d"))
+    w = Window.partitionBy("job_id").orderBy("i")
+    end = F.sum("d").over(w).cast("long")
+    return events.merged_shots(li.select("job_id", (end - F.col("d")).alias("t0"), end.alias("t1")), "job_id")
