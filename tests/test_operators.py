@@ -165,6 +165,25 @@ def test_retiming_and_delivery(spark):
     assert rows_of(delivery.fitting(files, "k", 10), "ord", "fits") == [(1, True), (2, False), (3, True)]
 
 
+def test_lookback_merges_against_the_rule_itself(spark):
+    rng = random.Random(3)
+    rows, want = [], []
+    for k in ("a", "b", "c", None):
+        t, kept = 0, []
+        for n in range(rng.randint(30, 80)):
+            t += rng.choice([0, 250, 500, 1400, 1600])
+            text = rng.choice(["x", "y", "z", None, ""])
+            rows.append((k, n, t, text))
+            same = next((r for r in reversed(kept[-2:]) if text is not None and r[2] == text and t - r[1] <= 1500), None)
+            if same:
+                same[1] = t
+            else:
+                kept.append([t, t, text])
+        want += [(k, *r) for r in kept]
+    got = sequences.lookback_merge(spark.createDataFrame(rows, "k string, ord long, t long, text string").repartition(3), "k")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_subtitles_against_the_rule_itself(spark):
     rng = random.Random(12)
 

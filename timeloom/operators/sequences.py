@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from timeloom.functions.ratio import reaches, squeeze
 from timeloom.operators.scans import Spread, running, spread
@@ -123,20 +125,33 @@ def gapless(spans: DataFrame, key: str, end: str) -> DataFrame:
 def lookback_merge(rows: DataFrame, key: str, gap: int = 1500) -> DataFrame:
     """Rows (key, ord, t, text): a text that stands in one of the last two rows at most ``gap`` ms before extends that row.
 
-    The state reaches back ``gap`` ms, so the fold runs within islands of rows that close together.
+    Rows stream by in order, and only the last two are kept; islands of rows that close together are dealt out apart.
     """
     cut = islands(rows, key, gap)
-    lists = cut.groupBy(key, "island").agg(F.array_sort(F.collect_list(F.struct("ord", "t", "text"))).alias("xs"))
+    ordered = _in_order(cut.select(key, "island", "ord", F.col("t").cast("long").alias("t"), "text"), key, "ord", "t", F.asc_nulls_first("text"))
+    out = StructType([ordered.schema[key], StructField("t0", LongType()), StructField("t1", LongType()), StructField("text", StringType())])
+    kinds = to_arrow_schema(out)
 
-    def add(acc, x):
-        n = F.size(acc)
-        hit = lambda k: F.when(n >= k, (F.try_element_at(acc, F.lit(-k))["text"] == x["text"]) & (x["t"] - F.try_element_at(acc, F.lit(-k))["t1"] <= gap)).otherwise(False)
-        grown = lambda k: F.transform(acc, lambda r, i: F.when(i == n - k, F.struct(r["t0"].alias("t0"), x["t"].alias("t1"), r["text"].alias("text"))).otherwise(r))
-        new = F.array_append(acc, F.struct(x["t"].alias("t0"), x["t"].alias("t1"), x["text"].alias("text")))
-        return F.when(hit(1), grown(1)).when(hit(2), grown(2)).otherwise(new)
-
-    merged = F.aggregate("xs", F.array().cast("array<struct<t0:bigint,t1:bigint,text:string>>"), add)
-    return lists.select(key, F.explode(merged).alias("r")).select(key, "r.t0", "r.t1", "r.text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_ = None, []
+        made = lambda found: pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kinds.types[i]) for i in range(4)], schema=kinds)
+        for batch in batches:
+            found = []
+            for k, island, _, t, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (k, island) != at:
+                    found += open_
+                    at, open_ = (k, island), []
+                same = next((r for r in reversed(open_) if text is not None and r[3] == text and t - r[2] <= gap), None)
+                if same is not None:
+                    same[2] = t
+                    continue
+                open_.append([k, t, t, text])
+                if len(open_) > 2:
+                    found.append(open_.pop(0))
+            yield made(found)
+        yield made(open_)
+
+    return ordered.mapInArrow(run, out)
 
 
 def fuzzy_sessions(hits: DataFrame, keys: list[str], step: int, least: float = 0.72) -> DataFrame:
