@@ -101,6 +101,6 @@ def test_overlapping_spans_of_all_lengths(spark):
 def test_overlapping_rows_grow_with_the_logarithm(spark):
     long = spark.range(200).select(F.lit("k").alias("k"), (F.col("id") * 7).alias("t0"), (F.col("id") * 7 + F.pow(F.lit(2), F.col("id") % 40)).cast("long").alias("t1"))
     levelled = long.withColumn("__level", intervals._shift(long))
-    stood = intervals._standing(levelled, "l", levelled, 2, 1, lambda x: x >= F.col("__level")).groupBy("l_t0").count()
+    stood = intervals._standing(levelled, "l", levelled, 1, 0, lambda x: x >= F.col("__level")).groupBy("l_t0").count()
     # two or three nodes at its own level, and two at most at each of the 21 that there are
     assert levelled.select("__level").distinct().count() <= 21 and stood.agg(F.max("count")).first()[0] <= 3 + 2 * 21

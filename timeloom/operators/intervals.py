@@ -35,19 +35,17 @@ def _shift(df: DataFrame) -> Column:
     return (2 * F.ceil(F.log2(length) / 2)).cast("int")
 
 
-def _nodes(level: Column, case: int) -> Column:
-    """The nodes of a level that a span touches, two or three at its own one; the last moment of a span is not in it."""
+def _standing(df: DataFrame, name: str, others: DataFrame, own: int, lifted: int, higher: Callable[[Column], Column]) -> DataFrame:
+    """A row for each node that a span touches, at its own level (two or three) or lifted to a ``higher`` one that other spans
+    have (two at most): node, level and case as one number. The last moment of a span is not in it."""
+    codes = others.agg(F.collect_set(F.col("__level") * 2 + lifted)).scalar()
+    coded = df.withColumn("__codes", codes).withColumn("__code", F.explode(F.array_append(F.coalesce("__codes", F.array().cast("array<int>")), F.col("__level") * 2 + own)))
+    level = F.call_function("shiftright", F.col("__code"), F.lit(1))
+    rows = coded.where((F.col("__code") % 2 == own) | higher(level))
     node = lambda t: F.call_function("shiftright", t.cast("long"), level)
     touched = F.sequence(node(F.col("t0")), node(F.greatest(F.col("t1"), F.col("t0") + 1) - 1))
-    return F.transform(touched, lambda n: F.struct(F.lit(case).alias("case"), level.cast("int").alias("level"), n.alias("node")))
-
-
-def _standing(df: DataFrame, name: str, others: DataFrame, own: int, lifted: int, higher: Callable[[Column], Column]) -> DataFrame:
-    """A row for each node that a span stands in, at its own level or lifted to a ``higher`` one that other spans have."""
-    levels = others.agg(F.collect_set("__level")).scalar()
-    above = F.flatten(F.transform(F.filter("__levels", higher), lambda x: _nodes(x, lifted)))
-    rows = df.withColumn("__levels", levels).withColumn("__at", F.explode(F.concat(_nodes(F.col("__level"), own), above)))
-    return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "__level"], F.col("__at").alias(f"__{name}"))
+    placed = rows.withColumn("__node", F.explode(touched))
+    return placed.select(*[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "__level"], (F.col("__node") * 128 + F.col("__code")).alias(f"__{name}"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -59,11 +57,11 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Rows grow with the logarithm of lengths, whatever lengths come together, and a hot timeline spreads over many tasks.
     """
     a, b = left.withColumn("__level", _shift(left)), right.withColumn("__level", _shift(right))
-    # case 1: the right span stands at its own level, which is as high or higher; case 2: the left one, which is higher
-    a, b = _standing(a, "l", b, 2, 1, lambda x: x >= F.col("__level")), _standing(b, "r", a, 1, 2, lambda x: x > F.col("__level"))
-    on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("__l.case") == F.col("__r.case")) & (F.col("__l.level") == F.col("__r.level")) & (F.col("__l.node") == F.col("__r.node"))
-    on &= overlaps(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1"))
-    on &= F.col("__l.node") == F.call_function("shiftright", F.greatest("l_t0", "r_t0").cast("long"), F.col("__l.level"))
+    # case 0: the right span stands at its own level, which is as high or higher; case 1: the left one, which is higher
+    a, b = _standing(a, "l", b, 1, 0, lambda x: x >= F.col("__level")), _standing(b, "r", a, 0, 1, lambda x: x > F.col("__level"))
+    level, node = F.floor(F.pmod("__l", F.lit(128)) / 2).cast("int"), F.call_function("shiftright", F.col("__l"), F.lit(7))
+    on = (F.col(f"l_{key}") == F.col(f"r_{key}")) & (F.col("__l") == F.col("__r")) & overlaps(F.col("l_t0"), F.col("l_t1"), F.col("r_t0"), F.col("r_t1"))
+    on &= node == F.call_function("shiftright", F.greatest("l_t0", "r_t0").cast("long"), level)
     return a.join(b, on).drop("__l", "__r")
 
 

@@ -52,18 +52,18 @@ def pieces(spans: DataFrame, points: DataFrame, key: str, longest: int, least: i
     """The parts of spans (key, id, t0, t1, ...), numbered as ``part`` from 0: cut at points as by cuts(), and in equal
     parts what is still longer than ``longest``. Other columns stay."""
     at = [key, "id", "t0", "t1"]
-    begins = spans.select(*at, F.col("t0").alias("a")).distinct().unionByName(cuts(spans, points, key, longest, least).withColumnRenamed("cut", "a"))
+    rest = [c for c in spans.columns if c not in at]
+    # other columns ride along with the first part; spans that only differ in them are one
+    firsts = spans.groupBy(*at).agg(F.collect_list(F.struct(F.lit(0).alias("__"), *rest)).alias("rest"), F.first("t0").alias("a"))
+    cut = cuts(spans, points, key, longest, least).select(*at, F.lit(None).cast(firsts.schema["rest"].dataType).alias("rest"), F.col("cut").alias("a"))
     w = Window.partitionBy(*at).orderBy("a")
-    parts = begins.withColumn("b", F.coalesce(F.lead("a").over(w), F.col("t1")))
     size = F.col("b") - F.col("a")
     n = F.when(size > longest, F.floor(size / longest) + 1).otherwise(1)
     edge = lambda i: (F.col("a") + F.bround(size * i / F.col("n"))).cast("long")
-    parts = parts.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    parts = parts.select(*at, edge(F.col("i")).alias("__a"), edge(F.col("i") + 1).alias("__b"))
-    numbered = parts.withColumn("part", F.row_number().over(Window.partitionBy(*at).orderBy("__a")) - 1)
-    on = [F.col(f"s.{c}").eqNullSafe(F.col(f"p.{c}")) for c in at]
-    rest = [F.col(f"s.{c}") for c in spans.columns if c not in ("t0", "t1")]
-    return spans.alias("s").join(numbered.alias("p"), on).select(*rest, "p.part", F.col("p.__a").alias("t0"), F.col("p.__b").alias("t1"))
+    parts = firsts.unionByName(cut).withColumn("b", F.coalesce(F.lead("a").over(w), F.col("t1"))).withColumn("n", n)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("rest", F.first("rest", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = parts.withColumn("i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")))).withColumn("rest", F.explode("rest"))
+    return parts.select(key, "id", *[F.col(f"rest.{c}").alias(c) for c in rest], (F.col("before") + F.col("i")).cast("int").alias("part"), edge(F.col("i")).alias("t0"), edge(F.col("i") + 1).alias("t1"))
 
 
 def pack(events: DataFrame, candidates: DataFrame, key: str = "job_id", grid: FrameGrid = GRID) -> DataFrame:
