@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import signal
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, beats, boundaries, graph, intervals, metadata, packing, prompts, retime, sequences, views
+from timeloom.operators import audit, beats, boundaries, clips, graph, intervals, metadata, packing, prompts, retime, sequences, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -271,10 +271,12 @@ def canonical_lock(spark, sf):
     return c.select("job_id", "ord", "role", F.md5(F.col("lock").cast("binary")).alias("lock"), (~F.col("lock").eqNullSafe(F.col("text"))).alias("differs"))
 
 
-@query(f"WITH {TURNS} SELECT job_id, ord, role, CASE WHEN role <> 'system' THEN lag(role) OVER w END AS before, lead(role) OVER w AS after FROM tu WINDOW w AS (PARTITION BY job_id ORDER BY ord)")
+@query(f"""WITH {TURNS}, rs AS (SELECT *, coalesce(role = 'system', false) AS reset FROM tu) SELECT job_id, ord, role, lag(ord) OVER w AS before, lead(ord) OVER w AS after, CASE WHEN NOT reset AND NOT coalesce(lag(reset) OVER w, false) THEN lag(ord) OVER w END AS thread FROM rs WINDOW w AS (PARTITION BY job_id ORDER BY ord)""")
 def prev_turn_thread(spark, sf):
-    w = Window.partitionBy("job_id").orderBy("ord")
-    return turns(spark, sf).select("job_id", "ord", "role", F.when(F.col("role") != "system", F.lag("role").over(w)).alias("before"), F.lead("role").over(w).alias("after"))
+    """Turns as clips of their own, which a system's turn parts."""
+    c = turns(spark, sf).select("job_id", F.col("ord").alias("clip"), F.col("ord").alias("n"), (F.col("role") == "system").alias("cast_reset"), "role")
+    lines = turns(spark, sf).select("job_id", F.col("ord").alias("clip"), F.array("role").alias("lines"))
+    return clips.neighbours(c, lines, "job_id").select("job_id", F.col("clip").alias("ord"), "role", "before", "after", "thread")
 
 
 LINES = "li AS (SELECT doc_id, trim(line) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '')"
@@ -443,7 +445,7 @@ def energy_percentiles(spark, sf):
 EDGES = "ed AS (SELECT DISTINCT s_nationkey AS a, (s_suppkey * 7 % 25)::INT AS b FROM supplier)"
 
 
-@query(f"""WITH RECURSIVE {EDGES}, cl AS (SELECT a, b, 1 AS d FROM ed UNION SELECT cl.a, ed.b, cl.d + 1 FROM cl JOIN ed ON cl.b = ed.a WHERE cl.d < 8) SELECT a AS src, b AS dst, min(d)::INT AS depth FROM cl GROUP BY a, b""")
+@query(f"""WITH RECURSIVE {EDGES}, cl AS (SELECT a, b, 1 AS d FROM ed UNION SELECT cl.a, ed.b, cl.d + 1 FROM cl JOIN ed ON cl.b = ed.a WHERE cl.d < (SELECT count(*) FROM (SELECT a FROM ed UNION SELECT b FROM ed))) SELECT a AS src, b AS dst, min(d)::INT AS depth FROM cl GROUP BY a, b""")
 def graph_closure(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("src"), (F.col("s_suppkey") * 7 % 25).cast("int").alias("dst")).distinct()
     return graph.closure(s)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, delivery, dialogue, events, jobs, prompts, retime, screen
+from timeloom.operators import audit, delivery, dialogue, events, jobs, metadata, prompts, retime, screen
 from timeloom.plans.catalog import TURNS, order_spans, query, table, turns
 from timeloom.plans.stories import SPOKEN, spoken
 
@@ -355,3 +355,74 @@ def files_ready(spark, sf):
     done = screen.ready_by_status(each)
     by = lambda q: done.where(F.col("quality") == q).select("job_id", F.col("ready").alias(f"{q}s_done"))
     return screen.ready_by_size(c, each).join(by("draft"), "job_id").join(by("final"), "job_id")
+
+
+# Cookies and files of suppliers: one for each line of an order, of few names, hosts and sizes.
+
+COOKIES = """ck AS (SELECT l_suppkey AS k, (l_orderkey * 8 + l_linenumber)::BIGINT AS ord, ['sid', 'csrf', 'tz', ''][l_partkey % 4 + 1] AS name, 'v' || l_partkey % 97 AS value, ['.example.com', 'www.example.com', 'example.org', ''][l_orderkey % 4 + 1] AS domain, l_linenumber % 2 = 0 AS secure, CASE WHEN l_partkey % 3 = 0 THEN 'x' ELSE (l_orderkey - 500)::VARCHAR END AS expires,
+'out/f' || l_linenumber || CASE WHEN l_partkey % 2 = 0 THEN '.mp4' ELSE '.part' END AS path, l_partkey % 13 AS size FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey))"""
+
+
+def supplier_cookies(spark, sf):
+    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    li = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
+    o, p, i = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    pick = lambda words, at: F.element_at(F.array(*[F.lit(x) for x in words]), (at + 1).cast("int"))
+    return li.select(
+        F.col("l_suppkey").alias("k"), (o * 8 + i).alias("ord"), pick(("sid", "csrf", "tz", ""), p % 4).alias("name"), F.concat(F.lit("v"), (p % 97).cast("string")).alias("value"), pick((".example.com", "www.example.com", "example.org", ""), o % 4).alias("domain"), (i % 2 == 0).alias("secure"),
+        F.when(p % 3 == 0, "x").otherwise((o - 500).cast("string")).alias("expires"), F.concat(F.lit("out/f"), i.cast("string"), F.when(p % 2 == 0, ".mp4").otherwise(".part")).alias("path"), (p % 13).alias("size"),
+    )
+
+
+@query(f"""WITH {COOKIES}, ow AS (SELECT k, name, arg_min(value, ord) AS value, min(ord) AS o FROM ck WHERE domain LIKE '%example.com' GROUP BY k, name), hd AS (SELECT k, md5(string_agg(name || '=' || value, '; ' ORDER BY o)) AS header FROM ow GROUP BY k),
+nt AS (SELECT k, md5('# Netscape HTTP Cookie File' || chr(10) || chr(10) || string_agg(domain || chr(9) || CASE WHEN domain LIKE '.%' THEN 'TRUE' ELSE 'FALSE' END || chr(9) || '/' || chr(9) || CASE WHEN secure THEN 'TRUE' ELSE 'FALSE' END || chr(9) || greatest(coalesce(try_cast(expires AS BIGINT), 0), 0) || chr(9) || name || chr(9) || value, chr(10) ORDER BY ord) || chr(10)) AS document FROM ck WHERE name <> '' GROUP BY k),
+lg AS (SELECT k, bool_or(name = 'sid') AS logged_in FROM ck WHERE k % 2 = 0 AND name <> 'csrf' OR name = 'tz' GROUP BY k), bg AS (SELECT k, arg_min(path, (-size, path)) AS path, max(size) AS size FROM ck WHERE path LIKE '%.mp4' GROUP BY k)
+SELECT k, header, document, logged_in, path, size FROM hd FULL JOIN nt USING (k) FULL JOIN lg USING (k) FULL JOIN bg USING (k)""")
+def cookies_and_files(spark, sf):
+    c = supplier_cookies(spark, sf)
+    md5 = lambda col: F.md5(F.col(col).cast("binary")).alias(col)
+    jar = c.withColumn("file", F.col("path")).withColumn("path", F.lit("/"))
+    out = metadata.cookie_header(jar, "k", "example.com").select("k", md5("header"))
+    for part in (metadata.netscape_cookies(jar, "k").select("k", md5("document")), metadata.logged_in(jar.where("k % 2 = 0 and name <> 'csrf' or name = 'tz'"), "k", ("sid", "uid")), metadata.largest(c, "k", r"\.mp4$")):
+        out = out.join(part, "k", "full")
+    return out
+
+
+POSTS = f"""{TURNS}, po AS (SELECT job_id, ord, coalesce(text, '') AS s, left(coalesce(text, ''), 12) AS d, ord % 5 AS shape FROM tu)"""
+
+
+@query(f"""WITH {POSTS} SELECT job_id, ord, shape IN (0, 1, 2) AS found, CASE WHEN shape IN (0, 1, 2) THEN nullif(d, '') END AS description, CASE WHEN shape IN (0, 1, 2) THEN ord END::BIGINT AS likes, CASE WHEN shape IN (0, 1, 2) THEN nullif(d, '') END AS preview,
+CASE WHEN ord % 3 = 0 THEN 'http://cdn.b/' || ord ELSE 'http://cdn.b/' || ord || ' https://a/1' END AS urls, CASE WHEN ord % 4 = 0 THEN 'api' WHEN ord % 4 = 1 THEN 'browser' ELSE 'download' END AS route FROM po""")
+def posts_in_documents(spark, sf):
+    """The part of a document that describes a post, wrapped in several ways, its fields, the addresses of its video that are
+    picked, and how an address is fetched."""
+    o = F.col("ord")
+    t = turns(spark, sf).select("job_id", "ord", F.left(F.coalesce("text", F.lit("")), F.lit(12)).alias("d"))
+    node = F.to_json(F.struct(F.col("d").alias("desc"), F.struct(o.alias("digg_count"), F.lit("x").alias("share_count")).alias("statistics"), F.struct(F.lit("").alias("nickname")).alias("author")))
+    wrap = lambda *names: F.concat(*[F.lit('{"other": 1, "' + n + '": ') for n in names], node, F.lit("}" * len(names)))
+    shape = o % 5
+    document = F.when(shape == 0, node).when(shape == 1, wrap("data", "aweme_detail")).when(shape == 2, wrap("item")).when(shape == 3, F.lit('{"desc": "no numbers", "statistics": 3}')).otherwise("no document")
+    video = F.concat(F.lit('{"video": {"play_addr": {"url_list": ["http://cdn.b/'), o.cast("string"), F.when(o % 3 == 0, '", "ftp://x"]}').otherwise('", "https://a/1"]}'), F.lit(', "download_addr": {"url_list": ["http://a/watermark=1"]}, "bit_rate": [{"play_addr": {"url_list": ["http://cdn.b/'), o.cast("string"), F.lit('"]}}, {"q": 1}]}}'))
+    url = F.when(o % 4 == 0, "https://v.api.example/x").when(o % 4 == 1, "//user@www.page.example:80/x").when(o % 4 == 2, "https://notpage.example.org/").otherwise("page.example")
+    rows = t.select("job_id", "ord", metadata.detail_node(document).alias("node"), metadata.play_urls(F.try_parse_json(video)).alias("urls"), metadata.ingest_route(url, ("api.example",), ("page.example",)).alias("route"))
+    c = rows.withColumn("c", metadata.compact(F.try_parse_json("node")))
+    return c.select("job_id", "ord", F.col("node").isNotNull().alias("found"), "c.description", "c.likes", "c.preview", F.array_join(metadata.picked_urls(F.col("urls"), "cdn.b"), " ").alias("urls"), "route")
+
+
+# Captions and what was heard, in Han letters put in place of Latin ones, too short for a phrase to come three times.
+
+LATIN, HAN = "abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上个国到说们为子和你地"
+JUDGED = f"""{TURNS}, ca AS (SELECT job_id, ord AS id, translate(left(lower(coalesce(text, '')), (ord % 22)::INT), '{LATIN}', '{HAN}好') AS text, CASE ord % 5 WHEN 0 THEN '' WHEN 1 THEN 'latin letters only' WHEN 2 THEN translate(left(lower(coalesce(text, '')), (ord % 22)::INT), '{LATIN}', '{HAN}好') || ' ' WHEN 3 THEN '（（））））' ELSE '他们来了' END AS said, CASE WHEN ord % 7 = 3 THEN 'asr' ELSE 'ocr' END AS source FROM tu)"""
+
+
+@query(f"""WITH {JUDGED}, u AS (SELECT *, [list_distinct(string_split(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '')) FOR x IN [text, said]] AS kinds, [regexp_replace(x, '^\\s+|\\s+$', '', 'g') FOR x IN [text, said]] AS tr, [length(regexp_replace(x, '[^一-鿿]', '', 'g')) FOR x IN [text, said]] AS han, [length(regexp_replace(x, '[^A-Za-z]', '', 'g')) FOR x IN [text, said]] AS latin, [length(regexp_replace(x, '[^)）]', '', 'g')) FOR x IN [text, said]] AS closing FROM ca),
+d AS (SELECT *, [tr[i] <> '' AND han[i] >= 2 AND closing[i] < 4 AND NOT (length(tr[i]) >= 8 AND len(kinds[i]) <= 2) AND NOT (latin[i] >= 10 AND han[i] < 3) FOR i IN [1, 2]] AS ok FROM u),
+e AS (SELECT *, CASE WHEN source <> 'ocr' THEN 'keep' WHEN NOT ok[1] AND NOT ok[2] THEN 'drop' WHEN ok[1] AND NOT ok[2] THEN 'keep' WHEN ok[2] AND NOT ok[1] THEN 'use-asr' WHEN regexp_replace(text, '\\s+', '', 'g') = regexp_replace(said, '\\s+', '', 'g') THEN 'keep' ELSE 'judge' END AS decision FROM d)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY id) AS id, CASE WHEN decision = 'use-asr' OR decision = 'judge' AND id % 2 = 0 THEN said ELSE text END AS text, decision FROM e WHERE decision <> 'drop'""")
+def judged_captions(spark, sf):
+    o = F.col("ord")
+    shown = F.translate(F.left(F.lower(F.coalesce("text", F.lit(""))), (o % 22).cast("int")), LATIN, HAN + "好")
+    said = F.when(o % 5 == 0, "").when(o % 5 == 1, "latin letters only").when(o % 5 == 2, F.concat(shown, F.lit(" "))).when(o % 5 == 3, "（（））））").otherwise("他们来了")
+    segments = turns(spark, sf).select("job_id", o.alias("id"), shown.alias("text"), said.alias("said"), F.when(o % 7 == 3, "asr").otherwise("ocr").alias("source"))
+    picks = segments.where("id % 2 = 0").select("job_id", "id", F.lit("asr").alias("pick"))
+    return dialogue.adjudicated(segments, picks, "job_id").select("job_id", F.col("id").cast("long").alias("id"), "text", "decision")
