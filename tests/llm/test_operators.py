@@ -859,3 +859,15 @@ def test_frequencies_count_ids_and_not_rows(spark):
     spans = lambda rows: {r["id"]: [(t["start"], t["end"], round(t["share"], 9)) for t in r["terms"]] for r in pii.find(docs(spark, rows)).collect()}
     once = spans(rows)
     assert once[0] and spans(rows + rows[:3] + rows[10:20]) == once
+
+
+def test_words_in_place_against_all_pairs():
+    rng = np.random.default_rng(8)
+    for m, n, kinds in ((0, 5, 3), (5, 0, 3), (1, 1, 1), (30, 80, 4), (200, 500, 40), (60, 10, 2)):
+        part, passage = (rng.integers(0, kinds, x).astype(np.uint64) for x in (m, n))
+        places = [sum(0 <= i + d < n and part[i] == passage[i + d] for i in range(m)) for d in range(-m, n)]
+        assert decontam._in_place(part, passage) == (max(places) / m if m and n else 0.0)
+    began = time.time()
+    long = rng.integers(0, 3000, 16_000).astype(np.uint64)
+    assert decontam._in_place(long, np.concatenate([long[8000:], long])) == 1.0 and decontam._in_place(np.zeros(4000, np.uint64), np.zeros(9000, np.uint64)) == 1.0
+    assert time.time() - began < 5

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timeloom.llm.session import checkpointed
-from timeloom.llm.text import offsets_of, pieces, shingles, span_hashes, words
+from timeloom.llm.text import offsets_of, pieces, ragged, shingles, span_hashes, words
 
 #: Bytes between words: ASCII other than letters and digits.
 _BETWEEN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -191,11 +191,29 @@ def wand(index: Index, term: np.ndarray, cuts: np.ndarray, block: int) -> list[t
     return found
 
 
+#: Meetings of equal words that are counted at once.
+_TOGETHER_WORDS = 1 << 20
+
+
 def _in_place(part: np.ndarray, passage: np.ndarray) -> float:
-    """The largest share of a part's words that stand at one place of the passage in theirs."""
+    """The largest share of a part's words that stand at one place of the passage in theirs.
+
+    Words meet by their sorted places, so many at a time that memory stays bounded however long both are.
+    """
     m, n = len(part), len(passage)
-    at = np.nonzero(part[:, None] == passage[None])
-    return float(np.bincount(at[1] - at[0] + m, minlength=1).max()) / m if m and n and len(at[0]) else 0.0
+    if not m or not n:
+        return 0.0
+    order = np.argsort(passage, kind="stable")
+    low, high = (np.searchsorted(passage[order], part, side) for side in ("left", "right"))
+    ends = np.concatenate([[0], np.cumsum(high - low)])
+    moved = np.zeros(m + n, np.int64)
+    a = 0
+    while a < m:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + _TOGETHER_WORDS, "right")) - 1)
+        at, _ = ragged(order, low[a:b], (high - low)[a:b])
+        moved += np.bincount(at - np.repeat(np.arange(a, b), (high - low)[a:b]) + m, minlength=m + n)
+        a = b
+    return float(moved.max()) / m
 
 
 def search(index: Index, texts: pa.Array, rule: Contamination) -> list[tuple[int, int, float, float, float]]:
