@@ -235,6 +235,19 @@ def test_ids_with_several_texts_link_whatever_the_order(spark):
         assert got == {(i, x) for i, (_, x) in want.items()}
 
 
+def test_a_signature_that_a_third_of_all_rows_have(spark, monkeypatch):
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(i, f"{common} a{i} b{i % 7}" if i % 3 == 0 else " ".join(f"w{rng.randint(0, 40)}" for _ in range(9))) for i in range(240)]
+    want = brute.jaccard_components(rows, 2, 60)
+    for hot, salted in ((65_536, 16_384), (8, 3)):
+        monkeypatch.setattr(session, "HOT", hot)
+        monkeypatch.setattr(session, "SALTED", salted)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.components(docs(spark, rows), jaccard.JaccardJoin(shingle=2, percent=60, least=4, block=40)).collect()}
+        assert got == want
+    assert sum(c != i for i, (_, c) in want.items()) > 60
+
+
 def test_jaccard_edges(spark):
     got = jaccard.components(clashing(spark, [*EDGES, (None, "a b c d e")]))
     assert got.count() == len(EDGES) + 1

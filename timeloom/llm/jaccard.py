@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeloom.llm.session import UNNAMED, checkpointed, connected_components, numbered, short_shuffles
+from timeloom.llm.session import UNNAMED, checkpointed, connected_components, numbered, salted_join, short_shuffles
 from timeloom.llm.text import LOWER, SPACE, mixed, offsets_of, pieces, shingles, span_hashes, words
 
 
@@ -318,16 +318,16 @@ def _meeting(prepared: DataFrame, percent: int) -> DataFrame:
     class and in the next one, and any two that may be linked share one of these.
     """
     signed = prepared.where("n_shingles > 1 and doc_id is not null").select("node", "n_shingles", F.explode("signatures").alias("signature"))
-    common = signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("signature")
+    common = checkpointed(signed.groupBy("signature").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low <> high").select("signature", "n"))
     size = F.floor(F.log("n_shingles") / math.log(100 / percent * (1 + 1e-9)))
     near = checkpointed(
-        signed.join(common, "signature")
+        salted_join(signed, common, ["signature"], "node")
         .select("node", "signature", F.explode(F.array(size, size + 1)).alias("size"))
         .select("node", F.xxhash64("signature", "size").alias("signature"))
         .distinct()
     )
-    met = near.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("high")).where("pivot <> high").select("signature", "pivot")
-    return checkpointed(near.join(met, "signature").select("pivot", "node").distinct())
+    met = checkpointed(near.groupBy("signature").agg(F.min("node").alias("pivot"), F.max("node").alias("high"), F.count("*").alias("n")).where("pivot <> high").select("signature", "pivot", "n"))
+    return checkpointed(salted_join(near, met, ["signature"], "node").select("pivot", "node").distinct())
 
 
 def _with_blocks(meeting: DataFrame, rule: JaccardJoin) -> DataFrame:

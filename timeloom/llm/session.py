@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from timeloom.plans.materialise import checkpointed
 
-__all__ = ["checkpointed", "connected_components", "fold_column", "fold_of", "numbered", "short_shuffles", "small", "table"]
+__all__ = ["checkpointed", "connected_components", "fold_column", "fold_of", "numbered", "salted_join", "short_shuffles", "small", "table"]
 
 #: A table of keys that is no longer than this is given to every task; a longer one is joined by a shuffle.
 BROADCAST = 100_000
+#: Rows of one key from which it is dealt to several tasks, and how many of them each gets.
+HOT, SALTED = 65_536, 16_384
 #: Where the numbers of rows begin that their id doesn't tell apart: ids are taken to be below.
 UNNAMED = 1 << 62
 
@@ -38,6 +40,17 @@ def numbered(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return joined.withColumn("__row", F.when(F.col(id_column).isNull() | F.col("__several").isNotNull(), number).otherwise(F.col(id_column).cast("long"))).drop("__several")
 
 
+def salted_join(rows: DataFrame, keys: DataFrame, on: list[str], salt_by: str) -> DataFrame:
+    """``rows`` joined with the checkpointed ``keys``, which have a row for each of some values of ``on`` and the number ``n`` of
+    rows with it: values with more than HOT rows are dealt to tasks by SALTED rows or so, by the hash of ``salt_by``."""
+    salts = F.when(F.col("n") > HOT, F.ceil(F.col("n") / SALTED)).otherwise(1).cast("int")
+    hot = small(keys.where(F.col("n") > HOT).select(*on, salts.alias("__salts")))
+    salt = F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(salt_by), F.col("__salts"))).cast("int")
+    salted = rows.join(hot, on, "left").withColumn("__salt", salt).drop("__salts")
+    dealt = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return salted.join(dealt, [*on, "__salt"]).drop("__salt")
+
+
 @contextmanager
 def short_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, the shuffle files of an action go when the action ends, instead of when the driver happens to collect its
