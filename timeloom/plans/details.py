@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
-from timeloom.operators import audit, delivery, dialogue, events, jobs, metadata, prompts, retime, screen
+from timeloom.operators import audit, delivery, dialogue, events, jobs, metadata, prompts, retime, screen, views
 from timeloom.plans.catalog import TURNS, order_spans, query, table, turns
 from timeloom.plans.stories import SPOKEN, spoken
 
@@ -426,3 +426,34 @@ def judged_captions(spark, sf):
     segments = turns(spark, sf).select("job_id", o.alias("id"), shown.alias("text"), said.alias("said"), F.when(o % 7 == 3, "asr").otherwise("ocr").alias("source"))
     picks = segments.where("id % 2 = 0").select("job_id", "id", F.lit("asr").alias("pick"))
     return dialogue.adjudicated(segments, picks, "job_id").select("job_id", F.col("id").cast("long").alias("id"), "text", "decision")
+
+
+# What customers ask for: a new job each, with options of their own or the default ones, over settings and gauges of a host.
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer), p AS (SELECT k, CASE WHEN k % 4 = 0 THEN 'none.json' ELSE 'a.json' END AS bw, CASE WHEN k % 4 = 0 THEN 'b.json' ELSE 'a.json' END AS gw, CASE WHEN k % 4 = 0 THEN 0.5 ELSE 0.3 END AS gm, CASE WHEN k % 4 = 0 THEN 4 ELSE k % 9 + 1 END AS gs, CASE WHEN k % 3 <> 0 THEN CASE WHEN k % 5 = 0 THEN 'wrong.json' WHEN k % 5 = 1 THEN 'b.json' END END AS ow, CASE WHEN k % 3 <> 0 AND k % 2 = 0 THEN k % 3 / 10 END AS om FROM c),
+m AS (SELECT *, coalesce(ow, gw) AS mw, coalesce(om, gm) AS mm FROM p)
+SELECT k AS job_id, 'pending' AS state, 'download' AS stage, 3 AS n_stages, 'source/video.mp4' AS video, CASE WHEN k % 3 = 1 THEN 'mock' ELSE 'real' END AS mode, CASE WHEN k % 2 = 0 THEN 'p' || k ELSE 'turbo' END AS path,
+CASE WHEN k % 3 = 0 OR mw IN ('a.json', 'b.json') THEN mw END AS workflow, CASE WHEN k % 3 = 0 OR mw IN ('a.json', 'b.json') THEN mm END::DOUBLE AS megapixels, CASE WHEN k % 3 = 0 OR mw IN ('a.json', 'b.json') THEN gs END::INT AS steps,
+CASE WHEN k % 2 = 0 THEN '' ELSE concat_ws(',', CASE WHEN k % 3 = 0 THEN 'user' END, CASE WHEN k % 5 = 0 THEN 'password' END) END AS missing, k % 2 = 0 AS skipped, concat_ws(',', CASE WHEN k % 100 >= 90 AND k % 7 <> 0 THEN 'vram' END, CASE WHEN k % 90 >= 80 THEN 'temperature' END) AS alerts FROM m""")
+def created_jobs(spark, sf):
+    k = F.col("job_id")
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("job_id")).select(
+        "job_id", F.lit("2026-01-01 00:00:00").cast("timestamp").alias("at"), F.lit("url").alias("kind"), F.lit("http://x").alias("url"), F.lit(None).cast("string").alias("original_path"),
+        F.when(k % 3 == 0, "").when(k % 3 == 1, "mock").alias("mode"), F.when(k % 2 == 0, F.concat(F.lit("p"), k.cast("string"))).alias("path"),
+    )
+    made = screen.created(asked, {"mode": "real", "path": "turbo"}, ("download", "script", "finish"))
+    of = lambda workflow, mp, steps: F.struct(workflow.alias("workflow"), mp.cast("double").alias("megapixels"), steps.cast("int").alias("steps"))
+    base = of(F.when(k % 4 == 0, "none.json").otherwise("a.json"), F.lit(0.3), k % 9 + 1)
+    overlay = F.when(k % 3 != 0, of(F.when(k % 5 == 0, "wrong.json").when(k % 5 == 1, "b.json"), F.when(k % 2 == 0, k % 3 / 10), F.lit(None)))
+    chosen = screen.overlaid_parameters(base, overlay, ("a.json", "b.json"), of(F.lit("b.json"), F.lit(0.5), F.lit(4)))
+    mail = screen.mail_ready(k % 2 == 1, F.when(k % 3 == 0, " ").otherwise("me"), F.when(k % 5 != 0, "secret"))
+    line = F.concat_ws(", ", F.lit("gpu"), F.when(k % 7 == 0, "[N/A]").otherwise((k % 100).cast("string")), F.lit("100"), F.lit("5"), (k % 90).cast("string"))
+    cells = F.split(line, ",")
+    used, total, celsius = (F.trim(F.element_at(cells, i)).try_cast("double") for i in (2, 3, 5))
+    alerts = views.gauge_alerts(used, total, celsius)
+    rows = made.withColumns({"p": chosen, "mail": mail, "alerts": alerts})
+    return rows.select(
+        "job_id", "state", "stage", F.size("stages").alias("n_stages"), "source.video", "options.mode", "options.path", "p.workflow", "p.megapixels", "p.steps",
+        F.array_join("mail.missing", ",").alias("missing"), "mail.skipped", F.array_join("alerts", ",").alias("alerts"),
+    )
