@@ -30,6 +30,15 @@ def test_burned_text_is_what_is_drawn_and_not_what_is_denied(spark):
     assert got == cases
 
 
+def test_burned_text_takes_time_in_proportion(spark):
+    import time
+
+    text = "quiet words of a hall, " * 400 + "No logo appears; two hanzi  Words"
+    began = time.time()
+    assert one(spark, audit.burned_text(F.concat(lit(text), F.lit("")))) == "two hanzi  Words"
+    assert time.time() - began < 15  # each word had all words split anew, several times over
+
+
 def test_joint_speakers_and_header(spark):
     text = "(S1) and (S2,S3) talk (S1) (S4x)"
     assert one(spark, audit.speaker_marks(lit(text))) == ["S1", "S2", "S3"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ _SPACE = r"(?U)\s+"
 WATERMARK = r"(?i)watermark|douyin|tiktok|kuaishou|bilibili"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def squeezed(text: Column) -> Column:
     """No white space, lower case."""
     return F.lower(F.regexp_replace(text, _SPACE, ""))
