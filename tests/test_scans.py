@@ -104,3 +104,26 @@ def test_overlapping_rows_grow_with_the_logarithm(spark):
     stood = intervals._standing(levelled, "l", levelled, 1, 0, lambda x: x >= F.col("__level")).groupBy("l_t0").count()
     # two or three nodes at its own level, and two at most at each of the 21 that there are
     assert levelled.select("__level").distinct().count() <= 21 and stood.agg(F.max("count")).first()[0] <= 3 + 2 * 21
+
+
+def test_rows_are_dealt_out_by_their_number(spark):
+    rows = spark.range(1000).select((F.col("id") % 97).alias("k"), "id")
+    got = scans.dealt(rows, "k", share=100)
+    assert got.rdd.getNumPartitions() == 10 and got.count() == 1000
+    assert got.groupBy("k").agg(F.count("*")).rdd.getNumPartitions() == 10  # groups by the key take them as they lie
+
+
+def shape(spark, monkeypatch, name):
+    """Partitions, windows and exchanges of a query on the smallest tables, where a task has a share of 500 rows."""
+    from timeloom.plans import catalog, details, stories  # noqa: F401
+
+    monkeypatch.setattr(scans, "SHARE", 500)
+    found = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    parts = found.rdd.getNumPartitions()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return parts, plan.count("Window ["), plan.count("Exchange hashpartitioning")
+
+
+def test_untiled_beats_sort_a_timeline_once(spark, monkeypatch):
+    parts, windows, exchanges = shape(spark, monkeypatch, "untiled_beats")
+    assert parts > 8 and windows == 1 and exchanges == 1

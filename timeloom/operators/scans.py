@@ -19,6 +19,8 @@ from timeloom.plans.materialise import checkpointed
 
 #: Rows of one timeline that one task sorts.
 MOST = 2_000_000
+#: Rows of many timelines that one task sorts or gathers, as dealt() hands them out.
+SHARE = 250_000
 #: No timeline of a table that is estimated to have fewer bytes can have that many rows.
 TINY = 32 << 20
 #: Splits are looked up in two steps: among every so many, then among those between two of them.
@@ -93,6 +95,18 @@ def spread(rows: DataFrame, key: str, order: str, most: int | None = None) -> Sp
     return Spread(rows.join(F.broadcast(splits), known, "left").withColumn("__chunk", chunk).drop("__hot", "__splits", "__coarse"), key, True)
 
 
+def dealt(rows: DataFrame, *keys: str, share: int | None = None) -> DataFrame:
+    """Rows dealt out by ``keys`` to so many tasks that each gets about ``share`` of them (SHARE if not given), as many as
+    the session has cores at least.
+
+    Adaptive execution joins partitions by their compressed bytes, so what a task sorts, groups and joins behind one
+    shuffle grows with how well rows compress; here it doesn't grow with the input. Windows and groups by keys that begin
+    with these take the rows as they lie. Rows are counted, so this belongs where they are read.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / (share or SHARE)))
+    return rows.repartition(tasks, *keys)
+
+
 def last(column: str | Column) -> Column:
     """The last value that isn't null."""
     return F.last(column, ignorenulls=True)

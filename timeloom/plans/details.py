@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
 from timeloom.operators import audit, delivery, dialogue, events, jobs, metadata, prompts, retime, screen, views
+from timeloom.operators.scans import dealt
 from timeloom.plans.catalog import TURNS, order_spans, query, table, turns
 from timeloom.plans.stories import SPOKEN, spoken
 
@@ -177,8 +178,10 @@ def cast_changes(spark, sf):
 LINES = "ln AS (SELECT l_orderkey AS job_id, l_linenumber AS n, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL)"
 
 
-def lines(spark, sf):
-    return table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("n")).agg(F.min("l_quantity").cast("long").alias("q"))
+def lines(spark, sf, *by):
+    """Lines of orders, dealt out by the columns that the query then groups or joins by (job_id if none is named)."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("n"), "l_quantity")
+    return dealt(rows, *(by or ("job_id",))).groupBy("job_id", "n").agg(F.min("l_quantity").cast("long").alias("q"))
 
 
 @query(f"WITH {LINES} SELECT job_id, n, CASE WHEN q % 3 <> 0 THEN q + 100 ELSE q END AS q, q % 3 <> 0 AS reused FROM ln")
