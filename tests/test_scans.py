@@ -127,3 +127,8 @@ def shape(spark, monkeypatch, name):
 def test_untiled_beats_sort_a_timeline_once(spark, monkeypatch):
     parts, windows, exchanges = shape(spark, monkeypatch, "untiled_beats")
     assert parts > 8 and windows == 1 and exchanges == 1
+
+
+def test_valid_caches_meet_their_clips_as_they_were_dealt(spark, monkeypatch):
+    parts, _, exchanges = shape(spark, monkeypatch, "valid_caches")
+    assert parts > 8 and exchanges <= 2

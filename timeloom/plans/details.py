@@ -200,7 +200,7 @@ def same_rows(spark, sf):
 
 @query(f"WITH {LINES} SELECT job_id, n AS clip_id FROM ln WHERE q % 4 <> 0 AND q % 30 <= 20 AND q % 7 <> 0")
 def valid_caches(spark, sf):
-    rows = lines(spark, sf).withColumnRenamed("n", "clip_id")
+    rows = lines(spark, sf, "job_id", "n").withColumnRenamed("n", "clip_id")
     q = F.col("q")
     cached = rows.select("job_id", "clip_id", F.lit("p").alias("path"), F.when(q % 4 == 0, 2).otherwise(3).alias("writer_rev"), (q + q % 30).alias("t0"), (q + 5000).alias("t1"))
     return jobs.cache_valid(cached, rows.select("job_id", "clip_id", F.when(q % 7 == 0, "other").otherwise("p").alias("path"), q.alias("t0"), (q + 5000).alias("t1")), 3).select("job_id", "clip_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from timeloom.functions import text as tx
 from timeloom.functions import timegrid as tg
 from timeloom.operators import audit, beats, boundaries, clips, delivery, dialogue, events, graph, intervals, jobs, metadata, prompts, retime, screen, views
+from timeloom.operators.scans import dealt
 from timeloom.plans.catalog import HOP, TIMELINE, TURNS, WIDE, query, table, timeline, turns
 
 SLOT = 21_600_000
@@ -16,6 +17,11 @@ SLOT = 21_600_000
 # Windows of six hours of a user's events: clicks are adults, sign-ups children, errors text.
 
 
+def films(spark, sf):
+    """The timeline dealt out by its key, as all that follows sorts and groups by it."""
+    return dealt(timeline(spark, sf), "job_id")
+
+
 def slots(tl: DataFrame) -> DataFrame:
     first = F.min("t").over(Window.partitionBy("job_id"))
     rel = tl.withColumn("r", F.col("t") - first)
@@ -44,7 +50,7 @@ te AS (SELECT s.job_id, s.ord, count(*) AS n FROM sl s JOIN rl c ON c.job_id = s
 SELECT ch.job_id, ch.ord, CASE WHEN error IS NOT NULL THEN 'error' ELSE array_to_string(list_filter([CASE WHEN coalesce(cu.n, 0) > 0 THEN 'cut' END, CASE WHEN changed THEN 'people' END, CASE WHEN coalesce(sp.n, 0) >= 2 THEN 'speech' END, CASE WHEN (coalesce(te.n, 0) > 0) <> has_text THEN 'text' END], lambda x: x IS NOT NULL), ',') END AS flags
 FROM ch LEFT JOIN cu USING (job_id, ord) LEFT JOIN sp USING (job_id, ord) LEFT JOIN te USING (job_id, ord)""")
 def beat_flags(spark, sf):
-    tl = timeline(spark, sf)
+    tl = films(spark, sf)
     r = relative(tl)
     spans = lambda kind, length: r.where(F.col("kind") == kind).select("job_id", F.col("t").alias("t0"), (F.col("t") + length).alias("t1"), F.when(F.col("ord") % 3 != 0, F.col("kind")).otherwise(" ").alias("text"))
     got = beats.flags(slots(tl), r.where("kind = 'purchase'").select("job_id", "t"), spans("view", 60_000), spans("error", 600_000), "job_id")
@@ -58,7 +64,7 @@ x AS (SELECT job_id, ord AS o, t AS x0, t + 600000 AS x1, 'text ' || ord % 3 AS
 r AS (SELECT job_id, t, string_agg(text, ' / ' ORDER BY o, text) AS read FROM (SELECT g.job_id, g.t, text, min(o) AS o FROM g JOIN x ON g.job_id = x.job_id AND g.t >= x0 AND g.t < x1 + {SLOT // 4} GROUP BY ALL) GROUP BY ALL)
 SELECT h.job_id, h.t, adults::INT AS adults, children::INT AS children, see, coalesce(read, '') AS read FROM h LEFT JOIN n USING (job_id, t) LEFT JOIN r USING (job_id, t)""")
 def beat_ticks(spark, sf):
-    tl = timeline(spark, sf)
+    tl = films(spark, sf)
     r = relative(tl)
     ends = r.groupBy("job_id").agg((F.max("t") + 1).alias("duration"))
     texts = r.where("kind = 'error'").select("job_id", "ord", F.col("t").alias("t0"), (F.col("t") + 600_000).alias("t1"), F.concat(F.lit("text "), (F.col("ord") % 3).cast("string")).alias("text"))
@@ -68,14 +74,14 @@ def beat_ticks(spark, sf):
 @query(f"""WITH {SLOTS}, s AS (SELECT *, lead(t0) OVER (PARTITION BY job_id ORDER BY t0) - t0 AS gap FROM sl), e AS (SELECT job_id, max(t) AS duration FROM rl GROUP BY job_id)
 SELECT e.job_id, coalesce(max(gap), 0) <= {SLOT} + 100 AND max(t1) >= any_value(duration) - 600 AND NOT bool_or(error IS NOT NULL) AS complete FROM e JOIN s USING (job_id) GROUP BY e.job_id""")
 def beat_coverage(spark, sf):
-    tl = timeline(spark, sf)
+    tl = films(spark, sf)
     ends = relative(tl).groupBy("job_id").agg(F.max("t").alias("duration"))
     return beats.complete(slots(tl).withColumn("raw", F.lit("x")), ends, "job_id", SLOT)
 
 
 @query(f"WITH {SLOTS} SELECT job_id, count(*) AS n FROM sl WHERE error IS NOT NULL GROUP BY job_id")
 def visual_gate(spark, sf):
-    return audit.blocked(slots(timeline(spark, sf)), "job_id", beats.failed(F.lit("x"), F.col("error")))
+    return audit.blocked(slots(films(spark, sf)), "job_id", beats.failed(F.lit("x"), F.col("error")))
 
 
 # The five signals of a film from a user's events, and the times between purchases as what is not held in a window.
@@ -90,7 +96,7 @@ d AS (SELECT job_id, t, 'title' AS reason FROM (SELECT *, lag(lines) OVER (PARTI
 e AS (SELECT job_id, z AS t, 'tail-silent' AS reason FROM en JOIN la USING (job_id) WHERE duration - z >= 400)
 SELECT job_id, t, reason FROM (FROM a UNION ALL FROM b UNION ALL FROM c UNION ALL FROM d UNION ALL FROM e)""")
 def story_signals(spark, sf):
-    tl = timeline(spark, sf)
+    tl = films(spark, sf)
     r = relative(tl)
     speech = r.where("kind = 'view'").select("job_id", F.col("t").alias("t0"), (F.col("t") + 60_000).alias("t1"))
     titles = r.where("kind = 'error'").select("job_id", "t", F.when(F.col("ord") % 2 == 0, "first title of the film").otherwise("another one altogether").alias("text"))
@@ -100,7 +106,7 @@ def story_signals(spark, sf):
 
 @query(f"WITH {SLOTS} SELECT job_id, ord FROM sl WHERE EXISTS (SELECT 1 FROM rl WHERE rl.job_id = sl.job_id AND kind = 'purchase' AND rl.t > sl.t0 + 40 AND rl.t < sl.t1 - 40)")
 def windows_with_cut(spark, sf):
-    tl = timeline(spark, sf)
+    tl = films(spark, sf)
     return intervals.holding_point(slots(tl), relative(tl).where("kind = 'purchase'").select("job_id", "t"), "job_id").select("job_id", "ord")
 
 
