@@ -132,3 +132,8 @@ def test_untiled_beats_sort_a_timeline_once(spark, monkeypatch):
 def test_valid_caches_meet_their_clips_as_they_were_dealt(spark, monkeypatch):
     parts, _, exchanges = shape(spark, monkeypatch, "valid_caches")
     assert parts > 8 and exchanges <= 2
+
+
+def test_reused_rows_meet_as_they_were_dealt(spark, monkeypatch):
+    parts, _, exchanges = shape(spark, monkeypatch, "reused_rows")
+    assert parts > 8 and exchanges <= 2

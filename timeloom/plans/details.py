@@ -186,7 +186,7 @@ def lines(spark, sf, *by):
 
 @query(f"WITH {LINES} SELECT job_id, n, CASE WHEN q % 3 <> 0 THEN q + 100 ELSE q END AS q, q % 3 <> 0 AS reused FROM ln")
 def reused_rows(spark, sf):
-    rows = lines(spark, sf)
+    rows = lines(spark, sf, "job_id", "n")
     old = rows.select("job_id", "n", (F.col("q") + 100).alias("q"), (F.col("q") % 3 == 0).alias("broken"))
     return jobs.reused(rows, old, ["job_id", "n"], "q", F.col("broken"))
 
