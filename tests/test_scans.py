@@ -137,3 +137,8 @@ def test_valid_caches_meet_their_clips_as_they_were_dealt(spark, monkeypatch):
 def test_reused_rows_meet_as_they_were_dealt(spark, monkeypatch):
     parts, _, exchanges = shape(spark, monkeypatch, "reused_rows")
     assert parts > 8 and exchanges <= 2
+
+
+def test_story_signals_are_dealt_out_by_their_number(spark, monkeypatch):
+    parts, _, _ = shape(spark, monkeypatch, "story_signals")
+    assert parts > 12
