@@ -369,3 +369,17 @@ def test_segments_gates_routes_and_inputs(spark):
     sockets = spark.createDataFrame([("3", 1, "image"), ("4", 0, "image")], "node string, slot int, name string")
     values = spark.createDataFrame([("3", "name", "out"), ("3", "image", "typed"), ("4", "name", "x")], "node string, name string, value string")
     assert rows(graph.node_inputs(nodes, links, sockets, values), "node", "name", "src", "src_slot", "value") == [("3", "image", "1", 0, None), ("3", "name", None, None, "out")]
+
+
+def test_comment_rows_read_no_more_of_a_text_than_they_take(spark, tmp_path):
+    import time
+
+    from timeloom.plans import stories
+
+    long = spark.range(1000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("1, a? é"), 3000).alias("text"))
+    odd = spark.createDataFrame([(2000, "12 !?"), (2001, None), (2002, "b" * 41), (2003, "\n1c\n2"), (2004, "")], "doc_id long, text string")
+    long.unionByName(odd).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in stories.comment_rows(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 15  # whole texts went through a pattern, many times over
+    assert len(got) == 1002 and got[7] == (" a " * 14)[:40].strip() and got[2002] == "b" * 40 and got[2003] == "c"

@@ -439,7 +439,8 @@ def topic_lists(spark, sf):
 @query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS cid, trim(left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 40)) AS t FROM documents) SELECT doc_id, cid::VARCHAR AS cid, t AS text, CASE WHEN doc_id % 2 = 0 THEN doc_id % 100 ELSE 0 END AS likes, 'by ' || doc_id % 10 AS author FROM c WHERE t <> ''""")
 def comment_rows(spark, sf):
     k = F.col("doc_id")
-    text = F.substring(F.regexp_replace("text", "[^a-zA-Z ]", ""), 1, 40)
+    # the first 40 letters stand in the shortest beginning that has so many
+    text = F.regexp_replace(F.regexp_extract("text", "^(?:[^a-zA-Z ]*+[a-zA-Z ]){0,40}", 0), "[^a-zA-Z ]+", "")
     item = F.to_json(F.struct(F.when(k % 3 != 0, k).alias("cid"), F.when(k % 5 != 0, text).alias("comment_text"), F.when(k % 5 == 0, text).alias("text"), F.when(k % 2 == 0, k % 100).alias("digg_count"), F.struct(F.concat(F.lit("by "), (k % 10).cast("string")).alias("nickname")).alias("user")))
     rows = table(spark, sf, "documents").where("text is not null").select("doc_id", F.parse_json(item).alias("item"))
     return metadata.comment_rows(rows, "item", ("doc_id",)).select("doc_id", "cid", "text", "likes", "author")
