@@ -169,3 +169,12 @@ def test_phrase_loops_of_lines_and_of_texts_agree(spark):
     rows = df.select("i", "text", tx.phrase_loop(F.col("text")).alias("line"), tx.phrase_loop_of_text("text").alias("whole")).collect()
     assert all(r["line"] == r["whole"] for r in rows if r["i"] >= 0), [r for r in rows if r["line"] != r["whole"]][:3]
     assert {r["whole"] for r in rows} == {True, False, None}
+
+
+def test_bound_squeezes_each_text_once(spark):
+    from timeloom.functions import ratio
+
+    pairs = spark.createDataFrame([("A b c", "abc", 1.0), ("ab", "ba", 1.0), ("", "a", 0.0), (None, "a", 0.0), ("aab", "abb", 2 / 3), ("a.*", ".a", 0.8)], "a string, b string, want double").repartition(2)
+    found = pairs.select("want", ratio.bound(F.col("a"), F.col("b")).alias("got"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2
+    assert all(abs(r["want"] - r["got"]) < 1e-12 for r in found.collect())

@@ -8,6 +8,7 @@ first, for columns in Spark, and only what is left has its blocks matched.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -37,13 +38,22 @@ def reaches(a: str, b: str, least: float) -> bool:
     return ratio(a, b) >= least
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _squeezed(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", ""))
 
 
 def bound(a: Column, b: Column) -> Column:
     """What the ratio of two texts can't exceed, by the characters that both have."""
-    x, y = _squeezed(a), _squeezed(b)
+    return let(F.struct(_squeezed(a).alias("x"), _squeezed(b).alias("y")), lambda t: _bound(t["x"], t["y"]))
+
+
+def _bound(x: Column, y: Column) -> Column:
+    """bound() of texts that are squeezed."""
     times = lambda text, c: F.length(text) - F.length(F.replace(text, c, F.lit("")))
     shared = F.aggregate(F.array_distinct(F.split(x, "")), F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(times(x, c), times(y, c))))
     both = F.length(x) + F.length(y)

@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timeloom.functions.ratio import bound, similar, similarity  # noqa: F401
+from timeloom.functions.ratio import bound, let, similar, similarity  # noqa: F401
 
 _SPACE = r"(?U)\s+"
 #: Opening phrases of on-screen overlays are matched case-insensitively, watermark words likewise.
 WATERMARK = r"(?i)watermark|douyin|tiktok|kuaishou|bilibili"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def squeezed(text: Column) -> Column:
     """No white space, lower case."""
     return F.lower(F.regexp_replace(text, _SPACE, ""))
