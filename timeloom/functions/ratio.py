@@ -70,5 +70,6 @@ def similarity(a, b):
 def similar(a: Column, b: Column, least: float) -> Column:
     """Whether the ratio of two texts is at least ``least``; blocks are matched only where the bound allows it."""
     # no double is so exact that a bound may not round below a ratio that equals it
-    may = bound(a, b) >= least - 1e-9
+    # (written out: Spark takes no function with variables as an argument of a Python function)
+    may = _bound(_squeezed(a), _squeezed(b)) >= least - 1e-9
     return F.coalesce(similarity(F.when(may, a), F.when(may, b)) >= least, F.lit(False))
