@@ -344,3 +344,10 @@ def test_long_chains_are_followed_to_their_end(spark):
     assert {(r["src"], r["src_slot"]) for r in graph.origins(nodes, links).collect()} == {(0, 0)}
     ring = spark.createDataFrame([(1, 0, 2, 0), (2, 0, 3, 0), (3, 0, 1, 0)], "src int, src_slot int, dst int, dst_slot int")
     assert graph.origins(spark.createDataFrame([(i, "Reroute") for i in (1, 2, 3)], "id int, type string"), ring).count() == 3
+
+
+def test_gapless_spans_with_the_same_times_are_ordered_by_ties(spark):
+    spans = [("a", i, t, t + 5, 99) for t in (1, 10, 20) for i in (3, 1, 2)]
+    for order in (spans, spans[::-1]):
+        got = sequences.gapless(spark.createDataFrame(order, "k string, id int, t0 int, t1 int, z int"), "k", "z", "id").select("id", "t0", "t1")
+        assert sorted(map(tuple, got.collect())) == [(1, 0, 1), (3, 1, 10), (3, 10, 20), (3, 20, 99)]

@@ -75,7 +75,7 @@ def repaired(events: DataFrame, speech: DataFrame, hard: DataFrame, key: str) ->
 
 def covering(events: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     """Events without gaps from 0 to the timeline's ``duration``, numbered e01, e02, ...; the first changes no cast."""
-    laid = gapless(events.join(ends.select(key, "duration"), key), key, "duration").drop("duration")
+    laid = gapless(events.join(ends.select(key, "duration"), key), key, "duration", "kind", "cast_reset").drop("duration")
     return laid.withColumn("id", F.concat(F.lit("e"), F.lpad(F.col("n").cast("string"), 2, "0"))).withColumn("cast_reset", F.col("cast_reset") & (F.col("n") > 1)).drop("n")
 
 

@@ -110,11 +110,12 @@ def offsets(rows: DataFrame, key: str, order: str, length: str) -> DataFrame:
     return running(rows, key, order, F.col(length), "cat1", False).withColumn("cat0", F.col("cat1") - F.col(length))
 
 
-def gapless(spans: DataFrame, key: str, end: str) -> DataFrame:
-    """Spans in order without gaps or overlaps: the first begins at 0, each at the end of the one before, the last ends at ``end``."""
+def gapless(spans: DataFrame, key: str, end: str, *ties: str) -> DataFrame:
+    """Spans in order without gaps or overlaps: the first begins at 0, each at the end of the one before, the last ends at ``end``.
+    Of spans with the same times only the last is left (and the first of a timeline); ``ties`` order them."""
     s = spread(spans, key, "t0")
     s = s.carrying({"__some": (F.count("*"), F.sum)}, {"__following": (F.min("t0"), F.min)})
-    w = s.window("t0", "t1")
+    w = s.window("t0", "t1", *ties)
     following = F.coalesce(F.lead("t0").over(w), F.col("__following").cast(spans.schema["t0"].dataType))
     first = F.lag("t0").over(w).isNull() & F.col("__some").isNull()
     fixed = s.rows.withColumn("__t1", F.when(following.isNull(), F.col(end)).otherwise(following)).withColumn("__t0", F.coalesce(F.when(first, F.lit(0)), F.col("t0")))

@@ -413,7 +413,7 @@ g AS (SELECT job_id, id, CASE WHEN f THEN 0 ELSE t0 END AS t0, coalesce(nx, z) A
 def coverage_repair(spark, sf):
     s = order_spans(spark, sf)
     ends = s.withColumn("z", F.max("t1").over(Window.partitionBy("job_id")))
-    return sequences.gapless(ends, "job_id", "z").select("job_id", "id", "t0", "t1", F.row_number().over(Window.partitionBy("job_id").orderBy("t0", "t1")).cast("long").alias("n"))
+    return sequences.gapless(ends, "job_id", "z", "id").select("job_id", "id", "t0", "t1", F.row_number().over(Window.partitionBy("job_id").orderBy("t0", "t1")).cast("long").alias("n"))
 
 
 @query()
