@@ -351,3 +351,12 @@ def test_gapless_spans_with_the_same_times_are_ordered_by_ties(spark):
     for order in (spans, spans[::-1]):
         got = sequences.gapless(spark.createDataFrame(order, "k string, id int, t0 int, t1 int, z int"), "k", "z", "id").select("id", "t0", "t1")
         assert sorted(map(tuple, got.collect())) == [(1, 0, 1), (3, 1, 10), (3, 10, 20), (3, 20, 99)]
+
+
+def test_cast_changes_number_equal_events_in_one_order(spark):
+    from timeloom.operators import events
+
+    marks = spark.createDataFrame([("a", 90, ["people"])], "k string, t long, reasons array<string>")
+    for order in ((True, False), (False, True)):
+        e = spark.createDataFrame([("a", 9000, 9900, "story", c) for c in order], "k string, t0 long, t1 long, kind string, cast_reset boolean").coalesce(1)
+        assert sorted(r["cast_reset"] for r in events.cast_changes(e, marks, "k").collect()) == [False, True]

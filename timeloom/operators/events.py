@@ -106,7 +106,7 @@ def cast_changes(events: DataFrame, shortlist: DataFrame, key: str, reason: str
     """Events that begin near a boundary with the reason change the cast; the first of a timeline never does."""
     marks = shortlist.where(F.array_contains("reasons", reason)).select(F.col(key).alias("__k"), F.col("t").alias("__t"))
     forced = events.join(marks, (F.col(key) == F.col("__k")) & (F.abs(F.col("__t") - F.col("t0")) <= radius), "left_semi").select(key, "t0").distinct().withColumn("__f", F.lit(True))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("t0", "t1")) == 1
+    first = F.row_number().over(Window.partitionBy(key).orderBy("t0", "t1", "cast_reset")) == 1
     return events.join(forced, [key, "t0"], "left").withColumn("cast_reset", ~first & (F.col("cast_reset") | F.coalesce("__f", F.lit(False)))).drop("__f")
 
 
