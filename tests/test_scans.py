@@ -142,3 +142,12 @@ def test_reused_rows_meet_as_they_were_dealt(spark, monkeypatch):
 def test_story_signals_are_dealt_out_by_their_number(spark, monkeypatch):
     parts, _, _ = shape(spark, monkeypatch, "story_signals")
     assert parts > 12
+
+
+def test_story_signals_take_more_tasks_as_events_grow(spark, monkeypatch):
+    from timeloom.plans import catalog, stories  # noqa: F401
+
+    monkeypatch.setattr(scans, "SHARE", 50)
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    # four signals of five at least keep the timeline as it was dealt, whatever number of partitions the session shuffles to
+    assert catalog.QUERIES["story_signals"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * events // 50
