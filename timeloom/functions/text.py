@@ -164,22 +164,31 @@ def without_thoughts(text: Column) -> Column:
     return F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
 
 
-def _balanced(rest: Column) -> Column:
-    """The text up to where the bracket it begins with is closed, brackets inside strings left out; NULL if it never is.
+def _documents(text: Column, tries: int) -> Column:
+    """Where each of the first ``tries`` opening brackets of a text stands and where it is closed, brackets inside strings left
+    out, as (at, end) from 1; ``end`` is 0 if it never is.
 
-    One fold over the marks that matter and what stands between them.
+    One fold over the marks that matter and what stands between them, for all of them at once: seen from one bracket, a mark
+    is inside a string if the quotes between them are odd, so it counts for the brackets with as many quotes before them as
+    it has itself, modulo 2.
     """
-    parts = F.regexp_extract_all(rest, F.lit(r'(?s)\\.|["{}\[\]]|[^\\"{}\[\]]++|\\'), F.lit(0))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("length"), F.lit(0).alias("end"))
+    parts = F.regexp_extract_all(text, F.lit(r'(?s)\\.|["{}\[\]]|[^\\"{}\[\]]++|\\'), F.lit(0))
+    none = F.array().cast("array<struct<odd:boolean,goal:int,at:int,end:int>>")
+    start = F.struct(F.lit(0).alias("even"), F.lit(0).alias("uneven"), F.lit(False).alias("odd"), F.lit(0).alias("length"), none.alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
-        depth = acc["depth"] + F.when(acc["quoted"], 0).when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
-        length = acc["length"] + F.length(x)
-        after = F.struct(depth.alias("depth"), (acc["quoted"] != (x == '"')).alias("quoted"), length.alias("length"), F.when(depth == 0, length).otherwise(0).alias("end"))
-        return F.when(acc["end"] > 0, acc).otherwise(after)
+        opens, escaped, closes = x.isin("{", "["), x.isin("\\{", "\\["), x.isin("}", "]")
+        odd, length = acc["odd"], acc["length"] + F.length(x)
+        old = F.when(odd, acc["uneven"]).otherwise(acc["even"])
+        depth = old + F.when(opens, 1).when(closes, -1).otherwise(0)
+        # one behind a backslash is a bracket for itself alone
+        head = F.struct(odd.alias("odd"), F.when(escaped, old - 1).otherwise(old).alias("goal"), length.alias("at"), F.lit(0).alias("end"))
+        close = lambda h: F.struct(h["odd"].alias("odd"), h["goal"].alias("goal"), h["at"].alias("at"), F.when((h["end"] == 0) & (h["odd"] == odd) & (h["goal"] == depth), length).otherwise(h["end"]).alias("end"))
+        heads = F.when((opens | escaped) & (F.size(acc["heads"]) < tries), F.array_append(acc["heads"], head)).when(closes, F.transform(acc["heads"], close)).otherwise(acc["heads"])
+        even, uneven = F.when(odd, acc["even"]).otherwise(depth), F.when(odd, depth).otherwise(acc["uneven"])
+        return F.struct(even.alias("even"), uneven.alias("uneven"), (odd != (x == '"')).alias("odd"), length.alias("length"), heads.alias("heads"))
 
-    end = F.aggregate(parts, start, step)["end"]
-    return F.when(end > 0, F.substring(rest, F.lit(1), end))
+    return F.aggregate(parts, start, step)["heads"]
 
 
 def json_payload(text: Column, key: str | None = None, tries: int = 12) -> Column:
@@ -190,18 +199,17 @@ def json_payload(text: Column, key: str | None = None, tries: int = 12) -> Colum
     taken. The time is in proportion to the text.
     """
     clean = F.regexp_replace(without_thoughts(text), r"(?i)```(?:json)?", "")
-    before = F.slice(F.regexp_extract_all(clean, F.lit(r"[^{\[]*+[{\[]"), F.lit(0)), 1, tries)
-    heads = F.aggregate(before, F.array().cast("array<int>"), lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(x)))
 
     def document(head: Column) -> Column:
-        doc = _balanced(F.substring(clean, head, F.length(clean)))
+        doc = F.substring(clean, head["at"], head["end"] - head["at"] + 1)
         parsed = F.try_parse_json(doc)
         fits = parsed.isNotNull()
         if key:
             fits &= F.startswith(doc, F.lit("[")) | F.try_variant_get(parsed, f"$.{key}", "variant").isNotNull()
         return F.when(fits, doc)
 
-    return F.aggregate(heads, F.lit(None).cast("string"), lambda acc, head: F.when(acc.isNotNull(), acc).otherwise(document(head)))
+    closed = F.filter(_documents(clean, tries), lambda head: head["end"] > 0)
+    return F.aggregate(closed, F.lit(None).cast("string"), lambda acc, head: F.when(acc.isNotNull(), acc).otherwise(document(head)))
 
 
 def salvaged_field(raw: Column, name: str) -> Column:
